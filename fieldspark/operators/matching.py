@@ -143,12 +143,14 @@ def _scan_groups(left, right, keys, radius_m, left_id, right_id, earth, buckets)
                        right.select(*keys, F.col(right_id).cast("long").alias("_r"), F.col("lon").alias("_rx"), F.col("lat").alias("_ry")),
                        keys, radius_m, lpos=("_lx", "_ly"), rpos=("_rx", "_ry"), earth=earth).select(*keys, "_l", "_r", "distance_m")
 
+    names, schema = pairs.columns, pairs.schema
+
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         group = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
-        return pdf.iloc[greedy_pairs(pdf["distance_m"].to_numpy(), pdf["_l"].to_numpy(), pdf["_r"].to_numpy(), group)][pairs.columns]
+        return pdf.iloc[greedy_pairs(pdf["distance_m"].to_numpy(), pdf["_l"].to_numpy(), pdf["_r"].to_numpy(), group)][names]
 
     out = (pairs.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-           .groupBy("_bucket").applyInPandas(scan, pairs.schema))
+           .groupBy("_bucket").applyInPandas(scan, schema))
     return out.select(*keys, F.col("_l").alias(left_id), F.col("_r").alias(right_id), "distance_m")
 
 

@@ -51,13 +51,13 @@ def with_row_number(df: DataFrame, keys: list[str], order: list[Column | str], c
     """Exact 1-based position in the group. ``chunk`` must sort like ``order`` (ascending)."""
     df, names = _chunked(df, chunk)
     before = W.partitionBy(*keys).orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
-    sizes = (df.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
-             .withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    sizes = (df.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("__n"))
+             .withColumn("__off", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n"))
     inner = W.partitionBy(*keys, *names).orderBy(*order)
-    return (df.withColumn("_rn", F.row_number().over(inner))
+    return (df.withColumn("__rn", F.row_number().over(inner))
             .join(sizes, keys + names, "left")
-            .withColumn(name, (F.col("_rn") + F.col("_off")).cast("long"))
-            .drop("_rn", "_off", *names))
+            .withColumn(name, (F.col("__rn") + F.col("__off")).cast("long"))
+            .drop("__rn", "__off", *names))
 
 
 def carry(df: DataFrame, keys: list[str], order: list[Column | str], chunk: list[Column],
