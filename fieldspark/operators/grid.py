@@ -49,10 +49,10 @@ def difference(first: DataFrame, second: DataFrame, keys: list[str], value: str
     return out.withColumn("delta", F.col("later") - F.col("earlier"))
 
 
-def surface_change(diff: DataFrame, keys: list[str], cell_area: Column, threshold: float = CHANGE_THRESHOLD_M) -> DataFrame:
+def surface_change(diff: DataFrame, keys: list[str], cell_area: Column | float, threshold: float = CHANGE_THRESHOLD_M) -> DataFrame:
     """Added, removed and net volume over every compared cell; changed area over the threshold only."""
     d = F.col("delta")
-    return (diff.withColumn("_a", cell_area).groupBy(*keys).agg(
+    return (diff.withColumn("_a", F.lit(cell_area)).groupBy(*keys).agg(
         F.sum(F.when(d > 0, d * F.col("_a")).otherwise(0.0)).alias("added_volume_m3"),
         F.sum(F.when(d < 0, -d * F.col("_a")).otherwise(0.0)).alias("removed_volume_m3"),
         F.sum(d * F.col("_a")).alias("net_volume_m3"),
@@ -66,7 +66,7 @@ def clip_to_ring(cells: DataFrame, x: str, y: str, ring: Column) -> DataFrame:
     return cells.where(in_ring(x, y, ring))
 
 
-def volumes(cells: DataFrame, keys: list[str], value: str, cell_area: Column, *, dtm: str | None = None,
+def volumes(cells: DataFrame, keys: list[str], value: str, cell_area: Column | float, *, dtm: str | None = None,
             base: float | None = None) -> DataFrame:
     """Cut, fill and net per datum (``reference``): dtm, plane (given or the minimum) and lowest point.
 
@@ -74,7 +74,7 @@ def volumes(cells: DataFrame, keys: list[str], value: str, cell_area: Column, *,
     :func:`with_refusals`.
     """
     v = F.col(value)
-    known = cells.where(v.isNotNull()).withColumn("_a", cell_area)
+    known = cells.where(v.isNotNull()).withColumn("_a", F.lit(cell_area))
     low = known.groupBy(*keys).agg(F.min(v).alias("_min"))
     # the minimum of a group comes back to its cells through the small per-group table
     j = known.join(low, keys) if base is None else known.join(low, keys).withColumn("_base", F.lit(float(base)))
@@ -101,7 +101,7 @@ def with_refusals(groups: DataFrame, result: DataFrame, keys: list[str], reason:
             .withColumn("reason", F.when(F.col(probe).isNull(), F.lit(reason))))
 
 
-def terrain_stats(cells: DataFrame, keys: list[str], value: str, cell_area: Column, total_cells: Column, ground: str | None = None) -> DataFrame:
+def terrain_stats(cells: DataFrame, keys: list[str], value: str, cell_area: Column | float, total_cells: Column, ground: str | None = None) -> DataFrame:
     v = F.col(value)
     aggs = [F.sum(F.when(v.isNotNull(), F.col("_a")).otherwise(0.0)).alias("covered_area_m2"),
             (F.count(v) / F.first("_t")).alias("coverage_fraction"), F.min(v).alias("min_m"), F.max(v).alias("max_m"),
@@ -110,7 +110,7 @@ def terrain_stats(cells: DataFrame, keys: list[str], value: str, cell_area: Colu
         h = v - F.col(ground)
         aggs += [F.avg(h).alias("mean_height_m"), F.max(h).alias("max_height_m"),
                  F.sum(F.when(h > ABOVE_GROUND_M, F.col("_a")).otherwise(0.0)).alias("above_ground_area_m2")]
-    return cells.withColumn("_a", cell_area).withColumn("_t", total_cells).groupBy(*keys).agg(*aggs)
+    return cells.withColumn("_a", F.lit(cell_area)).withColumn("_t", total_cells).groupBy(*keys).agg(*aggs)
 
 
 def gradients(cells: DataFrame, keys: list[str], value: str, width: Column, height: Column, step_x: float, step_y: float) -> DataFrame:
@@ -221,9 +221,9 @@ def vegetation_indices(bands: DataFrame, calibration: dict[str, dict], indices:
     return out.drop(*[f"_{n}" for n in calibration])
 
 
-def class_areas(cells: DataFrame, keys: list[str], class_col: str, categories: dict[str, list[int]], cell_area: Column) -> DataFrame:
+def class_areas(cells: DataFrame, keys: list[str], class_col: str, categories: dict[str, list[int]], cell_area: Column | float) -> DataFrame:
     """One row per group and category: area, or unavailable when the schema has no such class."""
-    counted = cells.where(F.col(class_col).isNotNull()).withColumn("_a", cell_area)
+    counted = cells.where(F.col(class_col).isNotNull()).withColumn("_a", F.lit(cell_area))
     aggs = [F.sum(F.when(F.col(class_col).isin(ids), F.col("_a")).otherwise(0.0)).alias(name) for name, ids in categories.items() if ids]
     wide = counted.groupBy(*keys).agg(*aggs, F.sum("_a").alias("_whole"))
     rows = [F.struct(F.lit(n).alias("category"), (F.col(n) if ids else F.lit(None).cast("double")).alias("area_m2"),
@@ -231,41 +231,41 @@ def class_areas(cells: DataFrame, keys: list[str], class_col: str, categories: d
     return wide.select(*keys, F.explode(F.array(*rows)).alias("_r")).select(*keys, "_r.*")
 
 
-def canopy_cover(cells: DataFrame, keys: list[str], class_col: str, canopy: list[int], unwanted: list[int], soil: list[int], cell_area: Column) -> DataFrame:
+def canopy_cover(cells: DataFrame, keys: list[str], class_col: str, canopy: list[int], unwanted: list[int], soil: list[int], cell_area: Column | float) -> DataFrame:
     c = F.col(class_col)
     share = F.count_if(c.isin(canopy)) / F.nullif(F.count_if(c.isin(canopy + unwanted + soil)), F.lit(0))
     area = lambda ids: F.sum(F.when(c.isin(ids), F.col("_a")).otherwise(0.0))
-    out = cells.withColumn("_a", cell_area).groupBy(*keys).agg(area(canopy).alias("canopy_area_m2"), area(canopy + unwanted + soil).alias("field_area_m2"),
+    out = cells.withColumn("_a", F.lit(cell_area)).groupBy(*keys).agg(area(canopy).alias("canopy_area_m2"), area(canopy + unwanted + soil).alias("field_area_m2"),
                                                               (100.0 * share).alias("canopy_cover_percent"))
     return out.withColumn("status", F.when(F.col("canopy_cover_percent").isNull(), "refused").otherwise("ok"))
 
 
-def stress_zones(cells: DataFrame, keys: list[str], index: str, canopy: Column, severe_below: float, moderate_below: float, cell_area: Column) -> DataFrame:
+def stress_zones(cells: DataFrame, keys: list[str], index: str, canopy: Column, severe_below: float, moderate_below: float, cell_area: Column | float) -> DataFrame:
     if not severe_below < moderate_below:
         raise ValueError("severe_below must be under moderate_below")
     zone = (F.when(F.col(index) < severe_below, "severe_stress").when(F.col(index) < moderate_below, "moderate_stress")
             .otherwise("reference_or_healthy_range"))
-    return (cells.where(canopy & F.col(index).isNotNull()).withColumn("zone", zone).withColumn("_a", cell_area)
+    return (cells.where(canopy & F.col(index).isNotNull()).withColumn("zone", zone).withColumn("_a", F.lit(cell_area))
             .groupBy(*keys, "zone").agg(F.sum("_a").alias("area_m2"), F.count(F.lit(1)).alias("cell_count")))
 
 
-def class_transitions(first: DataFrame, second: DataFrame, keys: list[str], class_col: str, ids: list[int], cell_area: Column) -> DataFrame:
+def class_transitions(first: DataFrame, second: DataFrame, keys: list[str], class_col: str, ids: list[int], cell_area: Column | float) -> DataFrame:
     """Cells that hold one of the classes now and did not before (unknown before counts as not)."""
     at = keys + ["row_idx", "col_idx"]
     was = first.where(F.col(class_col).isin(ids)).select(*at)
-    return (second.where(F.col(class_col).isin(ids)).join(was, at, "left_anti").withColumn("_a", cell_area)
+    return (second.where(F.col(class_col).isin(ids)).join(was, at, "left_anti").withColumn("_a", F.lit(cell_area))
             .groupBy(*keys).agg(F.sum("_a").alias("new_area_m2"), F.count(F.lit(1)).alias("new_cells")))
 
 
-def region_stats(regions: DataFrame, keys: list[str], value: str, cell_area: Column) -> DataFrame:
+def region_stats(regions: DataFrame, keys: list[str], value: str, cell_area: Column | float) -> DataFrame:
     """Cells, area, volume, extremes and mean cell position of labelled regions."""
-    return (regions.withColumn("_a", cell_area).groupBy(*keys, "region").agg(
+    return (regions.withColumn("_a", F.lit(cell_area)).groupBy(*keys, "region").agg(
         F.count(F.lit(1)).alias("cell_count"), F.sum("_a").alias("area_m2"), F.sum(F.col(value) * F.col("_a")).alias("volume_m3"),
         F.avg(value).alias("mean_value"), F.max(value).alias("max_value"), F.min(value).alias("min_value"),
         F.avg("row_idx").alias("centroid_row"), F.avg("col_idx").alias("centroid_col")))
 
 
-def change_regions(diff: DataFrame, keys: list[str], cell_area: Column, threshold: float, min_area_m2: float) -> DataFrame:
+def change_regions(diff: DataFrame, keys: list[str], cell_area: Column | float, threshold: float, min_area_m2: float) -> DataFrame:
     """Eight-connected regions of rise and of fall at or over the threshold, smaller ones left out."""
     d = F.col("delta")
     marked = diff.withColumn("change", F.when(d >= threshold, "surface_rise").when(d <= -threshold, "surface_fall")).where("change is not null")
@@ -275,7 +275,7 @@ def change_regions(diff: DataFrame, keys: list[str], cell_area: Column, threshol
                       F.when(F.col("change") == "surface_rise", F.col("max_value")).otherwise(F.col("min_value")).alias("extreme_delta_m"))
 
 
-def deformation_regions(diff: DataFrame, keys: list[str], cell_area: Column, first_accuracy: float | None, second_accuracy: float | None,
+def deformation_regions(diff: DataFrame, keys: list[str], cell_area: Column | float, first_accuracy: float | None, second_accuracy: float | None,
                         registration: float | None, min_cells: int = MIN_REGION_CELLS) -> DataFrame:
     """Four-connected subsidence and uplift regions beyond the detection floor.
 
@@ -288,7 +288,7 @@ def deformation_regions(diff: DataFrame, keys: list[str], cell_area: Column, fir
     floor = detection_floor(F.lit(float(first_accuracy)), F.lit(float(second_accuracy)), F.lit(float(registration)))
     d = F.col("delta")
     moved = diff.where(F.abs(d) > floor).withColumn("direction", F.when(d < 0, "subsidence").otherwise("uplift"))
-    lab = label_regions(moved, keys + ["direction"], 4).withColumn("_abs", F.abs("delta")).withColumn("_a", cell_area)
+    lab = label_regions(moved, keys + ["direction"], 4).withColumn("_abs", F.abs("delta")).withColumn("_a", F.lit(cell_area))
     return (lab.groupBy(*keys, "direction", "region").agg(
         F.count(F.lit(1)).alias("cell_count"), F.sum("_a").alias("area_m2"), F.max("_abs").alias("max_displacement_m"),
         F.avg("_abs").alias("mean_displacement_m"), F.sum(F.col("delta") * F.col("_a")).alias("volume_change_m3"),

@@ -117,7 +117,7 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return same
 
 
-def ponding_regions(cells: DataFrame, keys: list[str], value: str, cell_area: Column, vertical_accuracy_m: float | None, *, min_cells: int = MIN_REGION_CELLS,
+def ponding_regions(cells: DataFrame, keys: list[str], value: str, cell_area: Column | float, vertical_accuracy_m: float | None, *, min_cells: int = MIN_REGION_CELLS,
                     tile: int = TILE) -> DataFrame:
     """Closed depressions deeper than twice the vertical accuracy, which has no default."""
     if vertical_accuracy_m is None or vertical_accuracy_m <= 0:

@@ -106,8 +106,8 @@ def anomaly_scores(pixels: DataFrame, baseline: DataFrame, cell: list[str], keys
     return s.join(bands, keys).withColumn("score", F.when(F.col("_n") == F.col("_bands"), F.col("_s"))).drop("_s", "_n", "_bands")
 
 
-def anomaly_candidates(scores: DataFrame, keys: list[str], cell_area: Column, *, threshold: float = ANOMALY_SIGMA, min_area_m2: float = ANOMALY_MIN_AREA_M2) -> DataFrame:
+def anomaly_candidates(scores: DataFrame, keys: list[str], cell_area: Column | float, *, threshold: float = ANOMALY_SIGMA, min_area_m2: float = ANOMALY_MIN_AREA_M2) -> DataFrame:
     """Eight-connected regions of cells at or over the threshold, with their largest and mean score."""
-    lab = label_regions(scores.where(F.col("score") >= threshold), keys, 8).withColumn("_a", cell_area)
+    lab = label_regions(scores.where(F.col("score") >= threshold), keys, 8).withColumn("_a", F.lit(cell_area))
     return (lab.groupBy(*keys, "region").agg(F.count(F.lit(1)).alias("cell_count"), F.sum("_a").alias("area_m2"), F.max("score").alias("max_score"), F.avg("score").alias("mean_score"))
             .where(F.col("area_m2") >= min_area_m2))

@@ -8,13 +8,13 @@ from fieldspark.operators.components import dilate, label_regions
 from fieldspark.operators.spatial import zones_over_cells
 
 
-def instance_zonal(cells: DataFrame, keys: list[str], instance: str, cell_area: Column, *, health: str | None = None, min_area: float = 0.0,
+def instance_zonal(cells: DataFrame, keys: list[str], instance: str, cell_area: Column | float, *, health: str | None = None, min_area: float = 0.0,
                    max_area: float | None = None) -> DataFrame:
     """Area, mean cell position and majority health class (ties: smallest id) of each positive instance id.
 
     Kept instances are numbered in id order.
     """
-    rows = cells.where(F.col(instance) > 0).withColumn("_a", cell_area)
+    rows = cells.where(F.col(instance) > 0).withColumn("_a", F.lit(cell_area))
     base = rows.groupBy(*keys, instance).agg(F.count(F.lit(1)).alias("cell_count"), F.sum("_a").alias("area_m2"),
                                              F.avg("row_idx").alias("centroid_row"), F.avg("col_idx").alias("centroid_col"))
     base = base.where(F.col("area_m2") >= min_area)
@@ -97,11 +97,11 @@ def iou_association(first: DataFrame, second: DataFrame, keys: list[str], value:
     return out.withColumn("reason", why).withColumn("status", F.when(why.isNull(), "ok").otherwise("refused"))
 
 
-def design_progress(cells: DataFrame, elements: DataFrame, keys: list[str], class_col: str, cell_area: Column, *, bucket: float, complete_at: float) -> DataFrame:
+def design_progress(cells: DataFrame, elements: DataFrame, keys: list[str], class_col: str, cell_area: Column | float, *, bucket: float, complete_at: float) -> DataFrame:
     """Observed share of each design element (``element_id, expected_class, ring``) over its valid cells."""
     zones = zones_over_cells(cells, elements, keys, "element_id", bucket, cell_key=["row_idx", "col_idx"])
     j = (zones.join(cells.select(*keys, "row_idx", "col_idx", class_col), keys + ["row_idx", "col_idx"]).where(F.col(class_col).isNotNull())
-         .join(elements.select(*keys, "element_id", "expected_class").distinct(), keys + ["element_id"]).withColumn("_a", cell_area))
+         .join(elements.select(*keys, "element_id", "expected_class").distinct(), keys + ["element_id"]).withColumn("_a", F.lit(cell_area)))
     seen = F.col(class_col) == F.col("expected_class")
     got = j.groupBy(*keys, "element_id").agg(F.count(F.lit(1)).alias("design_cells"), F.count_if(seen).alias("observed_cells"),
                                              F.sum("_a").alias("design_area_m2"), F.sum(F.when(seen, F.col("_a")).otherwise(0.0)).alias("observed_area_m2"))
@@ -124,7 +124,7 @@ def outside_zones(cells: DataFrame, rings: DataFrame, keys: list[str], feature:
     return cells.join(inside, keys + at, "left_anti")
 
 
-def encroachment(cells: DataFrame, rings: DataFrame, keys: list[str], class_col: str, kinds: dict[str, list[int]], cell_area: Column, *,
+def encroachment(cells: DataFrame, rings: DataFrame, keys: list[str], class_col: str, kinds: dict[str, list[int]], cell_area: Column | float, *,
                  bucket: float, tolerance_m: float = 0.0) -> DataFrame:
     """Cells of building / road classes outside every boundary grown by the tolerance, with their area."""
     from fieldspark.functions.geo import segment_distance
@@ -143,4 +143,4 @@ def encroachment(cells: DataFrame, rings: DataFrame, keys: list[str], class_col:
     kind = None
     for name, ids in kinds.items():
         kind = F.when(F.col(class_col).isin(ids), name) if kind is None else kind.when(F.col(class_col).isin(ids), name)
-    return out.withColumn("finding", kind).withColumn("cell_area_m2", cell_area)
+    return out.withColumn("finding", kind).withColumn("cell_area_m2", F.lit(cell_area))

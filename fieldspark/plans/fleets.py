@@ -62,7 +62,7 @@ def pilot_usage(spark, sf):
 u AS (SELECT o_orderkey AS upload_id, 500 + o_orderkey % 900 AS total_bytes, 200 AS chunk_size FROM orders),
 g AS (SELECT upload_id, list(DISTINCT chunk) AS got, sum(chunk_bytes) AS received FROM uploads GROUP BY 1),
 m AS (SELECT u.*, CAST(ceil(total_bytes / 200.0) AS BIGINT) AS want, coalesce(got, []) AS got, coalesce(received, 0) AS received FROM u LEFT JOIN g USING (upload_id))
-SELECT upload_id, CAST(want AS INT) AS expected_chunks, CAST(received AS BIGINT) AS received_bytes, array_to_string(list_sort(list_filter(range(0, want), k -> NOT list_contains(got, k))), ',') AS missing_chunks FROM m""")
+SELECT upload_id, CAST(want AS INT) AS expected_chunks, CAST(received AS BIGINT) AS received_bytes, array_to_string(list_sort(list_filter(range(0, want), lambda k: NOT list_contains(got, k))), ',') AS missing_chunks FROM m""")
 def upload_completeness(spark, sf):
     u = table(spark, sf, "orders").select(F.col("o_orderkey").alias("upload_id"), (500 + F.col("o_orderkey") % 900).alias("total_bytes"), F.lit(200).alias("chunk_size"))
     c = view(spark, sf, "uploads").withColumnRenamed("chunk_bytes", "bytes")

@@ -56,10 +56,10 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY survey_id ORDER BY risk_sco
 
 
 @query("risk_scores", RISK + """
-SELECT survey_id, seq, cls AS class, round(ext, 4) AS extent_factor, round(expo, 4) AS exposure, risk_score,
+SELECT survey_id, seq, cls AS class, round(ext, 6) AS extent_factor, round(expo, 6) AS exposure, risk_score,
        CASE WHEN risk_score >= 0.75 THEN 'immediate' WHEN risk_score >= 0.55 THEN 'urgent' WHEN risk_score >= 0.35 THEN 'planned' WHEN risk_score >= 0.15 THEN 'monitor' ELSE 'record' END AS action FROM s""")
 def risk_scores(spark, sf):
-    return ins.risk_scores(view(spark, sf, "findings")).select("survey_id", "seq", "class", *r4("extent_factor", "exposure"), "risk_score", "action")
+    return ins.risk_scores(view(spark, sf, "findings")).select("survey_id", "seq", "class", *r4("extent_factor", "exposure", n=6), "risk_score", "action")
 
 
 @query("risk_rank", RISK + "SELECT survey_id, seq, risk_score, CAST(rank AS BIGINT) AS rank FROM ranked")
@@ -69,16 +69,16 @@ def risk_rank(spark, sf):
 
 @query("risk_index", RISK + """,
 i AS (SELECT survey_id, count(*) AS n, avg(risk_score) FILTER (WHERE rank <= greatest(1, n // 10)) AS idx FROM ranked GROUP BY 1)
-SELECT survey_id, CAST(n AS BIGINT) AS defect_count, round(idx, 4) AS risk_index, round(greatest(0, 100 * (1 - idx)), 2) AS integrity_score,
+SELECT survey_id, CAST(n AS BIGINT) AS defect_count, round(idx, 8) AS risk_index, round(greatest(0, 100 * (1 - idx)), 5) AS integrity_score,
        CAST(CASE WHEN 100 * (1 - idx) >= 85 THEN 1 WHEN 100 * (1 - idx) >= 70 THEN 2 WHEN 100 * (1 - idx) >= 55 THEN 3 WHEN 100 * (1 - idx) >= 40 THEN 4 ELSE 5 END AS INT) AS grade FROM i""")
 def risk_index(spark, sf):
     d = ins.risk_index(ins.risk_scores(view(spark, sf, "findings")), "survey_id")
-    return d.select("survey_id", "defect_count", F.round("risk_index", 4).alias("risk_index"), F.round("integrity_score", 2).alias("integrity_score"), "grade")
+    return d.select("survey_id", "defect_count", F.round("risk_index", 8).alias("risk_index"), F.round("integrity_score", 5).alias("integrity_score"), "grade")
 
 
-@query("risk_by_type", RISK + "SELECT survey_id, cls AS class, CAST(count(*) AS BIGINT) AS defects, max(risk_score) AS max_risk, round(avg(risk_score), 4) AS mean_risk FROM s GROUP BY 1, 2")
+@query("risk_by_type", RISK + "SELECT survey_id, cls AS class, CAST(count(*) AS BIGINT) AS defects, max(risk_score) AS max_risk, round(avg(risk_score), 8) AS mean_risk FROM s GROUP BY 1, 2")
 def risk_by_type(spark, sf):
-    return ins.risk_by(ins.risk_scores(view(spark, sf, "findings")), "survey_id", "class").select("survey_id", "class", "defects", "max_risk", *r4("mean_risk"))
+    return ins.risk_by(ins.risk_scores(view(spark, sf, "findings")), "survey_id", "class").select("survey_id", "class", "defects", "max_risk", *r4("mean_risk", n=8))
 
 
 @query("merge_observations", DEF + f""",
@@ -198,13 +198,13 @@ def gcp_residuals(spark, sf):
 
 
 @query("control_accuracy", GCP1 + """
-SELECT survey_id, CAST(count(*) AS BIGINT) AS used, round(sqrt(avg(total * total)), 5) AS rmse_m, round(sqrt(avg(hor * hor)), 5) AS horizontal_rmse_m, round(sqrt(avg((cz - z) * (cz - z))), 5) AS vertical_rmse_m,
-       round(max(total), 5) AS max_residual_m, CAST(count(*) FILTER (WHERE total > 0.5) AS BIGINT) AS outliers, CAST(count(*) FILTER (WHERE marks = 0) AS BIGINT) AS unmarked,
+SELECT survey_id, CAST(count(*) AS BIGINT) AS used, round(sqrt(avg(total * total)), 8) AS rmse_m, round(sqrt(avg(hor * hor)), 8) AS horizontal_rmse_m, round(sqrt(avg((cz - z) * (cz - z))), 8) AS vertical_rmse_m,
+       round(max(total), 8) AS max_residual_m, CAST(count(*) FILTER (WHERE total > 0.5) AS BIGINT) AS outliers, CAST(count(*) FILTER (WHERE marks = 0) AS BIGINT) AS unmarked,
        CAST(count(*) FILTER (WHERE marks IN (1, 2)) AS BIGINT) AS thin, CAST(sqrt(avg(total * total)) <= 0.05 AS INT) AS survey_grade FROM r GROUP BY 1""")
 def control_accuracy(spark, sf):
     s, c = gcp_tables(spark, sf)
     d = ins.control_accuracy(ins.gcp_residuals(s, c, ["survey_id"]), s, ["survey_id"])
-    return d.select("survey_id", "used", *r4("rmse_m", "horizontal_rmse_m", "vertical_rmse_m", "max_residual_m", n=5), "outliers", "unmarked", "thin", F.col("survey_grade").cast("int").alias("survey_grade"))
+    return d.select("survey_id", "used", *r4("rmse_m", "horizontal_rmse_m", "vertical_rmse_m", "max_residual_m", n=8), "outliers", "unmarked", "thin", F.col("survey_grade").cast("int").alias("survey_grade"))
 
 
 POS = cte("camera_events") + """,
