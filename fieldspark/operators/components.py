@@ -130,7 +130,7 @@ def label_regions(cells: DataFrame, keys: list[str], connectivity: int, *, row:
 
     local = cut(at.groupBy(*gkeys).applyInPandas(one, schema))
     # contacts across tile borders: only cells on a border take part
-    on_edge = ((F.col("_r") % tile).isin(0, tile - 1)) | ((F.col("_c") % tile).isin(0, tile - 1))
+    on_edge = F.pmod("_r", F.lit(tile)).isin(0, tile - 1) | F.pmod("_c", F.lit(tile)).isin(0, tile - 1)
     rim = local.where(on_edge)
     steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if connectivity == 8 else [])
     there = rim.withColumn("_d", F.explode(F.array(*[F.struct(F.lit(a).alias("r"), F.lit(b).alias("c")) for a, b in steps])))

@@ -88,7 +88,7 @@ def fill_sinks(cells: DataFrame, keys: list[str], value: str, *, tile: int = TIL
     cell = flooded.where("kind = 'cell'")
     inner = flooded.where("kind = 'pass'").select(*keys, "u", "v", "level")
     # neighbouring rim cells of two tiles pass water at the higher of their elevations
-    rim = marked.where((F.col("_r") % tile).isin(0, tile - 1) | (F.col("_c") % tile).isin(0, tile - 1))
+    rim = marked.where(F.pmod("_r", F.lit(tile)).isin(0, tile - 1) | F.pmod("_c", F.lit(tile)).isin(0, tile - 1))
     rim = rim.select(*at, "_z", F.when(F.col("_out"), F.lit(OUTLET).cast("long")).otherwise(F.col("_r") * 2**31 + F.col("_c")).alias("n"), "_tr", "_tc")
     step = rim.withColumn("_d", F.explode(F.array(F.struct(F.lit(0).alias("r"), F.lit(1).alias("c")), F.struct(F.lit(1).alias("r"), F.lit(0).alias("c")))))
     step = step.select(*keys, (F.col("_r") + F.col("_d.r")).alias("_r"), (F.col("_c") + F.col("_d.c")).alias("_c"), F.col("_z").alias("_z2"), F.col("n").alias("n2"), F.col("_tr").alias("_tr2"), F.col("_tc").alias("_tc2"))
@@ -100,8 +100,8 @@ def fill_sinks(cells: DataFrame, keys: list[str], value: str, *, tile: int = TIL
     front = water
     while not front.isEmpty():
         # only nodes whose level just fell can lower their neighbours
-        offer = (front.join(links, (F.col("n") == F.col("u")) & _same(front, links, keys)).where(F.col("v") != OUTLET)
-                 .select(*[front[k] for k in keys], links["v"].alias("n"), F.greatest(front["w"], links["level"]).alias("o")).groupBy(*keys, "n").agg(F.min("o").alias("o")))
+        offer = (front.join(links.withColumnRenamed("u", "n"), keys + ["n"]).where(F.col("v") != OUTLET)
+                 .groupBy(*keys, F.col("v").alias("n")).agg(F.min(F.greatest("w", "level")).alias("o")))
         front = cut(offer.join(water, keys + ["n"], "left").where(F.col("w").isNull() | (F.col("o") < F.col("w"))).select(*keys, "n", F.col("o").alias("w")))
         water = cut(water.unionByName(front).groupBy(*keys, "n").agg(F.min("w").alias("w")))
     out = cell.join(water.withColumnRenamed("n", "u"), keys + ["u"], "left").select(
@@ -110,13 +110,6 @@ def fill_sinks(cells: DataFrame, keys: list[str], value: str, *, tile: int = TIL
     return cells.alias("a").join(out.alias("b"), key("a", "b"), "left").select("a.*", "b.filled")
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    same = F.lit(True)
-    for k in keys:
-        same = same & (a[k] == b[k])
-    return same
-
-
 def ponding_regions(cells: DataFrame, keys: list[str], value: str, cell_area: Column | float, vertical_accuracy_m: float | None, *, min_cells: int = MIN_REGION_CELLS,
                     tile: int = TILE) -> DataFrame:
     """Closed depressions deeper than twice the vertical accuracy, which has no default."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldspark.operators.components import label_regions
 from fieldspark.operators.ordered import join_side, quantiles
+from fieldspark.session import cut
 
 # Fixed values that decide the results.
 HOTSPOT_C, HOTSPOT_PERCENTILE, HOTSPOT_MIN_CELLS = 65.0, 0.992, 60
@@ -74,7 +75,7 @@ def hotspot_frames(cells: DataFrame, keys: list[str], value: str, *, threshold:
     base = cells.groupBy(*keys).agg(F.max(value).alias("max_c"), F.avg(value).alias("mean_c"))
     limit = quantiles(cells, keys, value, {"_q": HOTSPOT_PERCENTILE}).select(*keys, F.greatest(F.lit(float(threshold)), F.col("_q")).alias("threshold_c"))
     hot = join_side(cells.where(F.col(value) >= threshold).select(*keys, "row_idx", "col_idx", F.col(value).alias("_v")), limit, keys).where(F.col("_v") >= F.col("threshold_c"))
-    spots = label_regions(hot, keys, 8).groupBy(*keys, "region").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_cells)
+    spots = label_regions(cut(hot), keys, 8).groupBy(*keys, "region").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_cells)
     per = spots.groupBy(*keys).agg(F.count(F.lit(1)).alias("hotspots"), F.sum("_n").alias("hotspot_cells"))
     return base.join(limit, keys).join(per, keys, "left").na.fill(0, ["hotspots", "hotspot_cells"])
 
@@ -108,6 +109,7 @@ def anomaly_scores(pixels: DataFrame, baseline: DataFrame, cell: list[str], keys
 
 def anomaly_candidates(scores: DataFrame, keys: list[str], cell_area: Column | float, *, threshold: float = ANOMALY_SIGMA, min_area_m2: float = ANOMALY_MIN_AREA_M2) -> DataFrame:
     """Eight-connected regions of cells at or over the threshold, with their largest and mean score."""
-    lab = label_regions(scores.where(F.col("score") >= threshold), keys, 8).withColumn("_a", F.lit(cell_area))
+    # scoring is costly: settle the few candidate cells before they are labelled
+    lab = label_regions(cut(scores.where(F.col("score") >= threshold)), keys, 8).withColumn("_a", F.lit(cell_area))
     return (lab.groupBy(*keys, "region").agg(F.count(F.lit(1)).alias("cell_count"), F.sum("_a").alias("area_m2"), F.max("score").alias("max_score"), F.avg("score").alias("mean_score"))
             .where(F.col("area_m2") >= min_area_m2))

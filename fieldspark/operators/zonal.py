@@ -44,10 +44,10 @@ def associate_findings(findings: DataFrame, inventory: DataFrame, keys: list[str
             .withColumn("association", F.when(F.col("_known"), "associated").otherwise("review_candidate")).drop("_known"))
 
 
-def module_arrays(cells: DataFrame, keys: list[str], instance: str, join_cells: int) -> DataFrame:
-    """Array group of each module: instances whose cells join once grown by ``join_cells`` (cross-shaped steps)."""
+def module_arrays(cells: DataFrame, keys: list[str], instance: str, join_cells: int, height: int, width: int) -> DataFrame:
+    """Array group of each module: instances whose cells join once grown by ``join_cells`` cross-shaped steps inside the raster."""
     occupied = cells.where(F.col(instance) > 0)
-    grown = dilate(occupied, keys, join_cells)
+    grown = dilate(occupied, keys, join_cells).where(F.col("row_idx").between(0, height - 1) & F.col("col_idx").between(0, width - 1))
     lab = label_regions(grown, keys, 8)
     at = keys + ["row_idx", "col_idx"]
     return (occupied.join(lab.select(*at, "region"), at).groupBy(*keys, instance).agg(F.min("region").alias("array_id")))

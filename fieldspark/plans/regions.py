@@ -85,22 +85,22 @@ def hotspot_frames(spark, sf):
     return d.select("survey_id", *r4("threshold_c"), "max_c", *r4("mean_c"), "hotspots", "hotspot_cells")
 
 
-@query("module_arrays", CELLS + labels("SELECT DISTINCT survey_id, '' AS part, row_idx + dr AS row_idx, col_idx + dc AS col_idx FROM cells, (VALUES (0,0),(0,1),(0,-1),(1,0),(-1,0)) d(dr, dc) WHERE instance_id > 0 AND instance_id = 7", 8)
+@query("module_arrays", CELLS + labels("SELECT DISTINCT survey_id, '' AS part, row_idx + dr AS row_idx, col_idx + dc AS col_idx FROM cells, (VALUES (0,0),(0,1),(0,-1),(1,0),(-1,0)) d(dr, dc) WHERE instance_id = 7 AND row_idx + dr BETWEEN 0 AND 63 AND col_idx + dc BETWEEN 0 AND 63", 8)
        + "SELECT c.survey_id, c.instance_id, CAST(min(lab.region) AS BIGINT) AS array_id FROM cells c JOIN lab ON lab.survey_id = c.survey_id AND lab.row_idx = c.row_idx AND lab.col_idx = c.col_idx WHERE c.instance_id = 7 GROUP BY 1, 2")
 def module_arrays(spark, sf):
-    return zonal.module_arrays(view(spark, sf, "cells").where("instance_id = 7"), KEY, "instance_id", 1).select("survey_id", "instance_id", "array_id")
+    return zonal.module_arrays(view(spark, sf, "cells").where("instance_id = 7"), KEY, "instance_id", 1, 64, 64).select("survey_id", "instance_id", "array_id")
 
 
 FLOOD = cte("cells") + """,
 k AS MATERIALIZED (SELECT survey_id, row_idx, col_idx, z_t1 AS z, row_idx::BIGINT * 2147483648 + col_idx AS id FROM cells WHERE z_t1 IS NOT NULL),
-adj AS MATERIALIZED (SELECT a.survey_id, a.id AS u, b.id AS v, b.z AS z FROM (SELECT *, row_idx + dr AS r2, col_idx + dc AS c2 FROM k, (VALUES (0,1),(0,-1),(1,0),(-1,0)) d(dr, dc)) a
+fadj AS MATERIALIZED (SELECT a.survey_id, a.id AS u, b.id AS v, b.z AS z FROM (SELECT *, row_idx + dr AS r2, col_idx + dc AS c2 FROM k, (VALUES (0,1),(0,-1),(1,0),(-1,0)) d(dr, dc)) a
   JOIN k b ON a.survey_id = b.survey_id AND b.row_idx = a.r2 AND b.col_idx = a.c2),
-deg AS (SELECT survey_id, v, count(*) AS n FROM adj GROUP BY 1, 2),
+deg AS (SELECT survey_id, v, count(*) AS n FROM fadj GROUP BY 1, 2),
 f(survey_id, id, w) USING KEY (survey_id, id) AS (
   SELECT k.survey_id, k.id, CASE WHEN coalesce(deg.n, 0) < 4 THEN z ELSE 1e18 END FROM k LEFT JOIN deg ON deg.survey_id = k.survey_id AND deg.v = k.id
   UNION
-  (SELECT adj.survey_id, adj.v, min(greatest(f.w, adj.z)) FROM f JOIN adj ON adj.survey_id = f.survey_id AND adj.u = f.id JOIN recurring.f r ON r.survey_id = adj.survey_id AND r.id = adj.v
-   WHERE greatest(f.w, adj.z) < r.w GROUP BY 1, 2)),
+  (SELECT fadj.survey_id, fadj.v, min(greatest(f.w, fadj.z)) FROM f JOIN fadj ON fadj.survey_id = f.survey_id AND fadj.u = f.id JOIN recurring.f r ON r.survey_id = fadj.survey_id AND r.id = fadj.v
+   WHERE greatest(f.w, fadj.z) < r.w GROUP BY 1, 2)),
 filled AS MATERIALIZED (SELECT k.*, f.w FROM k JOIN f USING (survey_id, id))"""
 
 
@@ -143,10 +143,10 @@ def points_in_polygons(spark, sf):
     return spatial.points_in_polygons(p, zone_rings(spark, sf, False), [], 8.0, row_key=["p_partkey"]).select("p_partkey", "zone_id")
 
 
-SEGD = "sqrt(pow(px - (ax + t * (bx - ax)), 2) + pow(py - (ay + t * (by - ay)), 2))"
+SEGD = "sqrt(pow(px - (ax + t * (qx - ax)), 2) + pow(py - (ay + t * (qy - ay)), 2))"
 CLEAR = cte("zones") + f""", p AS (SELECT p_partkey, (p_partkey * 37 % 640) / 10.0::DOUBLE + 0.03::DOUBLE AS px, (p_partkey * 53 % 640) / 10.0::DOUBLE + 0.03::DOUBLE AS py FROM part),
-s AS (SELECT zone_id, x0 AS ax, y0 AS ay, x1 AS bx, y0 AS by FROM zones UNION ALL SELECT zone_id, x1, y0, x1, y1 FROM zones UNION ALL SELECT zone_id, x1, y1, x0, y1 FROM zones),
-d AS (SELECT *, least(1, greatest(0, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / ((bx - ax) * (bx - ax) + (by - ay) * (by - ay)))) AS t FROM p, s),
+s AS (SELECT zone_id, x0 AS ax, y0 AS ay, x1 AS qx, y0 AS qy FROM zones UNION ALL SELECT zone_id, x1, y0, x1, y1 FROM zones UNION ALL SELECT zone_id, x1, y1, x0, y1 FROM zones),
+d AS (SELECT *, least(1, greatest(0, ((px - ax) * (qx - ax) + (py - ay) * (qy - ay)) / ((qx - ax) * (qx - ax) + (qy - ay) * (qy - ay)))) AS t FROM p, s),
 m AS (SELECT p_partkey, zone_id, min({SEGD}) AS dist FROM d GROUP BY 1, 2)"""
 
 
