@@ -25,7 +25,8 @@ def col(c: Column | str | float) -> Column:
 def haversine_m(lat1, lon1, lat2, lon2, radius: float = EARTH_RADIUS_MEAN_M) -> Column:
     a1, o1, a2, o2 = (F.radians(col(c)) for c in (lat1, lon1, lat2, lon2))
     s = F.pow(F.sin((a2 - a1) / 2), 2) + F.cos(a1) * F.cos(a2) * F.pow(F.sin((o2 - o1) / 2), 2)
-    return F.lit(2 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(s)))
+    # a null position must stay null: least() would skip it
+    return F.lit(2 * radius) * F.asin(F.when(s > 1.0, F.lit(1.0)).otherwise(F.sqrt(s)))
 
 
 def utm_zone(lat, lon) -> Column:
@@ -100,7 +101,8 @@ def utm_to_lonlat(easting, northing, epsg) -> Column:
 
 
 def mercator_tile(lon, lat, zoom) -> Column:
-    lat = F.greatest(F.lit(-MERCATOR_MAX_LAT), F.least(F.lit(MERCATOR_MAX_LAT), col(lat)))
+    lat = col(lat)
+    lat = F.when(lat > MERCATOR_MAX_LAT, F.lit(MERCATOR_MAX_LAT)).when(lat < -MERCATOR_MAX_LAT, F.lit(-MERCATOR_MAX_LAT)).otherwise(lat)
     n = F.pow(F.lit(2.0), col(zoom))
     x = ((col(lon) + 180.0) / 360.0 * n).cast("long")
     y = ((1.0 - F.asinh(F.tan(F.radians(lat))) / math.pi) / 2.0 * n).cast("long")

@@ -16,7 +16,8 @@ DEFAULT_LEAP_SECONDS = 18
 
 
 def clip(value: Column, lo: float, hi: float) -> Column:
-    return F.least(F.lit(hi), F.greatest(F.lit(lo), value))
+    """Value within bounds; null stays null."""
+    return F.when(value > hi, F.lit(float(hi))).when(value < lo, F.lit(float(lo))).otherwise(value)
 
 
 def gps_to_utc(week, seconds, leap: int = DEFAULT_LEAP_SECONDS) -> Column:

@@ -8,7 +8,7 @@ from fieldspark.operators import asof, capture
 from fieldspark.plans.adapters import cte, view
 from fieldspark.plans.registry import query
 
-HAV = "2 * {r} * asin(least(1.0, sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2))))"
+HAV = "2 * {r} * asin(sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2)))"
 
 
 def hav(a: str, b: str, r: float = 6371008.8) -> str:

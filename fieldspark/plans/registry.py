@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     import importlib
-    for module in ("surveys", "captures", "rasters", "regions", "flights", "inspections", "corpora", "fleets", "expressions", "files", "streams"):
+    for module in ("captures", "rasters", "regions", "flights", "inspections", "corpora", "fleets", "expressions", "files", "streams"):
         try:
             importlib.import_module(f"fieldspark.plans.{module}")
         except ModuleNotFoundError as err:
