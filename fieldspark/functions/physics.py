@@ -21,7 +21,7 @@ def clip(value: Column, lo: float, hi: float) -> Column:
 
 
 def gps_to_utc(week, seconds, leap: int = DEFAULT_LEAP_SECONDS) -> Column:
-    whole = F.lit(GPS_EPOCH_SECONDS) + col(week) * 604800 - leap
+    whole = F.lit(GPS_EPOCH_SECONDS) + col(week).cast("long") * 604800 - leap
     return F.timestamp_micros((whole * 1_000_000 + F.round(col(seconds) * 1_000_000)).cast("long"))
 
 

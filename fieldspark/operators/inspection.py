@@ -189,10 +189,10 @@ def image_qa_flags(images: DataFrame) -> DataFrame:
 
 
 def survey_quality_flags(images: DataFrame) -> DataFrame:
-    """Survey profile: ``sharpness, lens_ratio, motion, clip_ratio``."""
+    """Survey profile: ``sharpness, lens_ratio, motion, dark_clip, bright_clip``."""
     c = F.col
-    flags = F.array_compact(F.array(F.when(c("sharpness") < 120, "blur"), F.when(c("lens_ratio") < 0.5, "lens"),
-                                    F.when((c("motion") > 0.45) & (c("sharpness") < 168), "motion"), F.when(c("clip_ratio") > 0.12, "exposure")))
+    flags = F.array_compact(F.array(F.when(c("sharpness") < 120, "blur"), F.when(c("lens_ratio") < 0.5, "lens_blur"), F.when((c("motion") > 0.45) & (c("sharpness") < 168), "motion_blur"),
+                                    F.when(c("dark_clip") > 0.12, "under_exposed"), F.when(c("bright_clip") > 0.12, "over_exposed")))
     return images.withColumn("qa_flags", flags).withColumn("quality_ok", F.size("qa_flags") == 0)
 
 

@@ -139,7 +139,7 @@ CASE WHEN page_id % 3 = 1 AND page_id % 4 = 2 THEN 'unknown_region' WHEN page_id
 def index_tiles(spark, sf):
     p = table(spark, sf, "pages")
     img = F.expr("'data/' || CASE page_id % 3 WHEN 0 THEN 'accra' WHEN 1 THEN 'x' ELSE 'lima' END || '/images/' || CASE page_id % 4 WHEN 0 THEN 'abancay_' WHEN 1 THEN 'aba' WHEN 2 THEN 'chiclayo' ELSE 'aba_' END || CAST(page_id AS STRING) || '.tif'")
-    files = p.select(img.alias("path")).unionByName(p.where("page_id % 5 <> 0").select(F.regexp_replace(F.regexp_replace(img, "/images/", "/labels/"), "\\.tif$", ".png").alias("path")))
+    files = p.select(img.alias("path")).unionByName(p.select(F.regexp_replace(F.regexp_replace(img, "/images/", F.when(F.col("page_id") % 5 == 0, F.lit("/old_labels/")).otherwise(F.lit("/labels/"))), "\\.tif$", ".png").alias("path")))
     regions = spark.createDataFrame([("Accra", "Accra", "a"), ("Lima", "Lima", "b"), ("Abancay", "Abancay", "c"), ("Aba", "Aba", "d")], "alias string, region string, license string")
     return readers.index_tiles(files, regions).select("path", "region", "status")
 

@@ -106,10 +106,11 @@ def image_qa_flags(spark, sf):
     return ins.image_qa_flags(view(spark, sf, "images")).select("image_id", F.array_join("qa_flags", ",").alias("qa_flags"))
 
 
-@query("survey_quality_flags", IMG + """SELECT image_id, concat_ws(',', CASE WHEN sharpness < 120 THEN 'blur' END, CASE WHEN dark_ratio * 5 < 0.5 THEN 'lens' END,
-CASE WHEN bright_ratio * 6 > 0.45 AND sharpness < 168 THEN 'motion' END, CASE WHEN bright_ratio > 0.12 THEN 'exposure' END) AS qa_flags FROM images""")
+@query("survey_quality_flags", IMG + """SELECT image_id, concat_ws(',', CASE WHEN sharpness < 120 THEN 'blur' END, CASE WHEN dark_ratio * 5 < 0.5 THEN 'lens_blur' END,
+CASE WHEN bright_ratio * 6 > 0.45 AND sharpness < 168 THEN 'motion_blur' END, CASE WHEN dark_ratio > 0.12 THEN 'under_exposed' END, CASE WHEN bright_ratio > 0.12 THEN 'over_exposed' END) AS qa_flags FROM images""")
 def survey_quality_flags(spark, sf):
-    im = (view(spark, sf, "images").withColumn("lens_ratio", F.col("dark_ratio") * 5).withColumn("motion", F.col("bright_ratio") * 6).withColumn("clip_ratio", F.col("bright_ratio")))
+    im = (view(spark, sf, "images").withColumn("lens_ratio", F.col("dark_ratio") * 5).withColumn("motion", F.col("bright_ratio") * 6)
+          .withColumnRenamed("dark_ratio", "dark_clip").withColumnRenamed("bright_ratio", "bright_clip"))
     return ins.survey_quality_flags(im).select("image_id", F.array_join("qa_flags", ",").alias("qa_flags"))
 
 
@@ -298,14 +299,16 @@ def review_transition(spark, sf):
     return ins.review_transition(view(spark, sf, "defects_t1"), dec, "defect_id").select("defect_id", "review_state", "severity")
 
 
-@query("provenance_audit", """WITH r AS (SELECT url AS path, md5(html) AS h FROM pages WHERE page_id % 7 <> 0), a AS (SELECT url AS path, md5(CASE WHEN page_id % 5 = 0 THEN html || 'x' ELSE html END) AS h FROM pages WHERE page_id % 11 <> 0)
-SELECT page_id AS path, CASE WHEN page_id % 7 = 0 THEN 'no_provenance' WHEN page_id % 11 = 0 THEN 'missing_artifact' WHEN page_id % 5 = 0 THEN 'modified' ELSE 'verified' END AS state FROM pages
-WHERE NOT (page_id % 7 = 0 AND page_id % 11 = 0)""")
+@query("provenance_audit", """SELECT CAST(page_id AS VARCHAR) AS path, CASE WHEN page_id % 11 = 0 THEN 'missing_artifact' WHEN page_id % 5 = 0 THEN 'modified' ELSE 'verified' END AS state FROM pages
+UNION ALL SELECT 'moved-' || CAST(page_id AS VARCHAR), 'no_provenance' FROM pages WHERE page_id % 11 = 0""")
 def provenance_audit(spark, sf):
+    """Every page is recorded; some were edited since, some were moved."""
     p = table(spark, sf, "pages")
-    recorded = p.withColumn("sha256", F.sha2("html", 256)).where(F.col("page_id") % 7 != 0).select(F.col("page_id").alias("path"), "sha256")
-    actual = p.withColumn("sha256", F.sha2(F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("x"))).otherwise(F.col("html")), 256)).where(F.col("page_id") % 11 != 0)
-    return ins.provenance_audit(recorded, actual.select(F.col("page_id").alias("path"), "sha256"))
+    k = F.col("page_id")
+    recorded = p.select(k.cast("string").alias("path"), F.sha2("html", 256).alias("sha256"))
+    actual = p.select(F.concat(F.when(k % 11 == 0, F.lit("moved-")).otherwise(F.lit("")), k.cast("string")).alias("path"),
+                      F.sha2(F.when(k % 5 == 0, F.concat("html", F.lit("x"))).otherwise(F.col("html")), 256).alias("sha256"))
+    return ins.provenance_audit(recorded, actual)
 
 
 @query("asset_timeline", DEF + """,

@@ -222,10 +222,10 @@ def zones_over_cells(spark, sf):
     return spatial.zones_over_cells(centred(spark, sf), zone_rings(spark, sf), KEY, "zone_id", 8.0, cell_key=["row_idx", "col_idx"]).select("survey_id", "zone_id", "row_idx", "col_idx")
 
 
-@query("missing_modules", ZON + "SELECT survey_id, zone_id FROM zc GROUP BY 1, 2 HAVING count(*) FILTER (WHERE instance_id BETWEEN 1 AND 1) = 0")
+@query("missing_modules", ZON + "SELECT survey_id, zone_id FROM zc GROUP BY 1, 2 HAVING count(*) FILTER (WHERE z_t1 >= 49.5) = 0")
 def missing_modules(spark, sf):
     z = spatial.zones_over_cells(centred(spark, sf), zone_rings(spark, sf), KEY, "zone_id", 8.0, cell_key=["row_idx", "col_idx"])
-    return zonal.missing_modules(z, view(spark, sf, "cells").where("instance_id = 1"), KEY, "zone_id").select("survey_id", "zone_id")
+    return zonal.missing_modules(z, view(spark, sf, "cells").where("z_t1 >= 49.5"), KEY, "zone_id").select("survey_id", "zone_id")
 
 
 @query("associate_findings", CELLS + ", f AS (SELECT p_partkey, CAST(p_size % 4 AS INT) AS survey_id, CAST(p_partkey % 40 AS INT) AS instance_id FROM part) SELECT p_partkey, CASE WHEN (survey_id, instance_id) IN (SELECT survey_id, instance_id FROM cells WHERE instance_id > 0) THEN 'associated' ELSE 'review_candidate' END AS association FROM f")

@@ -136,7 +136,7 @@ def validate_bundle(bundles: dict[str, DataFrame], listing: DataFrame | None = N
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """One row per non-blank line: ``file, line_no, line``. Files of this kind are small; each is read whole."""
-    doc = spark.read.option("wholetext", "true").text(path).withColumn("file", F.input_file_name())
+    doc = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     return (doc.select("file", F.posexplode(F.split(F.regexp_replace("value", "^\\x{FEFF}", ""), "\\r?\\n")).alias("line_no", "line")))
 
 
@@ -200,7 +200,7 @@ def read_camera_events(spark: SparkSession, path: str, leap: int = DEFAULT_LEAP_
 
 def read_base_sessions(spark: SparkSession, path: str) -> DataFrame:
     """Headers of RINEX observation files: label from column 61, body before it."""
-    doc = spark.read.option("wholetext", "true").text(path).withColumn("file", F.input_file_name())
+    doc = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     head = F.substring_index("value", "END OF HEADER", 1)
     doc = doc.select("file", F.col("value").contains("END OF HEADER").alias("_end"), F.split(head, "\\r?\\n").alias("_l"))
 
@@ -289,8 +289,8 @@ def boundary_summary(rings: DataFrame) -> DataFrame:
     from fieldspark.functions.geo import METRES_PER_DEGREE_LAT, METRES_PER_DEGREE_LON, mean_of, shoelace, utm_epsg
     r = F.col("ring")
     out = rings.withColumn("vertices", F.size(r)).withColumn("centroid_lon", mean_of(r, "x")).withColumn("centroid_lat", mean_of(r, "y"))
-    for name, agg, part in (("west", F.array_min, "x"), ("east", F.array_max, "x"), ("south", F.array_min, "y"), ("north", F.array_max, "y")):
-        out = out.withColumn(name, agg(F.transform(r, lambda p, part=part: p[part])))
+    xs, ys = F.transform(r, lambda p: p["x"]), F.transform(r, lambda p: p["y"])
+    out = out.withColumns({"west": F.array_min(xs), "east": F.array_max(xs), "south": F.array_min(ys), "north": F.array_max(ys)})
     sx = F.cos(F.radians(F.col("centroid_lat"))) * METRES_PER_DEGREE_LON
     # measured from the centroid: the same area with less cancellation
     local = F.transform(r, lambda p: F.struct(((p["x"] - F.col("centroid_lon")) * sx).alias("x"), ((p["y"] - F.col("centroid_lat")) * METRES_PER_DEGREE_LAT).alias("y")))
