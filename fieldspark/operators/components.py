@@ -49,6 +49,50 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, round
     return out
 
 
+def grouped_components(edges: DataFrame, keys: list[str], group_edges: int = 2_000_000) -> DataFrame:
+    """``keys, node, component`` of edges ``keys, u, v`` with long ids that are unique per key.
+
+    Keys with a bounded number of edges are settled where they land after one shuffle; larger ones
+    by star contraction.
+    """
+    edges = cut(edges.select(*keys, F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v").distinct())
+    sizes = cut(edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    seen = sizes.agg(F.count_if(F.col("_n") > group_edges).alias("big"), F.sum("_n").alias("n")).first()
+    buckets = max(edges.sparkSession.sparkContext.defaultParallelism, -(-(seen["n"] or 0) // (group_edges // 2 or 1)))
+    crowded = sizes.where(F.col("_n") > group_edges).select(*keys) if seen["big"] else None
+    calm = edges.join(crowded, keys, "left_anti") if crowded is not None else edges
+    schema = edges.withColumnRenamed("u", "node").withColumnRenamed("v", "component").schema
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        group = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), dtype=np.int64)
+        both = np.concatenate([np.stack([group, pdf["u"]], 1), np.stack([group, pdf["v"]], 1)])
+        nodes, inverse = np.unique(both, axis=0, return_inverse=True)
+        inverse = inverse.ravel()
+        u, v = inverse[: len(pdf)], inverse[len(pdf):]
+        root = np.arange(len(nodes))
+        while True:
+            low = np.minimum(root[u], root[v])
+            new = root.copy()
+            np.minimum.at(new, root[u], low)
+            np.minimum.at(new, root[v], low)
+            while not np.array_equal(new, new[new]):
+                new = new[new]
+            if np.array_equal(new, root):
+                break
+            root = new
+        first = pdf.iloc[np.unique(group, return_index=True)[1]]
+        out = first[keys].iloc[nodes[:, 0]].reset_index(drop=True)
+        return out.assign(node=nodes[:, 1], component=nodes[root, 1])
+
+    found = (calm.withColumn("_bucket", F.pmod(F.xxhash64(*keys, F.lit(0)), F.lit(buckets))).groupBy("_bucket").applyInPandas(settle, schema))
+    if crowded is None:
+        return found
+    node = lambda c: F.struct(*keys, F.col(c).alias("id"))
+    big = connected_components(edges.join(crowded, keys, "left_semi").select(node("u").alias("u"), node("v").alias("v")))
+    big = big.select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("node.id").alias("node"), F.col("component.id").alias("component"))
+    return found.unionByName(big)
+
+
 def cluster_points(points: DataFrame, keys: list[str], point_id: str, radius_m: float,
                    earth: float = EARTH_RADIUS_MEAN_M) -> DataFrame:
     """Single-link clusters of lon/lat points: adds ``cluster`` (smallest id of the cluster).
@@ -72,9 +116,7 @@ def cluster_points(points: DataFrame, keys: list[str], point_id: str, radius_m:
     across = (near_pairs(a, b, keys, radius_m, lpos=("_ax", "_ay"), rpos=("_bx", "_by"), earth=earth)
               .where(F.col("_ca") < F.col("_cb")).select(*keys, "u", "v").distinct())
     link = inner.unionByName(across)
-    node = lambda c: F.struct(*keys, F.col(c).alias("id"))
-    found = connected_components(link.select(node("u").alias("u"), node("v").alias("v")))
-    found = found.select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("node.id").alias(point_id), F.col("component.id").alias("cluster"))
+    found = grouped_components(link, keys).select(*keys, F.col("node").alias(point_id), F.col("component").alias("cluster"))
     return points.join(found, keys + [point_id], "left").withColumn("cluster", F.coalesce("cluster", point_id))
 
 
@@ -138,9 +180,8 @@ def label_regions(cells: DataFrame, keys: list[str], connectivity: int, *, row:
                          F.col("_lab").alias("_other"), F.col("_tr").alias("_otr"), F.col("_tc").alias("_otc"))
     touch = (rim.join(there, keys + ["_r", "_c"])
              .where((F.col("_tr") != F.col("_otr")) | (F.col("_tc") != F.col("_otc"))))
-    node = lambda c: F.struct(*keys, F.col(c).alias("lab"))
-    found = connected_components(touch.select(node("_lab").alias("u"), node("_other").alias("v")).distinct())
-    found = found.select(*[F.col(f"node.{k}").alias(k) for k in keys], F.col("node.lab").alias("_lab"), F.col("component.lab").alias("region"))
+    found = grouped_components(touch.select(*keys, F.col("_lab").alias("u"), F.col("_other").alias("v")), keys)
+    found = found.select(*keys, F.col("node").alias("_lab"), F.col("component").alias("region"))
     out = local.join(found, keys + ["_lab"], "left").withColumn("region", F.coalesce("region", "_lab"))
     out = out.select(*keys, F.col("_r").alias(row), F.col("_c").alias(col), "region")
     return cells.join(out, keys + [row, col])

@@ -54,7 +54,7 @@ def flood_tile(z: np.ndarray, outlet: np.ndarray, node: np.ndarray) -> tuple[np.
     return level, source, passes
 
 
-def fill_sinks(cells: DataFrame, keys: list[str], value: str, *, tile: int = TILE) -> DataFrame:
+def fill_sinks(cells: DataFrame, keys: list[str], value: str, *, tile: int = TILE, group_links: int = 2_000_000) -> DataFrame:
     """Cells with ``filled``: the lowest level at which water leaves over the edge or into no data.
 
     Only tiles and their one-cell surroundings are held in a task.
@@ -96,6 +96,54 @@ def fill_sinks(cells: DataFrame, keys: list[str], value: str, *, tile: int = TIL
               .select(*keys, F.least("n", "n2").alias("u"), F.greatest("n", "n2").alias("v"), F.greatest("_z", "_z2").alias("level")))
     links = inner.unionByName(across).groupBy(*keys, "u", "v").agg(F.min("level").alias("level"))
     links = cut(links.unionByName(links.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"), "level")))
+    water = _settle(links, keys, group_links)
+    out = cell.join(water.withColumnRenamed("n", "u"), keys + ["u"], "left").select(
+        *keys, F.col("_r").alias("_fr"), F.col("_c").alias("_fc"), F.greatest(F.col("level"), F.coalesce(F.col("w"), F.col("level"))).alias("filled"))
+    key = lambda a, b: [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.row_idx") == F.col("b._fr"), F.col("a.col_idx") == F.col("b._fc")]
+    return cells.alias("a").join(out.alias("b"), key("a", "b"), "left").select("a.*", "b.filled")
+
+
+def _settle(links: DataFrame, keys: list[str], group_links: int = 2_000_000) -> DataFrame:
+    """Lowest level at which each node drains to the outlet, over links ``keys, u, v, level`` given both ways.
+
+    Bounded groups are settled by one ordered walk each; larger ones in relaxation rounds.
+    """
+    sizes = cut(links.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    seen = sizes.agg(F.count_if(F.col("_n") > group_links).alias("big"), F.sum("_n").alias("n")).first()
+    buckets = max(links.sparkSession.sparkContext.defaultParallelism, -(-(seen["n"] or 0) // (group_links // 2 or 1)))
+    crowded = sizes.where(F.col("_n") > group_links).select(*keys) if seen["big"] else None
+    calm = links.join(crowded, keys, "left_anti") if crowded is not None else links
+    out = calm.select(*keys, F.col("v").alias("n"), F.col("level").alias("w"))
+    names, schema = out.columns, out.schema
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for _, g in pdf.groupby(keys, sort=False, dropna=False):
+            near: dict[int, list] = {}
+            for u, v, h in zip(g["u"], g["v"], g["level"]):
+                near.setdefault(u, []).append((v, h))
+            low, heap = {}, [(h, v) for v, h in near.get(OUTLET, [])]
+            heapq.heapify(heap)
+            while heap:
+                h, n = heapq.heappop(heap)
+                if n in low or n == OUTLET:
+                    continue
+                low[n] = h
+                for v, p in near.get(n, []):
+                    if v not in low:
+                        heapq.heappush(heap, (max(h, p), v))
+            part = pd.DataFrame({"n": list(low), "w": list(low.values())})
+            for k in keys:
+                part[k] = g[k].iloc[0]
+            parts.append(part[names])
+        return pd.concat(parts, ignore_index=True)
+
+    found = calm.withColumn("_bucket", F.pmod(F.xxhash64(*keys, F.lit(0)), F.lit(buckets))).groupBy("_bucket").applyInPandas(walk, schema)
+    return found if crowded is None else found.unionByName(_relax(links.join(crowded, keys, "left_semi"), keys))
+
+
+def _relax(links: DataFrame, keys: list[str]) -> DataFrame:
+    links = cut(links)
     water = cut(links.where(F.col("u") == OUTLET).groupBy(*keys, F.col("v").alias("n")).agg(F.min("level").alias("w")))
     front = water
     while not front.isEmpty():
@@ -104,10 +152,7 @@ def fill_sinks(cells: DataFrame, keys: list[str], value: str, *, tile: int = TIL
                  .groupBy(*keys, F.col("v").alias("n")).agg(F.min(F.greatest("w", "level")).alias("o")))
         front = cut(offer.join(water, keys + ["n"], "left").where(F.col("w").isNull() | (F.col("o") < F.col("w"))).select(*keys, "n", F.col("o").alias("w")))
         water = cut(water.unionByName(front).groupBy(*keys, "n").agg(F.min("w").alias("w")))
-    out = cell.join(water.withColumnRenamed("n", "u"), keys + ["u"], "left").select(
-        *keys, F.col("_r").alias("_fr"), F.col("_c").alias("_fc"), F.greatest(F.col("level"), F.coalesce(F.col("w"), F.col("level"))).alias("filled"))
-    key = lambda a, b: [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.row_idx") == F.col("b._fr"), F.col("a.col_idx") == F.col("b._fc")]
-    return cells.alias("a").join(out.alias("b"), key("a", "b"), "left").select("a.*", "b.filled")
+    return water
 
 
 def ponding_regions(cells: DataFrame, keys: list[str], value: str, cell_area: Column | float, vertical_accuracy_m: float | None, *, min_cells: int = MIN_REGION_CELLS,

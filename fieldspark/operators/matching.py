@@ -41,38 +41,46 @@ def _sites(points: DataFrame, keys: list[str], idx: str, side: str) -> tuple[Dat
                                  F.col("head").alias(f"{side}_head"))
 
 
+def _widest(band: Column) -> Column:
+    """Cosine at the end of a one-degree latitude band that is nearer to the pole."""
+    return F.cos(F.radians(F.least(F.lit(89.5), F.greatest(F.abs(band), F.abs(band + 1)).cast("double"))))
+
+
 def _cells(lon: Column, lat: Column, radius_m: float) -> tuple[Column, Column]:
-    """Cell numbers whose sides are at least ``radius_m`` everywhere in their latitude band."""
+    """Cell numbers whose sides are at least ``radius_m``; the width is the same within a latitude band."""
     step = radius_m * 1.001 / METRES_PER_DEGREE
-    row = F.floor(lat / F.lit(step)).cast("long")
-    # the band decides the width, so neighbours in one band agree; bands are 1 degree plus margin
-    band = F.floor(lat).cast("int")
-    widest = F.cos(F.radians(F.least(F.lit(89.5), F.greatest(F.abs(band), F.abs(band + 1)).cast("double"))))
-    return row, F.floor(lon / (F.lit(step) / widest)).cast("long")
+    return F.floor(lat / F.lit(step)).cast("long"), F.floor(lon / (F.lit(step) / _widest(F.floor(lat).cast("int")))).cast("long")
 
 
 def _neighbour_cells(lon: Column, lat: Column, radius_m: float) -> Column:
-    """All (band, row, col) a point within ``radius_m`` can fall in, across band borders as well.
+    """Keys of all cells a point within ``radius_m`` can fall in, across band borders as well.
 
     Longitudes are not wrapped at the date line.
     """
     step = radius_m * 1.001 / METRES_PER_DEGREE
     row = F.floor(lat / F.lit(step)).cast("long")
-    entries = []
-    for db in (-1, 0, 1):
-        band = F.floor(lat + db * step).cast("int")
-        widest = F.cos(F.radians(F.least(F.lit(89.5), F.greatest(F.abs(band), F.abs(band + 1)).cast("double"))))
-        c = F.floor(lon / (F.lit(step) / widest)).cast("long")
-        entries += [F.struct(band.alias("band"), (row + dy).alias("row"), (c + dx).alias("col"))
-                    for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    return F.array_distinct(F.array(*entries))
+
+    def around(band: Column) -> list[Column]:
+        c = F.floor(lon / (F.lit(step) / _widest(band))).cast("long")
+        return [F.xxhash64(band, row + dy, c + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+
+    own = F.floor(lat).cast("int")
+    below, above = F.floor(lat - step).cast("int"), F.floor(lat + step).cast("int")
+    inside = (below == own) & (above == own)
+    return (F.when(inside, F.array(*around(own)))
+            .otherwise(F.array_distinct(F.array(*around(below), *around(own), *around(above)))))
+
+
+def _cell_key(lon: Column, lat: Column, radius_m: float) -> Column:
+    """One number per cell. Two cells may share one; the distance test settles that."""
+    row, c = _cells(lon, lat, radius_m)
+    return F.xxhash64(F.floor(lat).cast("int"), row, c)
 
 
 def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], radius_m: float, *, lpos: tuple[str, str],
                rpos: tuple[str, str], earth: float = EARTH_RADIUS_MEAN_M) -> DataFrame:
     """All left/right rows of the same key within ``radius_m`` (equi-join on grid cells)."""
-    lrow, lcol = _cells(F.col(lpos[0]), F.col(lpos[1]), radius_m)
-    left = left.withColumn("_cell", F.struct(F.floor(F.col(lpos[1])).cast("int").alias("band"), lrow.alias("row"), lcol.alias("col")))
+    left = left.withColumn("_cell", _cell_key(F.col(lpos[0]), F.col(lpos[1]), radius_m))
     right = right.withColumn("_cell", F.explode(_neighbour_cells(F.col(rpos[0]), F.col(rpos[1]), radius_m)))
     d = haversine_m(F.col(lpos[1]), F.col(lpos[0]), F.col(rpos[1]), F.col(rpos[0]), earth)
     return (left.join(right, keys + ["_cell"], "inner").drop("_cell")
@@ -103,24 +111,29 @@ def match_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], radius_
     """
     placed = F.col("lon").isNotNull() & F.col("lat").isNotNull()
     left, right = left.where(placed).select(*keys, left_id, "lon", "lat"), right.where(placed).select(*keys, right_id, "lon", "lat")
-    bounds = cut(_pair_bound(left, right, keys, radius_m))
+    # row counts alone bound most groups; only the rest are counted cell by cell
+    bounds = cut(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m")), keys)
+                 .select(*keys, (F.col("_n").cast("double") * F.col("_m")).alias("bound")))
     over = F.col("bound") > group_pairs
     seen = bounds.agg(F.count_if(over).alias("big"), F.sum(F.when(~over, F.col("bound"))).alias("pairs")).first()
+    if seen["big"]:
+        wide = bounds.where(over).select(*keys)
+        tight = _pair_bound(left.join(wide, keys, "left_semi"), right.join(wide, keys, "left_semi"), keys, radius_m)
+        bounds = cut(bounds.where(~over).unionByName(tight))
+        seen = bounds.agg(F.count_if(over).alias("big"), F.sum(F.when(~over, F.col("bound"))).alias("pairs")).first()
     # groups share a bucket of about half the bound, so tiny groups cost no task of their own
     buckets = max(left.sparkSession.sparkContext.defaultParallelism, math.ceil((seen["pairs"] or 0) / (group_pairs / 2)))
     if not seen["big"]:
-        return _scan_groups(left, right, keys, radius_m, left_id, right_id, earth, buckets)
+        return cut(_scan_groups(left, right, keys, radius_m, left_id, right_id, earth, buckets))
     crowded = bounds.where(over).select(*keys)
     calm = _scan_groups(left.join(crowded, keys, "left_anti"), right.join(crowded, keys, "left_anti"), keys, radius_m, left_id, right_id, earth, buckets)
     big = _match_rounds(left.join(crowded, keys, "left_semi"), right.join(crowded, keys, "left_semi"), keys, radius_m, left_id, right_id, earth, crowd)
-    return calm.unionByName(big)
+    return cut(calm.unionByName(big))
 
 
 def _pair_bound(left: DataFrame, right: DataFrame, keys: list[str], radius_m: float) -> DataFrame:
     """Upper bound of the candidate pairs of each key, from counts per grid cell alone."""
-    row, c = _cells(F.col("lon"), F.col("lat"), radius_m)
-    cell = F.struct(F.floor("lat").cast("int").alias("band"), row.alias("row"), c.alias("col"))
-    nl = left.groupBy(*keys, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_nl"))
+    nl = left.groupBy(*keys, _cell_key(F.col("lon"), F.col("lat"), radius_m).alias("_cell")).agg(F.count(F.lit(1)).alias("_nl"))
     nr = (right.withColumn("_cell", F.explode(_neighbour_cells(F.col("lon"), F.col("lat"), radius_m)))
           .groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_nr")))
     return nl.join(nr, keys + ["_cell"]).groupBy(*keys).agg(F.sum(F.col("_nl").cast("double") * F.col("_nr")).alias("bound"))
@@ -225,7 +238,7 @@ def _advance(free: DataFrame, chosen: DataFrame, members: DataFrame, keys: list[
 
 
 def suppress_nearby(items: DataFrame, keys: list[str], radius_m: float, *, priority: str, seq: str,
-                    earth: float = EARTH_RADIUS_MEAN_M) -> DataFrame:
+                    earth: float = EARTH_RADIUS_MEAN_M, group_pairs: int = 2_000_000) -> DataFrame:
     """Greedy suppression by (priority descending, seq): every kept item removes the rest within the radius.
 
     Returns the items with ``kept_by``: the first kept neighbour in priority order (itself when kept).
@@ -236,15 +249,49 @@ def suppress_nearby(items: DataFrame, keys: list[str], radius_m: float, *, prior
     # keep one direction: b outranks a
     near = cut(near_pairs(a, b, keys, radius_m, lpos=("_ax", "_ay"), rpos=("_bx", "_by"), earth=earth)
                .where(F.col("b") < F.col("a")).select(*keys, "a", "b"))
-    # only items with a higher-ranked neighbour are open; all others are kept at once
-    state = cut(a.select(*keys, "a"))
+    sizes = cut(near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    seen = sizes.agg(F.count_if(F.col("_n") > group_pairs).alias("big"), F.sum("_n").alias("n")).first()
+    buckets = max(items.sparkSession.sparkContext.defaultParallelism, math.ceil((seen["n"] or 0) / (group_pairs / 2)))
+    if not seen["big"]:
+        owner = _scan_suppression(near, keys, buckets)
+    else:
+        crowded = sizes.where(F.col("_n") > group_pairs).select(*keys)
+        owner = _scan_suppression(near.join(crowded, keys, "left_anti"), keys, buckets).unionByName(
+            _suppression_rounds(near.join(crowded, keys, "left_semi"), keys))
+    out = items.withColumn("a", F.struct((-F.col(priority)).alias("np"), F.col(seq).alias("s"))).join(owner, keys + ["a"], "left")
+    return out.withColumn("kept", F.col("_o").isNull()).withColumn("kept_by", F.coalesce(F.col("_o.s"), F.col(seq))).drop("a", "_o")
+
+
+def _scan_suppression(near: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """Owner of every suppressed item of bounded groups: one ordered scan of their neighbour pairs."""
+    flat = near.select(*keys, F.col("a.np").alias("_ap"), F.col("a.s").alias("_as"), F.col("b.np").alias("_bp"), F.col("b.s").alias("_bs"))
+    names, schema = flat.columns, flat.schema
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        group = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        ap, as_, bp, bs = (pdf[c].to_numpy() for c in ("_ap", "_as", "_bp", "_bs"))
+        gone, pick = set(), []
+        # by item in rank order, then by its neighbours in rank order
+        for i in np.lexsort((bs, bp, as_, ap, group)):
+            item = (group[i], as_[i])
+            if item not in gone and (group[i], bs[i]) not in gone:
+                gone.add(item)
+                pick.append(i)
+        return pdf.iloc[pick][names]
+
+    out = flat.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy("_bucket").applyInPandas(scan, schema)
+    return out.select(*keys, F.struct(F.col("_ap").alias("np"), F.col("_as").alias("s")).alias("a"), F.struct(F.col("_bp").alias("np"), F.col("_bs").alias("s")).alias("_o"))
+
+
+def _suppression_rounds(near: DataFrame, keys: list[str]) -> DataFrame:
+    """The same in distributed rounds: an item with no open higher-ranked neighbour is kept and removes the rest."""
+    state = cut(near.select(*keys, "a").unionByName(near.select(*keys, F.col("b").alias("a"))).distinct())
     links, kept_all, rounds = near, [], 0
     while not state.isEmpty():
         rounds += 1
         if rounds > MAX_ROUNDS:
             raise RuntimeError("suppression did not settle")
-        blocked = links.select(*keys, "a").distinct()
-        kept = cut(state.join(blocked, keys + ["a"], "left_anti"))
+        kept = cut(state.join(links.select(*keys, "a").distinct(), keys + ["a"], "left_anti"))
         kept_all.append(kept)
         gone = near.join(kept.withColumnRenamed("a", "b"), keys + ["b"], "left_semi").select(*keys, "a").distinct()
         state = cut(state.join(kept, keys + ["a"], "left_anti").join(gone, keys + ["a"], "left_anti"))
@@ -252,13 +299,7 @@ def suppress_nearby(items: DataFrame, keys: list[str], radius_m: float, *, prior
     kept = kept_all[0]
     for more in kept_all[1:]:
         kept = kept.unionByName(more)
-    owner = (near.join(kept.withColumnRenamed("a", "b"), keys + ["b"], "left_semi")
-             .groupBy(*keys, "a").agg(F.min("b").alias("_o")))
-    mark = kept.withColumn("_k", F.lit(True))
-    out = (items.withColumn("a", F.struct((-F.col(priority)).alias("np"), F.col(seq).alias("s")))
-           .join(mark, keys + ["a"], "left").join(owner, keys + ["a"], "left"))
-    return out.withColumn("kept", F.coalesce("_k", F.lit(False))).withColumn(
-        "kept_by", F.when(F.col("kept"), F.col(seq)).otherwise(F.col("_o.s"))).drop("a", "_k", "_o")
+    return near.join(kept.withColumnRenamed("a", "b"), keys + ["b"], "left_semi").groupBy(*keys, "a").agg(F.min("b").alias("_o"))
 
 
 def merge_suppressed(marked: DataFrame, keys: list[str], *, priority: str, seq: str, reasons: str, max_items: int) -> DataFrame:

@@ -67,10 +67,6 @@ SELECT CAST(l_suppkey % 4 AS INT) AS survey_id, CAST(l_orderkey % 64 AS INT) AS
        CAST(MAX(l_orderkey + l_partkey) % 6 AS INT) AS class_id, CAST(MIN(l_orderkey + l_partkey) % 6 AS INT) AS guess_id,
        CAST(MAX(l_partkey) % 25 AS INT) AS instance_id
 FROM lineitem GROUP BY CAST(l_suppkey % 4 AS INT), CAST(l_orderkey % 64 AS INT), CAST(l_partkey % 64 AS INT)""",
-    "mosaic": """
-SELECT CAST(l_linenumber AS INT) AS survey_id, CAST(l_orderkey % 997 AS INT) AS row_idx, CAST(l_partkey % 499 AS INT) AS col_idx,
-       CAST(MAX(l_quantity) AS DOUBLE) AS z, CAST(MIN(l_quantity) AS DOUBLE) AS z_low
-FROM lineitem GROUP BY CAST(l_linenumber AS INT), CAST(l_orderkey % 997 AS INT), CAST(l_partkey % 499 AS INT)""",
     "runs": """
 SELECT o_custkey AS asset_id, o_orderkey AS run_seq, CAST(o_orderdate AS TIMESTAMP) AS run_utc, CAST(o_orderkey % 100 AS DOUBLE) AS integrity_score,
        CAST(100 - o_orderkey % 100 AS DOUBLE) AS severity_index

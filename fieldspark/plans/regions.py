@@ -85,11 +85,11 @@ def hotspot_frames(spark, sf):
     return d.select("survey_id", *r4("threshold_c"), "max_c", *r4("mean_c"), "hotspots", "hotspot_cells")
 
 
-@query("module_arrays", cte("mosaic") + labels("SELECT DISTINCT survey_id, '' AS part, row_idx + dr AS row_idx, col_idx + dc AS col_idx FROM mosaic, (VALUES (0,0),(0,1),(0,-1),(1,0),(-1,0)) d(dr, dc) WHERE row_idx + dr BETWEEN 0 AND 996 AND col_idx + dc BETWEEN 0 AND 498", 8)
-       + "SELECT c.survey_id, c.row_idx * 499 + c.col_idx AS module_id, CAST(lab.region AS BIGINT) AS array_id FROM mosaic c JOIN lab ON lab.survey_id = c.survey_id AND lab.row_idx = c.row_idx AND lab.col_idx = c.col_idx WHERE c.row_idx * 499 + c.col_idx > 0")
+@query("module_arrays", CELLS + labels("SELECT DISTINCT survey_id, '' AS part, row_idx + dr AS row_idx, col_idx + dc AS col_idx FROM cells, (VALUES (0,0),(0,1),(0,-1),(1,0),(-1,0)) d(dr, dc) WHERE class_id = 2 AND row_idx + dr BETWEEN 0 AND 63 AND col_idx + dc BETWEEN 0 AND 63", 8)
+       + "SELECT c.survey_id, c.row_idx * 64 + c.col_idx + 1 AS module_id, CAST(lab.region AS BIGINT) AS array_id FROM cells c JOIN lab ON lab.survey_id = c.survey_id AND lab.row_idx = c.row_idx AND lab.col_idx = c.col_idx WHERE c.class_id = 2")
 def module_arrays(spark, sf):
-    m = view(spark, sf, "mosaic").withColumn("module_id", F.col("row_idx") * 499 + F.col("col_idx"))
-    return zonal.module_arrays(m, KEY, "module_id", 1, 997, 499).select("survey_id", "module_id", "array_id")
+    m = view(spark, sf, "cells").where("class_id = 2").withColumn("module_id", F.col("row_idx") * 64 + F.col("col_idx") + 1)
+    return zonal.module_arrays(m, KEY, "module_id", 1, 64, 64).select("survey_id", "module_id", "array_id")
 
 
 FLOOD = cte("cells") + """,

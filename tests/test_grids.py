@@ -90,6 +90,19 @@ def test_regions_cross_tiles(spark, conn):
     assert got == labels(mask, conn)
 
 
+@pytest.mark.parametrize("bound", [0, 2_000_000])
+def test_grouped_components(spark, bound):
+    rng = np.random.default_rng(5)
+    e = [("ab"[int(k)], int(u), int(v)) for k, u, v in zip(rng.integers(0, 2, 80), rng.integers(0, 60, 80), rng.integers(0, 60, 80))]
+    got = {(r["g"], r["node"]): r["component"] for r in c.grouped_components(spark.createDataFrame(e, "g string, u long, v long"), ["g"], bound).collect()}
+    low = {(g, x): x for g, u, v in e if u != v for x in (u, v)}
+    for _ in range(80):
+        for g, u, v in e:
+            if u != v:
+                low[(g, u)] = low[(g, v)] = min(low[(g, u)], low[(g, v)])
+    assert got == low
+
+
 def test_long_chain_of_edges(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "u long, v long")
     got = {r["node"]: r["component"] for r in c.connected_components(edges).collect()}
@@ -126,12 +139,13 @@ def sweep(z):
         f = n
 
 
-def test_fill_equals_sweep_across_tiles(spark):
+@pytest.mark.parametrize("bound", [0, 2_000_000])
+def test_fill_equals_sweep_across_tiles(spark, bound):
     rng = np.random.default_rng(8)
     z = np.round(rng.random((64, 64)) * 10, 1)
     z[rng.random(z.shape) < 0.03] = np.nan
     want = sweep(z)
-    got = h.fill_sinks(cells(spark, z), K, "value", tile=16).where("value IS NOT NULL").collect()
+    got = h.fill_sinks(cells(spark, z), K, "value", tile=16, group_links=bound).where("value IS NOT NULL").collect()
     assert all(r["filled"] == want[r["row_idx"], r["col_idx"]] for r in got) and len(got) == np.isfinite(z).sum()
 
 

@@ -68,11 +68,12 @@ def test_across_latitude_bands(spark):
     assert len(pairs_of(m.match_one_to_one(a, b, ["g"], 15.0, left_id="idx", right_id="image_seq"))) == 5
 
 
-def test_suppression_equals_greedy(spark):
+@pytest.mark.parametrize("bound", [0, 2_000_000])
+def test_suppression_equals_greedy(spark, bound):
     rng = random.Random(9)
     items = [("a", i, float(rng.randrange(5)), -81 + rng.random() * 2e-4, 41 + rng.random() * 2e-4) for i in range(60)]
     df = spark.createDataFrame(items, "g string, seq long, p double, lon double, lat double")
-    got = {r["seq"]: r["kept_by"] for r in m.suppress_nearby(df, ["g"], 5.0, priority="p", seq="seq").collect()}
+    got = {r["seq"]: r["kept_by"] for r in m.suppress_nearby(df, ["g"], 5.0, priority="p", seq="seq", group_pairs=bound).collect()}
     kept, want = [], {}
     for _, i, p, x, y in sorted(items, key=lambda t: (-t[2], t[1])):
         owner = next((k for k, kx, ky in kept if hav((x, y), (kx, ky)) <= 5.0), None)
