@@ -122,7 +122,7 @@ def match_one_to_one(left: DataFrame, right: DataFrame, keys: list[str], radius_
         bounds = cut(bounds.where(~over).unionByName(tight))
         seen = bounds.agg(F.count_if(over).alias("big"), F.sum(F.when(~over, F.col("bound"))).alias("pairs")).first()
     # groups share a bucket of about half the bound, so tiny groups cost no task of their own
-    buckets = max(left.sparkSession.sparkContext.defaultParallelism, math.ceil((seen["pairs"] or 0) / (group_pairs / 2)))
+    buckets = max(left.sparkSession.sparkContext.defaultParallelism, math.ceil((seen["pairs"] or 0) / max(1, group_pairs / 2)))
     if not seen["big"]:
         return cut(_scan_groups(left, right, keys, radius_m, left_id, right_id, earth, buckets))
     crowded = bounds.where(over).select(*keys)
@@ -251,7 +251,7 @@ def suppress_nearby(items: DataFrame, keys: list[str], radius_m: float, *, prior
                .where(F.col("b") < F.col("a")).select(*keys, "a", "b"))
     sizes = cut(near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
     seen = sizes.agg(F.count_if(F.col("_n") > group_pairs).alias("big"), F.sum("_n").alias("n")).first()
-    buckets = max(items.sparkSession.sparkContext.defaultParallelism, math.ceil((seen["n"] or 0) / (group_pairs / 2)))
+    buckets = max(items.sparkSession.sparkContext.defaultParallelism, math.ceil((seen["n"] or 0) / max(1, group_pairs / 2)))
     if not seen["big"]:
         owner = _scan_suppression(near, keys, buckets)
     else:
