@@ -310,7 +310,7 @@ def read_voc_boxes(spark: SparkSession, path: str) -> DataFrame:
     x0, x1 = F.greatest(zero, F.least(val("xmin"), val("xmax"))), F.least(w, F.greatest(val("xmin"), val("xmax")))
     y0, y1 = F.greatest(zero, F.least(val("ymin"), val("ymax"))), F.least(h, F.greatest(val("ymin"), val("ymax")))
     ok = b.isNotNull() & (x1 > x0) & (y1 > y0)
-    return o.where(ok).select("file", stem("file").alias("sample_id"), "object_no", F.trim("o.name").alias("class_name"), ((x0 + x1) / 2 / w).alias("cx"), ((y0 + y1) / 2 / h).alias("cy"),
+    return o.where(ok).select("file", "filename", stem("file").alias("sample_id"), "object_no", F.trim("o.name").alias("class_name"), ((x0 + x1) / 2 / w).alias("cx"), ((y0 + y1) / 2 / h).alias("cy"),
                               ((x1 - x0) / w).alias("bw"), ((y1 - y0) / h).alias("bh"))
 
 
