@@ -101,7 +101,6 @@ def cluster_points(points: DataFrame, keys: list[str], point_id: str, radius_m:
     diagonal is within the radius are linked to the cell's smallest id, and only cell pairs are
     compared point by point.
     """
-    from fieldspark.operators.matching import METRES_PER_DEGREE
     # cell diagonal <= radius on the sphere: sides of radius / 1.5 of a degree that is at most 111.4 km
     step = radius_m / 1.5 / 111_400.0
     cell = F.struct(F.floor(F.col("lon") / F.lit(step)).cast("long").alias("cx"), F.floor(F.col("lat") / F.lit(step)).cast("long").alias("cy"))

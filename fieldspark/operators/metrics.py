@@ -29,12 +29,10 @@ def class_scores(matrix: DataFrame, keys: list[str]) -> DataFrame:
 
 def overall_scores(matrix: DataFrame, keys: list[str]) -> DataFrame:
     """Mean IoU over classes that occur, pixel accuracy and scored cells."""
-    c = class_scores(matrix, keys)
-    hit = F.when(F.col("truth") == F.col("guess"), F.col("cells")).otherwise(0)
     if not keys:
-        m = c.agg(F.avg(F.when(F.col("present"), F.col("iou"))).alias("mean_iou"), F.count_if("present").alias("classes_present"))
-        return m.crossJoin(matrix.agg((F.sum(hit) / F.sum("cells")).alias("accuracy"), F.sum("cells").alias("scored")))    # one row each
-    m = c.groupBy(*keys).agg(F.avg(F.when(F.col("present"), F.col("iou"))).alias("mean_iou"), F.count_if("present").alias("classes_present"))
+        return overall_scores(matrix.withColumn("_all", F.lit(1)), ["_all"]).drop("_all")
+    hit = F.when(F.col("truth") == F.col("guess"), F.col("cells")).otherwise(0)
+    m = class_scores(matrix, keys).groupBy(*keys).agg(F.avg(F.when(F.col("present"), F.col("iou"))).alias("mean_iou"), F.count_if("present").alias("classes_present"))
     return m.join(matrix.groupBy(*keys).agg((F.sum(hit) / F.sum("cells")).alias("accuracy"), F.sum("cells").alias("scored")), keys)
 
 

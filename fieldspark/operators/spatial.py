@@ -170,10 +170,18 @@ def sample_bilinear(points: DataFrame, cells: DataFrame, keys: list[str], *, wid
     return points.join(total.select(*keys, *row_key, F.when(F.col("_hole") == 0, F.col("_s")).alias("sample")), keys + row_key, "left")
 
 
+def thin_samples(samples: DataFrame, keys: list[str], order: list[str], chunk: list[Column], limit: int = 20_000) -> DataFrame:
+    """Every ``ceil(n / limit)``-th elevation sample of a site, from the first on (a sampling operator)."""
+    from fieldspark.operators.ordered import join_side, with_row_number
+    step = samples.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(float(limit)))).alias("_step"))
+    rows = join_side(with_row_number(samples, keys, order, chunk, "_at"), step, keys)
+    return rows.where((F.col("_at") - 1) % F.col("_step") == 0).drop("_at", "_step")
+
+
 def idw_at_points(points: DataFrame, samples: DataFrame, keys: list[str], point_id: str, *, minimum: int = 3, d_min: float = 0.25) -> DataFrame:
     """Inverse-distance weighted elevation over all samples of the point's site (metres).
 
-    The sample list of a site is bounded by its loader (20 000 after thinning); both sums are
+    The sample list of a site is bounded by :func:`thin_samples`; both sums are
     partial aggregates, so a site's pairs never meet in one task.
     """
     d = F.greatest(F.hypot(F.col("x") - F.col("_sx"), F.col("y") - F.col("_sy")), F.lit(d_min))

@@ -77,7 +77,7 @@ def read_voc_boxes(spark, sf):
     doc = F.format_string("<annotation><filename>%d.jpg</filename><size><width>200</width><height>100</height></size><object><name>crack</name><bndbox><xmin>%d</xmin><ymin>10</ymin><xmax>%d</xmax><ymax>20</ymax></bndbox></object></annotation>",
                           k, k % 150, k % 150 + 80)
     p.select(doc.alias("value")).write.text(path)
-    b = readers.read_voc_boxes(spark, path)
+    b = readers.read_voc_boxes(spark, path, one_per_line=True)
     return b.select(F.regexp_replace("filename", "\\.jpg$", "").cast("long").alias("id"), "class_name", F.round("cx", 6).alias("cx"), F.round("bw", 6).alias("bw"))
 
 

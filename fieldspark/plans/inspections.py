@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldspark.functions import bands, text
+from fieldspark.functions import bands
 from fieldspark.operators import inspection as ins
 from fieldspark.plans.adapters import cte, table, view
 from fieldspark.plans.captures import hav

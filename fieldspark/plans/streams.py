@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldspark.plans.adapters import ADAPTERS, _SPARK, _spell, cte, table
-from fieldspark.plans.captures import hav
-from fieldspark.plans.flights import FIX, LEGS
+from fieldspark.plans.flights import LEGS
 from fieldspark.plans.registry import query
 from fieldspark.session import scratch
 from fieldspark.streaming import flows

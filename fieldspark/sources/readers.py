@@ -299,10 +299,13 @@ def boundary_summary(rings: DataFrame) -> DataFrame:
 
 # --- labels and tiles ----------------------------------------------------------------------------
 
-def read_voc_boxes(spark: SparkSession, path: str) -> DataFrame:
-    """Pascal-VOC annotations as normalised boxes: clamped to the stated size, empty boxes dropped."""
+def read_voc_boxes(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """Pascal-VOC annotations as normalised boxes: clamped to the stated size, empty boxes dropped.
+
+    One annotation per file, or one per line of splittable files with ``one_per_line``.
+    """
     schema = "filename string, size struct<width:double,height:double>, object array<struct<name:string,bndbox:struct<xmin:double,ymin:double,xmax:double,ymax:double>>>"
-    doc = spark.read.format("xml").option("rowTag", "annotation").schema(schema).load(path).withColumn("file", F.input_file_name())
+    doc = spark.read.format("xml").option("rowTag", "annotation").option("multiLine", str(not one_per_line).lower()).schema(schema).load(path).withColumn("file", F.input_file_name())
     o = doc.where("size.width > 0 AND size.height > 0").select("file", "filename", "size", F.posexplode("object").alias("object_no", "o"))
     w, h, b = F.col("size.width"), F.col("size.height"), F.col("o.bndbox")
     zero = F.lit(0.0)

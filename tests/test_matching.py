@@ -4,7 +4,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from fieldspark.operators import capture, matching as m
 
