@@ -60,20 +60,23 @@ def with_row_number(df: DataFrame, keys: list[str], order: list[Column | str], c
             .drop("__rn", "__off", *names))
 
 
-def carry(df: DataFrame, keys: list[str], order: list[Column | str], chunk: list[Column],
+def carry(df: DataFrame, keys: list[str], order: list[str], chunk: list[Column],
           back: dict[str, str], forward: dict[str, str], running: dict[str, str] | None = None) -> DataFrame:
     """Last non-null value at or before (``back``), first at or after (``forward``) each row,
     and running non-null counts (``running``). Mappings are ``new name -> source column``.
+
+    Looking forward is looking back in the opposite order: a frame that runs to the end of its
+    partition would be recomputed for every row.
     """
     running = running or {}
     df, names = _chunked(df, chunk)
     inner = W.partitionBy(*keys, *names).orderBy(*order)
     upto = inner.rowsBetween(W.unboundedPreceding, 0)
-    onward = inner.rowsBetween(0, W.unboundedFollowing)
+    onward = W.partitionBy(*keys, *names).orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, 0)
     for new, src in back.items():
         df = df.withColumn(new, F.last(src, ignorenulls=True).over(upto))
     for new, src in forward.items():
-        df = df.withColumn(new, F.first(src, ignorenulls=True).over(onward))
+        df = df.withColumn(new, F.last(src, ignorenulls=True).over(onward))
     for new, src in running.items():
         df = df.withColumn(new, F.count(src).over(upto))
     # the carried columns are complete on the last (back) / first (forward) row of the chunk
@@ -84,12 +87,12 @@ def carry(df: DataFrame, keys: list[str], order: list[Column | str], chunk: list
     aggs += [F.max(new).alias(f"_c_{new}") for new in running]
     border = edge.groupBy(*keys, *names).agg(*aggs)
     prior = W.partitionBy(*keys).orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
-    later = W.partitionBy(*keys).orderBy(*names).rowsBetween(1, W.unboundedFollowing)
+    later = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in names]).rowsBetween(W.unboundedPreceding, -1)
     keep = []
     for new in back:
         keep.append(F.last(f"_b_{new}", ignorenulls=True).over(prior).alias(f"_pb_{new}"))
     for new in forward:
-        keep.append(F.first(f"_f_{new}", ignorenulls=True).over(later).alias(f"_pf_{new}"))
+        keep.append(F.last(f"_f_{new}", ignorenulls=True).over(later).alias(f"_pf_{new}"))
     for new in running:
         keep.append(F.coalesce(F.sum(f"_c_{new}").over(prior), F.lit(0)).alias(f"_pc_{new}"))
     border = border.select(*keys, *names, *keep)
