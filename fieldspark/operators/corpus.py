@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldspark.functions.rules import Refused, Rule, check
 from fieldspark.functions.splits import split_sha256
-from fieldspark.operators.ordered import with_row_number
+from fieldspark.operators.ordered import join_side, with_row_number
 
 # Fixed values that decide the results.
 DEFAULT_SPLITS = {"train": 0.70, "val": 0.15, "test": 0.15}
@@ -119,7 +119,7 @@ def stratified_split(samples: DataFrame, digest: str, label: str, salt: str, rat
         takes.append(base[i] + F.when(F.array_position(F.col("_order"), F.lit(i)) <= F.col("_spare"), 1).otherwise(0))
     plan = n.withColumn("_order", order).withColumn("_spare", spare)
     edges = plan.select(label, *[sum(takes[1:i + 1], takes[0]).alias(f"_e{i}") for i in range(len(names))])
-    pos = with_row_number(keyed, [label], ["_h"], [F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")], "_pos").join(edges, label)
+    pos = join_side(with_row_number(keyed, [label], ["_h"], [F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")], "_pos"), edges, [label])
     split = F.when(F.col("_pos") <= F.col("_e0"), names[0])
     for i in range(1, len(names)):
         split = split.when(F.col("_pos") <= F.col(f"_e{i}"), names[i])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fieldspark.functions.bands import has_fix
 from fieldspark.functions.geo import EARTH_RADIUS_TRACK_M, haversine_m
-from fieldspark.operators.ordered import block, time_chunk, with_previous, with_row_number
+from fieldspark.operators.ordered import block, join_side, time_chunk, with_previous, with_row_number
 
 DAYS_PER_MONTH = 30.4375
 DAYS_HALF_YEAR, DAYS_YEAR = 182.625, 365.25
@@ -62,7 +62,7 @@ def health_trend(runs: DataFrame, key: str = "asset_id") -> DataFrame:
     last = runs.groupBy(key).agg(F.max(row).alias("_last"), F.count(F.lit(1)).alias("history_points"), (F.max(day) - F.min(day)).alias("_span"),
                                  F.regr_slope(F.col("integrity_score"), day).alias("_slope"))
     # second largest: the maximum once the largest is set aside
-    prev = (runs.join(last.select(key, F.col("_last.ts").alias("_lt"), F.col("_last.seq").alias("_ls")), key)
+    prev = (join_side(runs, last.select(key, F.col("_last.ts").alias("_lt"), F.col("_last.seq").alias("_ls")), [key])
             .where(~((F.col("run_utc") == F.col("_lt")) & (F.col("run_seq") == F.col("_ls")))).groupBy(key).agg(F.max(row).alias("_prev")))
     j = last.join(prev, key, "left")
     slope = F.when(F.col("_span") >= MIN_TREND_DAYS, F.coalesce("_slope", F.lit(0.0))).otherwise(0.0)
@@ -151,7 +151,7 @@ def battery_splits(planned: DataFrame, required: DataFrame, *, key: str = "missi
     """Sortie number of each capture: ``ceil(n / required)`` captures per sortie, in plan order."""
     n = planned.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     per = n.join(required, key).withColumn("_per", F.ceil(F.col("_n") / F.greatest(F.lit(1), F.col("batteries_required"))))
-    return (with_row_number(planned, [key], [idx], [block(idx, width)], "_rn").join(per.select(key, "_per"), key)
+    return (join_side(with_row_number(planned, [key], [idx], [block(idx, width)], "_rn"), per.select(key, "_per"), [key])
             .withColumn("sortie", (F.floor((F.col("_rn") - 1) / F.col("_per")) + 1).cast("long")).drop("_rn", "_per"))
 
 
@@ -164,7 +164,7 @@ def overlapping_chunks(items: DataFrame, size: int, overlap: int, *, key: str =
         raise ValueError("chunk size must be positive and larger than the overlap")
     step = size - overlap
     n = items.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    rows = with_row_number(items, [key], order, chunk, "_rn").join(n, key)
+    rows = join_side(with_row_number(items, [key], order, chunk, "_rn"), n, [key])
     # chunks start every `step` items until one reaches the end
     last = F.when(F.col("_n") <= size, F.lit(0)).otherwise(F.ceil((F.col("_n") - size) / F.lit(step)).cast("long"))
     tail = F.col("_n") - last * step
@@ -178,7 +178,7 @@ def overlapping_chunks(items: DataFrame, size: int, overlap: int, *, key: str =
 def even_sample(items: DataFrame, limit: int, *, key: str, order: list[str], chunk: list[Column], integer_stride: bool = False) -> DataFrame:
     """About ``limit`` rows spread evenly over each group (a sampling operator): every ``n/limit``-th row."""
     n = items.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    rows = with_row_number(items, [key], order, chunk, "_rn").join(n, key)
+    rows = join_side(with_row_number(items, [key], order, chunk, "_rn"), n, [key])
     pos = F.col("_rn") - 1
     if integer_stride:
         stride = F.greatest(F.lit(1), F.floor(F.col("_n") / limit))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from fieldspark.functions.geo import aspect_deg, in_ring
 from fieldspark.functions.physics import detection_floor
 from fieldspark.operators.components import label_regions
-from fieldspark.operators.ordered import quantiles
+from fieldspark.operators.ordered import join_side, quantiles
 
 # Thresholds of the measurements (fixed values).
 CHANGE_THRESHOLD_M = 0.05
@@ -77,7 +77,9 @@ def volumes(cells: DataFrame, keys: list[str], value: str, cell_area: Column | f
     known = cells.where(v.isNotNull()).withColumn("_a", F.lit(cell_area))
     low = known.groupBy(*keys).agg(F.min(v).alias("_min"))
     # the minimum of a group comes back to its cells through the small per-group table
-    j = known.join(low, keys) if base is None else known.join(low, keys).withColumn("_base", F.lit(float(base)))
+    j = join_side(known, low, keys)
+    if base is not None:
+        j = j.withColumn("_base", F.lit(float(base)))
     refs = [F.struct(F.lit("plane").alias("reference"), (F.col("_base") if base is not None else F.col("_min")).alias("datum"))]
     if base is not None:
         refs.append(F.struct(F.lit("lowest_point").alias("reference"), F.col("_min").alias("datum")))
@@ -182,7 +184,7 @@ def grid_opening(cells: DataFrame, keys: list[str], value: str, kernel: int) ->
     """
     half = kernel // 2
     top = cells.groupBy(*keys).agg(F.max(value).alias("_fill"))
-    out = cells.join(top, keys).withColumn("_z", F.coalesce(value, "_fill"))
+    out = join_side(cells, top, keys).withColumn("_z", F.coalesce(value, "_fill"))
     row, col = W.partitionBy(*keys, "row_idx").orderBy("col_idx").rangeBetween(-half, half), W.partitionBy(*keys, "col_idx").orderBy("row_idx").rangeBetween(-half, half)
     for agg in (F.min, F.max):
         out = out.withColumn("_z", agg("_z").over(row)).withColumn("_z", agg("_z").over(col))

@@ -4,6 +4,8 @@ A plain ``Window.partitionBy(key)`` sends one key to one task. Here every group
 consecutive chunks by ``chunk`` expressions that never decrease along the order (an hour of a
 timestamp, a block of a sequence number). Windows run inside ``(key, chunk)``; what crosses a
 chunk border travels in a summary of one row per chunk. Results equal the undivided window.
+
+Key columns must not be null: give a missing key a name of its own first.
 """
 
 from __future__ import annotations
