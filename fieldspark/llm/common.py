@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 #: fixed value: the characters that end a word (blank and code points 9 to 13), as a regex class body
@@ -20,6 +21,35 @@ def byte_words(text: str | None) -> list[bytes]:
     return text.encode().translate(LOWER).split() if text else []
 
 
+class WordHashes(dict):
+    """64-bit hashes of words; remembers at most ``limit`` of them."""
+
+    def __init__(self, limit: int = 500_000):
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = xxhash.xxh64_digest(word)
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.limit:
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), ">u8").astype(np.uint64)
+
+
+def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
+    """Hash of every run of ``size`` words, in order. Fewer words make one shingle, none make none."""
+    size = min(size, len(words))
+    if not size:
+        return words
+    out = np.full(len(words) - size + 1, size, np.uint64)
+    for k in range(size):
+        out = (out ^ words[k:k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return mixed(out)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over a 64-bit word."""
     x = x.astype(np.uint64, copy=True)

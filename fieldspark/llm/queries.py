@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
-from fieldspark.llm import licenses, mixing, urls
+from fieldspark.llm import decontamination, licenses, mixing, quality, tokens, urls
 from fieldspark.llm.common import table
 from fieldspark.llm.registry import RUN, SQL, query  # noqa: F401
 
@@ -72,3 +72,23 @@ def op6_license_scan(spark, sf_dir):
 def op7_mix_sources(spark, sf_dir):
     """Words that the mix takes of every document."""
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source_no")
+
+
+@query("op10_token_files")
+def op10_token_files(spark, sf_dir):
+    """Documents as read back from the written token files."""
+    found = tokens.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32", "n_symbols")
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark, sf_dir):
+    """Counts and verdict of every document; the chain learns from the labels table."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality_rules(docs, quality.learn_chain(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op8_benchmark_leaks")
+def op8_benchmark_leaks(spark, sf_dir):
+    """Documents that hold a benchmark item, one row per document and item."""
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
