@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fieldspark.llm.common import LOWER, WordHashes, shingles
+from fieldspark.llm.common import WordHashes, shingles
 
 SHINGLE = 5
 BLOCKS, BLOCK_BITS = 8, 8
@@ -17,8 +17,8 @@ PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def plain_words(text: str | None) -> list[bytes]:
-    """Words with A-Z lower-cased and ASCII punctuation taken out."""
-    return text.encode().translate(LOWER, PUNCTUATION).split() if text else []
+    """Case-folded words without ASCII punctuation."""
+    return text.casefold().encode().translate(None, PUNCTUATION).split() if text else []
 
 
 def sign_bits(hashes: np.ndarray) -> np.ndarray:

@@ -147,9 +147,11 @@ def learn_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 sample: int = 1500, longest_text: int = 20_000) -> Chain:
     """Fit on at most ``sample`` labelled documents of at most ``longest_text`` characters, lowest hash of the id first.
     The bound holds for the driver's memory; everything else looks at all rows."""
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_good"))
-    rows = (docs.where((F.length(text_col) <= longest_text) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-            .join(known, "_id").orderBy(F.xxhash64("_id"), "_id", "_text").limit(sample).collect())
+    known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_good"))
+             .orderBy(F.xxhash64("_id"), "_id").limit(sample))  # bounded, so broadcast
+    rows = (docs.where(F.length(text_col) <= longest_text).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+            .join(F.broadcast(known), "_id").select("_id", "_text", "_good").collect())
+    rows = list({r["_id"]: r for r in sorted(rows, key=lambda r: (r["_id"], r["_text"]))}.values())
     return fit_chain([line_features(r["_text"].encode())[0] for r in rows], [r["_good"] == 1 for r in rows])
 
 

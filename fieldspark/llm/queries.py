@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from fieldspark.llm import decontamination, licenses, mixing, quality, tokens, urls
+from fieldspark.llm import decontamination, licenses, mixing, quality, tokens, toxicity, urls
 from fieldspark.llm.common import table
 from fieldspark.llm.registry import RUN, SQL, query  # noqa: F401
 
@@ -92,3 +92,10 @@ def op9_quality_rules(spark, sf_dir):
 def op8_benchmark_leaks(spark, sf_dir):
     """Documents that hold a benchmark item, one row per document and item."""
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark, sf_dir):
+    """Score of every document; the network learns from the labels table without the held-out rows."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
