@@ -223,9 +223,9 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     kinds = "part int, seq int, doc_id long, inside long, n_tokens long, ids_crc32 long, n_symbols long" + ", ids array<long>" * with_ids
-    heads = running_sum(stored.select("part", "seq", "n_tokens"), [], "part", ["seq"], "n_tokens", "_head").select("part", "seq", "_head")
+    heads = running_sum(stored.select("part", "seq", "n_tokens"), [], "part", ["seq"], "n_tokens", "_ahead").select("part", "seq", "_ahead")
     return (stored.select(*wanted).mapInArrow(unpack, kinds).join(heads, ["part", "seq"])
-            .select("doc_id", (F.col("_head") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "n_symbols", *["ids"] * with_ids))
+            .select("doc_id", (F.col("_ahead") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "n_symbols", *["ids"] * with_ids))
 
 
 def token_files(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
