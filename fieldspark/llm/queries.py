@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from fieldspark.llm import decontamination, licenses, mixing, quality, tokens, toxicity, urls
+from fieldspark.llm import decontamination, licenses, mixing, quality, secrets, tokens, toxicity, urls
 from fieldspark.llm.common import table
 from fieldspark.llm.registry import RUN, SQL, query  # noqa: F401
 
@@ -99,3 +100,10 @@ def op4_toxicity(spark, sf_dir):
     """Score of every document; the network learns from the labels table without the held-out rows."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op2_secret_scan")
+def op2_secret_scan(spark, sf_dir):
+    """Secrets of every document; the digest is made from the operator's spans."""
+    found = secrets.secret_scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_literal")
