@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fieldspark.llm import decontamination, licenses, mixing, quality, secrets, tokens, toxicity, urls
+from fieldspark.llm import decontamination, licenses, mixing, ngram_join, quality, secrets, tokens, toxicity, urls
 from fieldspark.llm.common import table
 from fieldspark.llm.registry import RUN, SQL, query  # noqa: F401
 
@@ -107,3 +107,9 @@ def op2_secret_scan(spark, sf_dir):
     """Secrets of every document; the digest is made from the operator's spans."""
     found = secrets.secret_scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_literal")
+
+
+@query("op1_ngram_jaccard_join")
+def op1_ngram_jaccard_join(spark, sf_dir):
+    """Component of every document."""
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
