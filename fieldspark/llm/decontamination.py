@@ -129,6 +129,15 @@ class Index:
         return [(name, p, n, value) for name, (value, p, n) in sorted(best.items())]
 
 
+def indexes(benchmark: DataFrame, item_col: str, text_col: str, threshold: float, radius: int, block_chars: int) -> Iterator:
+    """Broadcast indexes of blocks of about ``block_chars`` characters; one of no items for an empty benchmark."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    blocks = max(1, math.ceil((items.agg(F.sum(F.length("text"))).first()[0] or 0) / block_chars))
+    for b in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([(r["item"], r["text"]) for r in part], threshold, radius))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                item_text_col: str = "text", threshold: float = 0.75, radius: int = 23, block_chars: int = 8_000_000) -> DataFrame:
     """``id, item_id, first_word, n_words, similarity``: every document and benchmark item of which a window of the item's
@@ -141,16 +150,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Null and empty texts and items match nothing; a null item id is reported as null; items with one id count as one;
     repeated rows each give their rows; an empty table on either side gives no row. Further columns are not read.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_chars))
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
     out = None
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
-        index = spark.sparkContext.broadcast(Index([(r["item"], r["text"]) for r in part], threshold, radius))
+    for index in indexes(benchmark, item_col, item_text_col, threshold, radius, block_chars):
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
@@ -170,3 +173,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         found = rows.mapInArrow(search, f"doc {kind}, item_id long, first_word long, n_words long, similarity double")
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("doc", id_col)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+               threshold: float = 0.75, radius: int = 23, block_chars: int = 8_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns, in which ``find_leaks`` finds nothing. Rows are filtered where they are read."""
+    out = docs
+    for index in indexes(benchmark, item_col, item_text_col, threshold, radius, block_chars):
+
+        def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
+            for batch in batches:
+                words = [plain_words(t.as_py()) for t in batch.column(text_col)]
+                yield batch.filter(pa.array([not (w and index.value.matches(hashes.of(w))) for w in words], pa.bool_()))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out
