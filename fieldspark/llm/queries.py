@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fieldspark.llm import decontamination, licenses, mixing, ngram_join, quality, secrets, tokens, toxicity, urls
+from fieldspark.llm import decontamination, licenses, mixing, ngram_join, quality, quoting, secrets, tokens, toxicity, urls
 from fieldspark.llm.common import table
 from fieldspark.llm.registry import RUN, SQL, query  # noqa: F401
 
@@ -113,3 +113,9 @@ def op2_secret_scan(spark, sf_dir):
 def op1_ngram_jaccard_join(spark, sf_dir):
     """Component of every document."""
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query("op3_chat_quotes")
+def op3_chat_quotes(spark, sf_dir):
+    """All conversations in reply order, without quotations."""
+    return quoting.conversations(quoting.linked_messages(table(spark, sf_dir, "conversations")))
