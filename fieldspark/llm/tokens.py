@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -22,37 +24,88 @@ _SAFE = re.compile(r"(?<=\S)(?= \S)")
 FILE_SCHEMA = "part int, seq int, n_docs int, n_tokens long, docs binary, doc_tokens binary, doc_symbols binary, rules binary, lengths binary, symbols binary"
 
 
-class CachedEncoder:
-    """Ids of whole texts, equal to the tokenizer's own.
+class OddPiece(Exception):
+    """White space at an end of a piece: no safe place to cut."""
 
-    A byte-level pattern never puts a token across the start of a blank that stands alone between two other
-    characters, so a text is cut there and each piece is encoded once. Tables of pieces are emptied when they are full.
+
+class Pieces(dict):
+    """Ids, as bytes, of text after a single blank. Emptied when it holds ``limit`` pieces.
+
+    A byte-level pattern starts a token at a blank that stands alone between two other characters, at a newline that
+    stands alone, at what follows it, and where ASCII punctuation follows a letter or digit. So lines, words and trailing
+    punctuation are encoded once each. A word of Latin letters alone is one stretch of the pattern and goes to the
+    library's BPE model directly; all else goes through its whole encoder.
     """
 
-    def __init__(self, path: str, pieces: int = 200_000):
+    def __init__(self, path: str, limit: int = 300_000):
+        super().__init__()
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), pieces
-        self.after_blank: dict[str, bytes | None] = {}  # None: white space at an end, no safe place
-        self.whole: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str], known: dict, before: str) -> None:
-        if len(known) > self.limit:
-            known.clear()
-        new = list(pieces - known.keys())
-        for k in range(0, len(new), 20_000):
-            part = new[k:k + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch([before + p for p in part], add_special_tokens=False)):
-                known[p] = None if before and (p.strip() != p or not p) else np.array(e.ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids as arrays of unsigned 32-bit integers."""
-        cut = [t.split(" ") for t in texts]
-        self._learn(set(chain.from_iterable(c[1:] for c in cut)), self.after_blank, " ")
-        odd = [_SAFE.split(t) if c[0] != c[0].strip() or None in map(self.after_blank.get, c[1:]) else c[:1] for t, c in zip(texts, cut)]
-        self._learn(set(chain.from_iterable(odd)), self.whole, "")
-        after, whole = self.after_blank.__getitem__, self.whole.__getitem__
-        return [np.frombuffer(b"".join(map(whole, o)) + (b"".join(map(after, c[1:])) if len(o) == 1 and o[0] == c[0] else b""), "<u4") for c, o in zip(cut, odd)]
+        self.tokenizer, self.limit, self.parts = Tokenizer.from_file(path), limit, {}
+        self.model = self.tokenizer.model
+        # fixed values: bytes that a byte-level vocabulary writes as themselves; the others follow from code point 256
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*plain}))}
+
+    def whole(self, text: str) -> bytes:
+        """Ids of any text by the library's encoder."""
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def part(self, text: str) -> bytes:
+        found = self.parts.get(text)
+        if found is None:
+            if len(self.parts) >= self.limit:
+                self.parts.clear()
+            word = text[1:] if text[0] == " " else text
+            if word.isalpha() and max(word) < "\u0250":
+                letters = text.encode().decode("latin-1").translate(self.letters)
+                found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            else:
+                found = self.whole(text)
+            self.parts[text] = found
+        return found
+
+    def line(self, text: str) -> bytes:
+        stem = text.rstrip(punctuation)
+        if stem != text and stem and (stem[-1].isalpha() or stem[-1] in "0123456789"):
+            return self.part(stem) + self.part(text[len(stem):])
+        return self.part(text)
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        stem = piece.rstrip(punctuation)
+        if stem.isalpha():
+            found = self.part(" " + stem)
+            if stem != piece:
+                found += self.part(piece[len(stem):])
+        elif not piece or piece.strip() != piece:
+            raise OddPiece
+        else:
+            first, *rest = piece.split("\n")
+            if all(r and r.strip() == r for r in (first, *rest)):
+                found = self.line(" " + first) + b"".join(self.part("\n") + self.line(r) for r in rest)
+            else:
+                found = self.whole(" " + piece)
+        self[piece] = found
+        return found
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text, equal to the tokenizer's own."""
+        head, *rest = text.split(" ")
+        try:
+            if head != head.strip() or not head:
+                raise OddPiece
+            first = self.part(head) if head.isalpha() else self.whole(head)
+            return np.frombuffer(first + b"".join(map(self.__getitem__, rest)), "<u4")
+        except OddPiece:
+            return np.frombuffer(b"".join(map(self.whole, _SAFE.split(text))), "<u4") if text else np.zeros(0, "<u4")
+
+
+@lru_cache(maxsize=2)
+def pieces_of(path: str) -> Pieces:
+    """One table per worker process and vocabulary; it outlives a task."""
+    return Pieces(path)
 
 
 def widths(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -129,10 +182,10 @@ def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 def _packed(part: int, seq: int, ids: list[np.ndarray], docs: list[int]) -> dict:
-    """One row of the file format."""
+    """One row of the file format; ``ids`` holds each document's ids and then its end id."""
     symbols, rules, lengths = re_pair(np.concatenate(ids))
     # END may also be an ordinary id, so documents are found by their token counts
-    counts = np.array([len(x) for x in ids], np.int64)
+    counts = np.array([len(x) + 1 for x in ids[::2]], np.int64)
     size = widths(symbols, lengths)
     starts = np.searchsorted(np.cumsum(size), np.cumsum(counts) - counts, side="right")
     zipped = lambda a: zlib.compress(np.ascontiguousarray(a).tobytes(), 1)
@@ -142,7 +195,7 @@ def _packed(part: int, seq: int, ids: list[np.ndarray], docs: list[int]) -> dict
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
-                 block_tokens: int = 1_000_000, chars_at_once: int = 4_000_000) -> None:
+                 block_tokens: int = 1_000_000) -> None:
     """Write the ids of every text in ascending id order to Parquet files below ``path``.
 
     Documents are dealt by range of id and sorted there; a block closes at the first document that brings it to
@@ -160,25 +213,20 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
     rows = rows.repartitionByRange(parts, "doc").sortWithinPartitions("doc", "text")
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int32()), ("n_tokens", pa.int64())] + [(c, pa.binary()) for c in ("docs", "doc_tokens", "doc_symbols", "rules", "lengths", "symbols")])
 
+    closing = np.array([END], "<u4")
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = CachedEncoder(vocabulary), TaskContext.get().partitionId(), 0
+        encode, part, seq = pieces_of(vocabulary).encode, TaskContext.get().partitionId(), 0
         ids, names, held = [], [], 0
         for batch in batches:
-            column, keys = batch.column("text"), batch.column("doc").to_pylist()
-            lo = 0
-            while lo < len(keys):
-                texts, chars = [], 0
-                while lo + len(texts) < len(keys) and (chars < chars_at_once or not texts):
-                    texts.append(column[lo + len(texts)].as_py())
-                    chars += len(texts[-1])
-                for name, got in zip(keys[lo:lo + len(texts)], encode(texts)):
-                    ids.append(np.append(got, np.uint32(END)))
-                    names.append(name)
-                    held += len(got) + 1
-                    if held >= block_tokens:
-                        yield pa.RecordBatch.from_pylist([_packed(part, seq, ids, names)], schema)
-                        ids, names, held, seq = [], [], 0, seq + 1
-                lo += len(texts)
+            for name, text in zip(batch.column("doc"), batch.column("text")):
+                got = encode(text.as_py())
+                ids += [got, closing]
+                names.append(name.as_py())
+                held += len(got) + 1
+                if held >= block_tokens:
+                    yield pa.RecordBatch.from_pylist([_packed(part, seq, ids, names)], schema)
+                    ids, names, held, seq = [], [], 0, seq + 1
         if ids:
             yield pa.RecordBatch.from_pylist([_packed(part, seq, ids, names)], schema)
 
