@@ -120,13 +120,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mix = (mix_sources(docs, id_col, text_col, source_col, block).groupBy(id_col)
            .agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_all"), F.count(F.lit(1)).alias("_rows")).where("_taken > 0"))
     mix = mix.select(F.col(id_col).alias("_id"), F.ceil(F.col("_taken") / F.col("_rows")).cast("long").alias("_taken"))
-    rows = docs.join(mix, F.expr(f"`{id_col}` <=> _id")).withColumn("_size", n_words(F.col(text_col))).where("_size > 0")
+    text = F.col("_r").getField(text_col)
+    rows = (docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_r")).withColumn("_key", F.col("_r").getField(id_col))
+            .join(mix, F.expr("_key <=> _id")).withColumn("_size", n_words(text)).where("_size > 0"))
     whole, part = F.floor(F.col("_taken") / F.col("_size")).cast("int"), F.col("_taken") % F.col("_size")
     lengths = F.concat(F.array_repeat(F.col("_size"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
     rows = rows.withColumn("_take", F.explode(lengths))
-    cut_text = F.concat_ws(" ", F.slice(F.split(F.regexp_replace(F.col(text_col), rf"^[{BLANKS}]+", ""), rf"[{BLANKS}]+"), F.lit(1), F.col("_take").cast("int")))
-    text = F.when(F.col("_take") >= F.col("_size"), F.col(text_col)).otherwise(cut_text)
-    out = rows.withColumn(text_col, text)
-    if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.when(F.col("_take") >= F.col("_size"), F.col(chars_col)).otherwise(F.length(text_col).cast("long")))
-    return out.select(*docs.columns)
+    head = F.concat_ws(" ", F.slice(F.split(F.regexp_replace(text, rf"^[{BLANKS}]+", ""), rf"[{BLANKS}]+"), F.lit(1), F.col("_take").cast("int")))
+    all_of_it = F.col("_take") >= F.col("_size")
+    rows = rows.withColumn("_text", F.when(all_of_it, text).otherwise(head))
+    made = {text_col: F.col("_text"), chars_col: F.when(all_of_it, F.col("_r").getField(chars_col) if chars_col in docs.columns else None).otherwise(F.length("_text").cast("long"))}
+    return rows.select(*[made.get(c, F.col("_r").getField(c)).alias(c) for c in docs.columns])

@@ -167,16 +167,15 @@ def judge(text: str | None, chain: Chain, least_share: float, least_words: int,
 
 
 def quality_rules(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", least_share: float = 0.5,
-                  least_words: int = 50, most_repeats: float = 50.0, keep: tuple[str, ...] = ()) -> DataFrame:
+                  least_words: int = 50, most_repeats: float = 50.0) -> DataFrame:
     """``id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, content_words`` of every row.
 
     ``base_failed``: fewer than ``least_words`` words, or more than ``most_repeats`` % of them in repeated 3-word windows.
     ``kept``: not failed, and the lines that the chain's Viterbi path marks as content hold ``least_share`` of the
-    words. Columns named in ``keep`` pass through. A null text counts as empty, and an empty one fails; ids may be
-    null or repeated; one row per row. Nothing is shuffled.
+    words. A null text counts as empty, and an empty one fails; ids may be null or repeated; one row per row. Further
+    columns are not read. Nothing is shuffled.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)])
-    kinds = rows.schema
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     made = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_words long"
     types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()]
     names = [p.split()[0] for p in made.split(", ")]
@@ -185,8 +184,16 @@ def quality_rules(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_co
         for batch in batches:
             got = [judge(t.as_py(), chain, least_share, least_words, most_repeats) for t in batch.column("_text")]
             columns = [pa.array([g[k] for g in got], kind) for k, kind in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *columns], names=["_id", *names])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields] + [made])
-    out = rows.mapInArrow(run, schema)
-    return out.select(*([] if id_col in keep else [F.col("_id").alias(id_col)]), *[F.col(f"_keep_{k}").alias(c) for k, c in enumerate(keep)], *names)
+    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, {made}").withColumnRenamed("_id", id_col)
+
+
+def keep_good(docs: DataFrame, chain: Chain, text_col: str = "text", least_share: float = 0.5, least_words: int = 50, most_repeats: float = 50.0) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``quality_rules`` keeps. They are filtered where they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([judge(t.as_py(), chain, least_share, least_words, most_repeats)[6] for t in batch.column(text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
