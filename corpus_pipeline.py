@@ -15,10 +15,8 @@ from fieldspark.session import scratch
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. The columns pass through the operator, so no text is joined back."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality.quality_rules(docs, quality.learn_chain(docs, labels), keep=tuple(docs.columns))
-    return judged.where("kept").select(*docs.columns)
+    """Documents that the quality rules keep."""
+    return quality.keep_good(docs, quality.learn_chain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +26,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     groups = ngram_join.ngram_jaccard_join(docs)
     heads = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_head")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(heads, F.col("doc_id") == F.col("_head"), "left_semi")
-    order = W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))  # rows of one id: all but always one
-    first = named.withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_r"))
+    named = rows.where("_r.doc_id IS NOT NULL").join(heads, F.expr("_r.doc_id = _head"), "left_semi")
+    order = W.partitionBy("_r.doc_id").orderBy(F.xxhash64("_r"))  # rows of one id: all but always one
+    first = named.withColumn("_row", F.row_number().over(order)).where("_row = 1").select("_r.*")
     return first.unionByName(docs.where("doc_id IS NULL"))
 
 
