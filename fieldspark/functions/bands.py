@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from fieldspark.functions.geo import col
+from fieldspark.functions.text import strip
 
 # Fixed values that decide the results.
 SEVERITIES = ("low", "medium", "high", "critical")
@@ -67,7 +68,7 @@ def grade_label(integrity) -> Column:
 
 
 def control_mode(mode) -> Column:
-    name = F.upper(F.trim(F.coalesce(col(mode), F.lit(""))))
+    name = F.upper(strip(F.coalesce(col(mode), F.lit(""))))
     return (F.when(name.isin(*AUTONOMOUS), "autonomous").when(name.isin(*ASSISTED), "assisted")
             .when(name.isin(*MANUAL), "manual").otherwise("unknown"))
 

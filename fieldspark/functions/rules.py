@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fieldspark.functions.text import strip
+
 
 class Refused(ValueError):
     """The input cannot support the result that was asked for."""
@@ -47,7 +49,7 @@ def require(df: DataFrame, status: str = "status", reason: str = "reason") -> Da
 
 
 def required(column: str) -> Rule:
-    blank = F.trim(F.coalesce(F.col(column).cast("string"), F.lit(""))) == ""
+    blank = strip(F.coalesce(F.col(column).cast("string"), F.lit(""))) == ""
     return Rule(f"{column}_required", blank, f"{column} is required")
 
 

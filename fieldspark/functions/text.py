@@ -7,22 +7,40 @@ from pyspark.sql import Column, functions as F
 from fieldspark.functions.geo import col
 
 
+#: fixed values: letters whose full case folding holds ASCII letters
+FOLDS = {"\u00df": "ss", "\u017f": "s", "\u01f0": "j\u030c", "\u1e96": "h\u0331", "\u1e97": "t\u0308", "\u1e98": "w\u030a", "\u1e99": "y\u030a",
+         "\u1e9a": "a\u02be", "\u1e9e": "ss", "\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st"}
+
+
+def strip(c) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(col(c), "(?U)^\\s+|\\s+$", "")
+
+
+def casefold(c) -> Column:
+    """Lower case with full folding where the result has ASCII letters."""
+    out = F.lower(col(c))
+    for letter, folded in FOLDS.items():
+        out = F.replace(out, F.lit(letter), F.lit(folded))
+    return out
+
+
 def canonical_name(c) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.regexp_replace(F.regexp_replace(casefold(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
 def normalise_class(c) -> Column:
     named = F.coalesce(F.nullif(col(c), F.lit("")), F.lit("unknown"))
-    return F.translate(F.lower(F.trim(named)), " -", "__")
+    return F.translate(F.lower(strip(named)), " -", "__")
 
 
 def normalise_tag(c) -> Column:
-    return F.trim(F.regexp_replace(F.lower(col(c)), "\\s+", " "))
+    return strip(F.regexp_replace(F.lower(col(c)), "(?U)\\s+", " "))
 
 
 def clean_class_name(c) -> Column:
-    bare = F.regexp_replace(F.trim(col(c)), "^['\"]+|['\"]+$", "")
-    return F.trim(F.regexp_replace(bare, "^[0-9]+ +", ""))
+    bare = F.regexp_replace(strip(c), "^['\"]+|['\"]+$", "")
+    return strip(F.regexp_replace(bare, "^[0-9]+ +", ""))
 
 
 def base_name(path) -> Column:
@@ -38,7 +56,7 @@ def extension(path) -> Column:
 
 
 def slug(c) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(col(c))), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(strip(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
 def payload(c, path: str) -> Column:

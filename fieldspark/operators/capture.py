@@ -65,15 +65,27 @@ def remaining(planned: DataFrame, done: DataFrame, mission: str = "mission_id")
 
 
 def site_verdict(cov: DataFrame, quality: DataFrame, key: str) -> DataFrame:
-    """Blocked, warnings or ready from coverage and image checks; unchecked when nothing was checked.
+    """Blocked, warnings or ready from coverage and image checks, with the reasons and the points to fly again.
 
-    ``quality(key, checked, flagged, unreadable)``.
+    ``quality(key, checked, flagged, unreadable)``. Missed points within the tolerance and images without a position are
+    warnings; a survey without a plan or without checked images says what was not checked.
     """
     j = cov.join(quality, key, "left").na.fill(0, ["checked", "flagged", "unreadable"])
     pct = F.when(F.col("checked") > 0, 100.0 * F.col("flagged") / F.col("checked")).otherwise(0.0)
     bad = (F.col("unreadable") > 0) | (F.col("coverage_pct") < MIN_COVERAGE_PCT) | (pct > MAX_FLAGGED_PCT)
-    return j.withColumn("flagged_pct", pct).withColumn(
-        "verdict", F.when(bad, "blocked").when(F.col("checked") == 0, "unchecked").when(F.col("flagged") > 0, "warnings").otherwise("ready"))
+    low = F.col("coverage_pct") < MIN_COVERAGE_PCT
+    blocking = F.array_compact(F.array(F.when(F.col("unreadable") > 0, "unreadable"), F.when(low, "coverage"), F.when(pct > MAX_FLAGGED_PCT, "quality")))
+    warnings = F.array_compact(F.array(F.when(~low & (F.col("missed") > 0), "missed"), F.when(F.col("ungeotagged") > 0, "ungeotagged"),
+                                       F.when((F.col("flagged") > 0) & (pct <= MAX_FLAGGED_PCT), "quality")))
+    unchecked = F.array_compact(F.array(F.when(F.coalesce("planned", F.lit(0)) == 0, "coverage"), F.when(F.col("checked") == 0, "quality")))
+    return (j.withColumn("flagged_pct", pct).withColumn("blocking", blocking).withColumn("warnings", warnings).withColumn("unchecked", unchecked)
+            .withColumn("verdict", F.when(bad, "blocked").when(F.size("warnings") > 0, "warnings").when(F.col("checked") == 0, "unchecked").otherwise("ready")))
+
+
+def refly_points(planned: DataFrame, pairs: DataFrame, verdicts: DataFrame, mission: str = "mission_id") -> DataFrame:
+    """Missed points of the surveys that coverage blocks: ``mission_id, idx``."""
+    short = verdicts.where(F.array_contains("blocking", "coverage")).select(mission)
+    return planned.join(short, mission, "left_semi").join(pairs, [mission, "idx"], "left_anti").select(mission, "idx")
 
 
 def compare_defect_epochs(earlier: DataFrame, later: DataFrame, radius_m: float = DEFECT_RADIUS_M, tolerance: float = AREA_TOLERANCE,

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldspark.operators.ordered import block, join_side, quantiles, with_row_number
 
-MAX_SIDE = 8192
 RANSAC_SEED, RANSAC_ROUNDS, RANSAC_TOLERANCE_M = 20260814, 512, 3.0
 
 
@@ -28,7 +27,7 @@ def voxel_downsample(points: DataFrame, keys: list[str], voxel: float, order: st
 def rasterize_points(points: DataFrame, keys: list[str], pixel: float, colours: list[str] = ()) -> DataFrame:
     """Points binned to cells: highest and lowest z, mean colour; gross outliers set aside first.
 
-    A raster side over 8192 cells coarsens the pixel. Fewer than 16 points give nothing.
+    Cells are rows, so a raster may have any extent at the pixel asked for. Fewer than 16 points give nothing.
     """
     trimmed = points
     for axis in "xyz":
@@ -41,10 +40,8 @@ def rasterize_points(points: DataFrame, keys: list[str], pixel: float, colours:
     trimmed = trimmed.withColumn("_in", inside)
     n = trimmed.groupBy(*keys).agg(F.count_if("_in").alias("_kept"), F.count(F.lit(1)).alias("_all"))
     use = join_side(trimmed, n, keys).where((F.col("_all") >= 16) & (F.col("_in") | (F.col("_kept") < 16)))
-    box = use.groupBy(*keys).agg(F.min("x").alias("west"), F.max("x").alias("_east"), F.min("y").alias("_south"), F.max("y").alias("north"))
-    side = lambda a, b: F.greatest(F.lit(2), F.ceil((F.col(b) - F.col(a)) / pixel) + 1)
-    longest = F.greatest(side("west", "_east"), side("_south", "north"))
-    box = box.withColumn("pixel", F.when(longest > MAX_SIDE, pixel * longest / MAX_SIDE).otherwise(F.lit(pixel)))
+    box = use.groupBy(*keys).agg(F.min("x").alias("west"), F.max("y").alias("north"))
+    box = box.withColumn("pixel", F.lit(float(pixel)))
     placed = join_side(use.select(*keys, "x", "y", "z", *colours), box.select(*keys, "west", "north", "pixel"), keys)
     return (placed.groupBy(*keys, F.floor((F.col("north") - F.col("y")) / F.col("pixel")).cast("int").alias("row_idx"), F.floor((F.col("x") - F.col("west")) / F.col("pixel")).cast("int").alias("col_idx"))
             .agg(F.max("z").alias("dsm"), F.min("z").alias("z_min"), F.count(F.lit(1)).alias("points"), *[F.avg(c).alias(c) for c in colours]))

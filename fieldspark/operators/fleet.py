@@ -112,13 +112,25 @@ def mission_estimates(plans: DataFrame, raw: bool = False) -> DataFrame:
 
 
 def segment_progress(planned: DataFrame, done: DataFrame, mission: str = "mission_id") -> DataFrame:
-    """Progress of linked segments, named ``linked_seg<n>:...`` in the primitive of each capture point."""
-    seg = F.nullif(F.regexp_extract("primitive", "^linked_seg([0-9]+):", 1), F.lit("")).cast("int")
-    p = planned.withColumn("segment", seg).where(F.col("segment").isNotNull())
+    """Progress of linked segments, named ``linked_seg<n>:...`` in the primitive of each capture point.
+
+    A plan with unstamped capture points, or with another number of segments than its ``declared_segments`` (if the
+    planned table has that column), is refused: one row without a segment that says why.
+    """
+    seg = F.nullif(F.regexp_extract(F.coalesce("primitive", F.lit("")), "^linked_seg([0-9]+):", 1), F.lit("")).cast("int")
+    p = planned.withColumn("segment", seg)
+    declared = F.max("declared_segments") if "declared_segments" in planned.columns else F.lit(None).cast("long")
+    plans = p.groupBy(mission).agg(F.count_if(F.col("segment").isNull()).alias("_bare"), F.count_distinct("segment").alias("_named"), declared.alias("_declared"))
+    why = F.when(F.col("_bare") > 0, "capture points without a segment").when(F.col("_named") != F.col("_declared"), "number of segments differs from the plan")
+    plans = plans.select(mission, why.alias("reason"))
+    refused = plans.where("reason IS NOT NULL").select(mission, F.lit("refused").alias("state"), "reason")
+    p = p.join(plans.where("reason IS NULL").select(mission), mission, "left_semi")
     flown = done.select(mission, "idx", F.lit(1).alias("_done")).distinct()
     g = p.join(flown, [mission, "idx"], "left").groupBy(mission, "segment").agg(F.count(F.lit(1)).alias("planned"), F.count("_done").alias("completed"))
-    return (g.withColumn("percent", 100.0 * F.col("completed") / F.col("planned"))
-            .withColumn("state", F.when(F.col("completed") == F.col("planned"), "complete").when(F.col("completed") == 0, "not_started").otherwise("partial")))
+    good = (g.withColumn("percent", 100.0 * F.col("completed") / F.col("planned"))
+            .withColumn("state", F.when(F.col("completed") == F.col("planned"), "complete").when(F.col("completed") == 0, "not_started").otherwise("partial"))
+            .withColumn("reason", F.lit(None).cast("string")))
+    return good.unionByName(refused, allowMissingColumns=True)
 
 
 def next_segment(progress: DataFrame, mission: str = "mission_id") -> DataFrame:

@@ -79,7 +79,7 @@ def health_trend(runs: DataFrame, key: str = "asset_id") -> DataFrame:
         F.when(month <= -1.0, "degrading").when(month >= 1.0, "improving").otherwise("stable").alias("direction")))
 
 
-def recent_runs(runs: DataFrame, *, key: str = "asset_id", keep: int = 30, folders: int = 160, name: str = "run_name") -> DataFrame:
+def recent_runs(runs: DataFrame, *, keep: int, folders: int, key: str = "asset_id", name: str = "run_name") -> DataFrame:
     """Last ``keep`` runs of each asset by time, among the last ``folders`` runs of all by name.
 
     The folder limit is a global top-k: a sort with a limit keeps k rows per task.

@@ -212,9 +212,10 @@ def duplicate_groups(images: DataFrame, keys: list[str], digest: str) -> DataFra
 
 
 def dataset_validation(images: DataFrame, key: str, digest: str = "phash") -> DataFrame:
+    """Counts and status of a dataset. Sharpness counts only for images that can be opened."""
     flagged = image_qa_flags(images)
     base = flagged.groupBy(key).agg(F.count(F.lit(1)).alias("total"), F.count_if("corrupt").alias("corrupt"),
-                                    F.count_if(F.array_contains("qa_flags", "blurry")).alias("blurry"),
+                                    F.count_if(F.array_contains("qa_flags", "blurry") & ~F.coalesce("corrupt", F.lit(False))).alias("blurry"),
                                     F.count_if(F.array_contains("qa_flags", "missing_gps")).alias("missing_gps"))
     dup = duplicate_groups(images, [key], digest).groupBy(key).agg(F.sum("duplicates").alias("duplicates"))
     j = base.join(dup, key, "left").na.fill(0, ["duplicates"])
@@ -454,21 +455,43 @@ def road_surface_flag(findings: DataFrame, road_cells: DataFrame, keys: list[str
             .withColumn("on_road", F.coalesce("on_road", F.lit(False))).withColumn("requires_review", ~F.col("on_road")))
 
 
-def report_context(projects: DataFrame, tables: dict[str, DataFrame], audit: DataFrame | None, project: str, per_table: int = 200) -> DataFrame:
-    """Per project: row counts of every table and the newest entries as nested lists.
+def _reported(df: DataFrame) -> DataFrame:
+    return df.where("include_in_report") if "include_in_report" in df.columns else df
 
-    Lists hold the ``per_table`` newest rows by ``seq`` (the report's own limit); counts cover all rows.
-    """
+
+def report_counts(projects: DataFrame, tables: dict[str, DataFrame], project: str) -> DataFrame:
+    """Per project: number of report rows of every table."""
     out = projects.select(project).distinct()
-    shown = dict(tables, **({"audit": audit} if audit is not None else {}))
-    for name, df in shown.items():
-        if "include_in_report" in df.columns:
-            df = df.where("include_in_report")
+    for name, df in tables.items():
+        out = out.join(_reported(df).groupBy(project).agg(F.count(F.lit(1)).alias(f"{name}_count")), project, "left")
+    return out.na.fill(0)
+
+
+def report_context(projects: DataFrame, tables: dict[str, DataFrame], audit: DataFrame | None, project: str, audit_limit: int | None = None) -> DataFrame:
+    """Every report row of a project's tables: ``project, entry_of, position, seq, entry``, newest (by ``seq``) first.
+
+    ``entry`` is the row as JSON. Rows stay rows, so a project of any size is dealt to many tasks. ``audit_limit`` is the
+    report's own limit on its audit trail; no other table is cut.
+    """
+    known = projects.select(project).distinct()
+    out = None
+    for name, df in (tables | ({"audit": audit} if audit is not None else {})).items():
         cols = [c for c in df.columns if c != project]
-        n = df.groupBy(project).agg(F.count(F.lit(1)).alias(f"{name}_count"))
-        # newest rows without sorting a whole project: blocks of the sequence first, then the rows kept
-        neg = with_row_number(df.withColumn("_neg", -F.col("seq")), [project], ["_neg"], [block("_neg", 1e5)], "_rn").where(F.col("_rn") <= per_table)
-        kept = neg.groupBy(project).agg(F.array_sort(F.collect_list(F.struct("_rn", F.struct(*cols).alias("row")))).alias("_l"))
-        kept = kept.select(project, F.transform("_l", lambda e: e["row"]).alias(name))
-        out = out.join(n, project, "left").join(kept, project, "left").na.fill(0, [f"{name}_count"])
+        rows = (_reported(df).join(known, project, "left_semi")
+                .select(project, F.lit(name).alias("entry_of"), F.col("seq").cast("long").alias("seq"), F.to_json(F.struct(*cols)).alias("entry")))
+        rows = with_row_number(rows.withColumn("_neg", -F.col("seq")), [project], ["_neg", "entry"], [block("_neg", 1e5)], "position").drop("_neg")
+        if name == "audit" and audit_limit is not None:
+            rows = rows.where(F.col("position") <= audit_limit)
+        out = rows if out is None else out.unionByName(rows)
     return out
+
+
+#: fixed values: what a list of findings is ordered by, first key first
+FINDING_ORDER = {"risk": ("-risk_score",), "regions": ("-volume_m3", "region_id"), "deformation": ("-max_displacement_m",), "defects": ("-area_m2",)}
+
+
+def order_findings(findings: DataFrame, kind: str, ties: str) -> DataFrame:
+    """Findings in report order, for the sink; equal ones by ``ties``."""
+    by = [F.desc_nulls_last(k[1:]) if k.startswith("-") else F.asc(k) for k in FINDING_ORDER[kind]]
+    return findings.orderBy(*by, F.asc(ties))
+

@@ -53,22 +53,26 @@ def _cells(lon: Column, lat: Column, radius_m: float) -> tuple[Column, Column]:
 
 
 def _neighbour_cells(lon: Column, lat: Column, radius_m: float) -> Column:
-    """Keys of all cells a point within ``radius_m`` can fall in, across band borders as well.
-
-    Longitudes are not wrapped at the date line.
-    """
+    """Keys of all cells a point within ``radius_m`` can fall in, over all latitude bands in reach and across the date line."""
     step = radius_m * 1.001 / METRES_PER_DEGREE
     row = F.floor(lat / F.lit(step)).cast("long")
 
-    def around(band: Column) -> list[Column]:
-        c = F.floor(lon / (F.lit(step) / _widest(band))).cast("long")
+    def cells(band: Column, at: Column) -> list[Column]:
+        c = F.floor(at / (F.lit(step) / _widest(band))).cast("long")
         return [F.xxhash64(band, row + dy, c + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 
+    def around(band: Column) -> Column:
+        """Cells of one band; a point near the date line is looked for from the other side as well."""
+        reach = 2 * F.lit(step) / _widest(band)
+        east, west = F.when(lon + reach > 180, lon - 360), F.when(lon - reach < -180, lon + 360)
+        both = F.array(*cells(band, lon), *cells(band, F.coalesce(east, lon)), *cells(band, F.coalesce(west, lon)))
+        return F.when(east.isNull() & west.isNull(), F.array(*cells(band, lon))).otherwise(both)
+
     own = F.floor(lat).cast("int")
     below, above = F.floor(lat - step).cast("int"), F.floor(lat + step).cast("int")
     inside = (below == own) & (above == own)
-    return (F.when(inside, F.array(*around(own)))
-            .otherwise(F.array_distinct(F.array(*around(below), *around(own), *around(above)))))
+    bands = F.sequence(F.greatest(below, F.lit(-91)), F.least(above, F.lit(90)))
+    return F.when(inside, F.array_distinct(around(own))).otherwise(F.array_distinct(F.flatten(F.transform(bands, around))))
 
 
 def _cell_key(lon: Column, lat: Column, radius_m: float) -> Column:

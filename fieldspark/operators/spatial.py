@@ -97,25 +97,31 @@ def segments(surfaces: DataFrame, keys: list[str], surface_id: str, closed: str
 
 
 def closest_approach(points: DataFrame, surfaces: DataFrame, keys: list[str], surface_id: str, *, start_m: float = 50.0,
-                     closed: str | None = None, rounds: int = 24) -> DataFrame:
-    """Smallest distance of any point to each surface, exact, by a search radius that doubles.
+                     closed: str | None = None) -> DataFrame:
+    """Smallest distance of any point to each surface, exact, by a search radius that grows fourfold until none is left.
 
-    A surface leaves the search once its best distance is within the radius already searched.
+    A surface leaves the search once its best distance is within the radius already searched. Surfaces whose key has no
+    point come back without a distance, with status ``no_points``.
     """
     from fieldspark.session import cut
     seg = cut(segments(surfaces, keys, surface_id, closed))
-    todo, radius, done = seg, start_m, []
-    for _ in range(rounds):
+    placed = points.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    if keys:
+        todo = seg.join(placed.select(*keys).distinct(), keys, "left_semi")
+    else:
+        todo = seg.limit(0) if placed.isEmpty() else seg
+    bare = seg.select(*keys, surface_id).distinct().join(todo.select(*keys, surface_id).distinct(), keys + [surface_id], "left_anti")
+    radius, done = start_m, [bare.withColumn("closest_m", F.lit(None).cast("double")).withColumn("status", F.lit("no_points"))]
+    todo = cut(todo)
+    while not todo.isEmpty():
         grown = (todo.withColumn("_bx", F.explode(F.sequence(_bucket(F.least("ax", "bx") - radius, radius * 4), _bucket(F.greatest("ax", "bx") + radius, radius * 4))))
                  .withColumn("_by", F.explode(F.sequence(_bucket(F.least("ay", "by") - radius, radius * 4), _bucket(F.greatest("ay", "by") + radius, radius * 4)))))
         pts = points.select(*keys, "x", "y").withColumn("_bx", _bucket(F.col("x"), radius * 4)).withColumn("_by", _bucket(F.col("y"), radius * 4))
         best = (grown.join(pts, keys + ["_bx", "_by"]).groupBy(*keys, surface_id)
                 .agg(F.min(segment_distance("x", "y", "ax", "ay", "bx", "by")).alias("closest_m")).where(F.col("closest_m") <= radius))
         best = cut(best)
-        done.append(best)
+        done.append(best.withColumn("status", F.lit("ok")))
         todo = cut(todo.join(best, keys + [surface_id], "left_anti"))
-        if todo.isEmpty():
-            break
         radius *= 4
     out = done[0]
     for more in done[1:]:
@@ -127,12 +133,13 @@ def hazards_near(waypoints: DataFrame, markers: DataFrame, keys: list[str], clea
     """Markers whose edge comes within ``clearance_m`` of a waypoint, with the smallest gap.
 
     ``markers(marker_id, lon, lat, radius_m)``. Markers are split by size class, so that each class
-    joins on cells of its own reach.
+    joins on cells of its own reach; there are no more classes than powers of two up to half the globe, since a larger reach
+    covers everything. No marker gives no row.
     """
     from fieldspark.operators.matching import near_pairs
-    reach = F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("radius_m") + clearance_m))).cast("int")
+    reach = F.least(F.lit(25), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("radius_m") + clearance_m)))).cast("int")
     sized = markers.withColumn("_class", reach)
-    classes = sorted(r["_class"] for r in sized.select("_class").distinct().limit(64).collect())     # at most 64 powers of two
+    classes = sorted(r["_class"] for r in sized.select("_class").distinct().collect())  # 0 to 25
     out = None
     for k in classes:
         m = sized.where(F.col("_class") == k).select(*keys, "marker_id", "radius_m", F.col("lon").alias("_mx"), F.col("lat").alias("_my"))
@@ -140,6 +147,8 @@ def hazards_near(waypoints: DataFrame, markers: DataFrame, keys: list[str], clea
         hit = near_pairs(w, m, keys, float(2**k), lpos=("_wx", "_wy"), rpos=("_mx", "_my"), earth=EARTH_RADIUS_TRACK_M)
         part = (hit.groupBy(*keys, "marker_id").agg(F.min(F.col("distance_m") - F.col("radius_m")).alias("gap_m")).where(F.col("gap_m") <= clearance_m))
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = markers.select(*keys, "marker_id", F.lit(None).cast("double").alias("gap_m")).limit(0)
     return out
 
 
@@ -170,7 +179,7 @@ def sample_bilinear(points: DataFrame, cells: DataFrame, keys: list[str], *, wid
     return points.join(total.select(*keys, *row_key, F.when(F.col("_hole") == 0, F.col("_s")).alias("sample")), keys + row_key, "left")
 
 
-def thin_samples(samples: DataFrame, keys: list[str], order: list[str], chunk: list[Column], limit: int = 20_000) -> DataFrame:
+def thin_samples(samples: DataFrame, keys: list[str], order: list[str], chunk: list[Column], limit: int) -> DataFrame:
     """Every ``ceil(n / limit)``-th elevation sample of a site, from the first on (a sampling operator)."""
     from fieldspark.operators.ordered import join_side, with_row_number
     step = samples.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(float(limit)))).alias("_step"))

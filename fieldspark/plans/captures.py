@@ -97,16 +97,18 @@ def remaining_captures(spark, sf):
 
 @query("site_verdict", CAPTURE_CTE + """,
 q AS (SELECT mission_id, count(*) AS n, sum(CASE WHEN alt_m < 59 THEN 1 ELSE 0 END) AS flagged, sum(CASE WHEN lon IS NULL THEN 1 ELSE 0 END) AS unread FROM captured GROUP BY 1),
-c AS (SELECT p.mission_id, 100.0 * count(m.l) / count(*) AS pct FROM planned p LEFT JOIN matched m ON m.g = p.mission_id AND m.l = p.idx GROUP BY 1)
+g AS (SELECT mission_id, count(*) FILTER (WHERE lon IS NULL OR lat IS NULL) AS bare FROM captured GROUP BY 1),
+c AS (SELECT p.mission_id, 100.0 * count(m.l) / count(*) AS pct, count(*) - count(m.l) AS missed FROM planned p LEFT JOIN matched m ON m.g = p.mission_id AND m.l = p.idx GROUP BY 1)
 SELECT c.mission_id, round(c.pct, 4) AS coverage_pct, CAST(unread AS BIGINT) AS unreadable, round(100.0 * flagged / n, 4) AS flagged_pct,
-       CASE WHEN unread > 0 OR pct < 95 OR 100.0 * flagged / n > 5 THEN 'blocked' WHEN flagged > 0 THEN 'warnings' ELSE 'ready' END AS verdict
-FROM c JOIN q USING (mission_id)""")
+       CASE WHEN unread > 0 OR pct < 95 OR 100.0 * flagged / n > 5 THEN 'blocked' WHEN flagged > 0 OR missed > 0 OR bare > 0 THEN 'warnings' ELSE 'ready' END AS verdict,
+       concat_ws(',', CASE WHEN pct >= 95 AND missed > 0 THEN 'missed' END, CASE WHEN bare > 0 THEN 'ungeotagged' END, CASE WHEN flagged > 0 AND 100.0 * flagged / n <= 5 THEN 'quality' END) AS warnings
+FROM c JOIN q USING (mission_id) JOIN g USING (mission_id)""")
 def site_verdict(spark, sf):
     cov = capture.coverage(view(spark, sf, "planned"), view(spark, sf, "captured"), matches(spark, sf))
     quality = (view(spark, sf, "captured").groupBy("mission_id").agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("alt_m") < 59).alias("flagged"),
                                                                      F.count_if(F.col("lon").isNull()).alias("unreadable")))
     v = capture.site_verdict(cov, quality, "mission_id")
-    return v.select("mission_id", F.round("coverage_pct", 4).alias("coverage_pct"), "unreadable", F.round("flagged_pct", 4).alias("flagged_pct"), "verdict")
+    return v.select("mission_id", F.round("coverage_pct", 4).alias("coverage_pct"), "unreadable", F.round("flagged_pct", 4).alias("flagged_pct"), "verdict", F.array_join("warnings", ",").alias("warnings"))
 
 
 EPOCH_CTE = cte("defects_t1", "defects_t2") + f""",

@@ -165,10 +165,9 @@ def detection_floor(spark, sf):
     return p.select("p_partkey", *r(("floor_m", physics.detection_floor((k % 7) / 100.0, (k % 5) / 100.0, (k % 3 - 1) / 50.0)), ("p6", physics.hazard_probability((k % 9) / 100.0, F.lit(0.5)))))
 
 
-@query("names", """SELECT doc_id, trim(regexp_replace(lower(left_part), '[^a-z0-9]+', '_', 'g'), '_') AS canonical, trim(regexp_replace(lower(left_part), '\\s+', ' ', 'g')) AS tag FROM (SELECT doc_id, regexp_replace(text, '[^ -~\\n\\t]', '', 'g') AS left_part FROM documents)""")
+@query("names", """SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^a-z0-9]+', '_', 'g'), '_') AS canonical, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS tag FROM documents""")
 def names(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[^ -~\\n\\t]", "").alias("t"))
-    return d.select("doc_id", text.canonical_name("t").alias("canonical"), text.normalise_tag("t").alias("tag"))
+    return table(spark, sf, "documents").select("doc_id", text.canonical_name("text").alias("canonical"), text.normalise_tag("text").alias("tag"))
 
 
 @query("classes_and_paths", """SELECT p_partkey, replace(replace(lower(p_name), ' ', '_'), '-', '_') AS class, regexp_replace(CAST(p_partkey % 10 AS VARCHAR) || ' ' || p_name, '^[0-9]+ +', '') AS cleaned, p_name || '.JPG' AS base, '.jpg' AS ext, p_name AS stem, 'asset_' || lower(replace(replace(p_brand, '#', '_'), ' ', '_')) AS slug FROM part""")

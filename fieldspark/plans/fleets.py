@@ -92,22 +92,27 @@ def mission_estimates(spark, sf):
     return d.select("mission_id", "total_bytes", "batteries_required", F.col("fits").cast("int").alias("fits"), F.col("thin_reserve").cast("int").alias("thin_reserve"))
 
 
-@query("segment_progress", """WITH p AS (SELECT p_size AS mission_id, p_partkey AS idx, p_partkey % 4 AS segment, p_partkey % 5 < p_size % 6 AS done FROM part),
-g AS (SELECT mission_id, segment, count(*) AS n, count(*) FILTER (WHERE done) AS k FROM p GROUP BY 1, 2)
-SELECT mission_id, CAST(segment AS INT) AS segment, CAST(n AS BIGINT) AS planned, CAST(k AS BIGINT) AS completed, round(100.0 * k / n, 4) AS percent, CASE WHEN k = n THEN 'complete' WHEN k = 0 THEN 'not_started' ELSE 'partial' END AS state FROM g""")
+SEGMENTS = """WITH p AS (SELECT p_size AS mission_id, p_partkey AS idx, CASE WHEN p_size % 10 = 3 AND p_partkey % 7 = 0 THEN NULL ELSE p_partkey % 4 END AS segment, p_partkey % 5 < p_size % 6 AS done FROM part),
+r AS (SELECT mission_id FROM p GROUP BY 1 HAVING count(*) FILTER (WHERE segment IS NULL) > 0),
+g AS (SELECT mission_id, segment, count(*) AS n, count(*) FILTER (WHERE done) AS k FROM p WHERE mission_id NOT IN (SELECT mission_id FROM r) GROUP BY 1, 2)
+"""
+
+
+@query("segment_progress", SEGMENTS + """SELECT mission_id, CAST(segment AS INT) AS segment, CAST(n AS BIGINT) AS planned, CAST(k AS BIGINT) AS completed, round(100.0 * k / n, 4) AS percent,
+CASE WHEN k = n THEN 'complete' WHEN k = 0 THEN 'not_started' ELSE 'partial' END AS state, CAST(NULL AS VARCHAR) AS reason FROM g
+UNION ALL SELECT mission_id, NULL, NULL, NULL, NULL, 'refused', 'capture points without a segment' FROM r""")
 def segment_progress(spark, sf):
     return segments(spark, sf).withColumn("percent", F.round("percent", 4))
 
 
 def segments(spark, sf):
-    p = table(spark, sf, "part").selectExpr("p_size AS mission_id", "p_partkey AS idx", "CONCAT('linked_seg', p_partkey % 4, ':strip') AS primitive", "p_partkey % 5 < p_size % 6 AS done")
+    p = table(spark, sf, "part").selectExpr("p_size AS mission_id", "p_partkey AS idx", "CASE WHEN p_size % 10 = 3 AND p_partkey % 7 = 0 THEN 'orbit' ELSE CONCAT('linked_seg', p_partkey % 4, ':strip') END AS primitive", "p_partkey % 5 < p_size % 6 AS done")
     return fleet.segment_progress(p, p.where("done"))
 
 
-@query("next_segment", """WITH p AS (SELECT p_size AS mission_id, p_partkey % 4 AS segment, p_partkey % 5 < p_size % 6 AS done FROM part),
-g AS (SELECT mission_id, segment, count(*) AS n, count(*) FILTER (WHERE done) AS k FROM p GROUP BY 1, 2),
-m AS (SELECT mission_id, min(CASE WHEN k > 0 AND k < n THEN segment END) AS part, min(CASE WHEN k = 0 THEN segment END) AS todo FROM g GROUP BY 1)
-SELECT mission_id, CAST(coalesce(part, todo) AS INT) AS next_segment, CASE WHEN part IS NOT NULL THEN 'finish' WHEN todo IS NOT NULL THEN 'start' ELSE 'none' END AS action FROM m""")
+@query("next_segment", SEGMENTS + """, m AS (SELECT mission_id, min(CASE WHEN k > 0 AND k < n THEN segment END) AS part, min(CASE WHEN k = 0 THEN segment END) AS todo FROM g GROUP BY 1)
+SELECT mission_id, CAST(coalesce(part, todo) AS INT) AS next_segment, CASE WHEN part IS NOT NULL THEN 'finish' WHEN todo IS NOT NULL THEN 'start' ELSE 'none' END AS action FROM m
+UNION ALL SELECT mission_id, NULL, 'none' FROM r""")
 def next_segment(spark, sf):
     return fleet.next_segment(segments(spark, sf))
 

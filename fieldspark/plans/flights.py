@@ -78,7 +78,7 @@ k AS (SELECT *, CONCAT('run-', lpad(CAST(run_seq AS VARCHAR), 12, '0')) AS run_n
 SELECT asset_id, run_seq FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY run_utc DESC, run_seq DESC) AS n FROM k) WHERE n <= 30""")
 def recent_runs(spark, sf):
     named = view(spark, sf, "runs").withColumn("run_name", F.concat(F.lit("run-"), F.lpad(F.col("run_seq").cast("string"), 12, "0")))
-    return flights.recent_runs(named).select("asset_id", "run_seq")
+    return flights.recent_runs(named, keep=30, folders=160).select("asset_id", "run_seq")
 
 
 @query("growth_series", cte("images") + """,

@@ -127,7 +127,7 @@ def duplicate_groups(spark, sf):
 
 @query("dataset_validation", IMG + """,
 d AS (SELECT dataset_id, sum(n - 1) AS dup FROM (SELECT dataset_id, phash, count(*) AS n FROM images GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1),
-b AS (SELECT dataset_id, count(*) AS total, count(*) FILTER (WHERE corrupt) AS corrupt, count(*) FILTER (WHERE sharpness < 100) AS blurry, count(*) FILTER (WHERE gps_lat IS NULL) AS missing_gps FROM images GROUP BY 1)
+b AS (SELECT dataset_id, count(*) AS total, count(*) FILTER (WHERE corrupt) AS corrupt, count(*) FILTER (WHERE sharpness < 100 AND NOT corrupt) AS blurry, count(*) FILTER (WHERE gps_lat IS NULL) AS missing_gps FROM images GROUP BY 1)
 SELECT dataset_id, CAST(total AS BIGINT) AS total, CAST(corrupt AS BIGINT) AS corrupt, CAST(blurry AS BIGINT) AS blurry, CAST(missing_gps AS BIGINT) AS missing_gps, CAST(coalesce(dup, 0) AS BIGINT) AS duplicates,
        CASE WHEN corrupt > 0 OR 100.0 * blurry / total > 40 THEN 'failing' WHEN blurry > 0 OR coalesce(dup, 0) > 0 OR 100.0 * (total - missing_gps) / total < 80 THEN 'warnings' ELSE 'passing' END AS status
 FROM b LEFT JOIN d USING (dataset_id)""")
@@ -342,15 +342,28 @@ def severity_of_detection(spark, sf):
     return d.select("o_orderkey", bands.severity_of_detection("t", "c", "a", F.lit(10000)).alias("severity"))
 
 
-@query("report_context", DEF + """,
-p AS (SELECT c_custkey AS survey_id FROM customer), d AS (SELECT survey_id, count(*) AS n, list(defect_id ORDER BY defect_id DESC)[1:3] AS l FROM defects_t1 GROUP BY 1),
-m AS (SELECT o_custkey AS survey_id, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
-SELECT survey_id, CAST(coalesce(d.n, 0) AS BIGINT) AS defects_count, CAST(coalesce(m.n, 0) AS BIGINT) AS measurements_count, coalesce(array_to_string(d.l, ','), '') AS newest
-FROM p LEFT JOIN d USING (survey_id) LEFT JOIN m USING (survey_id)""")
-def report_context(spark, sf):
+REPORT = DEF + """,
+p AS (SELECT c_custkey AS survey_id FROM customer),
+e AS (SELECT survey_id, 'defects' AS entry_of, defect_id AS seq FROM defects_t1 WHERE survey_id IN (SELECT survey_id FROM p)
+      UNION ALL SELECT o_custkey, 'measurements', o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey IN (SELECT survey_id FROM p))
+"""
+
+
+def report_tables(spark, sf):
     p = table(spark, sf, "customer").select(F.col("c_custkey").alias("survey_id"))
     d = view(spark, sf, "defects_t1").select("survey_id", F.col("defect_id").alias("seq"), "severity")
     m = table(spark, sf, "orders").select(F.col("o_custkey").alias("survey_id"), F.col("o_orderkey").alias("seq"), (F.col("o_orderstatus") == "F").alias("include_in_report"))
-    c = ins.report_context(p, {"defects": d, "measurements": m}, None, "survey_id", per_table=3)
-    newest = F.coalesce(F.array_join(F.transform("defects", lambda e: e["seq"].cast("string")), ","), F.lit(""))
-    return c.select("survey_id", "defects_count", "measurements_count", newest.alias("newest"))
+    return p, {"defects": d, "measurements": m}
+
+
+@query("report_context", REPORT + """SELECT survey_id, entry_of, CAST(seq AS BIGINT) AS seq, CAST(seq AS VARCHAR) AS entry_seq,
+CAST(row_number() OVER (PARTITION BY survey_id, entry_of ORDER BY seq DESC) AS BIGINT) AS position FROM e""")
+def report_context(spark, sf):
+    rows = ins.report_context(*report_tables(spark, sf), None, "survey_id")
+    return rows.select("survey_id", "entry_of", "seq", F.get_json_object("entry", "$.seq").alias("entry_seq"), "position")
+
+
+@query("report_counts", REPORT + """SELECT survey_id, CAST(count(*) FILTER (WHERE entry_of = 'defects') AS BIGINT) AS defects_count, CAST(count(*) FILTER (WHERE entry_of = 'measurements') AS BIGINT) AS measurements_count
+FROM p LEFT JOIN e USING (survey_id) GROUP BY 1""")
+def report_counts(spark, sf):
+    return ins.report_counts(*report_tables(spark, sf), "survey_id")

@@ -86,13 +86,13 @@ def read_capture_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def bundle_from_folders(files: DataFrame, start_ms: float = 0.0, step_ms: float = 200.0) -> DataFrame:
     """Frames of ``<root>/{rgb,thermal,multispectral,lidar}/file`` listings (column ``path``), timed by name order.
 
-    A folder's frames are numbered in chunks by the first characters of their names.
+    A folder's frames are numbered in chunks by the first characters of their paths, which sort as the paths do.
     """
     from fieldspark.operators.ordered import with_row_number
     parts = "([^/\\\\]+)[/\\\\](rgb|thermal|multispectral|lidar)[/\\\\][^/\\\\]+$"
     rows = (files.select("path").withColumn("bundle_id", F.concat(F.regexp_extract("path", parts, 1), F.lit("_bundle"))).withColumn("sensor", F.regexp_extract("path", parts, 2))
             .where((F.col("sensor") != "") & F.when(F.col("sensor") == "lidar", extension("path").isin(*LIDAR_EXTENSIONS)).otherwise(extension("path").isin(*IMAGE_EXTENSIONS))))
-    numbered = with_row_number(rows, ["bundle_id", "sensor"], ["path"], [F.substring(base_name("path"), 1, 6)], "_rn")
+    numbered = with_row_number(rows, ["bundle_id", "sensor"], ["path"], [F.substring("path", 1, 64)], "_rn")
     band = F.lit("unknown")
     for name in reversed(MS_BANDS):
         band = F.when(F.lower(stem("path")).contains(name), name).otherwise(band)
@@ -146,9 +146,15 @@ def _header_index(cells: Column, names: tuple[str, ...]) -> Column:
     return F.get(found, F.lit(0))
 
 
+def csv_cells(line: str, sep: str = ",") -> Column:
+    """Fields of a CSV line. A field in double quotes may hold the separator, and two quotes for one."""
+    parts = F.split(line, f"[{sep}](?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")
+    return F.transform(parts, lambda p: F.when(F.trim(p).rlike('^".*"$'), F.replace(F.regexp_replace(F.trim(p), '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(p))
+
+
 def _csv_by_alias(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]], sep: str = ",") -> DataFrame:
     """Rows of header-led tables whose columns go by several names: ``file, row_no, <fields>`` plus ``has_<field>``."""
-    lines = _lines(spark, path).where(F.trim(F.translate("line", sep, "")) != "").withColumn("cells", F.split("line", sep))
+    lines = _lines(spark, path).where(F.trim(F.translate("line", sep, "")) != "").withColumn("cells", csv_cells("line", sep))
     head = lines.groupBy("file").agg(F.min_by("cells", "line_no").alias("head"), F.min("line_no").alias("head_no"))
     rows = lines.join(head, "file").where(F.col("line_no") > F.col("head_no"))
     for field, names in aliases.items():
@@ -184,12 +190,13 @@ def read_camera_events(spark: SparkSession, path: str, leap: int = DEFAULT_LEAP_
     """Shutter events: sequence, second of week, week, then ``value,TAG`` tokens. Corrections come in millimetres."""
     lines = spark.read.text(path).withColumn("file", F.input_file_name()).withColumn("line", F.trim("value")).where("line <> '' AND NOT startswith(line, '#')")
     f = lines.withColumn("_f", F.split("line", "\\s+"))
-    tokens = F.filter(F.slice("_f", 4, 1000), lambda t: t.contains(",") & F.regexp_replace(t, ",[^,]*$", "").try_cast("double").isNotNull())
-    tags = F.map_from_entries(F.array_distinct(F.transform(tokens, lambda t: F.struct(F.trim(F.regexp_extract(t, "([^,]*)$", 1)).alias("k"), F.regexp_replace(t, ",[^,]*$", "").cast("double").alias("v")))))
+    tokens = F.filter(F.slice("_f", F.lit(4), F.greatest(F.size("_f"), F.lit(1))), lambda t: t.contains(",") & F.regexp_replace(t, ",[^,]*$", "").try_cast("double").isNotNull())
+    tags = F.transform(tokens, lambda t: F.struct(F.trim(F.regexp_extract(t, "([^,]*)$", 1)).alias("k"), F.regexp_replace(t, ",[^,]*$", "").cast("double").alias("v")))
     f = f.withColumn("_t", tags)
-    tag = lambda k: F.coalesce(F.element_at("_t", F.lit(k)), F.lit(0.0))
+    last = lambda k: F.try_element_at(F.filter("_t", lambda e: e["k"] == k), F.lit(-1))["v"]  # a repeated tag: the last one counts
+    tag = lambda k: F.coalesce(last(k), F.lit(0.0))
     at = lambda i: F.get("_f", F.lit(i))
-    flag = F.coalesce(F.element_at("_t", F.lit("Q")), F.element_at("_t", F.lit("Flag")), F.lit(0.0)).cast("int")
+    flag = F.coalesce(last("Q"), last("Flag"), F.lit(0.0)).cast("int")
     seq, sow, week = at(0).try_cast("int"), at(1).try_cast("double"), at(2).try_cast("int")
     broken = (F.size("_f") < 3) | seq.isNull() | sow.isNull() | week.isNull()
     return f.select("file", seq.alias("sequence"), week.alias("gps_week"), sow.alias("gps_seconds"), gps_to_utc(week, sow, leap).alias("ts"), tag("Lat").alias("lat"), tag("Lon").alias("lon"),
@@ -215,8 +222,8 @@ def read_base_sessions(spark: SparkSession, path: str) -> DataFrame:
 
     xyz = F.transform(F.slice(F.split(body("APPROX POSITION XYZ"), "\\s+"), 1, 3), lambda v: v.try_cast("double"))
     rec, ant = F.split(body("REC # / TYPE / VERS"), "\\s+"), F.split(body("ANT # / TYPE"), "\\s+")
-    out = doc.select("file", "_end", F.coalesce(body("MARKER NAME"), F.lit("")).alias("marker"), F.array_join(F.slice(rec, 2, 2), " ").alias("receiver"),
-                     F.array_join(F.slice(ant, 2, 20), " ").alias("antenna"), xyz.alias("approx_xyz_m"), epoch("TIME OF FIRST OBS").alias("first_obs"), epoch("TIME OF LAST OBS").alias("last_obs"),
+    out = doc.select("file", "_end", F.coalesce(body("MARKER NAME"), F.lit("")).alias("marker"), F.when(F.size(rec) >= 3, F.array_join(F.slice(rec, 2, 2), " ")).otherwise(body("REC # / TYPE / VERS")).alias("receiver"),
+                     F.array_join(F.slice(ant, F.lit(2), F.greatest(F.size(ant), F.lit(1))), " ").alias("antenna"), xyz.alias("approx_xyz_m"), epoch("TIME OF FIRST OBS").alias("first_obs"), epoch("TIME OF LAST OBS").alias("last_obs"),
                      F.get(F.split(body("INTERVAL"), "\\s+"), F.lit(0)).try_cast("double").alias("interval_s"))
     why = (F.when(~F.col("_end"), "no end of header").when(F.col("first_obs").isNull(), "no time of first observation")
            .when((F.size(F.coalesce("approx_xyz_m", F.array().cast("array<double>"))) < 3) | F.exists("approx_xyz_m", lambda v: v.isNull()), "no approximate position"))

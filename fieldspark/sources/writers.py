@@ -139,7 +139,7 @@ def write_corpus_manifest(samples: DataFrame, counts: DataFrame, path: str, mode
     counts.write.mode(mode).json(f"{path}/counts")
 
 
-def lineage_rows(artifacts: DataFrame, sources: DataFrame, engine: str, parameters: str, keep: int = 500) -> DataFrame:
+def lineage_rows(artifacts: DataFrame, sources: DataFrame, engine: str, parameters: str, keep: int) -> DataFrame:
     """One row per artifact: digest, size, true source count and its first ``keep`` sources by name.
 
     The listed sources are the record's own limit; the count covers all of them.
@@ -163,23 +163,32 @@ def append_table(df: DataFrame, path: str, partition: list[str] | None = None) -
 def upsert_table(new: DataFrame, path: str, key: list[str], version: str) -> None:
     """Latest row per key of the stored table and ``new``, written beside the table; a pointer row names the live folder.
 
-    The stored version is never overwritten while it is read.
+    The stored version is never overwritten while it is read. Only a table without any pointer counts as new; columns that
+    cannot be merged raise and leave the stored table as it is.
     """
-    from pyspark.errors import AnalysisException
+    number, live = _pointer(new.sparkSession, path)
+    both = new if live is None else new.sparkSession.read.parquet(f"{path}/{live}").unionByName(new, allowMissingColumns=True)
     spark = new.sparkSession
-    try:
-        old = current_table(spark, path)
-        both = old.unionByName(new, allowMissingColumns=True)
-    except AnalysisException:
-        both = new
     cols = [c for c in both.columns if c not in key]
     merged = both.groupBy(*key).agg(F.max_by(F.struct(*cols), F.col(version)).alias("_r")).select(*key, *[F.col(f"_r.{c}").alias(c) for c in cols])
     import uuid
     folder = f"v-{uuid.uuid4().hex}"
     merged.write.parquet(f"{path}/{folder}")
-    spark.createDataFrame([(folder,)], "folder string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/_live")
+    spark.createDataFrame([(folder, number + 1)], "folder string, number long").coalesce(1).write.mode("append").parquet(f"{path}/_live")
+
+
+def _pointer(spark, path: str) -> tuple[int, str | None]:
+    """Number and folder of the live version; 0 and None before the first."""
+    from pyspark.errors import AnalysisException
+    try:
+        named = spark.read.schema("folder string, number long").parquet(f"{path}/_live")
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0, None
+    last = named.agg(F.max(F.struct("number", "folder")).alias("_p")).first()["_p"]
+    return (last["number"], last["folder"]) if last else (0, None)
 
 
 def current_table(spark, path: str) -> DataFrame:
-    live = spark.read.parquet(f"{path}/_live").agg(F.max_by("folder", "at")).first()[0]
-    return spark.read.parquet(f"{path}/{live}")
+    return spark.read.parquet(f"{path}/{_pointer(spark, path)[1]}")

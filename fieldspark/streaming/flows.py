@@ -125,7 +125,7 @@ def contact_lost(states: DataFrame, silence_ms: int = 60_000, watermark: str = W
                                     "ms long, phase string, clean boolean, lat double, lon double, bat double, wp int", "append", GroupStateTimeout.EventTimeTimeout))
 
 
-def event_buffer(events: DataFrame, path: str, log: str, keep: int = 10_000, key: str = "org_id", order: str = "event_id"):
+def event_buffer(events: DataFrame, path: str, log: str, keep: int, key: str = "org_id", order: str = "event_id"):
     """Append events to a buffer and keep the newest ``keep`` per organisation after each batch.
 
     Each batch writes a new buffer version and then names it; a re-run of a batch rewrites the same version.
@@ -134,22 +134,29 @@ def event_buffer(events: DataFrame, path: str, log: str, keep: int = 10_000, key
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        both = batch
-        if batch_id > 0:
-            try:
-                both = spark.read.schema(batch.schema).parquet(f"{path}/version={batch_id - 1}").unionByName(batch)
-            except Exception as err:  # noqa: BLE001 - no earlier version
-                if "PATH_NOT_FOUND" not in str(err):
-                    raise
+        before = newest_version(spark, path, below=batch_id)
+        both = batch if before is None else spark.read.schema(batch.schema).parquet(f"{path}/version={before}").unionByName(batch)
         kept = retain_latest(both.dropDuplicates([order]), keep, key=key, order=order)
         kept.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        spark.createDataFrame([(batch_id,)], "version long").coalesce(1).write.mode("append").parquet(f"{path}/_versions")
 
     return events.writeStream.foreachBatch(sink).option("checkpointLocation", log).trigger(availableNow=True).start()
 
 
+def newest_version(spark, path: str, below: int | None = None) -> int | None:
+    """Newest published version of a buffer, below a batch number if one is given; None if there is none."""
+    from pyspark.errors import AnalysisException
+    try:
+        named = spark.read.schema("version long").parquet(f"{path}/_versions")
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return (named if below is None else named.where(F.col("version") < below)).agg(F.max("version")).first()[0]
+
+
 def read_buffer(spark, path: str) -> DataFrame:
-    newest = spark.read.parquet(path).agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{path}/version={newest}")
+    return spark.read.parquet(f"{path}/version={newest_version(spark, path)}")
 
 
 def read_after(buffer: DataFrame, cursor: int, limit: int, order: str = "event_id") -> DataFrame:
