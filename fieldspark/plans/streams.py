@@ -54,11 +54,14 @@ def stream_running_distance(spark, sf):
     return d.select(F.col("key").alias("flight_id"), F.round("distance_m", 2).alias("distance_m"), "positioned")
 
 
-@query("stream_contact_lost")
+@query("stream_contact_lost", cte("telemetry") + """, l AS (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY ts DESC) AS n FROM telemetry)
+SELECT CAST(flight_id AS VARCHAR) AS aircraft_id, CAST(epoch_ms(ts) AS BIGINT) AS last_seen_ms, 'flying' AS phase, latitude, longitude, battery_pct, waypoint_index FROM l
+WHERE n = 1 AND flight_mode = 'click' AND epoch_ms(ts) + 60000 <= (SELECT max(epoch_ms(ts)) FROM telemetry) - WATERMARK_MS""".replace("WATERMARK_MS", "600000"))  # ten minutes, as flows.WATERMARK
 def stream_contact_lost(spark, sf):
     t = live(spark, sf, "telemetry").select(F.col("flight_id").cast("string").alias("aircraft_id"), "ts", F.when(F.col("flight_mode") == "click", "flying").otherwise("completed").alias("phase"),
                                             (F.col("flight_mode") != "click").alias("clean_shutdown"), "latitude", "longitude", "battery_pct", "waypoint_index")
-    return finish(flows.contact_lost(t), "contact", "append").drop("batch_id")
+    d = finish(flows.contact_lost(t), "contact", "append")
+    return d.select("aircraft_id", F.unix_millis("last_seen").alias("last_seen_ms"), "phase", "latitude", "longitude", "battery_pct", "waypoint_index")
 
 
 @query("stream_event_buffer", cte("org_events") + "SELECT org_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY event_id DESC) AS n FROM org_events) WHERE n <= 50")

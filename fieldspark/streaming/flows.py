@@ -114,7 +114,7 @@ def contact_lost(states: DataFrame, silence_ms: int = 60_000, watermark: str = W
                 yield pd.DataFrame({"aircraft_id": [k[0]], "last_seen": [pd.Timestamp(ms, unit="ms")], "phase": [phase], "latitude": [lat], "longitude": [lon], "battery_pct": [bat], "waypoint_index": [wp]})
             return
         last = pd.concat(list(batches)).sort_values("ts").iloc[-1]
-        ms = int(last["ts"].timestamp() * 1000)
+        ms = int(pd.Timestamp(last["ts"]).as_unit("ns").value // 1_000_000)
         if state.exists and state.get[0] > ms:
             return
         state.update((ms, str(last["phase"]), bool(last["clean_shutdown"]), float(last["latitude"]), float(last["longitude"]), float(last["battery_pct"]), int(last["waypoint_index"])))
