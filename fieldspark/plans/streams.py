@@ -55,8 +55,8 @@ def stream_running_distance(spark, sf):
 
 
 @query("stream_contact_lost", cte("telemetry") + """, l AS (SELECT *, row_number() OVER (PARTITION BY flight_id ORDER BY ts DESC) AS n FROM telemetry)
-SELECT CAST(flight_id AS VARCHAR) AS aircraft_id, CAST(epoch_ms(ts) AS BIGINT) AS last_seen_ms, 'flying' AS phase, latitude, longitude, battery_pct, waypoint_index FROM l
-WHERE n = 1 AND flight_mode = 'click' AND epoch_ms(ts) + 60000 <= (SELECT max(epoch_ms(ts)) FROM telemetry) - WATERMARK_MS""".replace("WATERMARK_MS", "600000"))  # ten minutes, as flows.WATERMARK
+SELECT CAST(flight_id AS VARCHAR) AS aircraft_id, CAST(epoch_us(ts) // 1000 AS BIGINT) AS last_seen_ms, 'flying' AS phase, latitude, longitude, battery_pct, waypoint_index FROM l
+WHERE n = 1 AND flight_mode = 'click' AND epoch_us(ts) // 1000 + 60000 <= (SELECT max(epoch_us(ts) // 1000) FROM telemetry) - WATERMARK_MS""".replace("WATERMARK_MS", "600000"))  # ten minutes, as flows.WATERMARK
 def stream_contact_lost(spark, sf):
     t = live(spark, sf, "telemetry").select(F.col("flight_id").cast("string").alias("aircraft_id"), "ts", F.when(F.col("flight_mode") == "click", "flying").otherwise("completed").alias("phase"),
                                             (F.col("flight_mode") != "click").alias("clean_shutdown"), "latitude", "longitude", "battery_pct", "waypoint_index")
