@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -21,6 +24,60 @@ def byte_words(text: str | None) -> list[bytes]:
     return text.encode().translate(LOWER).split() if text else []
 
 
+_rng = np.random.default_rng(20_240_229)
+_BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = _rng.integers(1, 1 << 63, 4096, np.uint64) * np.uint64(2) + np.uint64(1)
+_FOLD = np.frombuffer(LOWER, np.uint8)
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def text_chunks(texts: pa.Array, size: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """UTF-8 bytes and offsets of stretches of an Arrow string column, about ``size`` bytes or one text each."""
+    if not len(texts):
+        return
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], wide)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1)
+        yield raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
+        lo = hi
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word, A-Z lower-cased, and the number of words of each text.
+
+    A word's hash is a sum over its bytes of a random number of the byte times one of the place, which numpy makes for all
+    words at once.
+    """
+    texts = len(offsets) - 1
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(texts, np.int64)
+    inside = ~_BLANK[raw]
+    first = np.zeros(len(raw) + 1, bool)
+    first[1:-1] = inside[1:] & ~inside[:-1]
+    first[offsets[:-1]] = True  # a text begins a word if its first byte is not blank
+    first = first[:-1] & inside
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(texts, np.int64)
+    size = np.diff(np.append(starts, len(raw)))
+    place = np.arange(len(raw) - starts[0], dtype=np.int64) - np.repeat(starts - starts[0], size)
+    value = _BYTE[_FOLD[raw[starts[0]:]]] * _PLACE[place & 4095]
+    if size.max() > 4096:
+        value *= (place >> 12).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    value[~inside[starts[0]:]] = 0
+    length = np.add.reduceat(inside[starts[0]:].astype(np.int64), starts - starts[0])
+    found = mixed(np.add.reduceat(value, starts - starts[0]) + length.astype(np.uint64))
+    return found, np.diff(np.searchsorted(starts, offsets))
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    """Hashes of the given words (none of them empty or with blanks)."""
+    return word_hashes(raw := np.frombuffer(b" ".join(words), np.uint8), np.array([0, len(raw)]))[0]
+
+
 class WordHashes(dict):
     """64-bit hashes of words; remembers at most ``limit`` of them."""
 

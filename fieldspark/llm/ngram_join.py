@@ -9,29 +9,42 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from fieldspark.llm.common import WordHashes, byte_words, mixed, shingles
+from fieldspark.llm.common import mixed, shingles, text_chunks, word_hashes
 from fieldspark.operators.components import connected_components
 from fieldspark.session import cut
 
+SHINGLE = 5
 PERCENT = 75  # two sets link when 100 * intersection >= PERCENT * union
 HOT_LISTED = 1 << 16  # entries of the list of frequent shingles; it orders shingles, results do not depend on it
 HOT_LOCAL = 8  # texts of one stretch that must share a shingle to put it forward
 STRETCH = 2_000_000  # shingles counted together
 GROUP = 2_000  # texts of one shingle in one task; more are dealt to several
 TILE = 1_024
-BLOOM_BITS = 1 << 25
+BLOOM_BITS = 1 << 24  # in 64-bit words of a broadcast table: 2**18 rows at most
 
 
-def sets_of(texts: pa.Array, hashes: WordHashes) -> Iterator[np.ndarray]:
+def distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]][:len(values)]]
+
+
+def sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    for text in texts:
-        words = byte_words(text.as_py())
-        yield np.unique(shingles(hashes.of(words))) if words else np.zeros(0, np.uint64)
+    for raw, offsets in text_chunks(texts):
+        words, counts = word_hashes(raw, offsets)
+        runs = shingles(words, SHINGLE) if len(words) >= SHINGLE else words
+        for n, end in zip(counts.tolist(), np.cumsum(counts).tolist()):
+            yield distinct(runs[end - n:end - SHINGLE + 1]) if n >= SHINGLE else shingles(words[end - n:end], SHINGLE)
+
+
+def prints(found: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit fingerprints of a set."""
+    return tuple(int(np.bitwise_xor.reduce(mixed(found + np.uint64(k)))) if len(found) else 0 for k in (1, 2))
 
 
 def bitmap(found: np.ndarray) -> bytes:
-    """One bit per shingle at a hashed place; at least twice as many places as shingles, a power of two from 64."""
-    width = max(64, 1 << (2 * len(found) - 1).bit_length()) if len(found) else 64
+    """One bit per shingle at a hashed place; as many places as shingles or up to twice that, a power of two from 64."""
+    width = max(64, 1 << max(len(found) - 1, 0).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(mixed(found ^ np.uint64(0x5BF03635)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
@@ -70,11 +83,11 @@ def describe(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pa.RecordBatch.from_pylist([row], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, held, size = WordHashes(), set(), [], 0
+        seen, held, size = set(), [], 0
         for batch in batches:
             out = []
-            for found in sets_of(batch.column("text"), hashes):
-                one, two = (int(np.bitwise_xor.reduce(mixed(found + np.uint64(k)))) if len(found) else 0 for k in (1, 2))
+            for found in sets_of(batch.column("text")):
+                one, two = prints(found)
                 out.append((len(found), one, two, bitmap(found)))
                 if (one, two) not in seen:
                     if len(seen) >= 200_000:
@@ -114,13 +127,13 @@ def prefixes(rows: DataFrame, hot: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, ranks, deals = shared.value
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for batch in batches:
             docs, keys, names = [], [], []
-            for doc, found in zip(batch.column("doc").to_pylist(), sets_of(batch.column("text"), hashes)):
+            for doc, found in zip(batch.column("doc").to_pylist(), sets_of(batch.column("text"))):
                 if not len(found):
                     continue
-                mark = tuple(int(np.bitwise_xor.reduce(mixed(found + np.uint64(k)))) for k in (1, 2))
+                mark = prints(found)
                 if mark in seen:
                     continue
                 if len(seen) >= 200_000:
@@ -149,33 +162,21 @@ def prefixes(rows: DataFrame, hot: DataFrame) -> DataFrame:
     return made.select("doc", F.explode(F.arrays_zip("key", "token")).alias("_p")).select("doc", F.col("_p.key").alias("key"), F.col("_p.token").alias("token"))
 
 
-def bloom_of(ids: DataFrame, col: str) -> np.ndarray:
-    """Bits of a Bloom filter of an id column: ``BLOOM_BITS`` of them, however many ids."""
-    place = F.pmod(F.xxhash64(col), F.lit(BLOOM_BITS))
-    words = (ids.select(F.floor(place / 64).cast("int").alias("_w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("_b"))
-             .groupBy("_w").agg(F.bit_or("_b").alias("_b")))
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
-    got = words.toPandas()
-    out[got["_w"].to_numpy(np.int64)] = got["_b"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
 def wanted_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc, found``: shingle sets of the texts whose id is in ``ids`` (column ``doc``). A Bloom filter of fixed size keeps
-    other texts back, so that neither texts nor other sets are shuffled; the join takes out its false hits."""
-    shared = rows.sparkSession.sparkContext.broadcast(bloom_of(ids, "doc"))
-    named = rows.withColumn("_place", F.pmod(F.xxhash64("doc"), F.lit(BLOOM_BITS)))
+    """``doc, found``: shingle sets of the texts whose id is in ``ids`` (column ``doc``). A Bloom filter of at most
+    ``BLOOM_BITS`` bits, as a broadcast table of words, keeps other texts back, so that no text is shuffled and few are cut
+    into words; the join that follows takes out its false hits."""
+    place = F.pmod(F.xxhash64("doc"), F.lit(BLOOM_BITS))
+    word, bit = F.floor(place / 64).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    bits = ids.select(word.alias("_w"), bit.alias("_b")).groupBy("_w").agg(F.bit_or("_b").alias("_bits"))
+    hits = rows.withColumn("_w", word).join(F.broadcast(bits), "_w").where(F.col("_bits").bitwiseAND(bit) != 0).select("doc", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, words = WordHashes(), shared.value
         for batch in batches:
-            place = batch.column("_place").to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = (words[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
-            at = pa.array(np.flatnonzero(hit))
-            found = [s.tobytes() for s in sets_of(batch.column("text").take(at), hashes)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(at), pa.array(found, pa.binary())], names=["doc", "found"])
+            found = [s.tobytes() for s in sets_of(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(found, pa.binary())], names=["doc", "found"])
 
-    return named.mapInArrow(run, "doc long, found binary")
+    return hits.mapInArrow(run, "doc long, found binary")
 
 
 def bounded(edges: DataFrame, described: DataFrame) -> DataFrame:
@@ -307,16 +308,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = verified(bounded(star, of_rep), rows).unionByName(ties)
     label = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("label"))
 
-    # what is still apart under a shingle, by whole shingles again
-    apart = (met.select(F.coalesce("token", "key").alias("key"), "doc").join(of_doc, "doc").join(label, "rep", "left")
-             .select("key", "rep", F.coalesce("label", "rep").alias("label")).distinct())
-    mixed_keys = apart.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("key")
-    tiles = apart.join(mixed_keys, "key").join(of_rep, "rep").withColumn("band", band_of(F.col("n")))
+    # what is still apart under a shingle, by whole shingles again; of two texts alone the star has checked the one pair
+    apart = cut(met.select(F.coalesce("token", "key").alias("key"), "doc").join(of_doc, "doc").join(label, "rep", "left")
+                .select("key", "rep", F.coalesce("label", "rep").alias("label")).distinct())
+    open_keys = apart.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_c > 2 AND _lo < _hi").select("key")
+    tiles = apart.join(open_keys, "key").join(of_rep.select("rep", "n"), "rep").withColumn("band", band_of(F.col("n")))
     tiles = tiles.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    sizes = tiles.groupBy("key", "tile").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").drop("_lo", "_hi")
+    sizes = (tiles.groupBy("key", "tile").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"), F.min("label").alias("_lo"), F.max("label").alias("_hi"),
+                                              F.max(F.col("band") == F.col("tile")).alias("_own")).where("_lo < _hi AND _own").select("key", "tile", "blocks"))
     tiles = (tiles.join(sizes, ["key", "tile"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
              .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("key", "tile", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "rep", "label", "n", "band", "block", "bits"))
+             .select("key", "tile", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "rep", "label", "n", "band", "block")
+             .join(of_rep.select("rep", "bits"), "rep"))
     more = verified(tile_pairs(tiles), rows)
     named = lambda c, to: label.select(F.col("rep").alias(c), F.col("label").alias(to))
     bridges = (more.join(named("u", "lu"), "u", "left").join(named("v", "lv"), "v", "left")
