@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 #: fixed value: the characters that end a word (blank and code points 9 to 13), as a regex class body
@@ -78,23 +77,6 @@ def hashed(words: list[bytes]) -> np.ndarray:
     return word_hashes(raw := np.frombuffer(b" ".join(words), np.uint8), np.array([0, len(raw)]))[0]
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; remembers at most ``limit`` of them."""
-
-    def __init__(self, limit: int = 500_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> bytes:
-        found = self[word] = xxhash.xxh64_digest(word)
-        return found
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.limit:
-            self.clear()
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), ">u8").astype(np.uint64)
-
-
 def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
     """Hash of every run of ``size`` words, in order. Fewer words make one shingle, none make none."""
     size = min(size, len(words))
