@@ -19,7 +19,8 @@ HOT_LISTED = 1 << 16  # entries of the list of frequent shingles; it orders shin
 HOT_LOCAL = 8  # texts of one stretch that must share a shingle to put it forward
 STRETCH = 2_000_000  # shingles counted together
 GROUP = 2_000  # texts of one shingle in one task; more are dealt to several
-TILE = 1_024
+TILE = 1_024  # texts of a block
+TILE_SHINGLES = 1 << 19  # shingles of a block
 BLOOM_BITS = 1 << 24  # in 64-bit words of a broadcast table: 2**18 rows at most
 
 
@@ -223,7 +224,7 @@ def verified(edges: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def tile_pairs(tiles: DataFrame) -> DataFrame:
-    """Pairs ``u, v`` of texts of one tile that are not yet in one component and whose bitmaps allow a link."""
+    """Pairs ``u, v`` of texts of one tile that are not in one group (``label``) and whose bitmaps allow a link."""
     keys = ["key", "tile", "i", "j"]
     dealt = tiles.repartition(*keys).sortWithinPartitions(*keys, "rep")
 
@@ -263,6 +264,65 @@ def tile_pairs(tiles: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
+def groups_of(edges: DataFrame) -> DataFrame:
+    """``rep, group`` of the components of an edge table ``u, v``."""
+    return connected_components(edges).select(F.col("node").alias("rep"), F.col("component").alias("group"))
+
+
+def links_within(groups: DataFrame, label: DataFrame, of_rep: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links ``u, v`` between components of one group of look-alikes, by exact intersection.
+
+    A group is cut in blocks of bounded size, and its sets meet block by block; a tile returns no more links than it has texts,
+    as what is joined already is not compared. Groups that are one component need nothing.
+    """
+    named = groups.join(label, "rep", "left").select("rep", "group", F.coalesce("label", "rep").alias("label"))
+    sizes = (named.join(of_rep.select("rep", "n"), "rep").groupBy("group")
+             .agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("blocks"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi"))
+    members = cut(named.join(sizes.select("group", "blocks"), "group").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+                  .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                  .select(F.col("rep").alias("doc"), "group", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "label", "block"))
+    keys = ["group", "i", "j"]
+    dealt = (wanted_sets(rows, members.select("doc").distinct()).join(members, "doc").repartition(*keys).sortWithinPartitions(*keys, "doc")
+             .select(*keys, "doc", "label", "block", "found"))
+
+    def tile(group: list[tuple], i: int, j: int) -> list[tuple[int, int]]:
+        doc, label, block, found = zip(*group)
+        block, size = np.array(block), np.array([len(f) for f in found])
+        root = np.unique(np.array(label, np.int64), return_inverse=True)[1]
+        start = np.cumsum(size) - size
+        names, flat = np.unique(np.concatenate(found), return_inverse=True)
+        mark, out = np.zeros(len(names), np.int32), []
+        for a in range(len(doc)):
+            other = (root != root[a]) & (np.minimum(block, block[a]) == i) & (np.maximum(block, block[a]) == j)
+            if not other.any():
+                continue
+            own = flat[start[a]:start[a] + size[a]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[flat], start)
+            mark[own] = 0
+            for b in np.flatnonzero(other & (100 * both >= PERCENT * (size + size[a] - both))).tolist():
+                if root[b] != root[a]:
+                    out.append((doc[a], doc[b]))
+                    root[root == root[b]] = root[a]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, at = [], None
+        ended = lambda out: pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        for batch in batches:
+            out = []
+            for g, i, j, doc, label, block, found in zip(*(batch.column(c).to_pylist() for c in (*keys, "doc", "label", "block", "found"))):
+                if (g, i, j) != at:
+                    out += tile(group, *at[1:]) if group else []
+                    group, at = [], (g, i, j)
+                group.append((doc, label, block, np.frombuffer(found, np.uint64)))
+            yield ended(out)
+        if group:
+            yield ended(tile(group, *at[1:]))
+
+    return cut(dealt.mapInArrow(run, "u long, v long"))
+
+
 def band_of(n: Column) -> Column:
     """Sizes of sets that link lie in one band or in neighbouring ones."""
     return F.floor(F.log(n) / math.log(100 / PERCENT) + 1e-9).cast("int")
@@ -274,11 +334,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     1. Equal sets fold into the smallest id (``rep``).
     2. Each text sends the rare quarter of its shingles. Texts that share one are tied to the smallest of them, one edge a text
-       and hub, and the edges are checked: bitmaps first, then exact intersection. That settles groups of copies in
-       linear work.
-    3. Shingles whose texts are still in different components form tiles by size band, in blocks of bounded size. Within a tile
-       bitmaps are compared, between components only; what they allow is checked exactly. So no link between
-       components is lost, and no copies are paired within one.
+       and hub, and the edges are checked: bitmaps first, then exact intersection. That joins most copies in linear work.
+    3. Texts that bitmaps could not tell apart form groups. Within a group sets are intersected exactly, in blocks of bounded
+       size, where components still differ.
+    4. Shingles whose texts are in different groups form tiles by size band, in blocks of bounded size. Within a tile bitmaps
+       are compared, between groups only; what they allow is checked exactly. So no link between components is lost, and no
+       copies are paired within one.
 
     A null or empty text, or one without words, has size 0 and is a component of its own. Fewer than five words form one
     shingle. Rows of one id are linked with all that any of them links with; all rows are returned, with sizes of their
@@ -305,12 +366,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rep = lambda c, to: of_doc.select(F.col("doc").alias(c), F.col("rep").alias(to))
     star = (star.join(rep("a", "ra"), "a").join(rep("b", "rb"), "b").where("ra <> rb")
             .select(F.least("ra", "rb").alias("u"), F.greatest("ra", "rb").alias("v")).distinct())
-    links = verified(bounded(star, of_rep), rows).unionByName(ties)
-    label = connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("label"))
-
-    # what is still apart under a shingle, by whole shingles again; of two texts alone the star has checked the one pair
-    apart = cut(met.select(F.coalesce("token", "key").alias("key"), "doc").join(of_doc, "doc").join(label, "rep", "left")
-                .select("key", "rep", F.coalesce("label", "rep").alias("label")).distinct())
+    alike = cut(bounded(star, of_rep))
+    links = verified(alike, rows).unionByName(ties)
+    label = groups_of(links).withColumnRenamed("group", "label")
+    # texts that bitmaps cannot tell apart form groups; within one, sets are compared exactly where components differ
+    group = groups_of(alike)
+    links = links.unionByName(links_within(group, label, of_rep, rows))
+    label = groups_of(links).withColumnRenamed("group", "label")
+
+    # groups that share a shingle, by whole shingles again; of two texts alone the star has checked the one pair
+    apart = cut(met.select(F.coalesce("token", "key").alias("key"), "doc").join(of_doc, "doc").join(group, "rep", "left")
+                .select("key", "rep", F.coalesce("group", "rep").alias("label")).distinct())
     open_keys = apart.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_c > 2 AND _lo < _hi").select("key")
     tiles = apart.join(open_keys, "key").join(of_rep.select("rep", "n"), "rep").withColumn("band", band_of(F.col("n")))
     tiles = tiles.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1)))
