@@ -34,7 +34,8 @@ class Pieces(dict):
     A byte-level pattern starts a token at a blank that stands alone between two other characters, at a newline that
     stands alone, at what follows it, and where ASCII punctuation follows a letter or digit. So lines, words and trailing
     punctuation are encoded once each. A word of Latin letters alone is one stretch of the pattern and goes to the
-    library's BPE model directly; all else goes through its whole encoder.
+    library's BPE model directly; all else goes through its whole encoder. A text that holds an added token of the
+    tokenizer anywhere, even over a border of pieces, is not cut at all.
     """
 
     def __init__(self, path: str, limit: int = 300_000):
@@ -43,6 +44,7 @@ class Pieces(dict):
 
         self.tokenizer, self.limit, self.parts = Tokenizer.from_file(path), limit, {}
         self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         # fixed values: bytes that a byte-level vocabulary writes as themselves; the others follow from code point 256
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*plain}))}
@@ -92,6 +94,8 @@ class Pieces(dict):
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, equal to the tokenizer's own."""
+        if any(a in text for a in self.added):
+            return np.frombuffer(self.whole(text), "<u4")
         head, *rest = text.split(" ")
         try:
             if head != head.strip() or not head:

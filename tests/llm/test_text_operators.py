@@ -272,6 +272,15 @@ def test_token_files_round_trip(spark):
     assert tokens.token_files(docs_of(spark, []), path).count() == 0
 
 
+def test_added_tokens_anywhere():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, pieces = Tokenizer.from_file(path), tokens.Pieces(path)
+    end = "<|endoftext|>"
+    assert plain.token_to_id(end) == 50256
+    for text in (f"foo {end} bar", f"foo bar{end}", f"one two{end}\nthree {end}\nfour", f"a b {end}", f"a b\n{end}\nc d", f"x y{end}{end}. z", f" a  {end}  b", f"end of|{end}!", f"a {end[:-1]} b"):
+        assert pieces.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
 def test_re_pair():
     rng = np.random.default_rng(10)
     for symbols in (np.zeros(0, np.uint32), np.array([0], np.uint32), np.array([7] * 1001, np.uint32), rng.integers(0, 5, 20_000).astype(np.uint32), rng.integers(0, 50_000, 5_000).astype(np.uint32)):
