@@ -66,13 +66,34 @@ def has_cue(low: Column) -> Column:
     return found
 
 
-def sentences_of(text: Column) -> Column:
-    """Normalised sentences in order. A line that ends in a letter or comma goes on in the next one if that starts in
-    lower case, or after a comma; else lines, full stops, semicolons, colons and exclamation marks end a sentence."""
-    joined = F.regexp_replace(F.regexp_replace(text, r",[ \t]*\r?\n[ \t]*", ", "), r"([a-z])[ \t]*\r?\n[ \t]*([a-z])", "$1 $2")
-    pieces = F.split(F.regexp_replace(joined, r"([.;:!?])\s+", "$1\n"), r"\n")
-    cued = F.filter(F.transform(pieces, lambda x: F.lower(x)), has_cue)
-    return F.transform(cued, lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9]+", " ")))
+#: what may stand before each line of a comment
+PREFIX = r"[ \t]*(?:[*#/;%!|<>-]+|(?:REM|rem|dnl)(?=[ \t]))[ \t]*"
+SOFT, HARD = "\u0001", "\u0002"
+
+
+def marked_words(text: Column) -> Column:
+    """Words and digits in lower case with one character between two of them and at both ends: a blank inside a line,
+    ``SOFT`` where a sentence may begin, end or go on, ``HARD`` where it must end.
+
+    Full stops, exclamation and question marks before white space and blank lines are hard; semicolons, colons and line
+    breaks are soft. A break after a comma, or between two letters in lower case, is a blank. A line of a comment's
+    prefix alone is blank; before other words the prefix goes.
+    """
+    steps = ((r"(?m)^" + PREFIX + r"\r?$", ""), (r",[ \t]*\r?\n[ \t]*(?:" + PREFIX + r")?(?=\S)", ", "), (r"(?<=[a-z])[ \t]*\r?\n[ \t]*(?=[a-z])", " "),
+             (r"(^|\n)" + PREFIX, "$1"), (r"\n[ \t\r]*\n\s*", HARD), (r"[.!?]\s+", HARD), (r"[;:]\s+|\n", SOFT))
+    out = F.translate(text, SOFT + HARD, "  ")
+    for pattern, by in steps:
+        out = F.regexp_replace(out, pattern, by)
+    out = F.regexp_replace(F.lower(out), f"[^a-z0-9{SOFT}{HARD}]+", " ")
+    out = F.regexp_replace(F.regexp_replace(out, f" ?{SOFT}[ {SOFT}]*", SOFT), f"[ {SOFT}]?{HARD}[ {SOFT}{HARD}]*", HARD)
+    return F.concat(F.lit(HARD), F.trim(out), F.lit(HARD))
+
+
+def sentences_of(text: Column, sentences) -> Column:
+    """The known sentences of a text in order, each from one mark to another, over any soft marks; the longest first."""
+    known = "|".join(s.replace(" ", f"[ {SOFT}]") for s in sorted({s for _, s in sentences}, key=lambda s: (-len(s), s)))
+    found = F.regexp_extract_all(marked_words(text), F.lit(f"(?<=[{SOFT}{HARD}])(?:{known})(?=[{SOFT}{HARD}])"), 0)
+    return F.transform(found, lambda x: F.translate(x, SOFT, " "))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences=SENTENCES, rules=RULES) -> DataFrame:
@@ -87,7 +108,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     known = F.create_map(*[F.lit(x) for i, s in sentences for x in (s, i)])
     cued = has_cue(F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    ids = F.filter(F.transform(sentences_of(F.col(text_col)), lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    ids = F.filter(F.transform(sentences_of(F.col(text_col), sentences), lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
     found = docs.select(F.col(id_col).alias(id_col), F.when(cued, ids).otherwise(F.array().cast("array<string>")).alias("_ids"))
     seq = F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(","))
     hits = F.array(*[F.when(seq.rlike("," + ",(.*,)?".join(parts) + ","), F.lit(name)) for name, parts in rules])

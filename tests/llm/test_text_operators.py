@@ -84,6 +84,40 @@ def test_license_rules(spark):
     assert {r["doc_id"]: r["licence"] for r in licenses.license_scan(two, rules=rules).collect()} == {1: "X", 2: None}
 
 
+def test_wrapped_license_headers(spark):
+    gpl = """This program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU
+General Public License as published by
+the Free Software Foundation%s either version %d of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+    apache = """Licensed under the
+Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+    mit = """The MIT License
+Copyright (c) 2020 A
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL"""
+    want = {gpl % (";", ";", 2): ("GPL-2.0-or-later", "gpl-free,gpl-hope"), gpl % (":", ",", 3): ("GPL-3.0-or-later", "gpl3-free,gpl-hope"),
+            apache: ("Apache-2.0", "apache-name,apache-use,apache-copy"), mit: ("MIT", "mit-title,as-is")}
+    cases = [(mark.join(["", *text.split("\n")]).lstrip("\r\n") + end, found) for text, found in want.items()
+             for mark, end in (("\n", ""), ("\r\n", ""), ("\n * ", "\n */"), ("\n// ", ""), ("\n# ", ""), ("\n! ", ""), ("\n;; ", ""), ("\nREM ", ""))]
+    cases += [("Licence: Licensed under CC BY 4.0; all rights\n\nreserved", ("CC-BY-4.0", "ccby4-name")), ("a:\n- Released under the MIT License\n- More", ("MIT", "mit-name")),
+              ("This is not\nlicensed under the MIT license\nat all.", (None, "")), ("All rights.\nReserved. All\n\nrights reserved", (None, ""))]
+    got = {r["doc_id"]: (r["licence"], r["sentence_ids"]) for r in licenses.license_scan(docs_of(spark, [(k, t, None, None, 1) for k, (t, _) in enumerate(cases)])).collect()}
+    for k, (text, found) in enumerate(cases):
+        assert got[k] == found, text
+
+
 # --- urls
 
 
