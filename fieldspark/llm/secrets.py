@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,11 +23,18 @@ _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
 #: name, then an assignment sign, then the rest of the expression up to the end of the statement
 _BINDING = re.compile(r"""
     (?P<name> ["']? [A-Za-z_][A-Za-z0-9_.\-]{0,80} (?: \[ ["'] [A-Za-z0-9_.\-]{1,80} ["'] \] )? ["']? )
-    [\x20\t]* (?: :=|=>|=(?!=)|: ) [\x20\t]* (?= (?P<first> ["'A-Za-z0-9_$(+/{] ) )""", re.X | re.A)
+    [\x20\t]* (?: :=|=>|=(?!=)|: ) [\x20\t]* (?= [^\s:=] )""", re.X | re.A)
 _PART = re.compile(r"""
     "(?P<double>(?:[^"\\\n]|\\.)*)" | '(?P<single>(?:[^'\\\n]|\\.)*)' | \$\{?(?P<ref>[A-Za-z_][A-Za-z0-9_]*)\}? |
     (?P<call>[A-Za-z_][A-Za-z0-9_.]*)\( | (?P<bare>[A-Za-z0-9_+/.=\-]+)""", re.X | re.A)
 _BETWEEN = re.compile(r"[\x20\t]*(?:\+|\.|\|\|)?[\x20\t]*(?:\\?\n[\x20\t]*)?", re.A)
+#: what may stand before a name that begins a line of configuration, and before a comment that ends one
+_HEAD = re.compile(r"[\x20\t]*(?:-[\x20\t]+)?(?:(?:export|set|env|arg|declare|local)[\x20\t]+(?:-\w+[\x20\t]+)?)?", re.I | re.A)
+_COMMENT = re.compile(r"[\x20\t]+(?:\#|;|//)")
+_WORD, _SPOKEN = re.compile(r"\S+"), re.compile(r"""[^=+(){}\[\]"'?|\\]*""")
+#: values that are code: plain names with a mark before them or joined, an attribute with a mark after it, or a name before a bracket
+_NAMES = re.compile(r"[*&!-]?[A-Za-z_]+(?:(?:\.|->|::|\?\.|\|)[A-Za-z_]+)*[;,]*|[A-Za-z_]\w*(?:\??\.\w+)+!?[;,]*", re.A)
+_OPENED = re.compile(r"[*&!-]?[A-Za-z_$][\w$]*(?:(?:\.|->|::|\?\.)[\w$]+)*[(\[<]", re.A)
 #: scores by what a target's name says; a name's pieces are cut at case changes and at _ - .
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 2, "apikey": 3, "credential": 3, "credentials": 3,
              "auth": 2, "bearer": 2, "private": 2, "key": 1, "access": 1, "api": 1, "client": 1, "session": 1, "signature": 1, "salt": 1, "dsn": 2, "cert": 1}
@@ -52,16 +60,53 @@ def literal_score(value: str) -> float:
     return min(entropy, 4.5) / 2.25 + (kinds > 2) * 0.5 + (len(value) >= 20) * 0.5
 
 
+def is_code(value: str) -> bool:
+    if _NAMES.fullmatch(value):
+        return True
+    return bool(_OPENED.match(value)) and (value[-1] in "([{<," or all(value.count(a) == value.count(b) for a, b in ("()", "[]", "<>")))
+
+
+def config_value(text: str, at: int, sign: str) -> tuple[str, str, int, int] | None:
+    """The unquoted value of a line of configuration from ``at``, after ``sign``, to the line's end, less a trailing
+    comment; None for code.
+
+    Values that begin with a quote, ``$`` or a bracket, calls, subscripts and joined plain names are code. One with
+    blanks is scored by its first word and spans all of it, if no operator, quote or bracket follows.
+    """
+    stop = text.find("\n", at)
+    raw = text[at:len(text) if stop < 0 else stop].rstrip()
+    if raw[0] == "#" and text[at - 1] in " \t" and (raw[1:2] in ("", " ", "\t") or sign.rstrip()[-1] == ":"):
+        return None  # a comment in place of a value
+    if comment := _COMMENT.search(raw):
+        raw = raw[:comment.start()]
+    word = _WORD.match(raw).group()
+    if raw[0] in "\"'$({[<" or is_code(word) and not re.fullmatch(r"[A-Za-z0-9_]+", word) or is_code(raw) and raw != word:
+        return None
+    bare = _PART.match(raw)
+    plain = bare is not None and bare["bare"] is not None and not word[bare.end():].strip(";,)]}")
+    value = bare["bare"] if plain else word
+    if word == raw:
+        return None if plain else ("config", value, at, at + len(raw))
+    if word[0] in "!&*" or not _SPOKEN.fullmatch(raw, len(word)):
+        return None if plain or word[0] in "!&*" else ("config", value, at, at + len(word))
+    return ("bare" if plain else "config", value, at, at + len(raw))
+
+
 def lex(text: str) -> Iterator[tuple[str, list[tuple[str, str, int, int]]]]:
     """Name and parts of each assignment: ``("text", value, start, end)`` for a literal, ``("name", name, start, end)``
     for a reference. Parts joined by ``+ . ||`` or a continued line belong together. Quoted names (JSON, maps),
-    ``export``, ``:=``, ``=>``, ``name["key"]`` and bare values (dotenv, YAML, INI) are read."""
-    at = 0
+    ``export``, ``:=``, ``=>``, ``name["key"]`` and bare values (dotenv, YAML, INI; see ``config_value``) are read."""
+    at = seen = line = 0
     while hit := _BINDING.search(text, at):
         name = hit["name"].strip("\"'")
         if "[" in name:
             name = name.split("[")[1].strip("]\"'")
+        line, seen = max(line, text.rfind("\n", seen, hit.start()) + 1), hit.start()
         at, parts = hit.end(), []
+        if _HEAD.fullmatch(text, line, hit.start()) and (whole := config_value(text, at, hit.group())):
+            yield name, [whole]
+            at = whole[3]
+            continue
         while part := _PART.match(text, at):
             at = part.end()
             if part["double"] is not None or part["single"] is not None:
@@ -83,34 +128,48 @@ def lex(text: str) -> Iterator[tuple[str, list[tuple[str, str, int, int]]]]:
 def literal_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly or through constants named earlier or later in the text.
 
-    Constants are followed until nothing changes; a name takes its last value, as when the text runs.
+    A reference takes the latest value before it, as when the text runs. If there is none, the last of all later values
+    takes part in the whole expression and each other one counts by itself. Followed until nothing changes.
     """
     if "=" not in text and ":" not in text:
         return []
-    values: dict[str, list] = {}
+    values: dict[str, list[int]] = {}
     bindings = []
     for name, parts in lex(text):
         if parts:
+            values.setdefault(name.rsplit(".", 1)[-1], []).append(len(bindings))
             bindings.append((name, parts))
-            values[name.rsplit(".", 1)[-1]] = parts
-    found = set()
-    for name, parts in bindings:
+    found, done = set(), set()
+    for first, (name, _) in enumerate(bindings):
         score = name_score(name)
         if score < 1:
             continue
-        literals, seen, queue = [], {name}, list(parts)
-        while queue:
-            kind, value, lo, hi = queue.pop()
-            bound = value.rsplit(".", 1)[-1] if kind == "bare" else value
-            if kind != "text" and bound in values:
-                if bound not in seen:
-                    seen.add(bound)
-                    queue += values[bound]
-            elif kind != "name":
-                literals.append((lo, hi, value))
-        whole = "".join(v for _, _, v in sorted(literals))
-        if score + literal_score(whole) >= FLAG_AT:
-            found.update((lo, hi) for lo, hi, v in literals if v)
+        starts = [first]
+        while starts:
+            start = starts.pop()
+            if (start, score) in done:
+                continue
+            done.add((start, score))
+            literals, seen, queue = [], {start}, [start]
+            while queue:
+                use = queue.pop()
+                for kind, value, lo, hi in bindings[use][1]:
+                    bound = value.rsplit(".", 1)[-1] if kind == "bare" else value
+                    if kind in ("bare", "name") and bound in values:
+                        places = values[bound]
+                        k = bisect_left(places, use)
+                        takes = places[k - 1] if k else places[-1]
+                        if not k and (bound, score) not in done:
+                            done.add((bound, score))
+                            starts += places[:-1]
+                        if takes not in seen:
+                            seen.add(takes)
+                            queue.append(takes)
+                    elif kind != "name":
+                        literals.append((lo, hi, value))
+            whole = "".join(v for _, _, v in sorted(literals))
+            if score + literal_score(whole) >= FLAG_AT:
+                found.update((lo, hi) for lo, hi, v in literals if v)
     return sorted(found)
 
 

@@ -60,6 +60,26 @@ def test_secrets_follow_constants():
     assert of("a = b\nb = a\npassword = a") == []  # a circle ends
 
 
+def test_secrets_of_configuration_lines():
+    of = lambda s: [s[a:b] for a, b in secrets.literal_spans(s)]
+    assert of("DB_PASSWORD=p@ssw0rd!Xy9Qz") == ["p@ssw0rd!Xy9Qz"]
+    assert of("A=1\nexport DB_PASSWORD=abcdefgh9$%^K  # of the store\nB=2") == ["abcdefgh9$%^K"]
+    assert of("db:\n  password: p@ss:w0rd,Xy9Qz\r\n  - secret: x!9Kq(81m\n") == ["p@ss:w0rd,Xy9Qz", "x!9Kq(81m"]
+    for first in "@!#%&*-^~?":
+        assert of(f"password={first}9Kq81mNwz") == [first + "9Kq81mNwz"], first
+    assert of("[db]\npassword = a8F3k d92LsmQ ; note") == [] and of("password = p@F3kd92 LsmQ ; note") == ["p@F3kd92 LsmQ"]
+    for code in ("password = form['password']", "password = getpass.getpass(", "token: string|null;", "secret: !secret db_password", "password: # none yet 9Kq81mNw", "password = *buffer;", "std::password::abcdefgh9"):
+        assert of(code) == [], code
+
+
+def test_secrets_before_a_rebinding():
+    of = lambda s: [s[a:b] for a, b in secrets.literal_spans(s)]
+    assert of('k = "a8F3kd92LsmQ"\npassword = k\nk = ""\n') == ["a8F3kd92LsmQ"]
+    assert of('k = ""\npassword = k\nk = "a8F3kd92LsmQ"\n') == []
+    assert of('password = k\nk = "a8F3kd92LsmQ"\nk = ""\n') == ["a8F3kd92LsmQ"]
+    assert of('k = "a8F3kd"\nk = k + "92LsmQ"\npassword = k\n') == ["a8F3kd", "92LsmQ"]
+
+
 def test_secrets_of_odd_rows(spark):
     got = secrets.secret_scan(docs_of(spark, ODD)).collect()
     assert len(got) == len(ODD) and all(r["spans"] == "" and r["n_assign"] == 0 for r in got)
