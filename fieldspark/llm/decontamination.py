@@ -123,16 +123,24 @@ class Index:
     def matches(self, words: np.ndarray, at_once: int = 16_384) -> list[tuple[int, int, int, float]]:
         """``item, first word, words, similarity`` of the best window of each item that reaches the threshold.
 
-        All item-sized windows are compared, but for those with too few shingles of any item to reach the threshold.
+        All item-sized windows are compared, but for those with too few shingles of any item to reach the threshold. A
+        text shorter than the item is one window.
         """
         best: dict[int, tuple[float, int, int]] = {}
         hashes = shingles(words, SHINGLE)
         at, heavy = self.marks(hashes)
         short: dict[int, np.ndarray] = {}
-        sums = None
+        sums = own_print = None
         for length, need, names, sets, prints, tables in self.groups:
             if length > len(words):
-                break
+                if len(words) < SHINGLE or len(at) < need:
+                    continue
+                own_print = self.fingerprint(hashes) if own_print is None else own_print
+                for q in np.flatnonzero(np.bitwise_count(prints ^ own_print) <= self.radius).tolist():
+                    value = self.similarity(sets[q], hashes)
+                    if value >= self.threshold and value > best.get(names[q], (0,))[0]:
+                        best[names[q]] = (value, 0, len(words))
+                continue
             if length < SHINGLE:
                 if len(words) == length:
                     own = hashes
@@ -191,7 +199,8 @@ def indexes(benchmark: DataFrame, item_col: str, text_col: str, threshold: float
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                item_text_col: str = "text", threshold: float = 0.75, radius: int = 23, block_chars: int = 8_000_000) -> DataFrame:
     """``id, item_id, first_word, n_words, similarity``: every document and benchmark item of which a window of the item's
-    length has a weighted Jaccard similarity of ``threshold`` or more on 5-word shingles, with its best window.
+    length has a weighted Jaccard similarity of ``threshold`` or more on 5-word shingles, with its best window. A document
+    shorter than the item is compared whole.
 
     Words are free of ASCII punctuation and case. Items shorter than five words must occur whole. The benchmark is
     read in blocks of about ``block_chars`` characters, each block's index goes to all tasks and sees all texts; no

@@ -296,6 +296,31 @@ def test_leaks_equal_brute_force(spark):
     assert decontamination.find_leaks(docs, bench.limit(0)).count() == 0 and decontamination.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_of_texts_shorter_than_the_item(spark):
+    rng = random.Random(14)
+    items = [(k, " ".join(f"w{rng.randint(0, 5000)}" for _ in range(n))) for k, n in enumerate([59, 40, 40, 6, 4, 120])]
+    rows = []
+    for i, item in items:
+        words = item.split()
+        for cut in ([len(words) // 2], [0], [len(words) - 1], [len(words) // 3, 2 * len(words) // 3], list(range(len(words) // 2))):
+            rows.append((len(rows), " ".join(w for k, w in enumerate(words) if k not in cut), None, None, i))
+    index = decontamination.Index(items, 0.75, 23)
+    want = {}
+    for k, t, *_ in rows:
+        words = decontamination.hashed(decontamination.plain_words(t))
+        for i, item in items:
+            mine = np.unique(decontamination.shingles(decontamination.hashed(decontamination.plain_words(item))))
+            value = index.similarity(mine, decontamination.shingles(words))
+            if len(words) < len(item.split()) and len(words) >= 5 and value >= 0.75:
+                want[k, i] = (0, len(words), pytest.approx(value))
+    assert (0, 0) in want and len(want) > 10  # 59 words without one inner word
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), docs_of(spark, rows)
+    for block in (8_000_000, 200):
+        got = {(r["doc_id"], r["item_id"]): (r["first_word"], r["n_words"], r["similarity"]) for r in decontamination.find_leaks(docs, bench, block_chars=block).collect()}
+        assert got == want
+    assert {r["doc_id"] for r in decontamination.drop_leaks(docs, bench).collect()} == {r[0] for r in rows} - {k for k, _ in want}
+
+
 # --- tokens
 
 
