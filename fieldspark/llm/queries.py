@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from fieldspark.llm import decontamination, licenses, mixing, ngram_join, quality, quoting, secrets, tokens, toxicity, urls
+from fieldspark.llm import decontamination, divergence, licenses, line_runs, merkle, mixing, ngram_join, quality, quoting, secrets, tokens, toxicity, urls
 from fieldspark.llm.common import table
 from fieldspark.llm.registry import RUN, SQL, query  # noqa: F401
 
@@ -119,3 +119,109 @@ def op1_ngram_jaccard_join(spark, sf_dir):
 def op3_chat_quotes(spark, sf_dir):
     """All conversations in reply order, without quotations."""
     return quoting.conversations(quoting.linked_messages(table(spark, sf_dir, "conversations")))
+
+
+_FOLDED = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_LINES = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs),
+keyed AS (SELECT r, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_FOLDED}) AS k FROM cut),
+often AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT r) >= 10),
+marked AS (SELECT r, pos, line, often.k IS NOT NULL AS gone FROM keyed LEFT JOIN often USING (k))
+SELECT first(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked JOIN docs USING (r) GROUP BY r"""
+
+
+@query("op11_line_dedup", _LINES)
+def op11_line_dedup(spark, sf_dir):
+    """Counts and kept text of every document."""
+    found = line_runs.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{}")) + ")"
+_MERKLE = f"""
+WITH RECURSIVE
+-- the CRC of an id by its table of 256 entries, which eight shifts make
+steps(byte, k, c) AS (
+  SELECT range, 0, range FROM range(256) UNION ALL
+  SELECT byte, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+crcs AS MATERIALIZED (SELECT list(c ORDER BY byte) AS t FROM steps WHERE k = 8),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS rowid, * FROM documents),
+digits(r, s, k, c) AS (
+  SELECT rowid, doc_id::VARCHAR, 0, 4294967295::BIGINT FROM docs WHERE doc_id IS NOT NULL UNION ALL
+  SELECT r, s, k + 1, xor(c >> 8, t[xor(c & 255, ascii(s[k + 1])) + 1]) FROM digits, crcs WHERE k < length(s)),
+leaves AS MATERIALIZED (
+  SELECT docs.rowid AS r, doc_id, lang, {_LEAF.replace("{}", "text")} AS leaf,
+    CASE WHEN xor(c, 4294967295) % 3 = 0 THEN {_LEAF.replace(_FIELD.format("{}"), _FIELD.format(f"translate(text, {_FOLDED})"))} END AS altered
+  FROM docs LEFT JOIN digits ON digits.r = docs.rowid AND k = length(s)),
+ranked AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+tree(lvl, lang, idx, n, digest) AS (
+  SELECT 0, lang, idx, n, leaf FROM ranked UNION ALL
+  SELECT lvl + 1, lang, idx // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM tree WHERE n > 1 GROUP BY lvl, lang, idx // 8),
+subroots AS MATERIALIZED (
+  SELECT lang, digest, lvl AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM tree WHERE n = 1),
+above(lvl, idx, n, digest) AS (
+  SELECT 0, idx, n, digest FROM subroots UNION ALL
+  SELECT lvl + 1, idx // 8, (any_value(n) + 7) // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM above WHERE n > 1 GROUP BY lvl, idx // 8),
+root AS (SELECT digest FROM above WHERE n = 1),
+runs AS MATERIALIZED (
+  SELECT lvl, lang, idx // 8 AS up, list(digest ORDER BY idx) AS children FROM tree WHERE n > 1 GROUP BY ALL),
+runs_above AS MATERIALIZED (SELECT lvl, idx // 8 AS up, list(digest ORDER BY idx) AS children FROM above WHERE n > 1 GROUP BY ALL),
+asked AS (
+  SELECT ranked.*, s.idx AS lang_idx, s.digest AS subroot, s.height FROM ranked JOIN subroots s ON s.lang IS NOT DISTINCT FROM ranked.lang),
+path AS MATERIALIZED (
+  SELECT r, lvl AS step, children, ((asked.idx >> (3 * lvl)) & 7) + 1 AS pos
+  FROM asked JOIN runs ON runs.lang IS NOT DISTINCT FROM asked.lang AND runs.up = asked.idx >> (3 * lvl + 3)
+  UNION ALL
+  SELECT r, height + lvl, children, ((lang_idx >> (3 * lvl)) & 7) + 1 FROM asked JOIN runs_above ON up = lang_idx >> (3 * lvl + 3)),
+sides AS MATERIALIZED (
+  SELECT r, step, array_to_string(children[1:pos - 1], '') AS l, array_to_string(children[pos + 1:], '') AS g FROM path),
+folds(r, step, acc) AS (
+  SELECT r, 0, coalesce(altered, leaf) FROM leaves UNION ALL
+  SELECT r, step + 1, sha256(l || acc || g) FROM folds JOIN sides USING (r, step)),
+ends AS (SELECT r, arg_max(acc, step) AS folded_root FROM folds GROUP BY r),
+proofs AS (SELECT r, sha256(string_agg(l || g, '' ORDER BY step)) AS proof FROM sides GROUP BY r)
+SELECT doc_id, leaf, subroot, root.digest AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root.digest AS verified
+FROM asked JOIN ends USING (r) LEFT JOIN proofs USING (r), root"""
+
+
+@query("op12_merkle_manifest", _MERKLE)
+def op12_merkle_manifest(spark, sf_dir):
+    """Leaf, roots, proof and verification of every document."""
+    found = merkle.proofs(merkle.manifest(table(spark, sf_dir, "documents")))
+    return found.select("row.doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", "verified")
+
+
+_DIVERGENCE = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT r, lang, source, unnest(list_transform(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda w: translate(w, {_FOLDED}))) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS c FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(c) AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+shares AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, c,
+    1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (coalesce(t.total, 0) + v)::HUGEINT AS p, 1 + 1000000000::HUGEINT * (c + 1) // (langs.total + v)::HUGEINT AS q
+  FROM groups JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN totals t USING (lang, source) LEFT JOIN counts USING (lang, source, term)),
+pairs AS (
+  SELECT lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+both_parts AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pairs ON pairs.lang = g.lang AND pairs.source = g.source AND item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
+@query("op13_source_divergence", _DIVERGENCE)
+def op13_source_divergence(spark, sf_dir):
+    """How far sources of a language differ, and by which terms."""
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
