@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldspark.operators.ordered import block, join_side, quantiles, with_row_number
+from fieldspark.operators.ordered import block, join_side, quantiles_of, with_row_number
 
 RANSAC_SEED, RANSAC_ROUNDS, RANSAC_TOLERANCE_M = 20260814, 512, 3.0
 
@@ -29,11 +29,12 @@ def rasterize_points(points: DataFrame, keys: list[str], pixel: float, colours:
 
     Cells are rows, so a raster may have any extent at the pixel asked for. Fewer than 16 points give nothing.
     """
-    trimmed = points
+    q = quantiles_of(points, keys, {f"_{end}{axis}": (axis, p) for axis in "xyz" for end, p in (("lo", 0.005), ("hi", 0.995))})
+    limits = []
     for axis in "xyz":
-        q = quantiles(points, keys, axis, {"_lo": 0.005, "_hi": 0.995})
-        span = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-6)) * 0.25
-        trimmed = join_side(trimmed, q.select(*keys, (F.col("_lo") - span).alias(f"_l{axis}"), (F.col("_hi") + span).alias(f"_h{axis}")), keys)
+        span = F.greatest(F.col(f"_hi{axis}") - F.col(f"_lo{axis}"), F.lit(1e-6)) * 0.25
+        limits += [(F.col(f"_lo{axis}") - span).alias(f"_l{axis}"), (F.col(f"_hi{axis}") + span).alias(f"_h{axis}")]
+    trimmed = join_side(points, q.select(*keys, *limits), keys)
     inside = F.lit(True)
     for axis in "xyz":
         inside = inside & F.col(axis).between(F.col(f"_l{axis}"), F.col(f"_h{axis}"))

@@ -6,9 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from fieldspark.functions.geo import EARTH_RADIUS_MEAN_M
-from fieldspark.operators.matching import near_pairs
-from fieldspark.session import cut
+from fieldspark.functions.geo import EARTH_RADIUS_MEAN_M, haversine_m
+from fieldspark.operators.matching import fine_cell, near_pairs
+from fieldspark.session import cut, join_salted
 
 TILE = 256
 
@@ -93,30 +93,73 @@ def grouped_components(edges: DataFrame, keys: list[str], group_edges: int = 2_0
     return found.unionByName(big)
 
 
+def _boxes(spots: DataFrame, by: list[str]) -> DataFrame:
+    """One row per cell: number of positions, middle and reach of their box, and the four positions that touch its sides."""
+    at = F.struct("lon", "lat")
+    out = spots.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min_by(at, "lon").alias("w0"), F.max_by(at, "lon").alias("w1"), F.min_by(at, "lat").alias("w2"), F.max_by(at, "lat").alias("w3"))
+    west, east, south, north = F.col("w0.lon"), F.col("w1.lon"), F.col("w2.lat"), F.col("w3.lat")
+    out = out.withColumn("mx", (west + east) / 2).withColumn("my", (south + north) / 2)
+    corners = [haversine_m("my", "mx", y, x) for y in (south, north) for x in (west, east)]
+    # a little more than the farthest corner, for the sides of a box are curved
+    return out.select(*by, F.struct("n", "mx", "my", (F.greatest(*corners) * 1.01 + 1e-6).alias("reach"), F.array("w0", "w1", "w2", "w3").alias("touch")).alias("box"))
+
+
+def cell_links(spots: DataFrame, keys: list[str], radius_m: float, earth: float, leaf_pairs: int = 1024) -> DataFrame:
+    """``keys, u, v``: heads of cells that hold two positions within the radius of each other.
+
+    ``spots`` holds one row per position with its cell's ``head``. A pair of cells is linked as soon as one pair of
+    positions is found and dropped when its boxes are too far apart; only what remains is looked into, position by position
+    where that takes at most ``leaf_pairs`` comparisons, else through the 16 cells of the next level on each side.
+    """
+    far = lambda a, b: haversine_m(f"{a}.my", f"{a}.mx", f"{b}.my", f"{b}.mx", earth)
+    close = F.exists("a.touch", lambda p: F.exists("b.touch", lambda q: haversine_m(p["lat"], p["lon"], q["lat"], q["lon"], earth) <= radius_m))
+    pair = [*keys, "u", "v"]
+    leaves = spots.withColumn("_k", fine_cell(radius_m, 0))
+    boxes = cut(_boxes(leaves, [*keys, "head", "_k"]))
+    side = lambda u, k, box: boxes.select(*keys, F.col("head").alias(u), F.col("_k").alias(k), F.col("box").alias(box), F.col("box.mx").alias(f"_{u}x"), F.col("box.my").alias(f"_{u}y"))
+    # middles of boxes that hold a close pair are within twice the radius
+    open_pairs = (near_pairs(side("u", "ka", "a"), side("v", "kb", "b"), keys, 2.05 * radius_m, lpos=("_ux", "_uy"), rpos=("_vx", "_vy"), earth=earth)
+                  .where("u < v").select(*pair, "ka", "kb", "a", "b"))
+    found, level = [], 0
+    while True:
+        tested = cut(open_pairs.where(far("a", "b") <= F.lit(radius_m) + F.col("a.reach") + F.col("b.reach")).withColumn("hit", close))
+        hits = tested.where("hit").select(*pair).distinct()
+        rest = tested.where("NOT hit").join(hits, pair, "left_anti")
+        few = F.col("a.n") * F.col("b.n") <= leaf_pairs
+        at = lambda k, n: leaves.select(*keys, F.col("_k").alias(k), F.col("lon").alias(f"x{n}"), F.col("lat").alias(f"y{n}"))
+        near = (rest.where(few).select(*pair, "ka", "kb").join(at("ka", 1), [*keys, "ka"]).join(at("kb", 2), [*keys, "kb"])
+                .where(haversine_m("y1", "x1", "y2", "x2", earth) <= radius_m).select(*pair).distinct())
+        found.append(cut(hits.unionByName(near)))
+        wide = rest.where(~few).join(found[-1], pair, "left_anti").select(*pair, "ka", "kb")
+        if wide.isEmpty():
+            break
+        level += 1
+        finer = leaves.withColumnRenamed("_k", "_up").withColumn("_k", fine_cell(radius_m, level))
+        parts = _boxes(finer, [*keys, "_up", "_k"])
+        part = lambda up, k, box: parts.select(*keys, F.col("_up").alias(up), F.col("_k").alias(k), F.col("box").alias(box))
+        open_pairs = (wide.withColumnRenamed("ka", "ua").withColumnRenamed("kb", "ub").join(part("ua", "ka", "a"), [*keys, "ua"])
+                      .join(part("ub", "kb", "b"), [*keys, "ub"]).select(*pair, "ka", "kb", "a", "b"))
+        leaves = finer.drop("_up")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def cluster_points(points: DataFrame, keys: list[str], point_id: str, radius_m: float,
-                   earth: float = EARTH_RADIUS_MEAN_M) -> DataFrame:
+                   earth: float = EARTH_RADIUS_MEAN_M, leaf_pairs: int = 1024) -> DataFrame:
     """Single-link clusters of lon/lat points: adds ``cluster`` (smallest id of the cluster).
 
-    Crowded places are thinned first without changing the clusters: points of one cell whose
-    diagonal is within the radius are linked to the cell's smallest id, and only cell pairs are
-    compared point by point.
+    Points of one cell are within the radius of each other, so the clusters are the components of a graph of cells, each
+    standing for its smallest id; see ``cell_links``. A point without a position is a cluster of its own.
     """
-    # cell diagonal <= radius on the sphere: sides of radius / 1.5 of a degree that is at most 111.4 km
-    step = radius_m / 1.5 / 111_400.0
-    cell = F.struct(F.floor(F.col("lon") / F.lit(step)).cast("long").alias("cx"), F.floor(F.col("lat") / F.lit(step)).cast("long").alias("cy"))
-    pts = points.select(*keys, F.col(point_id).alias("_id"), "lon", "lat").withColumn("_c", cell)
-    heads = pts.groupBy(*keys, "_c").agg(F.min("_id").alias("_head"))
-    pts = pts.join(heads, keys + ["_c"])
-    inner = pts.where("_id <> _head").select(*keys, F.col("_id").alias("u"), F.col("_head").alias("v"))
-    # one row per distinct position is enough between cells
-    spots = pts.groupBy(*keys, "_c", "_head", "lon", "lat").agg(F.min("_id").alias("_id"))
-    a = spots.select(*keys, F.col("_c").alias("_ca"), F.col("_head").alias("u"), F.col("lon").alias("_ax"), F.col("lat").alias("_ay"))
-    b = spots.select(*keys, F.col("_c").alias("_cb"), F.col("_head").alias("v"), F.col("lon").alias("_bx"), F.col("lat").alias("_by"))
-    across = (near_pairs(a, b, keys, radius_m, lpos=("_ax", "_ay"), rpos=("_bx", "_by"), earth=earth)
-              .where(F.col("_ca") < F.col("_cb")).select(*keys, "u", "v").distinct())
-    link = inner.unionByName(across)
-    found = grouped_components(link, keys).select(*keys, F.col("node").alias(point_id), F.col("component").alias("cluster"))
-    return points.join(found, keys + [point_id], "left").withColumn("cluster", F.coalesce("cluster", point_id))
+    placed = points.select(*keys, F.col(point_id).alias("_id"), "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL").withColumn("_c", fine_cell(radius_m, 0))
+    heads = cut(placed.groupBy(*keys, "_c").agg(F.min("_id").alias("head")))
+    spots = cut(join_salted(placed.select(*keys, "_c", "lon", "lat").distinct(), heads, [*keys, "_c"], ["lon", "lat"], 4, "inner").drop("_c"))
+    found = grouped_components(cell_links(spots, keys, radius_m, earth, leaf_pairs), keys).select(*keys, F.col("node").alias("head"), "component")
+    homes = heads.join(found, [*keys, "head"], "left").select(*keys, "_c", F.coalesce("component", "head").alias("cluster"))
+    return (join_salted(points.withColumn("_c", fine_cell(radius_m, 0)), homes, [*keys, "_c"], [point_id])
+            .withColumn("cluster", F.coalesce("cluster", point_id)).drop("_c"))
 
 
 def label_mask(mask: np.ndarray, connectivity: int) -> np.ndarray:

@@ -41,15 +41,26 @@ def _sites(points: DataFrame, keys: list[str], idx: str, side: str) -> tuple[Dat
                                  F.col("head").alias(f"{side}_head"))
 
 
-def _widest(band: Column) -> Column:
-    """Cosine at the end of a one-degree latitude band that is nearer to the pole."""
-    return F.cos(F.radians(F.least(F.lit(89.5), F.greatest(F.abs(band), F.abs(band + 1)).cast("double"))))
+def _widest(band: Column, step: float) -> Column:
+    """Cosine at the end of a one-degree latitude band that is nearer to the pole; a band that ends there has cells all around."""
+    return F.greatest(F.cos(F.radians(F.greatest(F.abs(band), F.abs(band + 1)).cast("double"))), F.lit(step / 720.0))
+
+
+def fine_cell(radius_m: float, level: int = 0) -> Column:
+    """Cell of a position; the diagonal is within the radius at level 0 and a quarter as long with each further level.
+
+    Columns are as wide as a row is high where their latitude band is nearest to the equator, narrower elsewhere.
+    """
+    size = radius_m / 1.5 / 111_400.0 / 4**level
+    band = F.floor("lat")
+    shrink = F.cos(F.radians(F.least(F.abs(band), F.abs(band + 1)).cast("double")))
+    return F.struct(band.cast("int").alias("b"), F.floor(F.col("lat") / F.lit(size)).cast("long").alias("y"), F.floor(F.col("lon") * shrink / F.lit(size)).cast("long").alias("x"))
 
 
 def _cells(lon: Column, lat: Column, radius_m: float) -> tuple[Column, Column]:
     """Cell numbers whose sides are at least ``radius_m``; the width is the same within a latitude band."""
     step = radius_m * 1.001 / METRES_PER_DEGREE
-    return F.floor(lat / F.lit(step)).cast("long"), F.floor(lon / (F.lit(step) / _widest(F.floor(lat).cast("int")))).cast("long")
+    return F.floor(lat / F.lit(step)).cast("long"), F.floor(lon / (F.lit(step) / _widest(F.floor(lat).cast("int"), step))).cast("long")
 
 
 def _neighbour_cells(lon: Column, lat: Column, radius_m: float) -> Column:
@@ -58,12 +69,12 @@ def _neighbour_cells(lon: Column, lat: Column, radius_m: float) -> Column:
     row = F.floor(lat / F.lit(step)).cast("long")
 
     def cells(band: Column, at: Column) -> list[Column]:
-        c = F.floor(at / (F.lit(step) / _widest(band))).cast("long")
+        c = F.floor(at / (F.lit(step) / _widest(band, step))).cast("long")
         return [F.xxhash64(band, row + dy, c + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 
     def around(band: Column) -> Column:
         """Cells of one band; a point near the date line is looked for from the other side as well."""
-        reach = 2 * F.lit(step) / _widest(band)
+        reach = 2 * F.lit(step) / _widest(band, step)
         east, west = F.when(lon + reach > 180, lon - 360), F.when(lon - reach < -180, lon + 360)
         both = F.array(*cells(band, lon), *cells(band, F.coalesce(east, lon)), *cells(band, F.coalesce(west, lon)))
         return F.when(east.isNull() & west.isNull(), F.array(*cells(band, lon))).otherwise(both)
@@ -242,68 +253,46 @@ def _advance(free: DataFrame, chosen: DataFrame, members: DataFrame, keys: list[
 
 
 def suppress_nearby(items: DataFrame, keys: list[str], radius_m: float, *, priority: str, seq: str,
-                    earth: float = EARTH_RADIUS_MEAN_M, group_pairs: int = 2_000_000) -> DataFrame:
+                    earth: float = EARTH_RADIUS_MEAN_M) -> DataFrame:
     """Greedy suppression by (priority descending, seq): every kept item removes the rest within the radius.
 
-    Returns the items with ``kept_by``: the first kept neighbour in priority order (itself when kept).
-    """
-    pts = items.select(*keys, F.col(seq).alias("_s"), F.col(priority).alias("_p"), "lon", "lat")
-    a = pts.select(*keys, F.struct((-F.col("_p")).alias("np"), F.col("_s").alias("s")).alias("a"), F.col("lon").alias("_ax"), F.col("lat").alias("_ay"))
-    b = pts.select(*keys, F.struct((-F.col("_p")).alias("np"), F.col("_s").alias("s")).alias("b"), F.col("lon").alias("_bx"), F.col("lat").alias("_by"))
-    # keep one direction: b outranks a
-    near = cut(near_pairs(a, b, keys, radius_m, lpos=("_ax", "_ay"), rpos=("_bx", "_by"), earth=earth)
-               .where(F.col("b") < F.col("a")).select(*keys, "a", "b"))
-    sizes = cut(near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
-    seen = sizes.agg(F.count_if(F.col("_n") > group_pairs).alias("big"), F.sum("_n").alias("n")).first()
-    buckets = max(items.sparkSession.sparkContext.defaultParallelism, math.ceil((seen["n"] or 0) / max(1, group_pairs / 2)))
-    if not seen["big"]:
-        owner = _scan_suppression(near, keys, buckets)
-    else:
-        crowded = sizes.where(F.col("_n") > group_pairs).select(*keys)
-        owner = _scan_suppression(near.join(crowded, keys, "left_anti"), keys, buckets).unionByName(
-            _suppression_rounds(near.join(crowded, keys, "left_semi"), keys))
-    out = items.withColumn("a", F.struct((-F.col(priority)).alias("np"), F.col(seq).alias("s"))).join(owner, keys + ["a"], "left")
-    return out.withColumn("kept", F.col("_o").isNull()).withColumn("kept_by", F.coalesce(F.col("_o.s"), F.col(seq))).drop("a", "_o")
-
-
-def _scan_suppression(near: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    """Owner of every suppressed item of bounded groups: one ordered scan of their neighbour pairs."""
-    flat = near.select(*keys, F.col("a.np").alias("_ap"), F.col("a.s").alias("_as"), F.col("b.np").alias("_bp"), F.col("b.s").alias("_bs"))
-    names, schema = flat.columns, flat.schema
+    Returns the items with ``kept_by``: the first kept neighbour in priority order (itself when kept). Items without a
+    position are kept.
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        group = pdf.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
-        ap, as_, bp, bs = (pdf[c].to_numpy() for c in ("_ap", "_as", "_bp", "_bs"))
-        gone, pick = set(), []
-        # by item in rank order, then by its neighbours in rank order
-        for i in np.lexsort((bs, bp, as_, ap, group)):
-            item = (group[i], as_[i])
-            if item not in gone and (group[i], bs[i]) not in gone:
-                gone.add(item)
-                pick.append(i)
-        return pdf.iloc[pick][names]
-
-    out = flat.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy("_bucket").applyInPandas(scan, schema)
-    return out.select(*keys, F.struct(F.col("_ap").alias("np"), F.col("_as").alias("s")).alias("a"), F.struct(F.col("_bp").alias("np"), F.col("_bs").alias("s")).alias("_o"))
-
-
-def _suppression_rounds(near: DataFrame, keys: list[str]) -> DataFrame:
-    """The same in distributed rounds: an item with no open higher-ranked neighbour is kept and removes the rest."""
-    state = cut(near.select(*keys, "a").unionByName(near.select(*keys, F.col("b").alias("a"))).distinct())
-    links, kept_all, rounds = near, [], 0
+    Items of one position share their fate, so positions are folded to their first item. In each round the first open
+    position of every cell (whose diagonal is within the radius) stands for it; one that comes before those of all cells
+    in reach is kept, and what lies within the radius of kept ones leaves. The very first open item is always kept, so
+    rounds end; each compares one row per cell with its neighbours, and open positions with the few kept ones around them.
+    """
+    rank = F.struct((-F.col(priority)).alias("np"), F.col(seq).alias("s"))
+    at = [*keys, "lon", "lat"]
+    sites = cut(items.where("lon IS NOT NULL AND lat IS NOT NULL").groupBy(*at).agg(F.min(rank).alias("a")))
+    state, kept = sites, []
     while not state.isEmpty():
-        rounds += 1
-        if rounds > MAX_ROUNDS:
-            raise RuntimeError("suppression did not settle")
-        kept = cut(state.join(links.select(*keys, "a").distinct(), keys + ["a"], "left_anti"))
-        kept_all.append(kept)
-        gone = near.join(kept.withColumnRenamed("a", "b"), keys + ["b"], "left_semi").select(*keys, "a").distinct()
-        state = cut(state.join(kept, keys + ["a"], "left_anti").join(gone, keys + ["a"], "left_anti"))
-        links = cut(links.join(state, keys + ["a"], "left_semi").join(state.withColumnRenamed("a", "b"), keys + ["b"], "left_semi"))
-    kept = kept_all[0]
-    for more in kept_all[1:]:
-        kept = kept.unionByName(more)
-    return near.join(kept.withColumnRenamed("a", "b"), keys + ["b"], "left_semi").groupBy(*keys, "a").agg(F.min("b").alias("_o"))
+        firsts = cut(state.groupBy(*keys, fine_cell(radius_m).alias("_c")).agg(
+            F.min(F.struct("a", "lon", "lat")).alias("f"), *[fn(c).alias(f"{c}_{n}") for n, fn in (("lo", F.min), ("hi", F.max)) for c in ("lon", "lat")]))
+        mine = firsts.select(*keys, F.col("f.a").alias("a"), F.col("f.lon").alias("lon"), F.col("f.lat").alias("lat"))
+        others = firsts.select(*keys, F.col("f.a").alias("b"), F.col("f.lon").alias("_bx"), F.col("f.lat").alias("_by"), "lon_lo", "lon_hi", "lat_lo", "lat_hi")
+        # about the nearest place of a cell's box, with a margin for the curve of parallels
+        inside = lambda c: F.least(F.greatest(F.col(c), F.col(f"{c}_lo")), F.col(f"{c}_hi"))
+        reach = haversine_m("lat", "lon", inside("lat"), inside("lon"), earth)
+        turned = F.abs(F.col("lon") - F.col("_bx")) > 180  # across the date line the box is not cut finer
+        blocked = (near_pairs(mine, others, keys, 2 * radius_m, lpos=("lon", "lat"), rpos=("_bx", "_by"), earth=earth)
+                   .where("b < a").where(turned | (F.abs("lat") > 80) | (reach <= radius_m * 1.05)).select(*at).distinct())
+        won = cut(mine.join(blocked, at, "left_anti"))
+        kept.append(won)
+        gone = near_pairs(state.select(*at), won.select(*keys, F.col("lon").alias("_kx"), F.col("lat").alias("_ky")), keys, radius_m,
+                          lpos=("lon", "lat"), rpos=("_kx", "_ky"), earth=earth).select(*at).distinct()
+        state = cut(state.join(gone, at, "left_anti"))
+    every = sites.limit(0)
+    for more in kept:
+        every = every.unionByName(more.select(*at, "a"))
+    # few kept items lie around a position; the first of them owns it
+    owner = (near_pairs(sites.select(*at), every.select(*keys, F.col("a").alias("_o"), F.col("lon").alias("_kx"), F.col("lat").alias("_ky")), keys, radius_m,
+                        lpos=("lon", "lat"), rpos=("_kx", "_ky"), earth=earth).groupBy(*at).agg(F.min("_o").alias("_o")))
+    out = join_salted(items, owner, at, [seq])
+    return (out.withColumn("kept", F.col("_o").isNull() | (F.col("_o.s") == F.col(seq))).withColumn("kept_by", F.coalesce(F.col("_o.s"), F.col(seq)))
+            .select(*items.columns, "kept", "kept_by"))
 
 
 def merge_suppressed(marked: DataFrame, keys: list[str], *, priority: str, seq: str, reasons: str, max_items: int) -> DataFrame:

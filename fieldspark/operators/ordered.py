@@ -108,54 +108,78 @@ def carry(df: DataFrame, keys: list[str], order: list[str], chunk: list[Column],
     return out.drop(*names)
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], kind: str = "linear",
-              bins: int = 4096, group_rows: int = 1_000_000) -> DataFrame:
-    """Exact quantiles of groups of any size, one row per group, one column per entry of ``probs``.
-
-    ``kind`` is ``linear`` (interpolated) or ``upper`` (element ``floor(p*n)`` of the sorted list;
-    ``p=0.5`` is the upper median). When no group exceeds ``group_rows``, which is checked, the built-in
-    aggregates do. Otherwise pass one finds the value range, pass two counts a fixed number of bins, pass
-    three sorts only the distinct values of the few bins that hold a wanted rank.
+def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], kind: str = "linear", margin: float = 5e-4) -> DataFrame:
+    """``quantiles_of`` of one column."""
+    return quantiles_of(df, keys, {name: (value, p) for name, p in probs.items()}, kind, margin)
+
+
+def quantiles_of(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], kind: str = "linear", margin: float = 5e-4) -> DataFrame:
+    """Exact quantiles of groups of any size: one row per group, one column per entry ``name: (column, p)`` of ``wanted``.
+
+    ``kind`` is ``linear`` (interpolated) or ``upper`` (element ``floor(p * n)`` of the sorted list; ``p=0.5`` is the upper
+    median). Nulls and NaN are missing; infinities are the ends of the order, and meet no other value in an interpolation
+    of weight 0. A group without values has null, one whose columns are all missing no row.
+
+    Three passes over the rows, all columns in each, and no action: a sketch gives two splitters around each quantile; the
+    rows below and between them are counted and the rows between sketched again; what lies in the few hundredths of these
+    around the rank is grouped by value and ordered. Counts decide where a rank lies, so a sketch only bears on how many
+    values are ordered, about ``margin / 15`` of a group.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= group_rows:
-        if kind == "linear":
-            return rows.groupBy(*keys).agg(*[F.percentile("_v", float(p)).alias(name) for name, p in probs.items()])
-        listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("_v")).alias("_l"))
-        at = lambda p: F.least(F.floor(F.size("_l") * F.lit(p)), F.size("_l") - 1).cast("int")
-        return listed.select(*keys, *[F.get("_l", at(p)).alias(name) for name, p in probs.items()])
-    span = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("_n"))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    binned = (join_side(rows, span, keys)
-              .withColumn("_bin", F.when(F.col("_hi") > F.col("_lo"),
-                                         F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1)))
-                          .otherwise(F.lit(0)).cast("int")))
-    counts = binned.groupBy(*keys, "_bin").agg(F.count("_v").alias("_c"), F.first("_n").alias("_n"))
-    up = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)
-    counts = counts.withColumn("_end", F.sum("_c").over(up)).withColumn("_start", F.col("_end") - F.col("_c"))
-    wanted = []
-    for name, p in probs.items():
-        if kind == "upper":
-            ranks = [(F.least(F.floor(F.col("_n") * F.lit(p)), F.col("_n") - 1), F.lit(1.0))]
-        else:
-            pos = (F.col("_n") - 1) * F.lit(float(p))
-            frac = pos - F.floor(pos)
-            ranks = [(F.floor(pos), 1.0 - frac), (F.least(F.floor(pos) + 1, F.col("_n") - 1), frac)]
-        wanted += [F.struct(F.lit(name).alias("q"), r.cast("long").alias("r"), w.cast("double").alias("w"))
-                   for r, w in ranks]
-    targets = (counts.withColumn("_t", F.explode(F.array(*wanted)))
-               .where((F.col("_t.r") >= F.col("_start")) & (F.col("_t.r") < F.col("_end")))
-               .groupBy(*keys, "_bin").agg(F.first("_start").alias("_start"), F.collect_list("_t").alias("_ts")))
-    inside = (binned.groupBy(*keys, "_bin", "_v").agg(F.count(F.lit(1)).alias("_c"))
-              .join(targets, keys + ["_bin"], "inner"))
-    at = W.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    hits = (inside.withColumn("_end", F.col("_start") + F.sum("_c").over(at))
-            .withColumn("_begin", F.col("_end") - F.col("_c"))
-            .withColumn("_t", F.explode("_ts"))
-            .where((F.col("_t.r") >= F.col("_begin")) & (F.col("_t.r") < F.col("_end"))))
-    return hits.groupBy(*keys).agg(*[
-        F.sum(F.when(F.col("_t.q") == name, F.col("_v") * F.col("_t.w"))).alias(name) for name in probs])
+    names = list(wanted)
+    real = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    columns = sorted({c for c, _ in wanted.values()})
+    vs = {c: f"_v{i}" for i, c in enumerate(columns)}
+    rows = df.select(*keys, *[real(c).alias(v) for c, v in vs.items()]).where(F.coalesce(*vs.values()).isNotNull())
+    of = {name: vs[c] for name, (c, _) in wanted.items()}
+    low, high = (lambda p: max(0.0, p - margin)), (lambda p: min(1.0, p + margin))
+    first = rows.groupBy(*keys).agg(
+        *[F.count(v).alias(f"_n{v}") for v in vs.values()],
+        *[F.percentile_approx(of[n], [low(p), high(p)], 10_000).alias(f"_s_{n}") for n, (_, p) in wanted.items()])
+    ends = []
+    for name, (_, p) in wanted.items():
+        n = F.col(f"_n{of[name]}")
+        at = (n - 1) * F.lit(float(p)) if kind == "linear" else F.least(F.floor(n * F.lit(float(p))), n - 1).cast("double")
+        ends += [F.floor(at).cast("long").alias(f"_r_{name}"), F.ceil(at).cast("long").alias(f"_q_{name}"), (at - F.floor(at)).alias(f"_f_{name}"),
+                 F.get(f"_s_{name}", F.lit(0)).alias(f"_a_{name}"), F.get(f"_s_{name}", F.lit(1)).alias(f"_b_{name}")]
+    first = first.select(*keys, *ends)
+    # pass two: exact counts around the splitters, and a sketch of what lies between
+    seen = join_side(rows, first, keys)
+    between = lambda n: (F.col(of[n]) >= F.col(f"_a_{n}")) & (F.col(of[n]) <= F.col(f"_b_{n}"))
+    grid = [k / 100 for k in range(101)]
+    counts = []
+    for n in names:
+        counts += [F.count_if(F.col(of[n]) < F.col(f"_a_{n}")).alias(f"_lo_{n}"), F.count_if(F.col(of[n]) < F.col(f"_b_{n}")).alias(f"_lt_{n}"),
+                   F.count_if(F.col(of[n]) <= F.col(f"_b_{n}")).alias(f"_le_{n}"), F.percentile_approx(F.when(between(n), F.col(of[n])), grid, 1_000).alias(f"_g_{n}")]
+    second = seen.groupBy(*keys).agg(*counts, *[F.first(c).alias(c) for c in first.columns if c not in keys])
+    inf, spans = F.lit(float("inf")), []
+    for n in names:
+        r, q, a, b = (F.col(f"_{x}_{n}") for x in "rqab")
+        lo, lt, le = (F.col(f"_{x}_{n}") for x in ("lo", "lt", "le"))
+        left = F.when(r < lo, -inf).when(r >= le, b).otherwise(a)
+        right = F.when(q >= le, inf).when(q < lo, a).otherwise(b)
+        base = F.when(r < lo, F.lit(0).cast("long")).when(r >= le, lt).otherwise(lo)
+        usual = (r >= lo) & (q < le)
+        place = lambda x: F.floor((x - lo) * 100 / F.greatest(F.lit(1), le - lo)).cast("int")
+        # the sketch of the middle may be off by a tenth of a step; two steps on either side are kept
+        down, up = F.get(f"_g_{n}", place(r) - 2), F.get(f"_g_{n}", place(q) + 3)
+        spans.append(F.struct(F.lit(n).alias("name"), left.alias("left"), right.alias("right"), base.alias("base"), r.alias("r"), q.alias("q"), F.col(f"_f_{n}").alias("f"),
+                              F.when(usual, F.coalesce(down, a)).otherwise(left).alias("down"), F.when(usual, F.coalesce(up, b)).otherwise(right).alias("up")))
+    spans = second.select(*keys, F.array(*spans).alias("_spans"))
+    # pass three: values around the rank; what lies between the splitters but farther off is only counted
+    value = F.array(*[F.struct(F.lit(n).alias("name"), F.col(of[n]).alias("v")) for n in names])
+    listed = (join_side(rows, spans, keys).withColumn("_x", F.explode(F.arrays_zip(F.col("_spans").alias("s"), value.alias("x")))).select(*keys, F.col("_x.s").alias("s"), F.col("_x.x.v").alias("v"))
+              .where("v >= s.left AND v <= s.right AND v <= s.up"))
+    listed = listed.select(*keys, "s", F.when(F.col("v") >= F.col("s.down"), F.col("v")).alias("v"))  # null: before all that are ordered
+    order = W.partitionBy(*keys, "s.name").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    tied = (listed.groupBy(*keys, "s", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("end", F.col("s.base") + F.sum("c").over(order))
+            .withColumn("start", F.col("end") - F.col("c")))
+    hit = lambda rank: (F.col(f"s.{rank}") >= F.col("start")) & (F.col(f"s.{rank}") < F.col("end"))
+    got = tied.groupBy(*keys, F.col("s.name").alias("name"), F.col("s.f").alias("f")).agg(
+        F.max(F.when(hit("r"), F.col("v"))).alias("v0"), F.max(F.when(hit("q"), F.col("v"))).alias("v1"))
+    missed = F.raise_error(F.lit("a quantile lies outside the values that were ordered"))
+    mixed = F.when(F.col("v0").isNull() | F.col("v1").isNull(), missed.cast("double")).when((F.col("f") == 0) | (F.col("v0") == F.col("v1")), F.col("v0")).otherwise(
+        F.col("v0") * (1 - F.col("f")) + F.col("v1") * F.col("f"))
+    return got.withColumn("q", mixed).groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("q"))).alias(n) for n in names])
 
 
 def join_side(rows: DataFrame, side: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:

@@ -1,5 +1,7 @@
 """Analytic surfaces, regions across tile borders, ponding."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +177,32 @@ def test_subsidence_and_uplift_are_separate(spark):
     got = {r["direction"]: r for r in g.deformation_regions(d, K, 0.25, 0.03, 0.04, 0.02).collect()}
     assert set(got) == {"subsidence", "uplift"} and got["uplift"]["cell_count"] == 25 and got["subsidence"]["volume_change_m3"] == -6.25
     assert g.deformation_regions(d, K, 0.25, 1.0, 1.0, 0.0).count() == 0
+
+
+@pytest.mark.parametrize("seed,lon,lat,spread", [(1, 10.0, 50.0, 3e-4), (2, 179.9999, -20.0, 2e-4), (3, -7.0, 60.9999, 2.5e-4), (4, 10.0, 50.0, 6e-5)])
+def test_cell_links_equal_all_pairs(spark, seed, lon, lat, spread):
+    """Refinement is forced: a pair of cells may compare two positions only."""
+    from tests.test_matching import hav
+    rng = np.random.default_rng(seed)
+    turn = lambda x: x - 360 if x > 180 else x
+    pts = [("a", i, turn(float(lon + x / math.cos(math.radians(lat)))), float(lat + y)) for i, (x, y) in enumerate(rng.random((90, 2)) * spread)]
+    pts += [("a", 500 + i, *pts[i][2:]) for i in range(5)] + [("a", 900, None, None)]
+    got = {r["id"]: r["cluster"] for r in c.cluster_points(spark.createDataFrame(pts, "g string, id long, lon double, lat double"), ["g"], "id", 2.5, leaf_pairs=2).collect()}
+    home = {i: i for _, i, *_ in pts}
+    def top(i):
+        while home[i] != i:
+            i = home[i]
+        return i
+    for _, i, x, y in pts[:-1]:
+        for _, j, u, v in pts[:-1]:
+            if hav((x, y), (u, v)) <= 2.5:
+                a, b = sorted((top(i), top(j)))
+                home[b] = a
+    assert got == {i: top(i) for i in home}
+
+
+def test_clusters_of_a_crowd_stay_linear(spark):
+    """Two rows of 10^5 positions each, one radius and a millimetre apart: all within cells, none linked across."""
+    near = spark.range(200_000).selectExpr("'a' AS g", "id", "IF(id % 2 = 0, 0.0D, 5.001D / 111194.92664455873) AS lon", "1e-12 * id AS lat")
+    got = c.cluster_points(near, ["g"], "id", 5.0).groupBy("cluster").count().collect()
+    assert {(r["cluster"], r["count"]) for r in got} == {(0, 100_000), (1, 100_000)}

@@ -67,12 +67,16 @@ def test_across_latitude_bands(spark):
     assert len(pairs_of(m.match_one_to_one(a, b, ["g"], 15.0, left_id="idx", right_id="image_seq"))) == 5
 
 
-@pytest.mark.parametrize("bound", [0, 2_000_000])
-def test_suppression_equals_greedy(spark, bound):
-    rng = random.Random(9)
-    items = [("a", i, float(rng.randrange(5)), -81 + rng.random() * 2e-4, 41 + rng.random() * 2e-4) for i in range(60)]
+@pytest.mark.parametrize("seed,lon,lat", [(9, -81.0, 41.0), (10, 179.9999, 10.0), (11, 20.0, 88.99995), (12, 5.0, -0.0001)])
+def test_suppression_equals_greedy(spark, seed, lon, lat):
+    """Also across the date line, near a pole, and where latitude bands meet."""
+    rng = random.Random(seed)
+    turn = lambda x: x - 360 if x > 180 else x
+    wide = 2e-4 / math.cos(math.radians(lat))
+    items = [("a", i, float(rng.randrange(5)), turn(lon + rng.random() * wide), lat + rng.random() * 2e-4) for i in range(60)]
+    items += [("a", 100 + i, float(rng.randrange(5)), *items[0][3:]) for i in range(5)]
     df = spark.createDataFrame(items, "g string, seq long, p double, lon double, lat double")
-    got = {r["seq"]: r["kept_by"] for r in m.suppress_nearby(df, ["g"], 5.0, priority="p", seq="seq", group_pairs=bound).collect()}
+    got = {r["seq"]: r["kept_by"] for r in m.suppress_nearby(df, ["g"], 5.0, priority="p", seq="seq").collect()}
     kept, want = [], {}
     for _, i, p, x, y in sorted(items, key=lambda t: (-t[2], t[1])):
         owner = next((k for k, kx, ky in kept if hav((x, y), (kx, ky)) <= 5.0), None)
@@ -111,3 +115,24 @@ def test_defect_epochs(spark):
     c = capture.compare_defect_epochs(spark.createDataFrame(old, s), spark.createDataFrame(new, s))
     got = {(r["earlier_id"], r["later_id"]): r["change"] for r in c.collect()}
     assert got == {(1, 11): "grown", (2, 12): "shrunk", (3, 13): "unchanged", (4, 14): "unchanged", (5, None): "resolved", (None, 15): "new"}
+
+
+def test_suppression_of_a_crowd_stays_linear(spark):
+    """10^5 items in one place and 10^5 more within one cell: one row per cell and round, no pair of them."""
+    same = spark.range(100_000).selectExpr("'a' AS g", "id AS seq", "CAST(id % 7 AS DOUBLE) AS p", "-81.0D AS lon", "41.0D AS lat")
+    near = spark.range(100_000).selectExpr("'b' AS g", "id AS seq", "CAST(id % 7 AS DOUBLE) AS p", "-81.0D + id * 1e-11 AS lon", "41.0D AS lat")
+    got = m.suppress_nearby(same.unionByName(near), ["g"], 5.0, priority="p", seq="seq").groupBy("g", "kept_by").count().collect()
+    assert {(r["g"], r["kept_by"], r["count"]) for r in got} == {("a", 6, 100_000), ("b", 6, 100_000)}
+
+
+def test_nothing_to_suppress(spark):
+    df = spark.createDataFrame([("a", 1, 1.0, None, None), ("a", 2, 2.0, None, 3.0)], "g string, seq long, p double, lon double, lat double")
+    assert {(r["seq"], r["kept"], r["kept_by"]) for r in m.suppress_nearby(df, ["g"], 5.0, priority="p", seq="seq").collect()} == {(1, True, 1), (2, True, 2)}
+    assert m.suppress_nearby(df.limit(0), ["g"], 5.0, priority="p", seq="seq").count() == 0
+
+
+def test_pairs_next_to_a_pole(spark):
+    a = spark.createDataFrame([("a", 1, 0.0, 89.99), ("a", 2, 170.0, 89.99999)], "g string, i long, lon double, lat double")
+    b = spark.createDataFrame([("a", 1, 0.1, 89.99), ("a", 2, -10.0, 89.99999)], "g string, j long, mx double, my double")
+    got = m.near_pairs(a, b, ["g"], 5.0, lpos=("lon", "lat"), rpos=("mx", "my")).collect()
+    assert {(r["i"], r["j"]) for r in got} == {(1, 1), (2, 2)}
