@@ -26,14 +26,15 @@ def match_captures(planned: DataFrame, captured: DataFrame, radius_m: float = MA
 
 
 def coverage(planned: DataFrame, captured: DataFrame, pairs: DataFrame, mission: str = "mission_id") -> DataFrame:
+    """Counts of every survey that has a plan or images. Without a plan there is no coverage (null)."""
     p = planned.groupBy(mission).agg(F.count(F.lit(1)).alias("planned"))
     placed = F.col("lon").isNotNull() & F.col("lat").isNotNull()
     i = captured.groupBy(mission).agg(F.count(F.lit(1)).alias("images"), F.count_if(placed).alias("_placed"))
     m = pairs.groupBy(mission).agg(F.count(F.lit(1)).alias("matched"))
-    j = p.join(i, mission, "left").join(m, mission, "left").na.fill(0, ["images", "_placed", "matched"])
+    j = p.join(i, mission, "full").join(m, mission, "left").na.fill(0, ["planned", "images", "_placed", "matched"])
     return j.select(mission, "planned", "images", "matched", (F.col("planned") - F.col("matched")).alias("missed"),
                     (F.col("_placed") - F.col("matched")).alias("unplanned"), (F.col("images") - F.col("_placed")).alias("ungeotagged"),
-                    (100.0 * F.col("matched") / F.col("planned")).alias("coverage_pct"))
+                    F.when(F.col("planned") > 0, 100.0 * F.col("matched") / F.nullif("planned", F.lit(0))).alias("coverage_pct"))
 
 
 def unmatched(planned: DataFrame, captured: DataFrame, pairs: DataFrame, mission: str = "mission_id") -> DataFrame:
@@ -72,12 +73,13 @@ def site_verdict(cov: DataFrame, quality: DataFrame, key: str) -> DataFrame:
     """
     j = cov.join(quality, key, "left").na.fill(0, ["checked", "flagged", "unreadable"])
     pct = F.when(F.col("checked") > 0, 100.0 * F.col("flagged") / F.col("checked")).otherwise(0.0)
-    bad = (F.col("unreadable") > 0) | (F.col("coverage_pct") < MIN_COVERAGE_PCT) | (pct > MAX_FLAGGED_PCT)
-    low = F.col("coverage_pct") < MIN_COVERAGE_PCT
+    planned = F.coalesce("planned", F.lit(0)) > 0
+    low = planned & (F.col("coverage_pct") < MIN_COVERAGE_PCT)
+    bad = (F.col("unreadable") > 0) | low | (pct > MAX_FLAGGED_PCT)
     blocking = F.array_compact(F.array(F.when(F.col("unreadable") > 0, "unreadable"), F.when(low, "coverage"), F.when(pct > MAX_FLAGGED_PCT, "quality")))
-    warnings = F.array_compact(F.array(F.when(~low & (F.col("missed") > 0), "missed"), F.when(F.col("ungeotagged") > 0, "ungeotagged"),
+    warnings = F.array_compact(F.array(F.when(planned & ~low & (F.col("missed") > 0), "missed"), F.when(planned & (F.col("ungeotagged") > 0), "ungeotagged"),
                                        F.when((F.col("flagged") > 0) & (pct <= MAX_FLAGGED_PCT), "quality")))
-    unchecked = F.array_compact(F.array(F.when(F.coalesce("planned", F.lit(0)) == 0, "coverage"), F.when(F.col("checked") == 0, "quality")))
+    unchecked = F.array_compact(F.array(F.when(~planned, "coverage"), F.when(F.col("checked") == 0, "quality")))
     return (j.withColumn("flagged_pct", pct).withColumn("blocking", blocking).withColumn("warnings", warnings).withColumn("unchecked", unchecked)
             .withColumn("verdict", F.when(bad, "blocked").when(F.size("warnings") > 0, "warnings").when(F.col("checked") == 0, "unchecked").otherwise("ready")))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldspark.functions.geo import EARTH_RADIUS_TRACK_M, in_ring, ring_pairs, segment_distance
+from fieldspark.functions.geo import EARTH_RADIUS_TRACK_M, in_ring, lonlat_to_utm, ring_pairs, segment_distance, utm_epsg
 from fieldspark.session import join_salted
 
 
@@ -17,6 +17,25 @@ def _bucket(v: Column, size: float) -> Column:
     return F.floor(v / F.lit(float(size))).cast("long")
 
 
+def local_enu(points: DataFrame, keys: list[str], *, lon: str = "lon", lat: str = "lat", alt: str = "alt_m", epsg: str | None = None) -> DataFrame:
+    """Positions projected to UTM, less the mean of their group: adds ``epsg, east, north, up`` and the projected origin.
+
+    ``epsg`` names a column that is the same within a group; without it the zone of the group's mean position holds. A missing
+    altitude counts as 0; points without a position have no place and no part in the origin.
+    """
+    placed = F.col(lon).isNotNull() & F.col(lat).isNotNull()
+    if epsg is None:
+        zone = points.where(placed).groupBy(*keys).agg(F.avg(lat).alias("_lat"), F.avg(lon).alias("_lon")).select(*keys, utm_epsg("_lat", "_lon").alias("epsg"))
+        flat = join_salted(points, zone, keys, [lon, lat])
+    else:
+        flat = points.withColumn("epsg", F.col(epsg))
+    flat = flat.withColumn("_u", F.when(placed, lonlat_to_utm(lon, lat, "epsg"))).withColumn("_z", F.when(placed, F.coalesce(F.col(alt), F.lit(0.0))))
+    origin = flat.groupBy(*keys).agg(F.avg("_u.easting").alias("origin_east"), F.avg("_u.northing").alias("origin_north"), F.avg("_z").alias("origin_up"))
+    out = join_salted(flat, origin, keys, [lon, lat])
+    return (out.withColumn("east", F.col("_u.easting") - F.col("origin_east")).withColumn("north", F.col("_u.northing") - F.col("origin_north"))
+            .withColumn("up", F.col("_z") - F.col("origin_up")).drop("_u", "_z"))
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, keys: list[str], bucket: float, *, x: str = "x", y: str = "y",
                        ring: str = "ring", row_key: list[str] | None = None) -> DataFrame:
     """Points joined to every polygon that holds them (even-odd, half-open edges).

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldspark.operators import asof, capture
-from fieldspark.plans.adapters import cte, view
+from fieldspark.plans.adapters import cte, table, view
 from fieldspark.plans.registry import query
 
 HAV = "2 * {r} * asin(sqrt(pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lon - {a}lon) / 2), 2)))"
@@ -54,10 +54,10 @@ def match_captures(spark, sf):
 p AS (SELECT mission_id, count(*) AS n FROM planned GROUP BY 1),
 i AS (SELECT mission_id, count(*) AS n, count(lon) AS placed FROM captured GROUP BY 1),
 m AS (SELECT g AS mission_id, count(*) AS n FROM matched GROUP BY 1)
-SELECT p.mission_id, CAST(p.n AS BIGINT) AS planned, CAST(coalesce(i.n, 0) AS BIGINT) AS images, CAST(coalesce(m.n, 0) AS BIGINT) AS matched,
-       CAST(p.n - coalesce(m.n, 0) AS BIGINT) AS missed, CAST(coalesce(i.placed, 0) - coalesce(m.n, 0) AS BIGINT) AS unplanned,
+SELECT mission_id, CAST(coalesce(p.n, 0) AS BIGINT) AS planned, CAST(coalesce(i.n, 0) AS BIGINT) AS images, CAST(coalesce(m.n, 0) AS BIGINT) AS matched,
+       CAST(coalesce(p.n, 0) - coalesce(m.n, 0) AS BIGINT) AS missed, CAST(coalesce(i.placed, 0) - coalesce(m.n, 0) AS BIGINT) AS unplanned,
        CAST(coalesce(i.n - i.placed, 0) AS BIGINT) AS ungeotagged, round(100.0 * coalesce(m.n, 0) / p.n, 4) AS coverage_pct
-FROM p LEFT JOIN i USING (mission_id) LEFT JOIN m USING (mission_id)""")
+FROM p FULL JOIN i USING (mission_id) LEFT JOIN m USING (mission_id)""")
 def capture_coverage(spark, sf):
     return capture.coverage(view(spark, sf, "planned"), view(spark, sf, "captured"), matches(spark, sf)).withColumn("coverage_pct", F.round("coverage_pct", 4))
 
@@ -96,19 +96,26 @@ def remaining_captures(spark, sf):
 
 
 @query("site_verdict", CAPTURE_CTE + """,
-q AS (SELECT mission_id, count(*) AS n, sum(CASE WHEN alt_m < 59 THEN 1 ELSE 0 END) AS flagged, sum(CASE WHEN lon IS NULL THEN 1 ELSE 0 END) AS unread FROM captured GROUP BY 1),
-g AS (SELECT mission_id, count(*) FILTER (WHERE lon IS NULL OR lat IS NULL) AS bare FROM captured GROUP BY 1),
-c AS (SELECT p.mission_id, 100.0 * count(m.l) / count(*) AS pct, count(*) - count(m.l) AS missed FROM planned p LEFT JOIN matched m ON m.g = p.mission_id AND m.l = p.idx GROUP BY 1)
+flown AS (SELECT mission_id, lon, lat, alt_m FROM captured UNION ALL SELECT 1000000 + s_nationkey, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_acctbal / 100 END, 41.0, 60.0 FROM supplier),
+q AS (SELECT mission_id, count(*) AS n, sum(CASE WHEN alt_m < 59 THEN 1 ELSE 0 END) AS flagged, sum(CASE WHEN lon IS NULL THEN 1 ELSE 0 END) AS unread FROM flown GROUP BY 1),
+g AS (SELECT mission_id, count(*) FILTER (WHERE lon IS NULL OR lat IS NULL) AS bare FROM flown GROUP BY 1),
+d AS (SELECT p.mission_id, 100.0 * count(m.l) / count(*) AS pct, count(*) - count(m.l) AS missed FROM planned p LEFT JOIN matched m ON m.g = p.mission_id AND m.l = p.idx GROUP BY 1),
+c AS (SELECT g.mission_id, d.pct, coalesce(missed, 0) AS missed FROM g LEFT JOIN d USING (mission_id))
 SELECT c.mission_id, round(c.pct, 4) AS coverage_pct, CAST(unread AS BIGINT) AS unreadable, round(100.0 * flagged / n, 4) AS flagged_pct,
-       CASE WHEN unread > 0 OR pct < 95 OR 100.0 * flagged / n > 5 THEN 'blocked' WHEN flagged > 0 OR missed > 0 OR bare > 0 THEN 'warnings' ELSE 'ready' END AS verdict,
-       concat_ws(',', CASE WHEN pct >= 95 AND missed > 0 THEN 'missed' END, CASE WHEN bare > 0 THEN 'ungeotagged' END, CASE WHEN flagged > 0 AND 100.0 * flagged / n <= 5 THEN 'quality' END) AS warnings
+       CASE WHEN unread > 0 OR pct < 95 OR 100.0 * flagged / n > 5 THEN 'blocked' WHEN flagged > 0 OR missed > 0 OR (bare > 0 AND pct IS NOT NULL) THEN 'warnings' ELSE 'ready' END AS verdict,
+       CASE WHEN pct IS NULL THEN 'coverage' ELSE '' END AS unchecked,
+       concat_ws(',', CASE WHEN pct >= 95 AND missed > 0 THEN 'missed' END, CASE WHEN bare > 0 AND pct IS NOT NULL THEN 'ungeotagged' END, CASE WHEN flagged > 0 AND 100.0 * flagged / n <= 5 THEN 'quality' END) AS warnings
 FROM c JOIN q USING (mission_id) JOIN g USING (mission_id)""")
 def site_verdict(spark, sf):
-    cov = capture.coverage(view(spark, sf, "planned"), view(spark, sf, "captured"), matches(spark, sf))
-    quality = (view(spark, sf, "captured").groupBy("mission_id").agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("alt_m") < 59).alias("flagged"),
-                                                                     F.count_if(F.col("lon").isNull()).alias("unreadable")))
+    """Suppliers' pictures, one survey per nation, were flown without a plan."""
+    free = table(spark, sf, "supplier").selectExpr("1000000 + s_nationkey AS mission_id", "CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_acctbal / 100 END AS lon", "41.0D AS lat", "60.0D AS alt_m")
+    flown = view(spark, sf, "captured").select("mission_id", "lon", "lat", "alt_m").unionByName(free)
+    cov = capture.coverage(view(spark, sf, "planned"), flown, matches(spark, sf))
+    quality = (flown.groupBy("mission_id").agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("alt_m") < 59).alias("flagged"),
+                                               F.count_if(F.col("lon").isNull()).alias("unreadable")))
     v = capture.site_verdict(cov, quality, "mission_id")
-    return v.select("mission_id", F.round("coverage_pct", 4).alias("coverage_pct"), "unreadable", F.round("flagged_pct", 4).alias("flagged_pct"), "verdict", F.array_join("warnings", ",").alias("warnings"))
+    return v.select("mission_id", F.round("coverage_pct", 4).alias("coverage_pct"), "unreadable", F.round("flagged_pct", 4).alias("flagged_pct"), "verdict",
+                    F.array_join("unchecked", ",").alias("unchecked"), F.array_join("warnings", ",").alias("warnings"))
 
 
 EPOCH_CTE = cte("defects_t1", "defects_t2") + f""",

@@ -34,15 +34,33 @@ def utm_round_trip(spark, sf):
     return b.select("o_orderkey", (F.round(F.greatest(F.abs(F.col("b.lon") - F.col("lon")), F.abs(F.col("b.lat") - F.col("lat"))), 6) + 0.0).alias("miss"))
 
 
-@query("local_enu", cte("planned") + """, m AS (SELECT mission_id, avg(lon) AS mx, avg(lat) AS my, avg(alt_m) AS mz FROM planned GROUP BY 1)
-SELECT p.mission_id, idx, round((lon - mx) * cos(radians(my)) * pi() * 6378137 / 180, 3) AS east, round((lat - my) * pi() * 6378137 / 180, 3) AS north, round(alt_m - mz, 4) AS up FROM planned p JOIN m USING (mission_id)""")
+# the oracle projects by the truncated series in the second eccentricity, the library by the series in the third flattening
+_E2 = geo.WGS84_F * (2 - geo.WGS84_F)
+_UTM = f"""
+z AS (SELECT mission_id, avg(lon) AS clon, avg(lat) AS clat FROM planned GROUP BY 1),
+e AS (SELECT p.*, 32600 + CAST(floor((clon + 180) / 6) AS INT) + 1 AS epsg, radians(lat) AS phi, radians(floor((clon + 180) / 6) * 6 - 177) AS lon0 FROM planned p JOIN z USING (mission_id)),
+k AS (SELECT *, {geo.WGS84_A} / sqrt(1 - {_E2} * sin(phi) * sin(phi)) AS nu, tan(phi) * tan(phi) AS t, {_E2} / (1 - {_E2}) * cos(phi) * cos(phi) AS c, (radians(lon) - lon0) * cos(phi) AS a,
+  {geo.WGS84_A} * ({1 - _E2 / 4 - 3 * _E2**2 / 64 - 5 * _E2**3 / 256 - 175 * _E2**4 / 16384} * phi - {3 * _E2 / 8 + 3 * _E2**2 / 32 + 45 * _E2**3 / 1024 + 105 * _E2**4 / 4096} * sin(2 * phi)
+    + {15 * _E2**2 / 256 + 45 * _E2**3 / 1024 + 525 * _E2**4 / 16384} * sin(4 * phi) - {35 * _E2**3 / 3072 + 175 * _E2**4 / 12288} * sin(6 * phi)
+    + {315 * _E2**4 / 131072} * sin(8 * phi)) AS m FROM e),
+u AS (SELECT mission_id, idx, epsg, alt_m, 0.9996 * nu * (a + (1 - t + c) * a ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * {_E2 / (1 - _E2)}) * a ** 5 / 120) AS x,
+  0.9996 * (m + nu * tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * a ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * {_E2 / (1 - _E2)}) * a ** 6 / 720)) AS y FROM k),
+o AS (SELECT mission_id, avg(x) AS mx, avg(y) AS my, avg(alt_m) AS mz FROM u GROUP BY 1)"""
+
+
+@query("local_enu", cte("planned") + f""", {_UTM}
+SELECT mission_id, idx, epsg, round(x - mx, 3) + 0.0 AS east, round(y - my, 3) + 0.0 AS north, round(alt_m - mz, 4) + 0.0 AS up FROM u JOIN o USING (mission_id)""")
 def local_enu(spark, sf):
-    from fieldspark.operators.ordered import join_side
-    p = view(spark, sf, "planned")
-    m = p.groupBy("mission_id").agg(F.avg("lon").alias("mx"), F.avg("lat").alias("my"), F.avg("alt_m").alias("mz"))
-    k = 3.141592653589793 * geo.WGS84_A / 180
-    j = join_side(p, m, ["mission_id"])
-    return j.select("mission_id", "idx", F.round((F.col("lon") - F.col("mx")) * F.cos(F.radians("my")) * k, 3).alias("east"), F.round((F.col("lat") - F.col("my")) * k, 3).alias("north"), F.round(F.col("alt_m") - F.col("mz"), 4).alias("up"))
+    from fieldspark.operators.spatial import local_enu as run
+    return run(view(spark, sf, "planned"), ["mission_id"]).select("mission_id", "idx", "epsg", *[(F.round(c, d) + 0.0).alias(c) for c, d in (("east", 3), ("north", 3), ("up", 4))])
+
+
+@query("lonlat_to_utm", cte("planned") + f""", {_UTM}
+SELECT mission_id, idx, round(x + 500000, 2) AS easting, round(y, 2) AS northing FROM u""")
+def lonlat_to_utm(spark, sf):
+    from fieldspark.operators.spatial import local_enu as run
+    p = run(view(spark, sf, "planned"), ["mission_id"])
+    return p.select("mission_id", "idx", F.round(F.col("east") + F.col("origin_east"), 2).alias("easting"), F.round(F.col("north") + F.col("origin_north"), 2).alias("northing"))
 
 
 @query("mercator_tile", f"""WITH p AS (SELECT o_orderkey, {POS.format(d='::DOUBLE')} FROM orders), c AS (SELECT *, greatest(-85.05112878, least(85.05112878, lat)) AS cl FROM p)

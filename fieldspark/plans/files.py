@@ -13,13 +13,44 @@ from fieldspark.sources import readers, writers
 TEL = cte("telemetry")
 
 
-@query("write_track_gpx", TEL + f"SELECT CAST(flight_id AS VARCHAR) AS flight_id, CAST(count(*) FILTER (WHERE {FIX}) + 2 AS BIGINT) AS lines, CAST(count(*) FILTER (WHERE {FIX}) AS BIGINT) AS points FROM telemetry GROUP BY 1")
+@query("write_track_gpx", TEL + f"""SELECT flight_id, CAST(count(*) AS BIGINT) AS points, round(sum(round(latitude, 8)), 6) AS lat_sum, round(sum(altitude_rel_m + 100), 2) AS ele_sum,
+CAST(sum(seq % 15) AS BIGINT) AS sats, round(sum(round((seq % 40) / 8.0, 2)), 2) AS hdop_sum, strftime(min(date_trunc('second', ts)), '%Y-%m-%dT%H:%M:%SZ') AS first_time FROM telemetry WHERE {FIX} GROUP BY 1""")
 def write_track_gpx(spark, sf):
+    """The documents are parsed back as XML."""
     path = scratch(spark, "gpx")
-    t = view(spark, sf, "telemetry").withColumn("altitude_abs_m", F.col("altitude_rel_m") + 100)
-    writers.write_track(t, path, "gpx")
-    got = spark.read.option("basePath", path).text(path)
-    return got.groupBy(F.col("flight_id").cast("string").alias("flight_id")).agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("value").startswith("<trkpt")).alias("points"))
+    t = (view(spark, sf, "telemetry").withColumn("altitude_abs_m", F.col("altitude_rel_m") + 100).withColumn("satellites", F.col("seq") % 15)
+         .withColumn("hdop", F.round((F.col("seq") % 40) / 8.0, 2)).withColumn("title", F.concat(F.lit("a <b> & "), F.col("flight_id").cast("string"))))
+    writers.write_track(t, path, "gpx", name="title")
+    got = spark.read.schema("_lat double, _lon double, ele double, time string, sat long, hdop double, flight_id long").option("rowTag", "trkpt").option("basePath", path).xml(path)
+    return got.groupBy("flight_id").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("_lat"), 6).alias("lat_sum"), F.round(F.sum("ele"), 2).alias("ele_sum"), F.sum("sat").alias("sats"),
+                                        F.round(F.sum("hdop"), 2).alias("hdop_sum"), F.min("time").alias("first_time"))
+
+
+@query("write_track_json", TEL + f"""SELECT flight_id, CAST(count(*) AS BIGINT) AS sample_count, CAST(count(*) FILTER (WHERE {FIX}) AS BIGINT) AS positioned_samples, CAST(count(*) FILTER (WHERE NOT {FIX}) AS BIGINT) AS samples_without_fix,
+max(CASE WHEN {FIX} THEN altitude_rel_m END) AS max_altitude_rel_m, arg_min(battery_pct, (ts, seq)) FILTER (WHERE battery_pct > 0) AS battery_start_pct, CAST(arg_min(seq, (ts, seq)) AS BIGINT) AS first_seq, CAST(arg_max(seq, (ts, seq)) AS BIGINT) AS last_seq,
+round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 3) AS last_elapsed FROM telemetry GROUP BY 1""")
+def write_track_json(spark, sf):
+    path = scratch(spark, "json")
+    writers.write_track(view(spark, sf, "telemetry"), path, "json")
+    schema = ("summary struct<sample_count: long, positioned_samples: long, samples_without_fix: long, max_altitude_rel_m: double, battery_start_pct: double>, "
+              "samples array<struct<seq: long, elapsed_s: double>>, flight_id long")
+    got = spark.read.schema(schema).option("multiLine", "true").option("basePath", path).json(path)
+    return got.select("flight_id", "summary.*", F.col("samples")[0]["seq"].alias("first_seq"), F.element_at("samples", -1)["seq"].alias("last_seq"), F.round(F.element_at("samples", -1)["elapsed_s"], 3).alias("last_elapsed"))
+
+
+@query("read_control_points", """SELECT 'P' || chr(10) || 'point, ' || CAST(o_orderkey AS VARCHAR) || ' "x"' AS name, o_orderkey + 0.25 AS x, o_custkey + 0.5 AS y, round(o_totalprice, 2) AS z, CASE WHEN o_orderkey % 2 = 0 THEN 32617 ELSE 4326 END AS epsg,
+CASE WHEN o_orderkey % 3 = 0 THEN 0.02 ELSE round(o_custkey % 7 / 100.0, 2) END AS accuracy_m FROM orders""")
+def read_control_points(spark, sf):
+    """One file per order status and day's remainder, with quoted separators, quotes and line breaks in names."""
+    path = scratch(spark, "gcp")
+    o = table(spark, sf, "orders")
+    quoted = F.concat(F.lit('"P\npoint, '), F.col("o_orderkey").cast("string"), F.lit(' ""x"""'))
+    acc = F.when(F.col("o_orderkey") % 3 == 0, F.lit("")).otherwise((F.col("o_custkey") % 7 / -100.0).cast("string"))
+    row = F.concat_ws(",", quoted, (F.col("o_orderkey") + 0.25).cast("string"), (F.col("o_custkey") + 0.5).cast("string"), F.format_string("%.2f", "o_totalprice"), F.when(F.col("o_orderkey") % 2 == 0, "32617").otherwise("4326"), acc)
+    head = o.select("o_orderstatus").distinct().select("o_orderstatus", F.lit(0).alias("k"), F.lit("Label,Easting,Northing,Elevation,EPSG,Accuracy").alias("value"))
+    lines = head.unionByName(o.select("o_orderstatus", F.lit(1).alias("k"), row.alias("value")))
+    lines.repartition("o_orderstatus").sortWithinPartitions("o_orderstatus", "k").select("o_orderstatus", "value").write.partitionBy("o_orderstatus").text(path)
+    return readers.read_control_points(spark, path).select("name", "x", "y", F.round("z", 2).alias("z"), "epsg", F.round("accuracy_m", 2).alias("accuracy_m"))
 
 
 @query("track_kml_lines", TEL + f"SELECT flight_id, seq, printf('%.8f,%.8f,%.2f', longitude, latitude, altitude_rel_m) AS line FROM telemetry WHERE {FIX}")

@@ -134,10 +134,18 @@ def validate_bundle(bundles: dict[str, DataFrame], listing: DataFrame | None = N
 
 # --- control, positioning ------------------------------------------------------------------------
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """One row per non-blank line: ``file, line_no, line``. Files of this kind are small; each is read whole."""
+def _outside_quotes(text: Column, old: str, new: str) -> Column:
+    """``text`` with ``old`` replaced where it does not stand between double quotes."""
+    return F.array_join(F.transform(F.split(text, '"'), lambda part, i: F.when(i % 2 == 0, F.replace(part, F.lit(old), F.lit(new))).otherwise(part)), '"')
+
+
+def _lines(spark: SparkSession, path: str, quoted: bool = False) -> DataFrame:
+    """One row per line: ``file, line_no, line``; with ``quoted`` a break between double quotes is part of its line. Files of this
+    kind are small; each is read whole."""
     doc = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return (doc.select("file", F.posexplode(F.split(F.regexp_replace("value", "^\\x{FEFF}", ""), "\\r?\\n")).alias("line_no", "line")))
+    text = F.regexp_replace("value", "^\\x{FEFF}", "")
+    pieces = F.split(_outside_quotes(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n", "\u0001"), "\u0001") if quoted else F.split(text, "\\r?\\n")
+    return doc.select("file", F.posexplode(pieces).alias("line_no", "line"))
 
 
 def _header_index(cells: Column, names: tuple[str, ...]) -> Column:
@@ -148,13 +156,14 @@ def _header_index(cells: Column, names: tuple[str, ...]) -> Column:
 
 def csv_cells(line: str, sep: str = ",") -> Column:
     """Fields of a CSV line. A field in double quotes may hold the separator, and two quotes for one."""
-    parts = F.split(line, f"[{sep}](?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")
-    return F.transform(parts, lambda p: F.when(F.trim(p).rlike('^".*"$'), F.replace(F.regexp_replace(F.trim(p), '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(p))
+    parts = F.split(_outside_quotes(F.col(line), sep, "\u0001"), "\u0001")
+    quoted = lambda p: F.trim(p).startswith('"') & F.trim(p).endswith('"') & (F.length(F.trim(p)) > 1)
+    return F.transform(parts, lambda p: F.when(quoted(p), F.replace(F.substring(F.trim(p), F.lit(2), F.length(F.trim(p)) - 2), F.lit('""'), F.lit('"'))).otherwise(p))
 
 
 def _csv_by_alias(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]], sep: str = ",") -> DataFrame:
     """Rows of header-led tables whose columns go by several names: ``file, row_no, <fields>`` plus ``has_<field>``."""
-    lines = _lines(spark, path).where(F.trim(F.translate("line", sep, "")) != "").withColumn("cells", csv_cells("line", sep))
+    lines = _lines(spark, path, quoted=True).where(F.trim(F.translate("line", sep, "")) != "").withColumn("cells", csv_cells("line", sep))
     head = lines.groupBy("file").agg(F.min_by("cells", "line_no").alias("head"), F.min("line_no").alias("head_no"))
     rows = lines.join(head, "file").where(F.col("line_no") > F.col("head_no"))
     for field, names in aliases.items():

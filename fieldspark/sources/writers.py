@@ -42,6 +42,7 @@ def markdown_rows(defects: DataFrame) -> DataFrame:
     return defects.select(F.format_string("| %s | %s | %.2f | %s | %s | (%s) |", base_name("image_path"), c("defect_type"), c("confidence"), c("severity"), c("area_px").cast("string"), box).alias("value"))
 
 
+# The two heading lines of the table.
 MARKDOWN_HEAD = ("| Image | Type | Confidence | Severity | Area px | bbox |", "|---|---|---:|---|---:|---|")
 
 
@@ -56,23 +57,35 @@ def write_annotations(rows: DataFrame, path: str, fmt: str = "json", mode: str =
 
 # --- tracks --------------------------------------------------------------------------------------
 
-def track_lines(telemetry: DataFrame, fmt: str, key: str = "flight_id") -> DataFrame:
+def xml_text(value: Column) -> Column:
+    """Text as it stands in XML."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        value = F.replace(value, F.lit(sign), F.lit(name))
+    return value
+
+
+def track_lines(telemetry: DataFrame, fmt: str, key: str = "flight_id", name: str | None = None, creator: str = "fieldspark") -> DataFrame:
     """Text of a GPX or KML track as one line per element, in order: ``flight, part, ts, seq, line``.
 
-    Only positioned samples appear. A long flight stays many rows; the sink sorts within its file.
+    Only positioned samples appear. ``name`` is a column with the flight's title, else its key is. ``satellites`` and ``hdop``
+    are written where the table has them.
     """
     pts = telemetry.where(has_fix())
     lat, lon = F.format_string("%.8f", F.col("latitude")), F.format_string("%.8f", F.col("longitude"))
     alt = F.format_string("%.2f", F.coalesce("altitude_abs_m", F.lit(0.0)))
-    flights = telemetry.select(key).distinct()
+    flights = telemetry.groupBy(key).agg(F.min(name or key).cast("string").alias("_name"))
+    title = F.concat(F.lit("<name>"), xml_text(F.coalesce("_name", F.lit("Flight"))), F.lit("</name>"))
+    head = F.lit('<?xml version="1.0" encoding="UTF-8"?>')
     if fmt == "gpx":
-        start = F.concat(F.lit('<gpx version="1.1" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>'), F.col(key).cast("string"), F.lit("</name><trkseg>"))
+        extra = [F.concat(F.lit("<sat>"), F.coalesce(F.col("satellites").cast("string"), F.lit("0")), F.lit("</sat>"))] if "satellites" in telemetry.columns else []
+        extra += [F.concat(F.lit("<hdop>"), F.format_string("%.2f", F.coalesce(F.col("hdop").cast("double"), F.lit(0.0))), F.lit("</hdop>"))] if "hdop" in telemetry.columns else []
+        start = F.concat(head, F.lit(f'<gpx version="1.1" creator="{creator}" xmlns="http://www.topografix.com/GPX/1/1"><metadata>'), title, F.lit("</metadata><trk>"), title, F.lit("<trkseg>"))
         body = F.concat(F.lit('<trkpt lat="'), lat, F.lit('" lon="'), lon, F.lit('"><ele>'), alt, F.lit("</ele><time>"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
-                        F.lit("</time></trkpt>"))
+                        F.lit("</time>"), *extra, F.lit("</trkpt>"))
         stop = F.lit("</trkseg></trk></gpx>")
     elif fmt == "kml":
-        start = F.concat(F.lit('<kml xmlns="http://www.opengis.net/kml/2.2"><Document><Placemark><name>'), F.col(key).cast("string"),
-                         F.lit("</name><LineString><extrude>0</extrude><altitudeMode>absolute</altitudeMode><coordinates>"))
+        start = F.concat(head, F.lit('<kml xmlns="http://www.opengis.net/kml/2.2"><Document>'), title, F.lit("<Placemark>"), title,
+                         F.lit("<LineString><extrude>0</extrude><altitudeMode>absolute</altitudeMode><coordinates>"))
         body = F.concat_ws(",", lon, lat, alt)
         stop = F.lit("</coordinates></LineString></Placemark></Document></kml>")
     else:
@@ -83,19 +96,37 @@ def track_lines(telemetry: DataFrame, fmt: str, key: str = "flight_id") -> DataF
             .unionByName(flights.select(key, F.lit(2).alias("part"), *none, stop.alias("line"))))
 
 
-def write_track(telemetry: DataFrame, path: str, fmt: str, key: str = "flight_id", mode: str = "error") -> None:
-    """All samples as CSV or JSON, positioned samples as GPX or KML; one folder per flight.
+def track_json_lines(telemetry: DataFrame, key: str = "flight_id") -> DataFrame:
+    """Lines of one JSON document per flight: its summary, then all samples with their elapsed seconds."""
+    from fieldspark.operators.flights import elapsed, flight_summary
+    from fieldspark.operators.ordered import time_chunk, with_row_number
+    about = [c for c in ("aircraft", "pilot", "mission_name") if c in telemetry.columns]
+    known = telemetry.groupBy(key).agg(*[F.min(c).alias(c) for c in about], F.count(F.lit(1)).alias("_n")).drop("_n")
+    s = flight_summary(telemetry, key=key).join(known, key)
+    body = F.struct(F.col("samples").alias("sample_count"), F.col("positioned").alias("positioned_samples"), (F.col("samples") - F.col("positioned")).alias("samples_without_fix"),
+                    F.bround("duration_s", 1).alias("duration_s"), F.bround("distance_m", 1).alias("distance_m"), F.bround("max_altitude_m", 1).alias("max_altitude_rel_m"),
+                    F.col("battery_first").alias("battery_start_pct"), F.col("battery_last").alias("battery_end_pct"), *about)
+    as_json = lambda row: F.to_json(row, {"ignoreNullFields": "false"})
+    none = F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("long").alias("seq")
+    rows = with_row_number(elapsed(telemetry, key), [key], ["ts", "seq"], [time_chunk("ts")], "_no")
+    comma = F.when(F.col("_no") > 1, ",").otherwise("")
+    return (s.select(key, F.lit(0).alias("part"), *none, F.concat(F.lit('{"summary":'), as_json(body), F.lit(',"samples":[')).alias("line"), F.lit(0).cast("long").alias("no"))
+            .unionByName(rows.select(key, F.lit(1).alias("part"), "ts", "seq", F.concat(comma, as_json(F.struct(*[c for c in rows.columns if c not in (key, "_no")]))).alias("line"), F.col("_no").alias("no")))
+            .unionByName(s.select(key, F.lit(2).alias("part"), *none, F.lit("]}").alias("line"), F.lit(0).cast("long").alias("no"))))
+
+
+def write_track(telemetry: DataFrame, path: str, fmt: str, key: str = "flight_id", mode: str = "error", name: str | None = None) -> None:
+    """One valid document per flight, in a folder of its own: all samples as CSV or as JSON with a summary, positioned ones as
+    GPX or KML.
 
-    Rows are range-partitioned by flight and time, so a long flight becomes several files in name order.
+    A document has one writer, so a flight is one task's; it is sorted outside memory and written line by line.
     """
-    if fmt in ("csv", "json"):
-        out = telemetry.repartitionByRange(key, "ts", "seq").sortWithinPartitions(key, "ts", "seq")
-        w = out.write.mode(mode).partitionBy(key)
-        w.option("header", "true").csv(path) if fmt == "csv" else w.json(path)
+    if fmt == "csv":
+        telemetry.repartition(key).sortWithinPartitions(key, "ts", "seq").write.mode(mode).partitionBy(key).option("header", "true").csv(path)
         return
-    lines = track_lines(telemetry, fmt, key)
-    (lines.repartitionByRange(key, "part", "ts", "seq").sortWithinPartitions(key, "part", "ts", "seq").select(key, F.col("line").alias("value"))
-     .write.mode(mode).partitionBy(key).text(path))
+    lines = track_json_lines(telemetry, key) if fmt == "json" else track_lines(telemetry, fmt, key, name)
+    order = [key, "part", "no"] if fmt == "json" else [key, "part", "ts", "seq"]
+    lines.repartition(key).sortWithinPartitions(*order).select(key, F.col("line").alias("value")).write.mode(mode).partitionBy(key).text(path)
 
 
 # --- features ------------------------------------------------------------------------------------

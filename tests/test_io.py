@@ -1,8 +1,10 @@
 """Round trips and refusals of readers and writers."""
 
+import glob
 import hashlib
 import json
 import os
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +132,7 @@ def test_tracks_features_and_tables(spark, folder):
     assert gpx.count("<trkpt") == 2 and gpx.index('lat="41.00000000"') < gpx.index('lat="41.00020000"') and "2023-11-14T22:13:20Z" in gpx
     wr.write_track(t, folder + "/kml", "kml")
     kml = "".join(r["value"] for r in spark.read.text(folder + "/kml").collect())
+    assert len(glob.glob(folder + "/kml/*/part-*")) == 1 and ElementTree.fromstring(kml.replace("?>", "?>\n").encode()).tag.endswith("kml")
     assert "-81.00000000,41.00000000,5.00" in kml
     wr.write_track(t, folder + "/csv", "csv")
     assert spark.read.option("header", "true").csv(folder + "/csv").count() == 3
@@ -173,3 +176,20 @@ def test_plugins_and_kernels(spark):
     assert m[0]["laplacian_var"] == 0 and m[0]["dark_ratio"] == 1.0 and m[1]["bright_ratio"] == 0.5 and m[1]["average_hash"] == "0f" * 8 and m[1]["laplacian_var"] > 0
     t = plugins.predict_tiles(spark.createDataFrame([(1, [1.0, 2.0])], "id int, pixels array<double>"), lambda p: p * 2)
     assert t.first()["logits"] == [2.0, 4.0]
+
+
+def test_one_line_of_very_many_quoted_fields(spark, folder):
+    put(folder, "wide.csv", "name,x,y,z,epsg\n" + "a,1,2,3,4326" + ',"q,""r"""' * 100_000 + "\n")
+    assert [tuple(r) for r in rd.read_control_points(spark, folder).select("name", "x", "y", "z").collect()] == [("a", 1.0, 2.0, 3.0)]
+    line = spark.createDataFrame([('"a,b",c, "d ""e""" ,"",x"y',)], "line string")
+    assert line.select(rd.csv_cells("line").alias("c")).first()["c"] == ["a,b", "c", 'd "e"', "", 'x"y']
+
+
+def test_local_enu_without_positions(spark):
+    from fieldspark.operators.spatial import local_enu
+    rows = [("a", 10.0, 50.0, None), ("a", 10.001, 50.0, 8.0), ("a", None, 50.0, 1.0), ("b", None, None, None)]
+    got = local_enu(spark.createDataFrame(rows, "g string, lon double, lat double, alt_m double"), ["g"]).collect()
+    placed = sorted((r for r in got if r["lon"]), key=lambda r: r["lon"])
+    assert placed[1]["east"] == pytest.approx(-placed[0]["east"]) and placed[1]["east"] == pytest.approx(35.8, abs=0.2)
+    assert [r["up"] for r in placed] == [-4.0, 4.0] and placed[0]["epsg"] == 32632
+    assert [(r["east"], r["up"]) for r in got if r["lon"] is None] == [(None, None), (None, None)]

@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldspark.operators import capture, matching as m
 
@@ -103,6 +104,13 @@ def test_capture_report(spark):
     pairs = capture.match_captures(planned, captured)
     cov = capture.coverage(planned, captured, pairs).first()
     assert (cov["matched"], cov["missed"], cov["unplanned"], cov["ungeotagged"], cov["coverage_pct"]) == (2, 2, 1, 1, 50.0)
+    free = captured.withColumn("mission_id", F.lit("free")).unionByName(captured)
+    seen = {r["mission_id"]: r for r in capture.coverage(planned, free, pairs).collect()}
+    assert (seen["free"]["planned"], seen["free"]["images"], seen["free"]["missed"], seen["free"]["coverage_pct"]) == (0, 4, 0, None)
+    checked = spark.createDataFrame([("free", 4, 0, 0), ("m", 4, 0, 0)], "mission_id string, checked int, flagged int, unreadable int")
+    verdict = {r["mission_id"]: r for r in capture.site_verdict(capture.coverage(planned, free, pairs), checked, "mission_id").collect()}
+    assert (verdict["free"]["verdict"], verdict["free"]["unchecked"], verdict["free"]["warnings"]) == ("ready", ["coverage"], [])
+    assert (verdict["m"]["verdict"], verdict["m"]["blocking"]) == ("blocked", ["coverage"])
     assert {r["status"] for r in capture.unmatched(planned, captured, pairs).collect()} == {"missed", "unplanned", "ungeotagged"}
 
 
