@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fieldspark.functions.geo import EARTH_RADIUS_MEAN_M, haversine_m
 from fieldspark.operators.matching import fine_cell, near_pairs
-from fieldspark.session import cut, join_salted
+from fieldspark.session import cut, join_salted, tidy
 
 TILE = 256
 
@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, round
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         star = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                .where("u <> v").distinct())
+                .where("u <> v"))  # no more rows than edges, so repeats may stay until the end of the round
         # smaller neighbours and the node itself move to the smallest of them
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         nxt = (star.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -36,6 +36,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, round
         current = cut(nxt)
         # the edge set is unchanged when every count and checksum is
         mark = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        tidy(edges.sparkSession)
         if before == mark:
             break
         before = mark

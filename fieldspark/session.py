@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,12 +56,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint, given only once the row count has been seen to be within ``max_rows``.
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints of finished rounds.
 
-    Beyond the bound the table is returned as it is and joins by shuffle.
+    It does so when the JVM collects the plans that own them, which a driver with a roomy heap may not do for hours.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def literal_map(values: dict) -> Column:
