@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fieldspark.llm.common import mixed, shingles, text_chunks, word_hashes
 from fieldspark.operators.components import connected_components
-from fieldspark.session import cut
+from fieldspark.session import cut, join_salted
 
 SHINGLE = 5
 PERCENT = 75  # two sets link when 100 * intersection >= PERCENT * union
@@ -328,9 +328,8 @@ def band_of(n: Column) -> Column:
     return F.floor(F.log(n) / math.log(100 / PERCENT) + 1e-9).cast("int")
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row: texts whose sets of 5-word shingles have a Jaccard similarity of
-    0.75 or more are linked, and a component is named by its smallest id.
+def components(rows: DataFrame, described: DataFrame, hot: DataFrame) -> DataFrame:
+    """``doc, component_id`` of the texts that have words; an id has one text, on however many rows.
 
     1. Equal sets fold into the smallest id (``rep``).
     2. Each text sends the rare quarter of its shingles. Texts that share one are tied to the smallest of them, one edge a text
@@ -340,20 +339,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     4. Shingles whose texts are in different groups form tiles by size band, in blocks of bounded size. Within a tile bitmaps
        are compared, between groups only; what they allow is checked exactly. So no link between components is lost, and no
        copies are paired within one.
-
-    A null or empty text, or one without words, has size 0 and is a component of its own. Fewer than five words form one
-    shingle. Rows of one id are linked with all that any of them links with; all rows are returned, with sizes of their
-    own. A null id has a null component. An empty table gives an empty result. Further columns are not read.
     """
-    rows = _rows(docs, id_col, text_col)
-    described, hot = describe(rows)
     sized = described.where("n > 0 AND doc IS NOT NULL")
     firsts = sized.groupBy("fp1", "fp2").agg(F.min("doc").alias("rep"))
-    sized = cut(sized.join(firsts, ["fp1", "fp2"]))
-    of_doc = sized.groupBy("doc").agg(F.min("rep").alias("rep"))
-    of_rep = sized.where("doc = rep").select("rep", "n", "bits").distinct()
-    # an id of several texts ties their groups together
-    ties = sized.select("doc", F.col("rep").alias("v")).distinct().join(of_doc, "doc").where("rep < v").select(F.col("rep").alias("u"), "v")
+    # a third of all texts may be equal: the smallest id of a set reaches its copies by salt
+    of_doc = cut(join_salted(sized.select("doc", "fp1", "fp2"), firsts, ["fp1", "fp2"], ["doc"], 8, "inner").select("doc", "rep").distinct())
+    of_rep = cut(sized.join(firsts.select("rep"), F.col("doc") == F.col("rep")).select("rep", "n", "bits").dropDuplicates(["rep"]))
 
     # texts that share a key: those of a dealt shingle meet through the smallest texts of its keys
     shared = W.partitionBy("key")
@@ -367,7 +358,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star = (star.join(rep("a", "ra"), "a").join(rep("b", "rb"), "b").where("ra <> rb")
             .select(F.least("ra", "rb").alias("u"), F.greatest("ra", "rb").alias("v")).distinct())
     alike = cut(bounded(star, of_rep))
-    links = verified(alike, rows).unionByName(ties)
+    links = verified(alike, rows)
     label = groups_of(links).withColumnRenamed("group", "label")
     # texts that bitmaps cannot tell apart form groups; within one, sets are compared exactly where components differ
     group = groups_of(alike)
@@ -391,7 +382,48 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bridges = (more.join(named("u", "lu"), "u", "left").join(named("v", "lv"), "v", "left")
                .select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v")).where("u <> v"))
     joined = connected_components(bridges).select(F.col("node").alias("label"), F.col("component").alias("last"))
-    final = (of_doc.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(joined, "label", "left")
+    return (of_doc.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")).join(joined, "label", "left")
              .select("doc", F.coalesce("last", "label").alias("component_id")))
+
+
+def own_names(rows: DataFrame, described: DataFrame) -> DataFrame | None:
+    """``doc, t1, t2, name``: a number of its own, above all ids, for each text of an id that has several; None without such ids."""
+    several = cut(described.where("n > 0 AND doc IS NOT NULL").groupBy("doc").agg(F.min(F.struct("fp1", "fp2")).alias("_a"), F.max(F.struct("fp1", "fp2")).alias("_b")).where("_a < _b").select("doc"))
+    if several.isEmpty():
+        return None
+    top = rows.agg(F.max("doc")).first()[0]
+    texts = cut(rows.join(several, "doc").select("doc", *_mark()).distinct().withColumn("name", F.monotonically_increasing_id()))
+    low = rows.agg(F.min("doc")).first()[0] if top > 1 << 62 else None
+    return texts.withColumn("name", F.lit(top + 1) + F.col("name") if low is None else F.lit(low - 1) - F.col("name"))
+
+
+def _mark() -> list[Column]:
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2")]
+
+
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row: texts whose sets of 5-word shingles have a Jaccard similarity of
+    0.75 or more are linked, and a component is named by its smallest id. See ``components``.
+
+    A null or empty text, or one without words, has size 0 and is a component of its own. Fewer than five words form one
+    shingle. Rows of one id are linked with all that any of them links with: where an id has several texts, each is compared
+    under a name of its own, and the names are tied afterwards. All rows are returned, with sizes of their own. A null id has
+    a null component. An empty table gives an empty result. Further columns are not read.
+    """
+    rows = _rows(docs, id_col, text_col)
+    described, hot = describe(rows)
+    names = own_names(rows, described)
+    if names is None:
+        final = components(rows, described, hot)
+    else:
+        renamed = (rows.select("doc", "text", *_mark()).join(names, ["doc", "t1", "t2"], "left")
+                   .select(F.coalesce("name", "doc").alias("doc"), "text"))
+        found = cut(components(renamed, *describe(renamed)).withColumnRenamed("component_id", "label").withColumnRenamed("doc", "name"))
+        found = cut(found.join(names.select("name", "doc"), "name", "left").select(F.coalesce("doc", "name").alias("doc"), "label").distinct())
+        ties = found.join(found.groupBy("doc").agg(F.min("label").alias("_l")), "doc").select(F.col("_l").alias("u"), F.col("label").alias("v"))
+        tied = connected_components(ties).select(F.col("node").alias("label"), F.col("component").alias("_c"))
+        found = found.join(tied, "label", "left").select("doc", F.coalesce("_c", "label").alias("_c"))
+        least = found.groupBy("_c").agg(F.min("doc").alias("component_id"))
+        final = found.join(least, "_c").select("doc", "component_id").distinct()
     return (described.select("doc", "n").join(final, "doc", "left")
             .select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id")))

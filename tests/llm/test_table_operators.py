@@ -48,6 +48,36 @@ def components(rows):
     return {i: (len(sets[i]), top(i)) for i in sets}
 
 
+@pytest.mark.parametrize("seed", [None, 1, 2])
+def test_ids_of_several_texts_lose_no_link(spark, seed):
+    """Each text of an id is compared by itself; its id ties them."""
+    rng = random.Random(seed)
+    text = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    a, b = text(60), text(60)
+    rows = [(0, b), (1, a), (1, b), (5, a + " more")]
+    if seed:
+        base = [text(rng.choice([4, 40, 120])) for _ in range(8)]
+        for k in range(60):
+            words = rng.choice(base).split()
+            if rng.random() < 0.5:
+                words[rng.randrange(len(words))] = "changed"
+            rows.append((rng.randrange(10, 40), " ".join(words)))
+        rows += [(7, None), (7, ""), (7, base[0]), rows[9], (2**62 + 5, base[1])]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_join.ngram_jaccard_join(docs_of(spark, [(i, t, None, None, None) for i, t in rows])).collect()}
+    home = {}
+    def top(x):
+        while home.setdefault(x, x) != x:
+            x = home[x]
+        return x
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    for i, s in sets:
+        for j, t in sets:
+            if s and t and 100 * len(s & t) >= 75 * len(s | t):
+                x, y = sorted((top(i), top(j)))
+                home[y] = x
+    assert got == {(i, len(s)): top(i) for i, s in sets}
+
+
 def near_copies(rng, groups=12, each=9):
     vocab, rows = [f"w{k}" for k in range(3000)], []
     passage = [rng.choice(vocab) for _ in range(60)]
