@@ -36,20 +36,89 @@ def local_enu(points: DataFrame, keys: list[str], *, lon: str = "lon", lat: str
             .withColumn("up", F.col("_z") - F.col("origin_up")).drop("_u", "_z"))
 
 
+def _size(level: Column) -> Column:
+    return F.pow(F.lit(2.0), level)
+
+
+def cover(polygons: DataFrame, ring: str, finest: float) -> DataFrame:
+    """Cells that polygons touch or hold, instead of their boxes: the columns of ``polygons`` but the ring, with the cell
+    (``_lv, _bx, _by``), ``_full`` and, where a side runs through the cell, ``_e``, the sides that can lie right of its points.
+
+    Cells are squares of 2^level; a polygon of n sides gets the level at which its box has about 64 + n of them, not under
+    ``finest``. A cell without a side is held whole or not at all, as its middle is; holding it needs no test of a point.
+    """
+    lo = lambda e, c: F.least(e["p"][c], e["q"][c])
+    hi = lambda e, c: F.greatest(e["p"][c], e["q"][c])
+    out = polygons.where(F.size(ring) >= 3).withColumn("_b", _bounds(F.col(ring))).withColumn("_p", ring_pairs(F.col(ring)))
+    wide = F.greatest(F.col("_b.x1") - F.col("_b.x0"), F.col("_b.y1") - F.col("_b.y0")) / F.sqrt(F.size("_p") + 64.0)
+    out = out.withColumn("_lv", F.ceil(F.log2(F.greatest(wide, F.lit(float(finest))))).cast("int")).withColumn("_s", _size(F.col("_lv")))
+    # sides this close to a cell count as running through it, for crossings are rounded
+    out = out.withColumn("_m", F.col("_s") * 1e-9 + F.greatest(*[F.abs(F.col(f"_b.{c}")) for c in ("x0", "x1", "y0", "y1")]) * 1e-12)
+    at = lambda v: F.floor(v / F.col("_s")).cast("long")
+    out = out.withColumn("_by", F.explode(F.sequence(at(F.col("_b.y0") - F.col("_m")), at(F.col("_b.y1") + F.col("_m"))))).drop("_b", ring)
+    south, north = F.col("_by") * F.col("_s") - F.col("_m"), (F.col("_by") + 1) * F.col("_s") + F.col("_m")
+    out = out.withColumn("_y0", south).withColumn("_y1", north)
+    out = out.withColumn("_e", F.filter("_p", lambda e: (lo(e, "y") <= F.col("_y1")) & (hi(e, "y") >= F.col("_y0")))).drop("_p")
+
+    def columns(e: Column) -> Column:
+        west, east = _stretch(e["p"]["x"], e["p"]["y"], e["q"]["x"], e["q"]["y"], F.col("_y0"), F.col("_y1"))
+        return F.sequence(at(west - F.col("_m")), at(east + F.col("_m")))
+
+    out = out.withColumn("_t", F.array_distinct(F.flatten(F.transform("_e", columns)))).where(F.size("_t") > 0)
+    gaps = F.array_except(F.sequence(F.array_min("_t"), F.array_max("_t")), F.col("_t"))
+    held = F.filter(gaps, lambda c: _odd((c + 0.5) * F.col("_s"), (F.col("_by") + 0.5) * F.col("_s"), F.col("_e")))
+    cell = lambda full: lambda c: F.struct(c.alias("x"), F.lit(full).alias("full"))
+    out = out.withColumn("_c", F.explode(F.concat(F.transform("_t", cell(False)), F.transform(held, cell(True)))))
+    right = F.filter("_e", lambda e: hi(e, "x") >= F.col("_c.x") * F.col("_s") - F.col("_m"))
+    return (out.withColumn("_e", F.when(~F.col("_c.full"), right)).withColumn("_bx", F.col("_c.x")).withColumn("_full", F.col("_c.full"))
+            .drop("_c", "_t", "_s", "_m", "_y0", "_y1"))
+
+
+def _stretch(ax: Column, ay: Column, bx: Column, by: Column, south: Column, north: Column) -> tuple[Column, Column]:
+    """Least and greatest x of the part of a segment between two heights that it reaches."""
+    rise = F.nullif(by - ay, F.lit(0.0))
+    t = lambda y: F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y - ay) / rise)), F.lit(None).cast("double"))
+    one, two = ax + t(south) * (bx - ax), ax + t(north) * (bx - ax)
+    flat = by == ay
+    return F.when(flat, F.least(ax, bx)).otherwise(F.least(one, two)), F.when(flat, F.greatest(ax, bx)).otherwise(F.greatest(one, two))
+
+
+def _odd(x: Column, y: Column, edges: Column) -> Column:
+    """Even-odd rule of ``in_ring`` over the sides that can matter."""
+    def crosses(e: Column) -> Column:
+        p, q = e["p"], e["q"]
+        at = p["x"] + (y - p["y"]) * (q["x"] - p["x"]) / F.nullif(q["y"] - p["y"], F.lit(0.0))
+        return ((p["y"] > y) != (q["y"] > y)) & (x < at)
+    return F.size(F.filter(edges, crosses)) % 2 == 1
+
+
+def walk(size: Column | float, grow: Column | float, ax: str = "ax", ay: str = "ay", bx: str = "bx", by: str = "by") -> Column:
+    """Cells (``bx, by``) that hold a place within ``grow`` of a segment, row by row: about its length over the cell's size."""
+    size, grow = (v if isinstance(v, Column) else F.lit(float(v)) for v in (size, grow))
+    ax, ay, bx, by = F.col(ax), F.col(ay), F.col(bx), F.col(by)
+    at = lambda v: F.floor(v / size).cast("long")
+
+    def row(r: Column) -> Column:
+        west, east = _stretch(ax, ay, bx, by, r * size - grow, (r + 1) * size + grow)
+        return F.transform(F.sequence(at(west - grow), at(east + grow)), lambda c: F.struct(c.alias("bx"), r.alias("by")))
+
+    return F.flatten(F.transform(F.sequence(at(F.least(ay, by) - grow), at(F.greatest(ay, by) + grow)), row))
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, keys: list[str], bucket: float, *, x: str = "x", y: str = "y",
                        ring: str = "ring", row_key: list[str] | None = None) -> DataFrame:
-    """Points joined to every polygon that holds them (even-odd, half-open edges).
+    """Points joined to every polygon that holds them (even-odd, half-open edges), without its ring.
 
-    A polygon is repeated once per bucket its bounding box touches; points meet it by equi-join.
-    ``row_key`` spreads crowded buckets over salts.
+    Points meet the cells of :func:`cover` by equi-join, once for each level in use; no cell is smaller than ``bucket``.
+    ``row_key`` spreads crowded cells over salts.
     """
-    usable = polygons.where(F.size(ring) >= 3).withColumn("_b", _bounds(F.col(ring)))
-    spread = (usable.withColumn("_bx", F.explode(F.sequence(_bucket(F.col("_b.x0"), bucket), _bucket(F.col("_b.x1"), bucket))))
-              .withColumn("_by", F.explode(F.sequence(_bucket(F.col("_b.y0"), bucket), _bucket(F.col("_b.y1"), bucket)))))
-    pts = points.withColumn("_bx", _bucket(F.col(x), bucket)).withColumn("_by", _bucket(F.col(y), bucket))
-    on = keys + ["_bx", "_by"]
-    joined = join_salted(pts, spread, on, row_key, how="inner") if row_key else pts.join(spread, on, "inner")
-    return joined.where(in_ring(x, y, F.col(ring))).drop("_bx", "_by", "_b")
+    cells = cover(polygons, ring, bucket)
+    levels = [r[0] for r in cells.select("_lv").distinct().collect()]  # powers of two between the finest cell and the widest polygon
+    pts = points.withColumn("_lv", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
+    pts = pts.withColumn("_bx", F.floor(F.col(x) / _size(F.col("_lv"))).cast("long")).withColumn("_by", F.floor(F.col(y) / _size(F.col("_lv"))).cast("long"))
+    on = keys + ["_lv", "_bx", "_by"]
+    joined = join_salted(pts, cells, on, row_key, how="inner") if row_key else pts.join(cells, on, "inner")
+    return joined.where(F.col("_full") | _odd(F.col(x), F.col(y), F.col("_e"))).drop("_lv", "_bx", "_by", "_full", "_e")
 
 
 def zones_over_cells(cells: DataFrame, rings: DataFrame, keys: list[str], feature: str, bucket: float, *, cell_key: list[str],
@@ -92,14 +161,13 @@ def clearance(points: DataFrame, surfaces: DataFrame, keys: list[str], minimum_m
               floor_m: float = 2.0, closed: str | None = None) -> DataFrame:
     """Point/surface pairs closer than ``max(minimum, floor)`` with the distance and the shortfall.
 
-    Coordinates are metres. Each boundary segment is repeated per bucket that its box, grown by the
-    limit, touches; only pairs that can violate are compared.
+    Coordinates are metres. Each boundary segment is repeated per cell within the limit of it (:func:`walk`); only pairs
+    that can violate are compared.
     """
     limit = max(minimum_m, floor_m)
     seg = segments(surfaces, keys, surface_id, closed)
     size = max(limit * 8, 1.0)
-    seg = (seg.withColumn("_bx", F.explode(F.sequence(_bucket(F.least("ax", "bx") - limit, size), _bucket(F.greatest("ax", "bx") + limit, size))))
-           .withColumn("_by", F.explode(F.sequence(_bucket(F.least("ay", "by") - limit, size), _bucket(F.greatest("ay", "by") + limit, size)))))
+    seg = seg.withColumn("_c", F.explode(walk(size, limit))).withColumn("_bx", F.col("_c.bx")).withColumn("_by", F.col("_c.by")).drop("_c")
     pts = points.withColumn("_bx", _bucket(F.col("x"), size)).withColumn("_by", _bucket(F.col("y"), size))
     near = pts.join(seg, keys + ["_bx", "_by"]).withColumn("distance_m", segment_distance("x", "y", "ax", "ay", "bx", "by"))
     return (near.groupBy(*keys, point_id, surface_id).agg(F.min("distance_m").alias("distance_m")).where(F.col("distance_m") < limit)
@@ -133,8 +201,7 @@ def closest_approach(points: DataFrame, surfaces: DataFrame, keys: list[str], su
     radius, done = start_m, [bare.withColumn("closest_m", F.lit(None).cast("double")).withColumn("status", F.lit("no_points"))]
     todo = cut(todo)
     while not todo.isEmpty():
-        grown = (todo.withColumn("_bx", F.explode(F.sequence(_bucket(F.least("ax", "bx") - radius, radius * 4), _bucket(F.greatest("ax", "bx") + radius, radius * 4))))
-                 .withColumn("_by", F.explode(F.sequence(_bucket(F.least("ay", "by") - radius, radius * 4), _bucket(F.greatest("ay", "by") + radius, radius * 4)))))
+        grown = todo.withColumn("_c", F.explode(walk(radius * 4, radius))).withColumn("_bx", F.col("_c.bx")).withColumn("_by", F.col("_c.by")).drop("_c")
         pts = points.select(*keys, "x", "y").withColumn("_bx", _bucket(F.col("x"), radius * 4)).withColumn("_by", _bucket(F.col("y"), radius * 4))
         best = (grown.join(pts, keys + ["_bx", "_by"]).groupBy(*keys, surface_id)
                 .agg(F.min(segment_distance("x", "y", "ax", "ay", "bx", "by")).alias("closest_m")).where(F.col("closest_m") <= radius))

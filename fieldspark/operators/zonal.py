@@ -128,14 +128,12 @@ def encroachment(cells: DataFrame, rings: DataFrame, keys: list[str], class_col:
                  bucket: float, tolerance_m: float = 0.0) -> DataFrame:
     """Cells of building / road classes outside every boundary grown by the tolerance, with their area."""
     from fieldspark.functions.geo import segment_distance
-    from fieldspark.operators.spatial import _bucket, segments
+    from fieldspark.operators.spatial import _bucket, segments, walk
     out = outside_zones(cells.where(F.col(class_col).isin([i for ids in kinds.values() for i in ids])), rings, keys, "boundary_id", bucket=bucket)
     if tolerance_m > 0:
         size = max(tolerance_m * 8, bucket)
         seg = segments(rings.withColumn("_ring", F.lit(True)), keys, "boundary_id", "_ring")
-        for axis in ("x", "y"):
-            lo, hi = F.least(f"a{axis}", f"b{axis}") - tolerance_m, F.greatest(f"a{axis}", f"b{axis}") + tolerance_m
-            seg = seg.withColumn(f"_b{axis}", F.explode(F.sequence(_bucket(lo, size), _bucket(hi, size))))
+        seg = seg.withColumn("_c", F.explode(walk(size, tolerance_m))).withColumn("_bx", F.col("_c.bx")).withColumn("_by", F.col("_c.by")).drop("_c")
         near = (out.withColumn("_bx", _bucket(F.col("x"), size)).withColumn("_by", _bucket(F.col("y"), size))
                 .join(seg, keys + ["_bx", "_by"]).where(segment_distance("x", "y", "ax", "ay", "bx", "by") <= tolerance_m)
                 .select(*keys, "row_idx", "col_idx").distinct())

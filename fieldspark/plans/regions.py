@@ -144,6 +144,21 @@ def points_in_polygons(spark, sf):
     return spatial.points_in_polygons(p, zone_rings(spark, sf, False), [], 8.0, row_key=["p_partkey"]).select("p_partkey", "zone_id")
 
 
+
+@query("zones_with_holes", cte("zones") + """, p AS (SELECT p_partkey, (p_partkey * 37 % 640) / 10.0::DOUBLE + 0.03::DOUBLE AS x, (p_partkey * 53 % 640) / 10.0::DOUBLE + 0.03::DOUBLE AS y FROM part)
+SELECT p_partkey, zone_id FROM p JOIN zones ON x > x0 AND x < x1 AND y > y0 AND y < y1
+WHERE NOT (x > x0 + (x1 - x0) / 4 AND x < x1 - (x1 - x0) / 4 AND abs(x - (x0 + x1) / 2) / ((x1 - x0) / 4) + abs(y - (y0 + y1) / 2) / ((y1 - y0) / 4) < 1)""")
+def zones_with_holes(spark, sf):
+    """Zones less the diamond in their middle, which is a second ring of each."""
+    p = table(spark, sf, "part").selectExpr("p_partkey", "(p_partkey * 37 % 640) / 10.0D + 0.03D AS x", "(p_partkey * 53 % 640) / 10.0D + 0.03D AS y")
+    z = zone_rings(spark, sf, False).select("zone_id", "ring")
+    lo, hi = (lambda c: F.array_min(F.transform("ring", lambda v: v[c]))), (lambda c: F.array_max(F.transform("ring", lambda v: v[c])))
+    mid, half = (lambda c: (lo(c) + hi(c)) / 2), (lambda c: (hi(c) - lo(c)) / 4)
+    corner = lambda dx, dy: F.struct((mid("x") + half("x") * dx).alias("x"), (mid("y") + half("y") * dy).alias("y"))
+    hole = F.array(*[corner(dx, dy) for dx, dy in ((-1, 0), (0, -1), (1, 0), (0, 1))])
+    return spatial.zones_over_cells(p, z.unionByName(z.withColumn("ring", hole)), [], "zone_id", 0.5, cell_key=["p_partkey"]).select("p_partkey", "zone_id")
+
+
 SEGD = "sqrt(pow(px - (ax + t * (qx - ax)), 2) + pow(py - (ay + t * (qy - ay)), 2))"
 CLEAR = cte("zones") + f""", p AS (SELECT p_partkey, (p_partkey * 37 % 640) / 10.0::DOUBLE + 0.03::DOUBLE AS px, (p_partkey * 53 % 640) / 10.0::DOUBLE + 0.03::DOUBLE AS py FROM part),
 s AS (SELECT zone_id, x0 AS ax, y0 AS ay, x1 AS qx, y0 AS qy FROM zones UNION ALL SELECT zone_id, x1, y0, x1, y1 FROM zones UNION ALL SELECT zone_id, x1, y1, x0, y1 FROM zones),

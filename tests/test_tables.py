@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+import math
 import os
+import random
 
 import numpy as np
 import pytest
@@ -151,3 +153,46 @@ def test_buffer_keeps_newest_over_batches(spark, folder):
     got = sorted(r["event_id"] for r in flows.read_buffer(spark, folder + "/buf").collect())
     assert got == [22, 23, 24, 25, 26, 27, 28, 29]
     assert [r["event_id"] for r in flows.read_after(flows.read_buffer(spark, folder + "/buf"), 25, 2).collect()] == [26, 27]
+
+
+@pytest.mark.parametrize("seed,bucket", [(1, 0.05), (2, 1.0), (3, 1e-3)])
+def test_cover_equals_even_odd(spark, seed, bucket):
+    """Ragged, self-crossing and thin polygons; points on vertices, on sides and on borders of cells."""
+    rng = random.Random(seed)
+    polys = []
+    for pid in range(12):
+        n, size = rng.choice([3, 4, 9, 60, 300]), rng.choice([0.3, 2.0, 40.0])
+        ring = [(rng.uniform(-size, size), rng.choice([rng.uniform(-size, size), 0.5, 1.0])) for _ in range(n)]
+        polys.append((pid, ring))
+    polys += [(90, [(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0)]), (91, [(0.0, 0.0), (1.0, 1.0)]), (92, [(0.0, 0.0), (100.0, 99.9), (100.0, 100.0)])]
+    pts = [(i, rng.uniform(-3, 9), rng.uniform(-3, 9)) for i in range(150)] + [(200 + i, float(i % 9), float(i // 9)) for i in range(81)]
+    pts += [(400 + i, *rng.choice(polys[i % 12][1])) for i in range(60)] + [(999, None, 1.0)]
+    got = spatial.points_in_polygons(spark.createDataFrame(pts, "i int, x double, y double"), spark.createDataFrame(polys, "pid int, ring array<struct<x:double,y:double>>"), [], bucket, row_key=["i"])
+    want = set()
+    for i, x, y in pts[:-1]:
+        for pid, ring in polys:
+            sides = zip(ring, ring[1:] + ring[:1])
+            hits = sum((py > y) != (qy > y) and x < px + (y - py) * (qx - px) / (qy - py) for (px, py), (qx, qy) in sides)
+            if len(ring) > 2 and hits % 2:
+                want.add((i, pid))
+    assert sorted((r["i"], r["pid"]) for r in got.collect()) == sorted(want)
+
+
+def test_cells_along_a_segment(spark):
+    """A slanted 100 km segment needs about its length over the cell's size, not the cells of its box; all near places are in them."""
+    seg = spark.createDataFrame([(0.0, 0.0, 70_000.0, 71_000.0), (5.0, 5.0, 5.0, 5.0), (0.0, 3.0, 50.0, 3.0), (3.0, 0.0, 3.0, -50.0)], "ax double, ay double, bx double, by double")
+    cells = [{(c["bx"], c["by"]) for c in r["c"]} for r in seg.select(spatial.walk(10.0, 2.0).alias("c")).collect()]
+    assert len(cells[0]) < 4 * 14_200 and len(cells[2]) <= 14
+    rng = random.Random(5)
+    for (ax, ay, bx, by), held in zip([tuple(r) for r in seg.collect()], cells):
+        for _ in range(300):
+            t, a = rng.random(), rng.uniform(0, 6.283)
+            x, y = ax + t * (bx - ax) + 1.99 * math.cos(a), ay + t * (by - ay) + 1.99 * math.sin(a)
+            assert (math.floor(x / 10), math.floor(y / 10)) in held
+
+
+def test_a_large_polygon_is_covered_in_linear_rows(spark):
+    ring = [(1e5 * math.cos(k / 500 * math.pi), 1e5 * math.sin(k / 500 * math.pi)) for k in range(1000)]
+    poly = spark.createDataFrame([(1, ring)], "pid int, ring array<struct<x:double,y:double>>")
+    n = spatial.cover(poly, "ring", 0.01).agg(F.count(F.lit(1)).alias("n"), F.count_if("_full").alias("full"), F.sum(F.coalesce(F.size("_e"), F.lit(0))).alias("e")).first()
+    assert n["n"] < 1100 and n["full"] > n["n"] / 2 and n["e"] < 30_000
