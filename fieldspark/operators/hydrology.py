@@ -1,13 +1,12 @@
 """Sinks and ponding on tiled surfaces.
 
-Every tile floods itself from its rim in one bounded task. Rim cells of neighbouring tiles then form
-a small graph whose minimax levels settle the water between tiles.
+Every tile floods itself from its rim in one bounded task. Rim cells of neighbouring tiles then form a graph that is contracted
+by squares of four by four tiles, sixteen by sixteen and so on, each again in one task that keeps only what crosses its border;
+the levels found at the top go back down by joins.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,44 +16,73 @@ from fieldspark.operators.grid import MIN_REGION_CELLS, NOISE_MULTIPLE, region_s
 from fieldspark.session import cut
 
 OUTLET = -1
+SPAN = 4  # squares of a side that are contracted together
 
 
-def flood_tile(z: np.ndarray, outlet: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
-    """Priority flood of one tile from its outlets and rim cells.
+def spill(nodes: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each node the lowest level at which water reaches a seed over links ``u, v`` of level ``w``, and that seed.
 
-    Returns the flooded level inside the tile, the source each cell drains to (OUTLET or a rim
-    node id), and the lowest pass level between touching sources.
+    Whole components move at once: each without a seed goes over its lowest link, whose level all its nodes must reach, and
+    at least half of them are gone after a round. Seeds have level -inf; nodes that no link leads to a seed keep a root that
+    is none.
     """
-    rows, cols = z.shape
-    level, source = np.full(z.shape, np.inf), np.full(z.shape, -2, dtype=np.int64)
-    heap, passes = [], {}
+    order = np.lexsort((v, u, w))
+    u, v, w = u[order], v[order], w[order]
+    level, root = np.full(nodes, -np.inf), np.arange(nodes)
+    while True:
+        a, b = root[u], root[v]
+        live = (a != b) & ~(seed[a] & seed[b])
+        if not live.any():
+            return level, root
+        u, v, w, a, b = u[live], v[live], w[live], a[live], b[live]
+        # links lie in order, so the first of a component is its lowest
+        ends = np.stack([a, b], 1).ravel()
+        who, first = np.unique(ends, return_index=True)
+        free = ~seed[who]
+        who, link = who[free], first[free] // 2
+        to, step = np.arange(nodes), np.full(nodes, -np.inf)
+        to[who] = a[link] + b[link] - who
+        step[who] = w[link]
+        level = np.maximum(level, step[root])
+        both = who[to[to[who]] == who]
+        to[both[both < to[both]]] = both[both < to[both]]
+        while not np.array_equal(to, to[to]):
+            to = to[to]
+        root = to[root]
+
+
+def lowest_passes(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lowest level between each two different ends."""
+    apart = a != b
+    a, b, w = np.minimum(a, b)[apart], np.maximum(a, b)[apart], w[apart]
+    order = np.lexsort((w, b, a))
+    a, b, w = a[order], b[order], w[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[first], b[first], w[first]
+
+
+def flood_tile(z: np.ndarray, outlet: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Level of each cell of a tile when water may leave at its outlets and rim cells, the source that it drains to (OUTLET or
+    the number of a rim cell), and the lowest passes between touching sources."""
     rim = np.zeros(z.shape, dtype=bool)
     rim[[0, -1], :] = rim[:, [0, -1]] = True
     known = np.isfinite(z)
-    for r, c in zip(*np.nonzero(known & (outlet | rim))):
-        level[r, c] = z[r, c]
-        source[r, c] = OUTLET if outlet[r, c] else node[r, c]
-        heapq.heappush(heap, (z[r, c], int(r), int(c)))
-    done = np.zeros(z.shape, dtype=bool)
-    while heap:
-        h, r, c = heapq.heappop(heap)
-        if done[r, c]:
-            continue
-        done[r, c] = True
-        for rr, cc in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
-            if not (0 <= rr < rows and 0 <= cc < cols and known[rr, cc]):
-                continue
-            if source[rr, cc] == -2:
-                level[rr, cc], source[rr, cc] = max(h, z[rr, cc]), source[r, c]
-                heapq.heappush(heap, (level[rr, cc], rr, cc))
-            elif source[rr, cc] != source[r, c]:
-                pair = (min(source[r, c], source[rr, cc]), max(source[r, c], source[rr, cc]))
-                high = max(level[r, c], level[rr, cc])
-                passes[pair] = min(passes.get(pair, np.inf), high)
-    return level, source, passes
-
-
-def fill_sinks(cells: DataFrame, keys: list[str], value: str, *, tile: int = TILE, group_links: int = 2_000_000) -> DataFrame:
+    at = np.arange(z.size).reshape(z.shape)
+    ends = []
+    for near, far in ((np.s_[:, :-1], np.s_[:, 1:]), (np.s_[:-1, :], np.s_[1:, :])):
+        both = known[near] & known[far]
+        ends.append((at[near][both], at[far][both]))
+    u, v = (np.concatenate(x) for x in zip(*ends))
+    flat = z.ravel()
+    seed = (known & (outlet | rim)).ravel()
+    level, root = spill(z.size, u, v, np.maximum(flat[u], flat[v]), seed)
+    level = np.where(seed, flat, np.where(seed[root], level, np.inf))
+    source = np.where(outlet.ravel()[root], OUTLET, node.ravel()[root])
+    return level.reshape(z.shape), source.reshape(z.shape), lowest_passes(source[u], source[v], np.maximum(level[u], level[v]))
+
+
+def fill_sinks(cells: DataFrame, keys: list[str], value: str, *, tile: int = TILE) -> DataFrame:
     """Cells with ``filled``: the lowest level at which water leaves over the edge or into no data.
 
     Only tiles and their one-cell surroundings are held in a task.
@@ -78,7 +106,7 @@ def fill_sinks(cells: DataFrame, keys: list[str], value: str, *, tile: int = TIL
         g_r, g_c = np.meshgrid(np.arange(tile) + r0, np.arange(tile) + c0, indexing="ij")
         level, source, passes = flood_tile(z, out, g_r.astype("int64") * 2**31 + g_c)
         cell = pd.DataFrame({"kind": "cell", "_r": pdf["_r"].to_numpy(), "_c": pdf["_c"].to_numpy(), "u": source[rr, cc], "v": 0, "level": level[rr, cc]})
-        edge = pd.DataFrame([("pass", 0, 0, int(a), int(b), float(h)) for (a, b), h in passes.items()], columns=["kind", "_r", "_c", "u", "v", "level"])
+        edge = pd.DataFrame({"kind": "pass", "_r": 0, "_c": 0, "u": passes[0], "v": passes[1], "level": passes[2]})
         both = pd.concat([cell, edge], ignore_index=True) if len(edge) else cell
         for k in gkeys:
             both[k] = pdf[k].iloc[0]
@@ -94,64 +122,67 @@ def fill_sinks(cells: DataFrame, keys: list[str], value: str, *, tile: int = TIL
     step = step.select(*keys, (F.col("_r") + F.col("_d.r")).alias("_r"), (F.col("_c") + F.col("_d.c")).alias("_c"), F.col("_z").alias("_z2"), F.col("n").alias("n2"), F.col("_tr").alias("_tr2"), F.col("_tc").alias("_tc2"))
     across = (rim.join(step, at).where((F.col("_tr") != F.col("_tr2")) | (F.col("_tc") != F.col("_tc2"))).where("n <> n2")
               .select(*keys, F.least("n", "n2").alias("u"), F.greatest("n", "n2").alias("v"), F.greatest("_z", "_z2").alias("level")))
-    links = inner.unionByName(across).groupBy(*keys, "u", "v").agg(F.min("level").alias("level"))
-    links = cut(links.unionByName(links.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"), "level")))
-    water = _settle(links, keys, group_links)
+    water = drain(inner.unionByName(across), keys, tile)
     out = cell.join(water.withColumnRenamed("n", "u"), keys + ["u"], "left").select(
         *keys, F.col("_r").alias("_fr"), F.col("_c").alias("_fc"), F.greatest(F.col("level"), F.coalesce(F.col("w"), F.col("level"))).alias("filled"))
     key = lambda a, b: [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys] + [F.col("a.row_idx") == F.col("b._fr"), F.col("a.col_idx") == F.col("b._fc")]
     return cells.alias("a").join(out.alias("b"), key("a", "b"), "left").select("a.*", "b.filled")
 
 
-def _settle(links: DataFrame, keys: list[str], group_links: int = 2_000_000) -> DataFrame:
-    """Lowest level at which each node drains to the outlet, over links ``keys, u, v, level`` given both ways.
-
-    Bounded groups are settled by one ordered walk each; larger ones in relaxation rounds.
+def contraction(keys: list[str], size: int | None):
+    """Function of the links within one square: the nodes that it settles and the passes between those it keeps."""
+    def contract(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, ends = np.unique(np.concatenate([[OUTLET], pdf["u"], pdf["v"]]), return_inverse=True)
+        u, v = ends[1:].reshape(2, -1)
+        kept = n == OUTLET
+        if size is not None:
+            r, c = (n >> 31) % size, (n & (2**31 - 1)) % size
+            kept |= (r == 0) | (r == size - 1) | (c == 0) | (c == size - 1)
+        w = pdf["level"].to_numpy()
+        level, root = spill(len(n), u, v, w, kept)
+        gone = ~kept & kept[root]
+        a, b, h = lowest_passes(n[root[u]], n[root[v]], np.maximum(w, np.maximum(level[u], level[v])))
+        out = pd.concat([pd.DataFrame({"kind": "node", "u": n[gone], "v": n[root[gone]], "level": level[gone]}), pd.DataFrame({"kind": "pass", "u": a, "v": b, "level": h})], ignore_index=True)
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        return out[[*keys, "kind", "u", "v", "level"]]
+
+    return contract
+
+
+def drain(links: DataFrame, keys: list[str], tile: int) -> DataFrame:
+    """``keys, n, w``: lowest level at which each rim cell of ``links`` (``keys, u, v, level``) drains to the outlet.
+
+    A task holds the links within one square of the current size and settles all nodes but those on its border; what it hands
+    on are the passes between these. The last square of a survey holds the border nodes of its sixteen parts only.
     """
-    sizes = cut(links.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
-    seen = sizes.agg(F.count_if(F.col("_n") > group_links).alias("big"), F.sum("_n").alias("n")).first()
-    buckets = max(links.sparkSession.sparkContext.defaultParallelism, -(-(seen["n"] or 0) // (group_links // 2 or 1)))
-    crowded = sizes.where(F.col("_n") > group_links).select(*keys) if seen["big"] else None
-    calm = links.join(crowded, keys, "left_anti") if crowded is not None else links
-    out = calm.select(*keys, F.col("v").alias("n"), F.col("level").alias("w"))
-    names, schema = out.columns, out.schema
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for _, g in pdf.groupby(keys, sort=False, dropna=False):
-            near: dict[int, list] = {}
-            for u, v, h in zip(g["u"], g["v"], g["level"]):
-                near.setdefault(u, []).append((v, h))
-            low, heap = {}, [(h, v) for v, h in near.get(OUTLET, [])]
-            heapq.heapify(heap)
-            while heap:
-                h, n = heapq.heappop(heap)
-                if n in low or n == OUTLET:
-                    continue
-                low[n] = h
-                for v, p in near.get(n, []):
-                    if v not in low:
-                        heapq.heappush(heap, (max(h, p), v))
-            part = pd.DataFrame({"n": list(low), "w": list(low.values())})
-            for k in keys:
-                part[k] = g[k].iloc[0]
-            parts.append(part[names])
-        return pd.concat(parts, ignore_index=True)
-
-    found = calm.withColumn("_bucket", F.pmod(F.xxhash64(*keys, F.lit(0)), F.lit(buckets))).groupBy("_bucket").applyInPandas(walk, schema)
-    return found if crowded is None else found.unionByName(_relax(links.join(crowded, keys, "left_semi"), keys))
-
-
-def _relax(links: DataFrame, keys: list[str]) -> DataFrame:
     links = cut(links)
-    water = cut(links.where(F.col("u") == OUTLET).groupBy(*keys, F.col("v").alias("n")).agg(F.min("level").alias("w")))
-    front = water
-    while not front.isEmpty():
-        # only nodes whose level just fell can lower their neighbours
-        offer = (front.join(links.withColumnRenamed("u", "n"), keys + ["n"]).where(F.col("v") != OUTLET)
-                 .groupBy(*keys, F.col("v").alias("n")).agg(F.min(F.greatest("w", "level")).alias("o")))
-        front = cut(offer.join(water, keys + ["n"], "left").where(F.col("w").isNull() | (F.col("o") < F.col("w"))).select(*keys, "n", F.col("o").alias("w")))
-        water = cut(water.unionByName(front).groupBy(*keys, "n").agg(F.min("w").alias("w")))
+    place = lambda n, size: (F.floor(F.shiftright(n, 31) / size), F.floor(F.col(n).bitwiseAND(2**31 - 1) / size))
+    far = links.agg(F.max(F.greatest(*[F.greatest(F.shiftright(n, 31), F.col(n).bitwiseAND(2**31 - 1) * (F.col(n) >= 0).cast("int")) for n in "uv"]))).first()[0] or 0
+    sizes, size = [], tile * SPAN
+    while size <= far:
+        sizes.append(size)
+        size *= SPAN
+    types = {f.name: f.dataType.simpleString() for f in links.schema}
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", kind string, u long, v long, level double"
+    settled = []
+    for size in [*sizes, None]:
+        inside, rest = links.withColumn("_sr", F.lit(0)).withColumn("_sc", F.lit(0)), None
+        if size is not None:
+            (ur, uc), (vr, vc) = place("u", size), place("v", size)
+            home = F.when(F.col("u") == OUTLET, F.struct(vr.alias("r"), vc.alias("c"))).otherwise(F.struct(ur.alias("r"), uc.alias("c")))
+            same = (F.col("u") == OUTLET) | (F.col("v") == OUTLET) | ((ur == vr) & (uc == vc))
+            inside, rest = links.where(same).withColumn("_h", home).withColumn("_sr", F.col("_h.r")).withColumn("_sc", F.col("_h.c")).drop("_h"), links.where(~same)
+        inside = inside.select(*keys, "_sr", "_sc", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "level")
+
+        done = cut(inside.groupBy(*keys, "_sr", "_sc").applyInPandas(contraction(keys, size), schema))
+        settled.append(done.where("kind = 'node'").select(*keys, F.col("u").alias("n"), F.col("v").alias("to"), "level"))
+        links = done.where("kind = 'pass'").select(*keys, "u", "v", "level")
+        links = links if rest is None else links.unionByName(rest.select(*keys, "u", "v", "level"))
+    water = settled[-1].select(*keys, "n", F.col("level").alias("w"))
+    for lower in reversed(settled[:-1]):
+        step = lower.join(water.withColumnRenamed("n", "to"), [*keys, "to"], "left").where((F.col("to") == OUTLET) | F.col("w").isNotNull())
+        water = cut(water.unionByName(step.select(*keys, "n", F.greatest("level", "w").alias("w"))))
     return water
 
 

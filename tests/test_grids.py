@@ -141,13 +141,16 @@ def sweep(z):
         f = n
 
 
-@pytest.mark.parametrize("bound", [0, 2_000_000])
-def test_fill_equals_sweep_across_tiles(spark, bound):
-    rng = np.random.default_rng(8)
-    z = np.round(rng.random((64, 64)) * 10, 1)
-    z[rng.random(z.shape) < 0.03] = np.nan
+@pytest.mark.parametrize("tile,side", [(16, 64), (4, 70), (128, 40)])
+def test_fill_equals_sweep_across_tiles(spark, tile, side):
+    """One to three contractions; a bowl over all tiles with noise, plateaus, islands of no data and a lake inside it."""
+    rng = np.random.default_rng(tile)
+    z = np.round(rng.random((side, side)) * 10, 1)
+    z += np.hypot(*np.meshgrid(np.arange(side) - side / 2, np.arange(side) - side / 2)).round() if tile == 4 else 0
+    z[rng.random(z.shape) < 0.004] = np.nan
+    z[20:24, 20:24] = 1.0
     want = sweep(z)
-    got = h.fill_sinks(cells(spark, z), K, "value", tile=16, group_links=bound).where("value IS NOT NULL").collect()
+    got = h.fill_sinks(cells(spark, z), K, "value", tile=tile).where("value IS NOT NULL").collect()
     assert all(r["filled"] == want[r["row_idx"], r["col_idx"]] for r in got) and len(got) == np.isfinite(z).sum()
 
 
@@ -206,3 +209,19 @@ def test_clusters_of_a_crowd_stay_linear(spark):
     near = spark.range(200_000).selectExpr("'a' AS g", "id", "IF(id % 2 = 0, 0.0D, 5.001D / 111194.92664455873) AS lon", "1e-12 * id AS lat")
     got = c.cluster_points(near, ["g"], "id", 5.0).groupBy("cluster").count().collect()
     assert {(r["cluster"], r["count"]) for r in got} == {(0, 100_000), (1, 100_000)}
+
+
+def test_spill_levels_by_hand():
+    """0 and 5 are seeds; 1-2-3 lie in a pit between them; 6 has no way out."""
+    level, root = h.spill(7, np.array([0, 1, 2, 3, 4]), np.array([1, 2, 3, 4, 5]), np.array([9.0, 1.0, 2.0, 7.0, 3.0]), np.array([True, False, False, False, False, True, False]))
+    assert level.tolist() == [-np.inf, 7.0, 7.0, 7.0, 3.0, -np.inf, -np.inf]
+    assert root.tolist() == [0, 5, 5, 5, 5, 5, 6]
+
+
+def test_a_long_channel_floods_in_few_rounds():
+    """A winding path of all cells: rounds halve the components, whatever its length."""
+    z = np.full((101, 101), 50.0)
+    z[1::2, 1:-1] = 1.0
+    z[2:-1:4, 99], z[4:-1:4, 1] = 1.0, 1.0
+    level, source, passes = h.flood_tile(z, np.zeros(z.shape, bool), np.arange(z.size).reshape(z.shape))
+    assert (level[1:-1, 1:-1] == 50.0).all() and len(passes[0])
