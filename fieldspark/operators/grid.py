@@ -1,17 +1,23 @@
 """Raster algebra on cell tables ``(keys..., row_idx, col_idx, value columns)``.
 
-Absent or null cells are no data. Group totals are partial aggregates; stencils run in windows of
-one raster row or one raster column.
+Absent or null cells are no data. Group totals are partial aggregates; stencils run on tiles that carry a rim of their
+neighbours' cells, one shuffle each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from fieldspark.functions.geo import aspect_deg, in_ring
 from fieldspark.functions.physics import detection_floor
-from fieldspark.operators.components import label_regions
+from fieldspark.operators.components import TILE, label_regions
 from fieldspark.operators.ordered import join_side, quantiles
+from fieldspark.session import cut
 
 # Thresholds of the measurements (fixed values).
 CHANGE_THRESHOLD_M = 0.05
@@ -115,19 +121,52 @@ def terrain_stats(cells: DataFrame, keys: list[str], value: str, cell_area: Colu
     return cells.withColumn("_a", F.lit(cell_area)).withColumn("_t", total_cells).groupBy(*keys).agg(*aggs)
 
 
-def gradients(cells: DataFrame, keys: list[str], value: str, width: Column, height: Column, step_x: float, step_y: float) -> DataFrame:
+def stencil(cells: DataFrame, keys: list[str], inputs: list[Column], made: list[str], rim: int,
+            fn: Callable[[np.ndarray, list[np.ndarray]], list[np.ndarray]], tile: int = TILE) -> DataFrame:
+    """``cells`` with columns ``made``, which depend on cells up to ``rim`` rows and columns away.
+
+    A cell goes to its tile and, without its other columns, to tiles whose rim it lies in. ``fn`` gets the mask of present cells
+    and one array per input (NaN: no data), of a tile with its rim, and gives one array per column.
+    """
+    sent = cells.select(F.struct(*[F.col(c) for c in cells.columns]).alias("_row"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                        F.col("row_idx").cast("long").alias("_r"), F.col("col_idx").cast("long").alias("_c"), *[v.cast("double").alias(f"_v{i}") for i, v in enumerate(inputs)])
+    reach = lambda v: F.sequence(F.floor((F.col(v) - rim) / tile), F.floor((F.col(v) + rim) / tile))
+    sent = sent.withColumn("_tr", F.explode(reach("_r"))).withColumn("_tc", F.explode(reach("_c")))
+    own = (F.floor(F.col("_r") / tile) == F.col("_tr")) & (F.floor(F.col("_c") / tile) == F.col("_tc"))
+    sent = sent.withColumn("_own", own).withColumn("_row", F.when(F.col("_own"), F.col("_row")))
+    side, count = tile + 2 * rim, len(inputs)
+
+    def run(table: pa.Table) -> pa.Table:
+        r = table["_r"].to_numpy() - (table["_tr"][0].as_py() * tile - rim)
+        c = table["_c"].to_numpy() - (table["_tc"][0].as_py() * tile - rim)
+        present, arrays = np.zeros((side, side), bool), []
+        present[r, c] = True
+        for i in range(count):
+            arrays.append(np.full((side, side), np.nan))
+            arrays[-1][r, c] = table[f"_v{i}"].to_numpy()
+        mine = table["_own"].to_numpy()
+        out = [v[r[mine], c[mine]] for v in fn(present, arrays)]
+        return pa.table([table["_row"].filter(pa.array(mine)), *[pa.array(v, mask=np.isnan(v)) for v in out]], names=["_row", *made])
+
+    schema = StructType([sent.schema["_row"], *[StructField(m, DoubleType()) for m in made]])
+    found = sent.groupBy(*[f"_k{i}" for i in range(len(keys))], "_tr", "_tc").applyInArrow(run, schema)
+    return found.select(*[F.col("_row").getField(c).alias(c) for c in cells.columns if c not in made], *made)
+
+
+def gradients(cells: DataFrame, keys: list[str], value: str, width: Column, height: Column, step_x: float, step_y: float, tile: int = TILE) -> DataFrame:
     """Add ``dz_east, dz_north``: central differences, one-sided on the raster rim, null next to no data."""
-    v = F.col(value)
-    along, down = W.partitionBy(*keys, "row_idx").orderBy("col_idx"), W.partitionBy(*keys, "col_idx").orderBy("row_idx")
+    end = lambda axis, size: F.when(F.col(axis) == 0, 1).when(F.col(axis) == size - 1, 2).otherwise(0)
+
+    def slope(z: np.ndarray, at: np.ndarray, spacing: float) -> np.ndarray:
+        """Along the second axis."""
+        before, after = np.full(z.shape, np.nan), np.full(z.shape, np.nan)
+        before[:, 1:], after[:, :-1] = z[:, :-1], z[:, 1:]
+        return np.where(at == 1, (after - z) / spacing, np.where(at == 2, (z - before) / spacing, (after - before) / (2 * spacing)))
 
-    def step(w: W, axis: str, size: Column, spacing: float) -> Column:
-        before = F.when(F.lag(axis).over(w) == F.col(axis) - 1, F.lag(v).over(w))
-        after = F.when(F.lead(axis).over(w) == F.col(axis) + 1, F.lead(v).over(w))
-        return (F.when(F.col(axis) == 0, (after - v) / spacing).when(F.col(axis) == size - 1, (v - before) / spacing)
-                .otherwise((after - before) / (2 * spacing)))
+    def both(present: np.ndarray, v: list[np.ndarray]) -> list[np.ndarray]:
+        return [slope(v[0], v[1], step_x), -slope(v[0].T, v[2].T, step_y).T]
 
-    return (cells.withColumn("dz_east", step(along, "col_idx", width, step_x))
-            .withColumn("dz_north", -step(down, "row_idx", height, step_y)))
+    return stencil(cells, keys, [F.col(value), end("col_idx", width), end("row_idx", height)], ["dz_east", "dz_north"], 1, both, tile)
 
 
 def plane_fit(points: DataFrame, keys: list[str], x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
@@ -153,7 +192,8 @@ def slope_stats(grads: DataFrame, keys: list[str], value: str) -> DataFrame:
     """
     use = grads.where(F.col(value).isNotNull() & F.col("dz_east").isNotNull() & F.col("dz_north").isNotNull())
     size = F.hypot("dz_east", "dz_north")
-    use = use.withColumn("_mag", size).withColumn("_deg", F.degrees(F.atan(size)))
+    # five passes read it
+    use = cut(use.select(*dict.fromkeys([*keys, "x", "y", value, "dz_east", "dz_north"]), size.alias("_mag"), F.degrees(F.atan(size)).alias("_deg")))
     dist = use.groupBy(*keys).agg(F.count(F.lit(1)).alias("cell_count"), F.avg("_deg").alias("mean_deg"), F.max("_deg").alias("max_deg"),
                                   (F.avg("_mag") * 100.0).alias("mean_percent"),
                                   aspect_deg(F.avg("dz_east"), F.avg("dz_north")).alias("aspect_deg"))
@@ -177,17 +217,34 @@ def hillshade(grads: DataFrame, azimuth: float = 315.0, altitude: float = 45.0)
     return grads.withColumn("shade", F.greatest(F.lit(0), F.least(F.lit(255), ((shaded + 1.0) * 127.5).cast("int"))))
 
 
-def grid_opening(cells: DataFrame, keys: list[str], value: str, kernel: int) -> DataFrame:
-    """Erosion then dilation with a square kernel of odd side; no-data cells take the survey maximum first.
+def sliding(z: np.ndarray, half: int, take: np.ufunc, empty: float) -> np.ndarray:
+    """Least or greatest value within ``half`` places along the second axis: running values from the borders of blocks as wide
+    as the window, two of which make up every window."""
+    wide = 2 * half + 1
+    rows, cols = z.shape
+    padded = np.full((rows, -(-(cols + 2 * half) // wide) * wide), empty)
+    padded[:, half:half + cols] = z
+    blocks = padded.reshape(rows, -1, wide)
+    ahead = take.accumulate(blocks, axis=2).reshape(rows, -1)
+    behind = take.accumulate(blocks[:, :, ::-1], axis=2)[:, :, ::-1].reshape(rows, -1)
+    return take(behind[:, :cols], ahead[:, 2 * half:2 * half + cols])
 
-    Window range frames run along rows, then along columns.
-    """
+
+def grid_opening(cells: DataFrame, keys: list[str], value: str, kernel: int, tile: int = TILE) -> DataFrame:
+    """Erosion then dilation with a square kernel of odd side; no-data cells take the survey maximum first."""
     half = kernel // 2
+
+    def opened(present: np.ndarray, v: list[np.ndarray]) -> list[np.ndarray]:
+        z = v[0]
+        for take, empty in ((np.minimum, np.inf), (np.maximum, -np.inf)):
+            for turn in (False, True):
+                z = np.where(present, z, empty)  # absent cells take no part in a window
+                z = sliding(z.T, half, take, empty).T if turn else sliding(z, half, take, empty)
+        return [np.where(np.isfinite(z) & present, z, np.nan)]
+
     top = cells.groupBy(*keys).agg(F.max(value).alias("_fill"))
-    out = join_side(cells, top, keys).withColumn("_z", F.coalesce(value, "_fill"))
-    row, col = W.partitionBy(*keys, "row_idx").orderBy("col_idx").rangeBetween(-half, half), W.partitionBy(*keys, "col_idx").orderBy("row_idx").rangeBetween(-half, half)
-    for agg in (F.min, F.max):
-        out = out.withColumn("_z", agg("_z").over(row)).withColumn("_z", agg("_z").over(col))
+    filled = join_side(cells, top, keys)
+    out = stencil(filled, keys, [F.coalesce(value, "_fill")], ["_z"], 2 * half, opened, tile)
     return out.withColumn("ground", F.when(F.col(value).isNotNull(), F.col("_z"))).drop("_z", "_fill")
 
 

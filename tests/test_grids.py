@@ -225,3 +225,42 @@ def test_a_long_channel_floods_in_few_rounds():
     z[2:-1:4, 99], z[4:-1:4, 1] = 1.0, 1.0
     level, source, passes = h.flood_tile(z, np.zeros(z.shape, bool), np.arange(z.size).reshape(z.shape))
     assert (level[1:-1, 1:-1] == 50.0).all() and len(passes[0])
+
+
+@pytest.mark.parametrize("tile", [7, 256])
+def test_stencils_across_tiles(spark, tile):
+    """Rims, no data and absent cells; the plan has one exchange."""
+    rng = np.random.default_rng(2)
+    z = np.round(rng.random((23, 31)) * 20, 2)
+    z[rng.random(z.shape) < 0.08] = np.nan
+    df = cells(spark, z).where("NOT (row_idx = 5 AND col_idx > 9)")
+    here = np.ones(z.shape, bool)
+    here[5, 10:] = False
+    v = np.where(here, z, np.nan)
+    got = {(r["row_idx"], r["col_idx"]): r for r in g.gradients(df, K, "value", F.lit(31), F.lit(23), 0.5, 2.0, tile).collect()}
+    pad = np.pad(v, 1, constant_values=np.nan)
+    for r, c in zip(*np.nonzero(here)):
+        west, east, north, south = pad[r + 1, c], pad[r + 1, c + 2], pad[r, c + 1], pad[r + 2, c + 1]
+        x = (east - v[r, c]) / 0.5 if c == 0 else (v[r, c] - west) / 0.5 if c == 30 else (east - west) / 1.0
+        y = (south - v[r, c]) / 2.0 if r == 0 else (v[r, c] - north) / 2.0 if r == 22 else (south - north) / 4.0
+        for name, want in (("dz_east", x), ("dz_north", -y)):
+            assert got[r, c][name] == (None if np.isnan(want) else pytest.approx(want))
+    assert len(got) == here.sum()
+    plan = g.gradients(df, K, "value", F.lit(31), F.lit(23), 0.5, 2.0, tile)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+    filled = np.where(np.isnan(v), np.nanmax(v), v)
+    for fn, empty in ((np.min, np.inf), (np.max, -np.inf)):
+        for axis in (1, 0):
+            p = np.pad(np.where(here, filled, empty), [(2, 2) if a == axis else (0, 0) for a in (0, 1)], constant_values=empty)
+            filled = fn(np.lib.stride_tricks.sliding_window_view(p, 5, axis), axis=2)
+    opened = {(r["row_idx"], r["col_idx"]): r["ground"] for r in g.grid_opening(df, K, "value", 5, tile).collect()}
+    assert opened == {(r, c): None if np.isnan(v[r, c]) else filled[r, c] for r, c in zip(*np.nonzero(here))}
+
+
+@pytest.mark.parametrize("half", [0, 1, 3, 20])
+def test_sliding_extremes(half):
+    z = np.random.default_rng(half).random((4, 17))
+    for take, fn, empty in ((np.minimum, np.min, np.inf), (np.maximum, np.max, -np.inf)):
+        p = np.pad(z, [(0, 0), (half, half)], constant_values=empty)
+        assert np.array_equal(g.sliding(z, half, take, empty), fn(np.lib.stride_tricks.sliding_window_view(p, 2 * half + 1, 1), axis=2))
