@@ -343,7 +343,7 @@ def components(rows: DataFrame, described: DataFrame, hot: DataFrame) -> DataFra
     sized = described.where("n > 0 AND doc IS NOT NULL")
     firsts = sized.groupBy("fp1", "fp2").agg(F.min("doc").alias("rep"))
     # a third of all texts may be equal: the smallest id of a set reaches its copies by salt
-    of_doc = cut(join_salted(sized.select("doc", "fp1", "fp2"), firsts, ["fp1", "fp2"], ["doc"], 8, "inner").select("doc", "rep").distinct())
+    of_doc = cut(join_salted(sized.select("doc", "fp1", "fp2"), firsts, ["fp1", "fp2"], ["doc"], 4, "inner").select("doc", "rep").distinct())
     of_rep = cut(sized.join(firsts.select("rep"), F.col("doc") == F.col("rep")).select("rep", "n", "bits").dropDuplicates(["rep"]))
 
     # texts that share a key: those of a dealt shingle meet through the smallest texts of its keys
