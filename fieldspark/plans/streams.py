@@ -18,6 +18,21 @@ def live(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.sql(_spell(ADAPTERS[name], _SPARK).replace("FROM events", "FROM {events}"), events=raw)
 
 
+def live_in_turns(spark: SparkSession, sf: str, name: str, turns: int = 3, again: str | None = None) -> DataFrame:
+    """The same stream in several micro-batches, by time; rows for which ``again`` holds come once more in the last one."""
+    folder, events = scratch(spark, "turns"), table(spark, sf, "events")
+    day = F.date_trunc("day", F.col("ts").cast("timestamp"))
+    ends = events.agg(F.min(day).alias("a"), F.max(day).alias("b")).first()
+    span = (ends["b"] - ends["a"]) / turns
+    for k in range(turns):
+        part = events.where((day >= F.lit(ends["a"] + span * k) if k else F.lit(True)) & (day < F.lit(ends["a"] + span * (k + 1)) if k < turns - 1 else F.lit(True)))
+        if again is not None and k == turns - 1:
+            part = part.unionByName(events.where(again))
+        part.coalesce(1).write.mode("append").parquet(folder)  # one file a turn, taken in the order of their times
+    raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.sql(_spell(ADAPTERS[name], _SPARK).replace("FROM events", "FROM {events}"), events=raw)
+
+
 def finish(df: DataFrame, label: str, mode: str) -> DataFrame:
     return flows.read_output(df.sparkSession, flows.run_available(df, label, mode), df)
 
@@ -39,18 +54,17 @@ def stream_current_state(spark, sf):
 
 @query("stream_flight_sessions", cte("telemetry") + """, o AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS s FROM telemetry WINDOW w AS (PARTITION BY flight_id ORDER BY ts)),
 g AS (SELECT *, sum(s) OVER (PARTITION BY flight_id ORDER BY ts) AS k FROM o)
-SELECT flight_id, CAST(count(*) AS BIGINT) AS samples, CAST(epoch_us(min(ts)) AS BIGINT) AS started_us, CAST(epoch_us(max(ts)) AS BIGINT) AS ended_us, max(altitude_rel_m) AS max_altitude_m FROM g GROUP BY flight_id, k""")
+SELECT flight_id, CAST(count(*) AS BIGINT) AS samples, CAST(epoch_us(min(ts)) AS BIGINT) AS started_us, CAST(epoch_us(max(ts)) AS BIGINT) AS ended_us, max(altitude_rel_m) AS max_altitude_m FROM g GROUP BY flight_id, k
+HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM telemetry) - INTERVAL 10 MINUTE""")
 def stream_flight_sessions(spark, sf):
-    s = flows.flight_sessions(live(spark, sf, "telemetry"), gap="6 hours")
-    d = finish(s, "sessions", "complete")
-    last = d.agg(F.max("batch_id").alias("batch_id"))
-    d = d.join(F.broadcast(last), "batch_id")          # one row
+    """Closed sessions leave the state and are put out once; open ones are not yet there."""
+    d = finish(flows.flight_sessions(live_in_turns(spark, sf, "telemetry"), gap="6 hours"), "sessions", "append")
     return d.select("flight_id", "samples", F.unix_micros("started_at").alias("started_us"), F.unix_micros("ended_at").alias("ended_us"), "max_altitude_m")
 
 
 @query("stream_running_distance", LEGS + "SELECT CAST(flight_id AS VARCHAR) AS flight_id, round(sum(coalesce(leg_m, 0)), 2) AS distance_m, CAST(count(*) AS BIGINT) AS positioned FROM legs GROUP BY 1")
 def stream_running_distance(spark, sf):
-    d = flows.latest(finish(flows.running_distance(live(spark, sf, "telemetry")), "distance", "update"), ["key"])
+    d = flows.latest(finish(flows.running_distance(live_in_turns(spark, sf, "telemetry")), "distance", "update"), ["key"])
     return d.select(F.col("key").alias("flight_id"), F.round("distance_m", 2).alias("distance_m"), "positioned")
 
 
@@ -106,22 +120,29 @@ def stream_sensor_sync(spark, sf):
 
 @query("stream_dedup", "SELECT event_type AS event, CAST(count(*) AS BIGINT) AS events FROM events GROUP BY 1")
 def stream_dedup(spark, sf):
-    twice = live(spark, sf, "org_events").unionByName(live(spark, sf, "org_events"))
-    out = finish(flows.dedup_events(twice).select("event_id", "event"), "dedup", "append")
+    """A third of all events comes again in the last micro-batch, within the watermark."""
+    twice = live_in_turns(spark, sf, "org_events", again="event_id % 3 = 0")
+    out = finish(flows.dedup_events(twice, watermark="400 days").select("event_id", "event"), "dedup", "append")
     return out.groupBy("event").agg(F.count(F.lit(1)).alias("events"))
 
 
 @query("stream_job_notifications", """WITH j AS (SELECT user_id AS job, event_id AS seq, CASE event_type WHEN 'view' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'cancelled' ELSE 'running' END AS st FROM events),
 o AS (SELECT *, lag(st) OVER (PARTITION BY job ORDER BY seq) AS p FROM j)
-SELECT CAST(job AS VARCHAR) AS job_id, seq, CASE st WHEN 'done' THEN 'success' WHEN 'failed' THEN 'error' WHEN 'cancelled' THEN 'warning' ELSE 'info' END AS level FROM o WHERE p IS NULL OR p <> st""")
+SELECT CAST(job AS VARCHAR) AS job_id, seq, CASE st WHEN 'done' THEN 'success' WHEN 'failed' THEN 'error' WHEN 'cancelled' THEN 'warning' ELSE 'info' END AS level,
+'Job ' || CAST(job AS VARCHAR) || ' ' || CASE st WHEN 'done' THEN 'finished' ELSE st END AS title, CASE WHEN st = 'failed' AND seq % 2 = 0 THEN 'broke at ' || CAST(seq AS VARCHAR) ELSE 'note' END AS detail FROM o WHERE p IS NULL OR p <> st""")
 def stream_job_notifications(spark, sf):
-    j = live(spark, sf, "telemetry").select(F.col("flight_id").cast("string").alias("job_id"), "seq", F.lit("Job").alias("name"), F.expr("CASE flight_mode WHEN 'view' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'cancelled' ELSE 'running' END").alias("status"),
-                                            F.lit("").alias("message"), F.lit("broke").alias("error"))
-    return finish(flows.job_notifications(j), "notify", "append").select("job_id", "seq", "level")
+    j = live(spark, sf, "telemetry").select(F.col("flight_id").cast("string").alias("job_id"), "seq", F.concat(F.lit("Job "), F.col("flight_id").cast("string")).alias("name"),
+                                            F.expr("CASE flight_mode WHEN 'view' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'cancelled' ELSE 'running' END").alias("status"),
+                                            F.lit("note").alias("message"), F.expr("CASE WHEN seq % 2 = 0 THEN concat('broke at ', seq) ELSE '' END").alias("error"))
+    return finish(flows.job_notifications(j), "notify", "append").select("job_id", "seq", "level", "title", "detail")
 
 
-@query("stream_late_rows", "SELECT CAST(count(*) AS BIGINT) AS \"rows\", CAST(0 AS BIGINT) AS late FROM events")
+@query("stream_late_rows", """WITH e AS (SELECT event_id, ts, epoch_us(date_trunc('day', ts)) AS d FROM events), b AS (SELECT min(d) AS lo, (max(d) - min(d)) / 3.0 AS span FROM e),
+t AS (SELECT event_id, ts, CASE WHEN d < lo + span THEN 0 WHEN d < lo + 2 * span THEN 1 ELSE 2 END AS turn FROM e, b),
+seen AS (SELECT turn, ts FROM t UNION ALL SELECT 2, ts FROM t WHERE event_id % 5 = 0)
+SELECT CAST(count(*) AS BIGINT) AS "rows", CAST(count(*) FILTER (WHERE turn = 2 AND epoch_us(ts) < (SELECT max(epoch_us(ts)) FROM t WHERE turn < 2) - 600000000) AS BIGINT) AS late FROM seen""")
 def stream_late_rows(spark, sf):
+    """A fifth of all events comes again in the last micro-batch; most of these are late by then."""
     path = scratch(spark, "late")
-    flows.count_late(live(spark, sf, "telemetry"), path, scratch(spark, "late-log")).awaitTermination()
+    flows.count_late(live_in_turns(spark, sf, "telemetry", again="event_id % 5 = 0"), path, scratch(spark, "late-log")).awaitTermination()
     return spark.read.parquet(path).agg(F.sum("rows").alias("rows"), F.sum("late").alias("late"))
