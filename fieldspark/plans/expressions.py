@@ -83,6 +83,24 @@ def ring_measures(spark, sf):
     return z.select("zone_id", *r(("area", geo.shoelace("ring")), ("perimeter", geo.perimeter("ring")), ("path", geo.polyline_length(F.slice("ring", 1, 3)))))
 
 
+@query("pixel_measures", cte("zones") + "SELECT zone_id, round(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) * 0.5, 6) AS distance_mm, round((x1 - x0) * (y1 - y0) * 0.25, 6) AS area_mm2 FROM zones")
+def pixel_measures(spark, sf):
+    """Diagonal and area of zones taken as pixels of half a millimetre."""
+    from fieldspark.plans.rasters import zone_rings
+    low, high = (lambda c: F.array_min(F.transform("ring", lambda v: v[c]))), (lambda c: F.array_max(F.transform("ring", lambda v: v[c])))
+    z = zone_rings(spark, sf, False)
+    return z.select("zone_id", *r(("distance_mm", geo.pixel_distance_mm(low("x"), low("y"), high("x"), high("y"), F.lit(0.5))), ("area_mm2", geo.pixel_area_mm2("ring", F.lit(0.5)))))
+
+
+@query("palette_labels", """WITH c AS (SELECT p_partkey, p_partkey % 3 * 100 AS red, p_partkey % 2 * 200 AS green, p_size % 3 * 60 AS blue FROM part)
+SELECT p_partkey, CASE WHEN red = 100 AND green = 200 AND blue = 60 THEN 3 WHEN red = 200 AND green = 0 AND blue = 0 THEN 7 ELSE 0 END AS label, CAST(greatest(red, green, blue) > 127 AS INT) AS bright FROM c""")
+def palette_labels(spark, sf):
+    from fieldspark.operators import grid
+    c = table(spark, sf, "part").selectExpr("p_partkey", "p_partkey % 3 * 100 AS red", "p_partkey % 2 * 200 AS green", "p_size % 3 * 60 AS blue")
+    both = grid.remap_palette(c, {(100, 200, 60): 3, (200, 0, 0): 7}).withColumnRenamed("label", "named")
+    return grid.binarise(both).select("p_partkey", F.col("named").alias("label"), F.col("label").alias("bright"))
+
+
 @query("equirect_area", cte("zones") + "SELECT zone_id, round((x1 - x0) * (y1 - y0) * 1e-6 * cos(radians((y0 + y1) / 2)) * pow(pi() * 6371000 / 180, 2), 2) AS area_m2 FROM zones")
 def equirect_area(spark, sf):
     from fieldspark.plans.rasters import zone_rings

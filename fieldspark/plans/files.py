@@ -197,3 +197,22 @@ def image_pixel_metrics(spark, sf):
     rows = F.transform(F.sequence(F.lit(0), (F.size("g") / 8).cast("int") - 1), lambda i: F.slice("g", i * 8 + 1, F.lit(8)))
     m = run(e.withColumn("g", grey).withColumn("luma", rows).withColumn("n", F.size("g")).select("vec_id", "n", "luma"))
     return m.where("laplacian_var >= 0 AND p90 >= p10 AND length(average_hash) = 16").select("vec_id", F.col("n").cast("long").alias("cells"))
+
+
+@query("write_measurements", "SELECT o_orderkey AS id, o_orderpriority AS kind, round(o_totalprice / 7, 5) AS value FROM orders")
+def write_measurements(spark, sf):
+    path = scratch(spark, "measurements")
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("kind"), (F.col("o_totalprice").cast("double") / 7).alias("value"))
+    writers.write_measurements(rows, path)
+    return spark.read.schema("id long, kind string, value double").option("header", "true").csv(path).withColumn("value", F.round("value", 5))
+
+
+@query("write_corpus_manifest", """WITH s AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split, 'src' || CAST(p_size % 4 AS VARCHAR) AS source FROM part)
+SELECT id, split, source, CAST(count(*) OVER (PARTITION BY split, source) AS BIGINT) AS samples FROM s""")
+def write_corpus_manifest(spark, sf):
+    path = scratch(spark, "corpus")
+    s = table(spark, sf, "part").selectExpr("p_partkey AS id", "CASE p_partkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split", "concat('src', p_size % 4) AS source", "p_size AS site_id",
+                                            "CASE WHEN p_partkey % 5 > 0 THEN '2024-01-01' END AS capture_date")
+    writers.write_corpus_manifest(s, s.groupBy("split", "source").agg(F.count(F.lit(1)).alias("samples")), path)
+    back = spark.read.schema("id long, split string, source string").json(f"{path}/samples")
+    return back.join(spark.read.schema("split string, source string, samples long").json(f"{path}/counts"), ["split", "source"]).select("id", "split", "source", "samples")

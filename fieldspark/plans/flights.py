@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.operators import flights
 from fieldspark.operators.ordered import block, time_chunk
-from fieldspark.plans.adapters import cte, view
+from fieldspark.plans.adapters import cte, table, view
 from fieldspark.plans.captures import hav
 from fieldspark.plans.registry import query
 
@@ -157,3 +157,14 @@ def even_sample(spark, sf):
 SELECT org_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY event_id DESC) AS n FROM org_events) WHERE n <= 100""")
 def retain_latest(spark, sf):
     return flights.retain_latest(view(spark, sf, "org_events"), 100, key="org_id", order="event_id").select("org_id", "event_id")
+
+
+@query("number_new_versions", """WITH saved AS (SELECT o_custkey AS mission_id, max(o_orderkey % 10) AS m FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT o_custkey AS mission_id, o_orderkey AS seq, CAST(coalesce(m, 0) + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS version_num
+FROM orders LEFT JOIN saved ON mission_id = o_custkey WHERE o_orderstatus <> 'F'""")
+def number_new_versions(spark, sf):
+    """Finished orders are the saved versions, the others arrive as new ones."""
+    o = table(spark, sf, "orders")
+    saved = o.where("o_orderstatus = 'F'").selectExpr("o_custkey AS mission_id", "o_orderkey % 10 AS version_num")
+    new = o.where("o_orderstatus <> 'F'").selectExpr("o_custkey AS mission_id", "o_orderkey AS seq")
+    return flights.number_new_versions(saved, new, key="mission_id", num="version_num", seq="seq").select("mission_id", "seq", F.col("version_num").cast("long").alias("version_num"))
