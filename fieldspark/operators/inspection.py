@@ -270,11 +270,14 @@ def positioning_report(placed: DataFrame, key: str, required: float = 1.0) -> Da
         F.count(F.lit(1)).alias("events"), F.count_if(F.col("placement") == "covered").alias("covered"), F.count_if(F.col("placement") == "before").alias("before"),
         F.count_if(F.col("placement") == "after").alias("after"), F.count_if(s == "fixed").alias("fixed"), F.count_if(s == "float").alias("float"), F.count_if(s == "single").alias("single"),
         ((F.unix_micros(F.min("ts")) - F.unix_micros(F.min("first_obs"))) / 1e6).alias("lead_in_s"),
-        ((F.unix_micros(F.max("last_obs")) - F.unix_micros(F.max("ts"))) / 1e6).alias("lead_out_s"), F.max(F.col("placement") == "refused").alias("_refused"))
+        ((F.unix_micros(F.max("last_obs")) - F.unix_micros(F.max("ts"))) / 1e6).alias("lead_out_s"), F.max(F.col("placement") == "refused").alias("_refused"),
+        F.max(F.coalesce(F.col("last_obs") <= F.col("first_obs"), F.lit(False))).alias("_empty"))
     out = base.join(quantiles(placed, [key], "std_h", {"median_std_m": 0.5}, kind="upper"), key, "left")
     out = out.withColumn("fixed_fraction", F.col("fixed") / F.col("events")).withColumn("coverage_fraction", F.col("covered") / F.col("events"))
-    return (out.withColumn("status", F.when(F.col("_refused"), "refused").when(F.col("coverage_fraction") < required, "blocked").otherwise("ok"))
-            .withColumn("reason", F.when(F.col("_refused"), "the base session has no end").when(F.col("coverage_fraction") < required, "events outside the base session")).drop("_refused"))
+    short = F.col("coverage_fraction") < required
+    blocking = F.array_compact(F.array(F.when(short, "events outside the base session"), F.when(F.col("_empty"), "the base session has no duration")))
+    return (out.withColumn("status", F.when(F.col("_refused"), "refused").when(short | F.col("_empty"), "blocked").otherwise("ok"))
+            .withColumn("reason", F.when(F.col("_refused"), "the base session has no end").otherwise(F.nullif(F.array_join(blocking, "; "), F.lit("")))).drop("_refused", "_empty"))
 
 
 # --- taxonomy, annotations, provenance ------------------------------------------------------------

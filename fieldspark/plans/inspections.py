@@ -230,7 +230,7 @@ o AS (SELECT survey_id, std_h, row_number() OVER (PARTITION BY survey_id ORDER B
 md AS (SELECT survey_id, max(CASE WHEN k = n // 2 THEN std_h END) AS m FROM o GROUP BY 1)
 SELECT p.survey_id, CAST(count(*) AS BIGINT) AS events, CAST(count(*) FILTER (WHERE placement = 'covered') AS BIGINT) AS covered, CAST(count(*) FILTER (WHERE solution = 'fixed') AS BIGINT) AS fixed,
        round(count(*) FILTER (WHERE solution = 'fixed') / count(*), 4) AS fixed_fraction, round(max(md.m), 6) AS median_std_m, round((epoch_us(min(ts)) - epoch_us(min(first_obs))) / 1e6, 3) AS lead_in_s,
-       CASE WHEN max(last_obs) IS NULL THEN 'refused' WHEN count(*) FILTER (WHERE placement = 'covered') < count(*) THEN 'blocked' ELSE 'ok' END AS status
+       CASE WHEN max(last_obs) IS NULL THEN 'refused' WHEN count(*) FILTER (WHERE placement = 'covered') < count(*) OR max(last_obs) <= min(first_obs) THEN 'blocked' ELSE 'ok' END AS status
 FROM p JOIN md USING (survey_id) GROUP BY 1""")
 def positioning_report(spark, sf):
     d = ins.positioning_report(placed_events(spark, sf), "survey_id")

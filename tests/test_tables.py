@@ -196,3 +196,11 @@ def test_a_large_polygon_is_covered_in_linear_rows(spark):
     poly = spark.createDataFrame([(1, ring)], "pid int, ring array<struct<x:double,y:double>>")
     n = spatial.cover(poly, "ring", 0.01).agg(F.count(F.lit(1)).alias("n"), F.count_if("_full").alias("full"), F.sum(F.coalesce(F.size("_e"), F.lit(0))).alias("e")).first()
     assert n["n"] < 1100 and n["full"] > n["n"] / 2 and n["e"] < 30_000
+
+
+def test_a_base_session_without_duration_blocks(spark):
+    rows = [("s", "2024-01-01 10:00:00", "2024-01-01 10:00:00", "2024-01-01 10:00:00"), ("t", "2024-01-01 10:00:00", "2024-01-01 09:00:00", "2024-01-01 11:00:00")]
+    placed = (spark.createDataFrame(rows, "survey_id string, ts string, first_obs string, last_obs string")
+              .select("survey_id", *[F.col(c).cast("timestamp").alias(c) for c in ("ts", "first_obs", "last_obs")], F.lit("covered").alias("placement"), F.lit("fixed").alias("solution"), F.lit(0.1).alias("std_h")))
+    got = {r["survey_id"]: (r["status"], r["reason"]) for r in ins.positioning_report(placed, "survey_id").collect()}
+    assert got == {"s": ("blocked", "the base session has no duration"), "t": ("ok", None)}
