@@ -234,7 +234,8 @@ def test_stages_of_odd_rows(spark):
 
 def test_queries_are_registered():
     assert sorted(queries.RUN) == sorted(f"op{n}_{name}" for n, name in ((1, "ngram_jaccard_join"), (2, "secret_scan"), (3, "chat_quotes"), (4, "toxicity"), (5, "url_filter"), (6, "license_scan"),
-                                                                          (7, "mix_sources"), (8, "benchmark_leaks"), (9, "quality_rules"), (10, "token_files")))
+                                                                          (7, "mix_sources"), (8, "benchmark_leaks"), (9, "quality_rules"), (10, "token_files"),
+                                                                          (11, "line_dedup"), (12, "merkle_manifest"), (13, "source_divergence")))
     import __spark_entry__ as entry
-    assert set(queries.RUN) | {"pipeline"} <= set(entry.queries()) and {"op5_url_filter", "op6_license_scan"} <= set(entry.oracle_sql())
+    assert set(queries.RUN) | {"pipeline"} <= set(entry.queries()) and {"op5_url_filter", "op6_license_scan", "op11_line_dedup", "op12_merkle_manifest", "op13_source_divergence"} <= set(entry.oracle_sql())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram jaccard join", "benchmark decontamination", "source mix", "token files"]
