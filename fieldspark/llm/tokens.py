@@ -29,7 +29,10 @@ class OddPiece(Exception):
 
 
 class Pieces(dict):
-    """Ids, as bytes, of text after a single blank. Emptied when it holds ``limit`` pieces.
+    """Ids, as bytes, of text after a single blank, in two generations of at most ``limit`` pieces.
+
+    A full generation becomes the old one, and a piece met again moves from there to the young one. So what a language uses
+    often is encoded once, however many rare pieces pass.
 
     A byte-level pattern starts a token at a blank that stands alone between two other characters, at a newline that
     stands alone, at what follows it, and where ASCII punctuation follows a letter or digit. So lines, words and trailing
@@ -38,11 +41,11 @@ class Pieces(dict):
     tokenizer anywhere, even over a border of pieces, is not cut at all.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         super().__init__()
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.parts = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.parts, self.old, self.old_parts = Tokenizer.from_file(path), limit, {}, {}, {}
         self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         # fixed values: bytes that a byte-level vocabulary writes as themselves; the others follow from code point 256
@@ -53,17 +56,22 @@ class Pieces(dict):
         """Ids of any text by the library's encoder."""
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def fresh(self, text: str) -> bytes:
+        """Ids of one stretch: a word, perhaps after a blank, punctuation or a newline."""
+        word = text[1:] if text[0] == " " else text
+        if word.isalpha() and max(word) < "\u0250":
+            letters = text.encode().decode("latin-1").translate(self.letters)
+            return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return self.whole(text)
+
     def part(self, text: str) -> bytes:
         found = self.parts.get(text)
         if found is None:
             if len(self.parts) >= self.limit:
-                self.parts.clear()
-            word = text[1:] if text[0] == " " else text
-            if word.isalpha() and max(word) < "\u0250":
-                letters = text.encode().decode("latin-1").translate(self.letters)
-                found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-            else:
-                found = self.whole(text)
+                self.parts, self.old_parts = {}, self.parts
+            found = self.old_parts.get(text)
+            if found is None:
+                found = self.fresh(text)
             self.parts[text] = found
         return found
 
@@ -75,18 +83,21 @@ class Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
+        found = self.old.get(piece)
+        if found is not None:
+            self[piece] = found
+            return found
         stem = piece.rstrip(punctuation)
         if stem.isalpha():
-            found = self.part(" " + stem)
-            if stem != piece:
-                found += self.part(piece[len(stem):])
+            found = self.fresh(" " + piece) if stem == piece else self[stem] + self.part(piece[len(stem):])
         elif not piece or piece.strip() != piece:
             raise OddPiece
         else:
             first, *rest = piece.split("\n")
             if all(r and r.strip() == r for r in (first, *rest)):
-                found = self.line(" " + first) + b"".join(self.part("\n") + self.line(r) for r in rest)
+                found = (self[first] if rest else self.line(" " + first)) + b"".join(self.part("\n") + self.line(r) for r in rest)
             else:
                 found = self.whole(" " + piece)
         self[piece] = found

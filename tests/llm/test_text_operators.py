@@ -360,6 +360,15 @@ def test_added_tokens_anywhere():
         assert pieces.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_pieces_outlive_a_full_table():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, pieces = Tokenizer.from_file(path), tokens.Pieces(path, limit=3)
+    text = "the cat, the dog.\nThe end; the cat, naïve cafés and the dog.\nThe end 12 times! " + " ".join(f"w{k} the" for k in range(40))
+    for _ in range(2):
+        assert pieces.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert "the" in pieces and max(map(len, (pieces, pieces.old, pieces.parts, pieces.old_parts))) <= 4
+
+
 def test_re_pair():
     rng = np.random.default_rng(10)
     for symbols in (np.zeros(0, np.uint32), np.array([0], np.uint32), np.array([7] * 1001, np.uint32), rng.integers(0, 5, 20_000).astype(np.uint32), rng.integers(0, 50_000, 5_000).astype(np.uint32)):
