@@ -188,6 +188,41 @@ def align_sensors(spark, sf):
     return s.select("bundle_id", "frame_count", F.round("thermal_match_pct", 4).alias("thermal_match_pct"), F.round("thermal_mean_ms", 2).alias("thermal_mean_ms"))
 
 
+_ALIGNED = cte("frames") + """, coarse AS (SELECT * REPLACE (floor(t_ms / 1000000) AS t_ms) FROM frames), f AS (SELECT bundle_id, t_ms, sensor, arg_min(path, seq) AS p1, arg_min(value, seq) AS v1, arg_max(value, seq) AS v2, count(*) AS c FROM coarse GROUP BY 1, 2, 3),
+s AS (SELECT *, row_number() OVER (PARTITION BY bundle_id, sensor ORDER BY t_ms) AS k FROM f),
+r AS (SELECT *, 'rgb' AS reference_sensor FROM coarse WHERE sensor = 'view'
+  UNION ALL SELECT *, 'thermal' FROM coarse WHERE sensor = 'click' AND bundle_id NOT IN (SELECT bundle_id FROM coarse WHERE sensor = 'view')),
+b AS (SELECT r.bundle_id, r.seq, r.t_ms, r.reference_sensor, n.name, lo.t_ms AS lt, lo.p1 AS lp, lo.v1 AS lv1, lo.v2 AS lv, lo.k AS lk, hi.t_ms AS ht, hi.p1 AS hp, hi.v1 AS hv
+  FROM r, (VALUES ('click'), ('signup'), ('error'), ('purchase')) n(name)
+  LEFT JOIN LATERAL (SELECT * FROM s WHERE s.bundle_id = r.bundle_id AND s.sensor = n.name AND s.t_ms <= r.t_ms ORDER BY s.t_ms DESC LIMIT 1) lo ON TRUE
+  LEFT JOIN LATERAL (SELECT * FROM s WHERE s.bundle_id = r.bundle_id AND s.sensor = n.name AND s.t_ms > r.t_ms ORDER BY s.t_ms LIMIT 1) hi ON TRUE),
+d AS (SELECT *, CASE WHEN lt IS NOT NULL AND (ht IS NULL OR t_ms - lt <= ht - t_ms) THEN t_ms - lt ELSE ht - t_ms END AS d,
+  CASE WHEN lt IS NOT NULL AND (ht IS NULL OR t_ms - lt <= ht - t_ms) THEN lp ELSE hp END AS p,
+  CASE WHEN lt IS NULL THEN hv WHEN lk = 1 AND lt = t_ms THEN lv1 WHEN ht IS NULL THEN lv ELSE lv + (hv - lv) * (t_ms - lt) / (ht - lt) END AS v FROM b)
+SELECT bundle_id, seq AS ref_seq, min(reference_sensor) AS reference_sensor, max(CASE WHEN name = 'click' AND d <= 120 THEN p END) AS thermal_path, round(max(CASE WHEN name = 'click' THEN d END), 3) AS thermal_ms,
+ max(CASE WHEN name = 'signup' AND d <= 120 THEN p END) AS nir_path, max(CASE WHEN name = 'signup' AND d <= 220 THEN p END) AS lidar_path, round(max(CASE WHEN name = 'signup' THEN d END), 3) AS lidar_ms,
+ round(max(CASE WHEN name = 'error' AND d <= 50 THEN v END) + 1e-9, 4) AS accel_x, round(max(CASE WHEN name = 'error' AND d <= 50 THEN v + 1 END) + 1e-9, 4) AS gyro_z, round(max(CASE WHEN name = 'error' THEN d END), 3) AS imu_ms,
+ round(max(CASE WHEN name = 'purchase' AND d <= 250 THEN v END) + 1e-9, 4) AS lat, max(CASE WHEN name = 'purchase' AND d <= 250 THEN '3d' END) AS fix, round(max(CASE WHEN name = 'purchase' THEN d END), 3) AS gnss_ms
+FROM d GROUP BY 1, 2"""
+
+
+@query("align_sensor_frames", _ALIGNED)
+def align_sensor_frames(spark, sf):
+    """Every reference frame with the values of all sensors; times are in steps of 1,000 s, so that equal times and all tolerances occur;
+    halves are rounded up on both sides."""
+    from fieldspark.operators import asof
+    f = view(spark, sf, "frames").select("bundle_id", F.floor(F.col("t_ms") / 1_000_000).cast("double").alias("t_ms"), "seq", "path", "sensor", "value")
+    pick = lambda kind: f.where(F.col("sensor") == kind)
+    v = F.col("value")
+    imu = pick("error").select("bundle_id", "t_ms", "seq", F.array(v, v, v).alias("accel"), F.array(v, v, v + 1).alias("gyro"))
+    gnss = pick("purchase").select("bundle_id", "t_ms", "seq", v.alias("lat"), v.alias("lon"), v.alias("alt_m"), F.lit("3d").alias("fix"))
+    cols = ("bundle_id", "t_ms", "seq", "path")
+    a = asof.align_sensors(pick("view").select(*cols), pick("click").select(*cols), {"nir": pick("signup").select(*cols)}, pick("signup").select(*cols), imu, gnss, chunk_ms=500.0)
+    ms = lambda c: F.round(f"{c}_delta", 3).alias(f"{c}_ms")
+    return a.select("bundle_id", "ref_seq", "reference_sensor", "thermal_path", ms("thermal"), F.col("multispectral")["nir"].alias("nir_path"), "lidar_path", ms("lidar"), F.round(F.col("imu_accel")[0] + 1e-9, 4).alias("accel_x"),
+                    F.round(F.col("imu_gyro")[2] + 1e-9, 4).alias("gyro_z"), ms("imu"), F.round(F.col("gnss_lat") + 1e-9, 4).alias("lat"), F.col("gnss_fix").alias("fix"), ms("gnss"))
+
+
 @query("image_pixel_metrics", "SELECT vec_id, CAST(count(*) AS BIGINT) AS cells FROM (SELECT vec_id, unnest(embedding) FROM embeddings) GROUP BY 1")
 def image_pixel_metrics(spark, sf):
     """Each vector, scaled to grey values, as a small picture of eight columns."""
