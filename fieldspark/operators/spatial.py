@@ -273,17 +273,46 @@ def thin_samples(samples: DataFrame, keys: list[str], order: list[str], chunk: l
     return rows.where((F.col("_at") - 1) % F.col("_step") == 0).drop("_at", "_step")
 
 
-def idw_at_points(points: DataFrame, samples: DataFrame, keys: list[str], point_id: str, *, minimum: int = 3, d_min: float = 0.25) -> DataFrame:
+def idw_at_points(points: DataFrame, samples: DataFrame, keys: list[str], point_id: str, *, minimum: int = 3, d_min: float = 0.25,
+                  error: float = 0.0, block_samples: int = 256) -> DataFrame:
     """Inverse-distance weighted elevation over all samples of the point's site (metres).
 
-    The sample list of a site is bounded by :func:`thin_samples`; both sums are
-    partial aggregates, so a site's pairs never meet in one task.
+    Samples of one place fold into one; near ones share blocks of about ``block_samples``. A point meets blocks, not samples,
+    on salted keys, and a block gives two partial sums. With ``error`` above 0 a block that is far for its size counts as
+    one place at its middle: if r is half its diagonal and D its distance, each weight is off by at most r / D, so blocks with
+    r / D <= error / (1 + error) move an elevation by at most ``error`` times the range of the site's samples. At 0 all is exact.
+    Samples without position or height are left out; a point without position is refused.
     """
-    d = F.greatest(F.hypot(F.col("x") - F.col("_sx"), F.col("y") - F.col("_sy")), F.lit(d_min))
-    s = samples.select(*keys, F.col("x").alias("_sx"), F.col("y").alias("_sy"), F.col("z").alias("_sz"))
-    got = (points.select(*keys, point_id, "x", "y").join(s, keys).groupBy(*keys, point_id)
-           .agg((F.sum(F.col("_sz") / d) / F.sum(1.0 / d)).alias("elevation_m"), F.count(F.lit(1)).alias("_n")))
+    from fieldspark.operators.ordered import join_side
+    rows = samples.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull())
+    spots = rows.groupBy(*keys, F.col("x").cast("double").alias("_sx"), F.col("y").cast("double").alias("_sy")).agg(F.sum("z").alias("_sz"), F.count(F.lit(1)).alias("_sn"))
+    box = spots.groupBy(*keys).agg(F.min("_sx").alias("_x0"), F.min("_sy").alias("_y0"), F.count(F.lit(1)).alias("_c"),
+                                   F.greatest(F.max("_sx") - F.min("_sx"), F.max("_sy") - F.min("_sy")).alias("_w"))
+    side = F.greatest(F.col("_w") * F.sqrt(F.lit(float(block_samples)) / F.col("_c")), F.lit(1e-6))
+    tiled = join_side(spots, box, keys).select(*keys, "_sx", "_sy", "_sz", "_sn", F.floor((F.col("_sx") - F.col("_x0")) / side).alias("_tx"),
+                                               F.floor((F.col("_sy") - F.col("_y0")) / side).alias("_ty"))
+    tile = [*keys, "_tx", "_ty"]
+    parts = tiled.groupBy(*tile).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block_samples))).alias("_parts"))
+    split = join_side(tiled, parts, tile).withColumn("_part", F.pmod(F.xxhash64("_sx", "_sy"), F.col("_parts")))
+    mid = lambda c: (F.min(c) + F.max(c)) / 2
+    blocks = split.groupBy(*tile, "_part").agg(
+        F.collect_list(F.struct("_sx", "_sy", "_sz", "_sn")).alias("_list"), mid("_sx").alias("_cx"), mid("_sy").alias("_cy"), F.sum("_sz").alias("_zs"), F.sum("_sn").alias("_ns"),
+        (F.hypot(F.max("_sx") - F.min("_sx"), F.max("_sy") - F.min("_sy")) / 2).alias("_rad")).drop("_tx", "_ty", "_part")
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
+    met = join_salted(points.where(placed).select(*keys, point_id, "x", "y"), blocks, keys, [point_id, "x", "y"], how="inner")
+    far = F.hypot(F.col("x") - F.col("_cx"), F.col("y") - F.col("_cy"))
+    reach = F.lit(error / (1.0 + error))
+
+    def near(acc: Column, s: Column) -> Column:
+        d = F.greatest(F.hypot(F.col("x") - s["_sx"], F.col("y") - s["_sy"]), F.lit(d_min))
+        return F.struct((acc["a"] + s["_sz"] / d).alias("a"), (acc["w"] + s["_sn"] / d).alias("w"))
+
+    exact = F.aggregate("_list", F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("w")), near)
+    whole = F.struct((F.col("_zs") / far).alias("a"), (F.col("_ns") / far).alias("w"))
+    sums = F.when((F.col("_rad") <= reach * far) & (far - F.col("_rad") >= d_min), whole).otherwise(exact) if error > 0 else exact
+    got = (met.select(*keys, point_id, "_ns", sums.alias("_p")).groupBy(*keys, point_id)
+           .agg((F.sum("_p.a") / F.sum("_p.w")).alias("elevation_m"), F.sum("_ns").alias("_n")))
     return (points.join(got, keys + [point_id], "left")
             .withColumn("status", F.when(F.coalesce("_n", F.lit(0)) >= minimum, "ok").otherwise("refused"))
-            .withColumn("reason", F.when(F.col("status") == "refused", F.lit(f"fewer than {minimum} terrain samples")))
+            .withColumn("reason", F.when(F.col("status") == "refused", F.when(placed, F.lit(f"fewer than {minimum} terrain samples")).otherwise("the point has no position")))
             .withColumn("elevation_m", F.when(F.col("status") == "ok", F.col("elevation_m"))).drop("_n"))
