@@ -104,7 +104,10 @@ def mesh_closure_volume(vertices: DataFrame, faces: DataFrame, keys: list[str])
 def _moments(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Centred second moments of source ``px,py,pz`` against target ``qx,qy,qz``: nine covariances and the source variance."""
     p, q = ("px", "py", "pz"), ("qx", "qy", "qz")
-    return pairs.groupBy(*keys).agg(
+    whole = F.lit(True)
+    for c in (*p, *q):
+        whole = whole & F.col(c).isNotNull() & ~F.isnan(c)
+    return pairs.where(whole).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in (*p, *q)], *[F.covar_pop(b, a).alias(f"c_{b}_{a}") for b in q for a in p],
         (F.var_pop("px") + F.var_pop("py") + F.var_pop("pz")).alias("var_p"))
 
@@ -119,23 +122,40 @@ def _solve(row: pd.Series) -> tuple[float, np.ndarray, np.ndarray]:
     return scale, rot, mq - scale * rot @ mp
 
 
-def fit_similarity(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Least-squares ``scale, rotation[9], translation[3]`` per group from moments: a group's points never meet in one task."""
+def _fit(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """``n, scale, rotation[9], translation[3]`` per group; null where three points or an extent are missing."""
     m = _moments(pairs, keys)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in m.select(*keys, "n").schema) + ", scale double, rotation array<double>, translation array<double>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in m.select(*keys, "n").schema) + ", scale double, rotation array<double>, translation array<double>"
 
     def run(batches):
         for pdf in batches:
-            done = [_solve(r) if r["n"] >= 3 else (float("nan"), np.full((3, 3), np.nan), np.full(3, np.nan)) for _, r in pdf.iterrows()]
-            yield pdf[keys + ["n"]].assign(scale=[s for s, _, _ in done], rotation=[r.ravel().tolist() for _, r, _ in done], translation=[t.tolist() for _, _, t in done])
+            done = [_solve(r) if r["n"] >= 3 and r["var_p"] > 0 else None for _, r in pdf.iterrows()]
+            yield pdf[keys + ["n"]].assign(scale=[d[0] if d else None for d in done], rotation=[d[1].ravel().tolist() if d else None for d in done],
+                                           translation=[d[2].tolist() if d else None for d in done])
 
     return m.mapInPandas(run, schema)
 
 
+def _report(pairs: DataFrame, fit: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``rmse_m, max_residual_m`` over the pairs that were fitted, ``status`` and ``reason``."""
+    r = F.col("residual_m")
+    missed = residuals(pairs, fit.where("scale IS NOT NULL"), keys).groupBy(*keys).agg(F.sqrt(F.avg(r * r)).alias("rmse_m"), F.max(r).alias("max_residual_m"))
+    why = F.when(F.col("n") < 3, "fewer than three paired points").when(F.col("scale").isNull(), "the points have no extent")
+    return fit.join(missed, keys, "left").withColumn("status", F.when(F.col("scale").isNull(), "refused").otherwise("ok")).withColumn("reason", why)
+
+
+def fit_similarity(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Least-squares ``scale, rotation[9], translation[3]`` per group from moments, with residuals: a group's points never meet in one task.
+
+    Pairs with a missing coordinate are left out; a group of fewer than three pairs, or of pairs at one place, is refused.
+    """
+    return _report(pairs, _fit(pairs, keys), keys).withColumn("method", F.lit("least_squares"))
+
+
 def residuals(pairs: DataFrame, fit: DataFrame, on: list[str]) -> DataFrame:
     r, t = F.col("rotation"), F.col("translation")
     miss = [F.col("scale") * (r[3 * i] * F.col("px") + r[3 * i + 1] * F.col("py") + r[3 * i + 2] * F.col("pz")) + t[i] - F.col(q) for i, q in enumerate(("qx", "qy", "qz"))]
-    return pairs.join(fit, on).withColumn("residual_m", F.sqrt(miss[0] * miss[0] + miss[1] * miss[1] + miss[2] * miss[2]))
+    return join_side(pairs, fit, on).withColumn("residual_m", F.sqrt(miss[0] * miss[0] + miss[1] * miss[1] + miss[2] * miss[2]))
 
 
 def fit_similarity_robust(pairs: DataFrame, keys: list[str], point_id: str, *, rounds: int = RANSAC_ROUNDS, tolerance: float = RANSAC_TOLERANCE_M,
@@ -143,7 +163,8 @@ def fit_similarity_robust(pairs: DataFrame, keys: list[str], point_id: str, *, r
     """Consensus fit: models from point triples, all points scored against all models, refit on the best model's inliers.
 
     Triples come from the 3 x rounds points with the smallest seeded hash; with fewer points the
-    hash order is reused in shifted triples. Without a consensus of three points, all points are fitted.
+    hash order is reused in shifted triples. Without a consensus of three points, all points are fitted; ``method`` says which.
+    Points meet the models on salted keys, and votes are summed up in the tasks.
     """
     hashed = pairs.withColumn("_h", F.xxhash64(F.lit(seed), *keys, point_id))
     # the smallest hashes by a bucket-wise top-k: 256 hash chunks, each a bounded sort
@@ -153,11 +174,13 @@ def fit_similarity_robust(pairs: DataFrame, keys: list[str], point_id: str, *, r
     turn = F.floor(F.col("_s") / F.col("_n"))
     slots = slots.withColumn("_rn", ((F.col("_s") + turn * (1 + F.col("_s") % 3)) % F.col("_n") + 1).cast("long"))
     triples = slots.join(top, keys + ["_rn"])
-    models = fit_similarity(triples, keys + ["model"]).where("scale > 0").drop("n")
+    models = _fit(triples, keys + ["model"]).where("scale > 0").drop("n")
     scored = residuals(pairs.select(*keys, point_id, "px", "py", "pz", "qx", "qy", "qz"), models, keys)
     votes = scored.groupBy(*keys, "model").agg(F.count_if(F.col("residual_m") <= tolerance).alias("inliers"))
     best = votes.groupBy(*keys).agg(F.max_by("model", F.struct(F.col("inliers"), -F.col("model"))).alias("model"), F.max("inliers").alias("inliers"))
-    chosen = best.join(models, keys + ["model"])
+    # a group without any model keeps all its pairs and is fitted, or refused, as it is
+    chosen = n.select(*keys).join(best.join(models, keys + ["model"]), keys, "left").withColumn("inliers", F.coalesce("inliers", F.lit(0).cast("long")))
     marked = residuals(pairs, chosen, keys)
-    use = marked.where((F.col("residual_m") <= tolerance) | (F.col("inliers") < 3))
-    return fit_similarity(use.select(*keys, "px", "py", "pz", "qx", "qy", "qz"), keys).join(best.select(*keys, "inliers"), keys, "left")
+    use = marked.where((F.col("residual_m") <= tolerance) | (F.col("inliers") < 3)).select(*keys, "px", "py", "pz", "qx", "qy", "qz")
+    out = _report(use, _fit(use, keys), keys).join(chosen.select(*keys, "inliers"), keys)
+    return out.withColumn("method", F.when(F.col("inliers") >= 3, "consensus").otherwise("least_squares"))

@@ -213,7 +213,7 @@ def fit_similarity(spark, sf):
 
 @query("fit_similarity_robust", cte("points") + """SELECT cloud_id, CAST(count(*) FILTER (WHERE point_id % 9 <> 0) AS BIGINT) AS inliers, 2.5::DOUBLE AS scale FROM points GROUP BY 1 HAVING count(*) FILTER (WHERE point_id % 9 <> 0) >= 3""")
 def fit_similarity_robust(spark, sf):
-    return cloud.fit_similarity_robust(pairs(spark, sf), ["cloud_id"], "point_id", rounds=32, tolerance=0.01).select("cloud_id", "inliers", *r4("scale", n=6))
+    return cloud.fit_similarity_robust(pairs(spark, sf), ["cloud_id"], "point_id", rounds=32, tolerance=0.01).where("inliers >= 3").select("cloud_id", "inliers", *r4("scale", n=6))
 
 
 def pairs(spark, sf):

@@ -74,6 +74,38 @@ def test_similarity_with_and_without_outliers(spark):
     assert fit["scale"] == pytest.approx(1.7) and np.allclose(np.array(fit["rotation"]).reshape(3, 3), q) and np.allclose(fit["translation"], [5, -3, 2])
     robust = cloud.fit_similarity_robust(make(bad), ["s"], "point_id", rounds=48).first()
     assert robust["scale"] == pytest.approx(1.7) and robust["inliers"] == 50 and np.allclose(robust["translation"], [5, -3, 2])
+    assert robust["method"] == "consensus" and robust["rmse_m"] < 1e-9 and fit["method"] == "least_squares" and fit["max_residual_m"] < 1e-9
+
+
+def test_similarity_refusals_and_residuals(spark):
+    rng = np.random.default_rng(2)
+    p, miss = rng.normal(size=(30, 3)) * 5, rng.normal(size=(30, 3))
+    rows = [("few", i, 1.0 * i, 0.0, 0.0, 1.0 * i, 0.0, 0.0) for i in range(2)] + [("same", i, 1.0, 1.0, 1.0, 1.0 * i, 0.0, 0.0) for i in range(5)]
+    rows += [("noisy", i, *map(float, a), *map(float, a + e)) for i, (a, e) in enumerate(zip(p, miss))] + [("noisy", 99, None, 0.0, 0.0, 1.0, 1.0, 1.0)]
+    pairs = spark.createDataFrame(rows, "s string, point_id long, px double, py double, pz double, qx double, qy double, qz double")
+    got = {r["s"]: r for r in cloud.fit_similarity(pairs, ["s"]).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {"few": "refused", "same": "refused", "noisy": "ok"} and got["few"]["scale"] is None and got["noisy"]["n"] == 30
+    r = got["noisy"]
+    off = np.linalg.norm(r["scale"] * p @ np.array(r["rotation"]).reshape(3, 3).T + r["translation"] - (p + miss), axis=1)
+    assert r["rmse_m"] == pytest.approx(np.sqrt((off ** 2).mean())) and r["max_residual_m"] == pytest.approx(off.max())
+    best = {r["s"]: r for r in cloud.fit_similarity_robust(pairs, ["s"], "point_id", rounds=16, tolerance=1e-6).collect()}
+    assert best["few"]["status"] == best["same"]["status"] == "refused" and best["few"]["method"] == "least_squares" and best["noisy"]["status"] == "ok"
+
+
+def test_idw_exact_and_within_its_error(spark):
+    rng = np.random.default_rng(5)
+    xy, z = rng.uniform(0, 400, size=(1500, 2)).round(1), rng.uniform(100, 160, size=1500)
+    xy[:300] = xy[0]  # many samples of one place
+    samples = spark.createDataFrame([("a", *map(float, p), float(h)) for p, h in zip(xy, z)] + [("b", 1.0, 1.0, 7.0), ("b", 2.0, 2.0, None), ("b", None, 3.0, 9.0)],
+                                    "site string, x double, y double, z double")
+    spots = [("a", i, *map(float, p)) for i, p in enumerate(rng.uniform(-50, 450, size=(40, 2)))] + [("a", 40, *map(float, xy[0])), ("b", 41, 0.0, 0.0), ("c", 42, 0.0, 0.0), ("a", 43, None, 0.0)]
+    points = spark.createDataFrame(spots, "site string, pid long, x double, y double")
+    d = lambda x, y: np.maximum(np.hypot(xy[:, 0] - x, xy[:, 1] - y), 0.25)
+    want = {i: (z / d(x, y)).sum() / (1 / d(x, y)).sum() for s, i, x, y in spots if s == "a" and x is not None}
+    for error, bound in ((0.0, 1e-9), (0.05, 0.05 * (z.max() - z.min()))):
+        got = {r["pid"]: r for r in spatial.idw_at_points(points, samples, ["site"], "pid", error=error, block_samples=16).collect()}
+        assert len(got) == len(spots) and all(abs(got[i]["elevation_m"] - v) <= bound for i, v in want.items())
+        assert all(got[i]["status"] == "refused" and got[i]["elevation_m"] is None for i in (41, 42, 43)) and "position" in got[43]["reason"]
 
 
 def test_polygon_rule_and_holes(spark):
