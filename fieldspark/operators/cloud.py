@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldspark.operators.ordered import block, join_side, quantiles_of, with_row_number
+from fieldspark.session import sorted_side
 
 RANSAC_SEED, RANSAC_ROUNDS, RANSAC_TOLERANCE_M = 20260814, 512, 3.0
 
@@ -88,13 +89,13 @@ def mesh_closure_volume(vertices: DataFrame, faces: DataFrame, keys: list[str])
     out = faces
     for corner in ("a", "b", "c"):
         v = vertices.select(*keys, F.col("vid").alias(corner), *[F.col(x).alias(f"{corner}{x}") for x in "xyz"])
-        out = out.join(v, keys + [corner])
+        out = out.join(sorted_side(v), keys + [corner])
     c = F.col
     cross = lambda ux, uy, uz, vx, vy, vz: (uy * vz - uz * vy, uz * vx - ux * vz, ux * vy - uy * vx)
     bx, by, bz = cross(c("bx"), c("by"), c("bz"), c("cx"), c("cy"), c("cz"))
     nx, ny, nz = cross(c("bx") - c("ax"), c("by") - c("ay"), c("bz") - c("az"), c("cx") - c("ax"), c("cy") - c("ay"), c("cz") - c("az"))
     size = out.groupBy(*keys).agg(F.abs(F.sum((c("ax") * bx + c("ay") * by + c("az") * bz) / 6.0)).alias("_vol"), F.sum(F.sqrt(nx * nx + ny * ny + nz * nz) / 2).alias("area_m2"), F.count(F.lit(1)).alias("faces"))
-    j = open_edges.join(size, keys)
+    j = open_edges.join(sorted_side(size), keys)
     return (j.withColumn("volume_m3", F.when(c("open_edges") == 0, c("_vol"))).withColumn("status", F.when(c("open_edges") == 0, "ok").otherwise("refused"))
             .withColumn("reason", F.when(c("open_edges") > 0, "the mesh is not closed")).drop("_vol"))
 

@@ -22,7 +22,7 @@ def no_broadcast(spark):
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
 
 
-@pytest.mark.parametrize("name", ["match_captures", "capture_statuses", "pose_priors", "remaining_captures", "defect_epochs"])
+@pytest.mark.parametrize("name", ["match_captures", "capture_statuses", "pose_priors", "remaining_captures", "defect_epochs", "mesh_closure_volume"])
 def test_growing_sides_stay_off_the_driver(spark, name):
     with no_broadcast(spark):
         assert entry.queries()[name](spark, SMALL).count() > 0
