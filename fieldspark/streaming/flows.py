@@ -173,6 +173,14 @@ def route(events: DataFrame, webhooks: DataFrame) -> DataFrame:
     return events.join(subs, ["org_id", "event"])
 
 
+def route_counts(events: DataFrame, webhooks: DataFrame) -> DataFrame:
+    """How many events each active subscription gets: ``webhook_id, org_id, event, deliveries`` (update mode on a stream).
+
+    Events are counted by organisation and name before they meet the subscriptions, so no delivery is a row.
+    """
+    return route(events.groupBy("org_id", "event").agg(F.count(F.lit(1)).alias("deliveries")), webhooks)
+
+
 def metrics_windows(requests: DataFrame, duration: str, buckets: list[float], keys: list[str], slide: str | None = None, watermark: str = WATERMARK) -> DataFrame:
     """Request metrics per time window."""
     w = F.window("ts", duration, slide) if slide else F.window("ts", duration)

@@ -26,3 +26,64 @@ def no_broadcast(spark):
 def test_growing_sides_stay_off_the_driver(spark, name):
     with no_broadcast(spark):
         assert entry.queries()[name](spark, SMALL).count() > 0
+
+
+def test_copies_of_tiles_and_areas_fold(spark):
+    """A crowd of equal tiles and areas meets once; pairs of copies (4 * 10^8 here) would not end."""
+    from fieldspark.operators import spatial
+    areas = spark.range(20_000).selectExpr("id AS area_id", "0.1D AS west", "0.1D AS south", "0.5D AS east", "0.5D AS north")
+    tiles = spark.range(20_000).selectExpr("id AS tile_seq", "concat('t', id) AS tile_id", "0D AS west", "0D AS south", "1D AS east", "1D AS north", "id > 6 AS present")
+    out = spatial.tile_covers_area(areas, tiles)
+    assert "Deduplicate [_w" in out._jdf.queryExecution().analyzed().toString()
+    assert [tuple(r) for r in out.select("tile_id", "status").distinct().collect()] == [("t7", "covered")] and out.count() == 20_000
+
+
+def test_points_of_one_place_share_their_elevation(spark):
+    """Points and samples fold by place, so 10^5 points over 10^4 samples of few places end."""
+    from fieldspark.operators import spatial
+    points = spark.range(100_000).selectExpr("id AS pid", "1 AS site", "CAST(id % 3 AS DOUBLE) AS x", "0D AS y")
+    samples = spark.range(10_000).selectExpr("1 AS site", "CAST(id % 2 * 10 AS DOUBLE) AS x", "0D AS y", "CAST(id % 2 * 100 AS DOUBLE) AS z")
+    out = spatial.idw_at_points(points, samples, ["site"], "pid")
+    assert "Deduplicate [site" in out._jdf.queryExecution().analyzed().toString()
+    got = {r["x"]: round(r["elevation_m"], 6) for r in out.groupBy("x").agg(F.max("elevation_m").alias("elevation_m"), F.min("elevation_m").alias("low")).where("elevation_m = low").collect()}
+    assert got == {x: round(100 / (10 - x) / (1 / max(x, 0.25) + 1 / (10 - x)), 6) for x in (0, 1, 2)}
+
+
+def test_deliveries_are_counted_before_they_meet_subscriptions(spark):
+    from fieldspark.streaming import flows
+    events = spark.range(60).selectExpr("id AS event_id", "id % 2 AS org_id", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS event")
+    hooks = spark.createDataFrame([(1, 0, ["a", "b", "a"], True), (2, 0, ["a"], True), (3, 1, ["b"], False), (4, 1, ["b"], True)], "webhook_id long, org_id long, events array<string>, active boolean")
+    got = {(r["webhook_id"], r["event"]): r["deliveries"] for r in flows.route_counts(events, hooks).collect()}
+    rows = {(r["webhook_id"], r["event"]): r["count"] for r in flows.route(events, hooks).groupBy("webhook_id", "event").count().collect()}
+    assert got == rows and len(got) == 4
+
+
+@pytest.fixture(scope="session")
+def level(spark):
+    """The given tables with one quantity in all line items: a surface of one height."""
+    import os
+    import tempfile
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for name in os.listdir(SMALL):
+        if name != "lineitem.parquet":
+            os.symlink(f"{SMALL}/{name}", f"{folder}/{name}")
+    spark.read.parquet(f"{SMALL}/lineitem.parquet").withColumn("l_quantity", F.lit(50.0)).write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["display_legend", "display_range", "slope_stats"])
+def test_level_surface_equals_sql(spark, level, name):
+    import duckdb
+
+    from check import rows_of
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{level}/lineitem.parquet/*.parquet'")
+    got = entry.queries()[name](spark, level).toPandas()
+    assert rows_of(got) == rows_of(con.execute(entry.oracle_sql()[name]).df()) and len(got) > 0
+
+
+def test_range_around_one_temperature_stays(spark):
+    from fieldspark.operators import thermal
+    cells = spark.range(9).selectExpr("1 AS survey_id", "50D AS v")
+    r = thermal.display_range(cells, ["survey_id"], "v", "percentile").first()
+    assert (r["range_min"], r["range_max"], r["low"], r["high"], r["below"], r["above"]) == (49.5, 50.5, 50.0, 50.0, 0, 0)
