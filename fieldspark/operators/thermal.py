@@ -35,30 +35,34 @@ def region_stats(cells: DataFrame, keys: list[str], value: str, row0: int, col0:
 
 
 def display_range(cells: DataFrame, keys: list[str], value: str, method: str, *, low: float | None = None, high: float | None = None, sigma: float = 2.0) -> DataFrame:
-    """Colour range of each frame and what it leaves out: manual, percentile (low/high in percent) or sigma."""
+    """Colour range of each frame and what it leaves out: manual, percentile (low/high in percent) or sigma.
+
+    A frame of one temperature gets a range around it. ``low`` and ``high`` are the limits before that, with what lies ``below`` and ``above``.
+    """
     known = cells.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     base = known.groupBy(*keys).agg(F.min("_v").alias("data_min"), F.max("_v").alias("data_max"), F.avg("_v").alias("_m"), F.stddev_pop("_v").alias("_s"), F.count("_v").alias("cells"))
     if method == "manual":
         if low is None or high is None or high <= low:
             raise ValueError("a manual range needs two numbers, the second above the first")
-        scale = base.withColumn("range_min", F.lit(float(low))).withColumn("range_max", F.lit(float(high)))
+        scale = base.withColumn("low", F.lit(float(low))).withColumn("high", F.lit(float(high))).withColumn("_pad", F.lit(0.0))
     elif method == "percentile":
         lo, hi = (1.0 if low is None else low), (99.0 if high is None else high)
         if not 0 <= lo < hi <= 100:
             raise ValueError("percentiles must satisfy 0 <= low < high <= 100")
-        scale = base.join(quantiles(known, keys, "_v", {"_a": lo / 100, "_b": hi / 100}), keys)
-        pad = F.when(F.col("_b") <= F.col("_a"), F.greatest(F.lit(0.5), F.abs("_a") * 0.01)).otherwise(0.0)
-        scale = scale.withColumn("range_min", F.col("_a") - pad).withColumn("range_max", F.col("_b") + pad)
+        scale = base.join(quantiles(known, keys, "_v", {"low": lo / 100, "high": hi / 100}), keys)
+        scale = scale.withColumn("_pad", F.when(F.col("high") <= F.col("low"), F.greatest(F.lit(0.5), F.abs("low") * 0.01)).otherwise(0.0))
     elif method == "sigma":
         if sigma <= 0:
             raise ValueError("sigma must be positive")
-        spread = F.when(F.col("_s") > 0, F.col("_s")).otherwise(F.greatest(F.lit(0.5), F.abs("_m") * 0.01))
-        scale = base.withColumn("range_min", F.col("_m") - sigma * spread).withColumn("range_max", F.col("_m") + sigma * spread)
+        scale = (base.withColumn("low", F.col("_m") - sigma * F.col("_s")).withColumn("high", F.col("_m") + sigma * F.col("_s"))
+                 .withColumn("_pad", F.when(F.col("_s") > 0, 0.0).otherwise(sigma * F.greatest(F.lit(0.5), F.abs("_m") * 0.01))))
     else:
         raise ValueError("method must be manual, percentile or sigma")
-    cut = join_side(known, scale.select(*keys, "range_min", "range_max"), keys).groupBy(*keys).agg(
-        F.count_if(F.col("_v") < F.col("range_min")).alias("clipped_low"), F.count_if(F.col("_v") > F.col("range_max")).alias("clipped_high"))
-    return (scale.select(*keys, "range_min", "range_max", "data_min", "data_max", "cells").join(cut, keys)
+    scale = scale.withColumn("range_min", F.col("low") - F.col("_pad")).withColumn("range_max", F.col("high") + F.col("_pad"))
+    cut = join_side(known, scale.select(*keys, "range_min", "range_max", "low", "high"), keys).groupBy(*keys).agg(
+        F.count_if(F.col("_v") < F.col("range_min")).alias("clipped_low"), F.count_if(F.col("_v") > F.col("range_max")).alias("clipped_high"),
+        F.count_if(F.col("_v") < F.col("low")).alias("below"), F.count_if(F.col("_v") > F.col("high")).alias("above"))
+    return (scale.select(*keys, "range_min", "range_max", "low", "high", "data_min", "data_max", "cells").join(cut, keys)
             .withColumn("hides_hottest", F.col("clipped_high") > 0))
 
 
