@@ -8,6 +8,7 @@ from fieldspark import schemas
 from fieldspark.functions.bands import camera_solution
 from fieldspark.functions.physics import DEFAULT_LEAP_SECONDS, gps_to_utc
 from fieldspark.functions.text import base_name, extension, stem
+from fieldspark.session import cut, join_salted
 
 # Fixed values that decide the results.
 LIBRARY_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp")
@@ -140,12 +141,28 @@ def _outside_quotes(text: Column, old: str, new: str) -> Column:
 
 
 def _lines(spark: SparkSession, path: str, quoted: bool = False) -> DataFrame:
-    """One row per line: ``file, line_no, line``; with ``quoted`` a break between double quotes is part of its line. Files of this
-    kind are small; each is read whole."""
-    doc = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    text = F.regexp_replace("value", "^\\x{FEFF}", "")
-    pieces = F.split(_outside_quotes(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n", "\u0001"), "\u0001") if quoted else F.split(text, "\\r?\\n")
-    return doc.select("file", F.posexplode(pieces).alias("line_no", "line"))
+    """One row per line: ``file, line_no, line``; with ``quoted`` a break between double quotes is part of its line.
+
+    Files are read in splits of any number. Windows run inside a split; counts of lines and quotes of the splits before it
+    travel in one row per split.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("_c"), F.monotonically_increasing_id().alias("_i"), F.regexp_replace("value", "\\r$", "").alias("line"))
+    marks = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit(""))) if quoted else F.lit(0)
+    inner = W.partitionBy("file", "_c").orderBy("_i")
+    upto, prior = inner.rowsBetween(W.unboundedPreceding, 0), W.partitionBy("file").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
+    # a line begins where an even number of quotes stands before it, counted from the split's start or from one quote more
+    raw = raw.withColumn("_q", marks).withColumn("_even", (F.sum("_q").over(upto) - F.col("_q")) % 2 == 0)
+    raw = raw.withColumn("_n", F.row_number().over(inner)).withColumn("_n0", F.sum(F.col("_even").cast("long")).over(upto))
+    splits = raw.groupBy("file", "_c").agg(F.count(F.lit(1)).alias("_rows"), F.sum("_q").alias("_marks"), F.max("_n0").alias("_rows0"))
+    splits = splits.withColumn("_odd", F.coalesce(F.sum("_marks").over(prior), F.lit(0)) % 2 == 1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum(F.when(F.col("_odd"), F.col("_rows") - F.col("_rows0")).otherwise(F.col("_rows0"))).over(prior), F.lit(0)))
+    at = F.col("_before") + F.when(F.col("_odd"), F.col("_n") - F.col("_n0")).otherwise(F.col("_n0")) - 1
+    lines = join_salted(raw, splits.select("file", "_c", "_odd", "_before"), ["file", "_c"], ["_i"], how="inner").withColumn("line_no", at)
+    if quoted:
+        parts = F.array_sort(F.collect_list(F.struct("_c", "_i", "line")))
+        lines = lines.groupBy("file", "line_no").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("line"))
+    return lines.select("file", "line_no", F.when(F.col("line_no") == 0, F.regexp_replace("line", "^\\x{FEFF}", "")).otherwise(F.col("line")).alias("line"))
 
 
 def _header_index(cells: Column, names: tuple[str, ...]) -> Column:
@@ -163,11 +180,11 @@ def csv_cells(line: str, sep: str = ",") -> Column:
 
 def _csv_by_alias(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]], sep: str = ",") -> DataFrame:
     """Rows of header-led tables whose columns go by several names: ``file, row_no, <fields>`` plus ``has_<field>``."""
-    lines = _lines(spark, path, quoted=True).where(F.trim(F.translate("line", sep, "")) != "").withColumn("cells", csv_cells("line", sep))
+    # read once; headers, refusals and rows come from it
+    lines = cut(_lines(spark, path, quoted=True).where(F.trim(F.translate("line", sep, "")) != "").select("file", "line_no", csv_cells("line", sep).alias("cells")))
     head = lines.groupBy("file").agg(F.min_by("cells", "line_no").alias("head"), F.min("line_no").alias("head_no"))
-    rows = lines.join(head, "file").where(F.col("line_no") > F.col("head_no"))
-    for field, names in aliases.items():
-        rows = rows.withColumn(f"_i_{field}", _header_index(F.col("head"), names))
+    head = head.select("file", "head_no", *[_header_index(F.col("head"), names).alias(f"_i_{field}") for field, names in aliases.items()])
+    rows = join_salted(lines, head, ["file"], ["line_no"], how="inner").where(F.col("line_no") > F.col("head_no"))
     return rows.select("file", (F.col("line_no") - F.col("head_no")).alias("row_no"), *[F.trim(F.get("cells", F.col(f"_i_{f}"))).alias(f) for f in aliases],
                        *[F.col(f"_i_{f}").isNotNull().alias(f"has_{f}") for f in aliases])
 
@@ -188,7 +205,7 @@ def read_control_points(spark: SparkSession, path: str, default_epsg: int | None
                                     F.count_if(num("x").isNotNull() & num("y").isNotNull() & num("z").isNotNull()).alias("_n"),
                                     F.max(num("x").isNotNull() & epsg.isNull()).alias("_bare")).withColumn("reason", why)
     name = F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("GCP"), F.lpad(F.col("row_no").cast("string"), 3, "0")))
-    good = ok.join(files.where("reason IS NULL").select("file"), "file").select(
+    good = join_salted(ok, files.where("reason IS NULL").select("file"), ["file"], ["row_no"], how="inner").select(
         "file", "row_no", name.alias("name"), num("x").alias("x"), num("y").alias("y"), num("z").alias("z"), epsg.alias("epsg"),
         F.coalesce(F.abs(num("accuracy")), F.lit(DEFAULT_ACCURACY_M)).alias("accuracy_m"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"))
     bad = files.where("reason IS NOT NULL").select("file", F.lit("refused").alias("status"), "reason")

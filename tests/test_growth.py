@@ -87,3 +87,23 @@ def test_range_around_one_temperature_stays(spark):
     cells = spark.range(9).selectExpr("1 AS survey_id", "50D AS v")
     r = thermal.display_range(cells, ["survey_id"], "v", "percentile").first()
     assert (r["range_min"], r["range_max"], r["low"], r["high"], r["below"], r["above"]) == (49.5, 50.5, 50.0, 50.0, 0, 0)
+
+
+def test_control_points_are_read_in_splits(spark, folder):
+    """Quoted breaks across splits, a byte order mark, blank lines and Windows line ends; no file is one task's."""
+    rows = [f'"P\n{i}, ""q"""\t{i}.5\t{i + 1}\t{i + 2}\t32617' if i % 3 else f"\t{i}.5\t{i + 1}\t{i + 2}\t32617" for i in range(1, 400)]
+    text = "﻿" + "\r\n".join(["Label,Easting,Northing,Elevation,EPSG", "", *[r.replace("\t", ",") for r in rows]]) + "\r\n"
+    with open(f"{folder}/points.csv", "w", newline="") as f:
+        f.write(text)
+    from fieldspark.sources import readers
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512b")
+    spark.sparkContext.setJobGroup("splits", "splits")
+    try:
+        got = {r["row_no"]: (r["name"], r["x"], r["z"]) for r in readers.read_control_points(spark, folder).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.sparkContext.setJobGroup("tests", "tests")
+    assert got == {i + 1: (f'P\n{i}, "q"' if i % 3 else f"GCP{i + 1:03d}", i + 0.5, i + 2.0) for i in range(1, 400)}
+    track = spark.sparkContext.statusTracker()
+    stages = [s for j in track.getJobIdsForGroup("splits") for s in track.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in map(track.getStageInfo, stages) if s) > 8
