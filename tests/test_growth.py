@@ -28,6 +28,16 @@ def test_growing_sides_stay_off_the_driver(spark, name):
         assert entry.queries()[name](spark, SMALL).count() > 0
 
 
+def test_growing_sides_of_reports_stay_off_the_driver(spark):
+    from fieldspark.operators.capture import deviation
+    from fieldspark.plans.captures import matches
+    from fieldspark.session import cut
+    with no_broadcast(spark):
+        assert entry.queries()["defect_epoch_counts"](spark, SMALL).count() > 0
+        pairs = cut(matches(spark, SMALL))
+    assert deviation(pairs).count() > 0  # what meets here has a row per mission
+
+
 def test_copies_of_tiles_and_areas_fold(spark):
     """A crowd of equal tiles and areas meets once; pairs of copies (4 * 10^8 here) would not end."""
     from fieldspark.operators import spatial
