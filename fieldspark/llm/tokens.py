@@ -51,6 +51,8 @@ class Pieces(dict):
         # fixed values: bytes that a byte-level vocabulary writes as themselves; the others follow from code point 256
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*plain}))}
+        self.blank = chr(self.letters[32])
+        self.ends = {sign: self.whole(sign) for sign in punctuation}
 
     def whole(self, text: str) -> bytes:
         """Ids of any text by the library's encoder."""
@@ -59,11 +61,17 @@ class Pieces(dict):
     def fresh(self, text: str) -> bytes:
         """Ids of one stretch: a word, perhaps after a blank, punctuation or a newline."""
         word = text[1:] if text[0] == " " else text
-        if word.isalpha() and max(word) < "\u0250":
-            letters = text.encode().decode("latin-1").translate(self.letters)
-            return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if word.isalpha():
+            if word.isascii():  # these letters stand for themselves
+                return self.word(self.blank + word if word is not text else word)
+            if max(word) < "\u0250":
+                return self.word(text.encode().decode("latin-1").translate(self.letters))
         return self.whole(text)
 
+    def word(self, letters: str) -> bytes:
+        """Ids of a word in the letters of the vocabulary."""
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def part(self, text: str) -> bytes:
         found = self.parts.get(text)
         if found is None:
@@ -89,6 +97,12 @@ class Pieces(dict):
         if found is not None:
             self[piece] = found
             return found
+        if piece.isalpha() and piece.isascii():
+            found = self[piece] = self.word(self.blank + piece)
+            return found
+        if piece[-1:] in self.ends and piece[:-1].isalpha():  # the usual end of a phrase
+            found = self[piece] = self[piece[:-1]] + self.ends[piece[-1]]
+            return found
         stem = piece.rstrip(punctuation)
         if stem.isalpha():
             found = self.fresh(" " + piece) if stem == piece else self[stem] + self.part(piece[len(stem):])
@@ -181,19 +195,27 @@ def re_pair(symbols: np.ndarray, rounds: int = 12, least: int = 4, top: int = 40
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Ids of any stretch of a block's symbols. Nonterminals are opened level by level, all at once; the stored lengths
-    say where each part goes."""
-    symbols = symbols.astype(np.int64)
-    size = widths(symbols, lengths)
-    place = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), np.uint32)
-    while len(symbols):
-        high = symbols >= FIRST_RULE
-        out[place[~high]] = symbols[~high]
-        symbols, place = symbols[high], place[high]
-        left, right = rules[symbols - FIRST_RULE].astype(np.int64).T if len(symbols) else (symbols, symbols)
-        symbols, place = np.concatenate([left, right]), np.concatenate([place, place + widths(left, lengths)])
-    return out
+    """Ids of any stretch of a block's symbols. The rules are opened level by level, all at once; the stored lengths say
+    where each part goes. Then every symbol takes its stretch of ids."""
+    size = lengths.astype(np.int64)
+    starts = np.cumsum(size) - size
+    table = np.zeros(int(size.sum()), np.uint32)
+    part, place = np.arange(len(rules)) + FIRST_RULE, starts
+    while len(part):
+        high = part >= FIRST_RULE
+        table[place[~high]] = part[~high]
+        part, place = part[high], place[high]
+        left, right = rules[part - FIRST_RULE].astype(np.int64).T if len(part) else (part, part)
+        part, place = np.concatenate([left, right]), np.concatenate([place, place + widths(left, lengths)])
+    high = symbols >= FIRST_RULE
+    rule = symbols[high].astype(np.int64) - FIRST_RULE
+    count, first = np.ones(len(symbols), np.int64), np.empty(len(symbols), np.int64)
+    count[high], first[high] = size[rule], starts[rule]
+    first[~high] = len(table) + np.arange(len(symbols) - len(rule))
+    ends = np.cumsum(count)
+    at = np.repeat(first - ends + count, count)
+    at += np.arange(len(at))
+    return np.concatenate([table, symbols[~high].astype(np.uint32)])[at]
 
 
 def _packed(part: int, seq: int, ids: list[np.ndarray], docs: list[int]) -> dict:
