@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from fieldspark.functions.geo import EARTH_RADIUS_MEAN_M, haversine_m
-from fieldspark.operators.matching import fine_cell, near_pairs
+from fieldspark.operators.matching import by_bucket, fine_cell, near_pairs, split_by_size
 from fieldspark.session import cut, join_salted, tidy
 
 TILE = 256
@@ -148,12 +148,34 @@ def cell_links(spots: DataFrame, keys: list[str], radius_m: float, earth: float,
 
 
 def cluster_points(points: DataFrame, keys: list[str], point_id: str, radius_m: float,
-                   earth: float = EARTH_RADIUS_MEAN_M, leaf_pairs: int = 1024) -> DataFrame:
+                   earth: float = EARTH_RADIUS_MEAN_M, leaf_pairs: int = 1024, group_rows: int = 700) -> DataFrame:
     """Single-link clusters of lon/lat points: adds ``cluster`` (smallest id of the cluster).
 
+    Groups of at most ``group_rows`` points are settled where they land after one shuffle; larger ones by cells.
     Points of one cell are within the radius of each other, so the clusters are the components of a graph of cells, each
     standing for its smallest id; see ``cell_links``. A point without a position is a cluster of its own.
     """
+    calm, crowded, buckets = split_by_size(points, keys, group_rows)
+    out = by_bucket(calm, keys, buckets, [point_id], _lowest, radius_m, earth, "cluster")
+    return out if crowded is None else out.unionByName(_cluster_cells(crowded, keys, point_id, radius_m, earth, leaf_pairs).select(*out.columns))
+
+
+def _lowest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest row of the component of each of ``n`` rows."""
+    root = np.arange(n)
+    while True:
+        low, new = np.minimum(root[a], root[b]), root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
+def _cluster_cells(points: DataFrame, keys: list[str], point_id: str, radius_m: float, earth: float, leaf_pairs: int) -> DataFrame:
+    """The same clusters from a graph of cells."""
     placed = points.select(*keys, F.col(point_id).alias("_id"), "lon", "lat").where("lon IS NOT NULL AND lat IS NOT NULL").withColumn("_c", fine_cell(radius_m, 0))
     heads = cut(placed.groupBy(*keys, "_c").agg(F.min("_id").alias("head")))
     spots = cut(join_salted(placed.select(*keys, "_c", "lon", "lat").distinct(), heads, [*keys, "_c"], ["lon", "lat"], 4, "inner").drop("_c"))

@@ -117,3 +117,15 @@ def test_control_points_are_read_in_splits(spark, folder):
     track = spark.sparkContext.statusTracker()
     stages = [s for j in track.getJobIdsForGroup("splits") for s in track.getJobInfo(j).stageIds]
     assert max(s.numTasks for s in map(track.getStageInfo, stages) if s) > 8
+
+
+def test_small_groups_are_scanned_after_one_shuffle(spark):
+    """Groups below the bound give what the rounds give, and do so without a checkpoint per round."""
+    from fieldspark.operators import components, matching
+    rows = spark.range(600).selectExpr("id % 40 AS g", "id AS seq", "CASE WHEN id % 17 = 0 THEN NULL ELSE 10 + (id * 7919 % 101) / 5e6 END AS lon", "50 + (id * 31 % 89) / 5e6 AS lat",
+                                       "CASE WHEN id % 13 = 0 THEN NULL ELSE CAST(id % 5 AS DOUBLE) END AS p")
+    near = lambda n: {tuple(r) for r in matching.suppress_nearby(rows, ["g"], 1.0, priority="p", seq="seq", group_rows=n).select("seq", "kept", "kept_by").collect()}
+    group = lambda n: {tuple(r) for r in components.cluster_points(rows, ["g"], "seq", 0.5, group_rows=n).select("seq", "cluster").collect()}
+    assert near(700) == near(0) and group(700) == group(0) and 1 < len({c for _, c in group(700)}) < 600
+    plan = matching.suppress_nearby(rows, ["g"], 1.0, priority="p", seq="seq")._jdf.queryExecution().analyzed().toString()
+    assert "Join" not in plan
