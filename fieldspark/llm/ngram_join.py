@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fieldspark.llm.common import mixed, shingles, text_chunks, word_hashes
 from fieldspark.operators.components import connected_components
-from fieldspark.session import cut, join_salted
+from fieldspark.session import cut, join_salted, tidy
 
 SHINGLE = 5
 PERCENT = 75  # two sets link when 100 * intersection >= PERCENT * union
@@ -21,6 +21,7 @@ STRETCH = 2_000_000  # shingles counted together
 GROUP = 2_000  # texts of one shingle in one task; more are dealt to several
 TILE = 1_024  # texts of a block
 TILE_SHINGLES = 1 << 19  # shingles of a block
+KEYS_SHOWN = 8  # keys of a text that travel with it, so that a pair of several tiles is put out by one
 BLOOM_BITS = 1 << 24  # in 64-bit words of a broadcast table: 2**18 rows at most
 
 
@@ -78,9 +79,13 @@ def describe(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bits", pa.binary()), ("hot", pa.list_(pa.int64())), ("texts", pa.list_(pa.int64()))])
 
     def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+        tokens = np.concatenate(held)
+        held.clear()
+        tokens.sort()
+        first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        counts = np.diff(np.r_[first, len(tokens)])
         keep = counts >= HOT_LOCAL
-        row = {"doc": None, "n": None, "fp1": None, "fp2": None, "bits": None, "hot": tokens[keep].view(np.int64).tolist(), "texts": counts[keep].tolist()}
+        row = {"doc": None, "n": None, "fp1": None, "fp2": None, "bits": None, "hot": tokens[first[keep]].view(np.int64).tolist(), "texts": counts[keep].tolist()}
         return pa.RecordBatch.from_pylist([row], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +103,7 @@ def describe(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                     size += len(found)
                     if size >= STRETCH:
                         yield frequent(held)
-                        held, size = [], 0
+                        size = 0
             n, one, two, bits = zip(*out) if out else ([],) * 4
             signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
             none = pa.nulls(len(out), pa.list_(pa.int64()))
@@ -200,6 +205,7 @@ def verified(edges: DataFrame, rows: DataFrame) -> DataFrame:
     """Edges ``u, v`` whose sets link, by exact intersection. Each set travels once per partner hub; a hub of many edges
     is dealt to several places, with its set in each."""
     edges = cut(edges)
+    tidy(rows.sparkSession)
     hubs = edges.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("_deals"))
     members = edges.join(hubs, "u").select(F.col("v").alias("doc"), "u", F.pmod(F.xxhash64("v"), F.col("_deals")).cast("int").alias("_deal"), F.lit(1).alias("_part"))
     heads = hubs.select(F.col("u").alias("doc"), "u", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1)).alias("_deal"), F.lit(0).alias("_part"))
@@ -224,18 +230,23 @@ def verified(edges: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def tile_pairs(tiles: DataFrame) -> DataFrame:
-    """Pairs ``u, v`` of texts of one tile that are not in one group (``label``) and whose bitmaps allow a link."""
+    """Pairs ``u, v`` of texts of one tile that are not in one group (``label``) and whose bitmaps allow a link.
+
+    Look-alikes meet in the tile of every shingle that they share. ``first`` holds the smallest keys of a text; a tile leaves
+    a pair that has a smaller key in common to that key's tile, which holds both as well.
+    """
     keys = ["key", "tile", "i", "j"]
     dealt = tiles.repartition(*keys).sortWithinPartitions(*keys, "rep")
 
     def pairs(group: list[tuple]) -> list[tuple[int, int]]:
-        rep, label, n, band, block, tile, i, j, bits = zip(*group)
+        rep, label, n, band, block, tile, i, j, bits, first, key = zip(*group)
         if len(set(label)) < 2:
             return []
         label, n, band, block = (np.array(x, np.int64) for x in (label, n, band, block))
         width = min(map(len, bits))
         grid = np.stack([folded(b, width) for b in bits])
         grid = grid.view(np.uint64) if width % 8 == 0 else grid
+        before = [{k for k in ks if k < key[0]} for ks in first]
         out = []
         for a in range(len(rep) - 1):
             b = np.arange(a + 1, len(rep))
@@ -244,18 +255,18 @@ def tile_pairs(tiles: DataFrame) -> DataFrame:
             ok &= (np.minimum(block[a], block[b]) == i[0]) & (np.maximum(block[a], block[b]) == j[0])
             b = b[ok]
             apart = np.bitwise_count(grid[b] ^ grid[a]).sum(1, dtype=np.int64)
-            out += [(rep[a], rep[k]) for k in b[may_link(n[a], n[b], apart)].tolist()]
+            out += [(rep[a], rep[k]) for k in b[may_link(n[a], n[b], apart)].tolist() if before[a].isdisjoint(before[k])]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, at = [], None
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in (*keys, "rep", "label", "n", "band", "block", "bits"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in (*keys, "rep", "label", "n", "band", "block", "bits", "first"))):
                 if row[:4] != at:
                     out += pairs(group) if group else []
                     group, at = [], row[:4]
-                group.append((*row[4:9], row[1], row[2], row[3], row[9]))
+                group.append((*row[4:9], row[1], row[2], row[3], row[9], row[10], row[0]))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
         if group:
             out = pairs(group)
@@ -351,6 +362,7 @@ def components(rows: DataFrame, described: DataFrame, hot: DataFrame) -> DataFra
     posted = prefixes(rows.where(F.col("doc").isNotNull()), hot)
     met = posted.withColumn("low", F.min("doc").over(shared)).withColumn("high", F.max("doc").over(shared))
     met = cut(met.where("low < high OR token IS NOT NULL").select("key", "token", "doc", "low"))
+    tidy(rows.sparkSession)
     across = met.where("token IS NOT NULL").groupBy("token", "low").agg(F.lit(1).alias("_")).drop("_")
     across = across.join(across.groupBy("token").agg(F.min("low").alias("hub")), "token").select(F.col("hub").alias("a"), F.col("low").alias("b"))
     star = met.select(F.col("low").alias("a"), F.col("doc").alias("b")).unionByName(across).where("a <> b").distinct()
@@ -368,15 +380,21 @@ def components(rows: DataFrame, described: DataFrame, hot: DataFrame) -> DataFra
     # groups that share a shingle, by whole shingles again; of two texts alone the star has checked the one pair
     apart = cut(met.select(F.coalesce("token", "key").alias("key"), "doc").join(of_doc, "doc").join(group, "rep", "left")
                 .select("key", "rep", F.coalesce("group", "rep").alias("label")).distinct())
-    open_keys = apart.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_c > 2 AND _lo < _hi").select("key")
-    tiles = apart.join(open_keys, "key").join(of_rep.select("rep", "n"), "rep").withColumn("band", band_of(F.col("n")))
+    tidy(rows.sparkSession)
+    open_keys = apart.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("label").alias("_lo"), F.max("label").alias("_hi"),
+                                         *[F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"_x{k}") for k in (1, 2)]).where("_c > 2 AND _lo < _hi")
+    # of shingles with the same texts one is enough
+    open_keys = open_keys.groupBy("_c", "_x1", "_x2").agg(F.min("key").alias("key")).select("key")
+    apart = cut(apart.join(open_keys, "key"))
+    shown = apart.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("key")), 1, KEYS_SHOWN).alias("first"))
+    tiles = apart.join(of_rep.select("rep", "n"), "rep").withColumn("band", band_of(F.col("n")))
     tiles = tiles.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     sizes = (tiles.groupBy("key", "tile").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"), F.min("label").alias("_lo"), F.max("label").alias("_hi"),
                                               F.max(F.col("band") == F.col("tile")).alias("_own")).where("_lo < _hi AND _own").select("key", "tile", "blocks"))
     tiles = (tiles.join(sizes, ["key", "tile"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
              .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("key", "tile", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "rep", "label", "n", "band", "block")
-             .join(of_rep.select("rep", "bits"), "rep"))
+             .join(of_rep.select("rep", "bits").join(shown, "rep"), "rep"))
     more = verified(tile_pairs(tiles), rows)
     named = lambda c, to: label.select(F.col("rep").alias(c), F.col("label").alias(to))
     bridges = (more.join(named("u", "lu"), "u", "left").join(named("v", "lv"), "v", "left")

@@ -405,3 +405,16 @@ def test_quotes(spark):
     first = [c["chat"] for c in sorted((c for c in chats if c["thread_id"] == 1), key=lambda c: c["part"])]
     assert "".join(first).index("needs paint") < "".join(first).index("I agree")
     assert quoting.linked_messages(messages.limit(0)).count() == 0
+
+
+def test_a_pair_of_several_tiles_comes_from_one(spark):
+    """Look-alikes share many shingles; the tile of their smallest common key alone puts the pair out."""
+    bits = bytearray(b"\x00" * 8)
+    rows = [(key, 0, 0, 0, rep, rep, 40, 0, 0, bits, [1, 2, 3]) for key in (1, 2, 3) for rep in (10, 11, 12)]
+    tiles = spark.createDataFrame(rows, "key long, tile int, i int, j int, rep long, label long, n long, band int, block int, bits binary, first array<long>")
+    from fieldspark.llm import ngram_join
+    tiles = tiles.coalesce(1)
+    made = ngram_join.tile_pairs(tiles)
+    assert sorted(tuple(r) for r in made.collect()) == [(10, 11), (10, 12), (11, 12)]
+    alone = lambda key: ngram_join.tile_pairs(tiles.where(f"key = {key}")).count()
+    assert [alone(k) for k in (1, 2, 3)] == [3, 0, 0]
