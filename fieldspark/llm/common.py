@@ -30,7 +30,7 @@ _FOLD = np.frombuffer(LOWER, np.uint8)
 _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
-def text_chunks(texts: pa.Array, size: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def text_chunks(texts: pa.Array, size: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """UTF-8 bytes and offsets of stretches of an Arrow string column, about ``size`` bytes or one text each."""
     if not len(texts):
         return

@@ -103,7 +103,7 @@ class Index:
         shared = self.weights(np.intersect1d(item, window, assume_unique=True)).sum()
         return float(shared / (mine + theirs - shared))
 
-    def search(self, texts: pa.Array, at_once: int = 2_000_000) -> Iterator[list[tuple[int, int, int, float]]]:
+    def search(self, texts: pa.Array, at_once: int = 500_000) -> Iterator[list[tuple[int, int, int, float]]]:
         """``matches`` of each text. Words are hashed, and shingles that an item has are found, for many texts at once."""
         held, size = [], 0
         for k, text in enumerate(texts):
