@@ -16,6 +16,9 @@ LIDAR_TOLERANCE_MS = 220.0
 IMU_TOLERANCE_MS = 50.0
 GNSS_TOLERANCE_MS = 250.0
 
+# Rows of a time line that one task sorts: its memory stays the same, and the tasks become more.
+ROWS_A_TASK = 100_000
+
 
 def bracket_all(ref: DataFrame, others: list[tuple[DataFrame, list[str]]], keys: list[str], *, t: str = "t_ms", seq: str = "seq",
                 chunk_ms: float = 3_600_000.0) -> DataFrame:
@@ -23,8 +26,12 @@ def bracket_all(ref: DataFrame, others: list[tuple[DataFrame, list[str]]], keys:
     ``_n<i>`` (distinct sample times up to t) of every sensor ``others[i] = (samples, payload)`` to every reference row.
 
     All sensors share one time line, so the rows are grouped once by time and swept once, however many sensors there are.
-    Samples without a time are left out; equal times without ``seq`` come first.
+    Samples without a time are left out; equal times without ``seq`` come first. The rows are counted first, for the number of tasks.
     """
+    counted = ref.select(F.lit(1))
+    for other, _ in others:
+        counted = counted.unionByName(other.select(F.lit(1)))
+    parts = counted.count() // ROWS_A_TASK + 1
     samples, aggs = None, []
     for i, (other, payload) in enumerate(others):
         rows = other.where(F.col(t).isNotNull()).select(*keys, t, F.struct(seq).alias(f"_q{i}"), F.struct(t, *payload).alias(f"_r{i}"))
@@ -33,12 +40,12 @@ def bracket_all(ref: DataFrame, others: list[tuple[DataFrame, list[str]]], keys:
         aggs.append(F.when(F.count(row) > 0, F.struct(F.min_by(row, at).alias("first"), F.max_by(row, at).alias("last"))).alias(f"_s{i}"))
     ref_cols = [c for c in ref.columns if c not in keys and c != t]
     held = [F.struct(*ref_cols).alias("_ref")] if ref_cols else []
-    line = (samples.groupBy(*keys, t).agg(*aggs).withColumn("_side", F.lit(0))
+    line = (samples.repartition(parts, *keys, t).groupBy(*keys, t).agg(*aggs).withColumn("_side", F.lit(0))
             .unionByName(ref.select(*keys, t, F.lit(1).alias("_side"), *held), allowMissingColumns=True))
     # samples sort before references of the same time, so "forward" from a reference is strictly later
     span = range(len(others))
     out = carry(line, keys, [t, "_side"], [block(t, chunk_ms)], {f"_lo{i}": f"_s{i}" for i in span}, {f"_hi{i}": f"_s{i}" for i in span},
-                {f"_n{i}": f"_s{i}" for i in span})
+                {f"_n{i}": f"_s{i}" for i in span}, parts)
     return (out.where(F.col("_side") == 1)
             .select(*keys, t, *[F.col(f"_ref.{c}").alias(c) for c in ref_cols], *[f"_{x}{i}" for i in span for x in ("lo", "hi", "n")]))
 

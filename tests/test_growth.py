@@ -129,3 +129,13 @@ def test_small_groups_are_scanned_after_one_shuffle(spark):
     assert near(700) == near(0) and group(700) == group(0) and 1 < len({c for _, c in group(700)}) < 600
     plan = matching.suppress_nearby(rows, ["g"], 1.0, priority="p", seq="seq")._jdf.queryExecution().analyzed().toString()
     assert "Join" not in plan
+
+
+def test_a_sweep_gets_tasks_by_its_rows(spark, monkeypatch):
+    """A task sorts a bounded number of rows of a time line, however many there are."""
+    from fieldspark.operators import asof
+    monkeypatch.setattr(asof, "ROWS_A_TASK", 100, raising=False)
+    ref = spark.range(1_000).selectExpr("id % 7 AS bundle_id", "CAST(id * 1000 AS DOUBLE) AS t_ms", "id AS seq")
+    out = asof.nearest(ref, ref.selectExpr("bundle_id", "t_ms + 10 AS t_ms", "seq", "seq AS v"), ["bundle_id"], ["v"], 50.0)
+    assert out.rdd.getNumPartitions() == 21
+    assert out.where("near_v = seq AND near_delta = 10").count() == 1_000
