@@ -76,22 +76,28 @@ def flight_sessions(telemetry: DataFrame, key: str = "flight_id", gap: str = SES
                  F.min("ts").alias("started_at"), F.max("ts").alias("ended_at")).drop("session")
 
 
+def _arrays(batches: Iterator[pd.DataFrame], columns: list[str]) -> list[np.ndarray]:
+    """Columns of one key's rows. Most keys have few rows a batch, where a sort or a selection in pandas costs more than its rows."""
+    parts = list(batches)
+    return [parts[0][c].to_numpy() if len(parts) == 1 else np.concatenate([p[c].to_numpy() for p in parts]) for c in columns]
+
+
 def running_distance(telemetry: DataFrame, key: str = "flight_id") -> DataFrame:
     """Distance so far of each flight over its positioned samples. Rows older than the state are counted as late."""
     placed = telemetry.where(has_fix()).select(F.col(key).cast("string").alias("key"), F.unix_micros("ts").alias("us"), "seq", "latitude", "longitude")
     radius = EARTH_RADIUS_TRACK_M
 
     def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(["us", "seq"])
+        times, seqs, lats, lons = _arrays(batches, ["us", "seq", "latitude", "longitude"])
         us, lat, lon, total, n, late = state.get if state.exists else (-(2**62), np.nan, np.nan, 0.0, 0, 0)
-        old = pdf["us"] < us
-        late += int(old.sum())
-        pdf = pdf[~old]
-        if len(pdf):
-            la, lo = np.radians(np.append(lat, pdf["latitude"])), np.radians(np.append(lon, pdf["longitude"]))
+        order = np.lexsort((seqs, times))
+        fresh = order[~(times[order] < us)]
+        late += len(order) - len(fresh)
+        if len(fresh):
+            la, lo = np.radians(np.append(lat, lats[fresh])), np.radians(np.append(lon, lons[fresh]))
             s = np.sin(np.diff(la) / 2) ** 2 + np.cos(la[:-1]) * np.cos(la[1:]) * np.sin(np.diff(lo) / 2) ** 2
             total += float(np.nansum(2 * radius * np.arcsin(np.minimum(1.0, np.sqrt(s)))))
-            us, lat, lon, n = int(pdf["us"].iloc[-1]), float(pdf["latitude"].iloc[-1]), float(pdf["longitude"].iloc[-1]), n + len(pdf)
+            us, lat, lon, n = int(times[fresh[-1]]), float(lats[fresh[-1]]), float(lons[fresh[-1]]), n + len(fresh)
         state.update((us, lat, lon, total, n, late))
         yield pd.DataFrame({"key": [k[0]], "distance_m": [total], "positioned": [n], "late": [late]})
 

@@ -139,3 +139,13 @@ def test_a_sweep_gets_tasks_by_its_rows(spark, monkeypatch):
     out = asof.nearest(ref, ref.selectExpr("bundle_id", "t_ms + 10 AS t_ms", "seq", "seq AS v"), ["bundle_id"], ["v"], 50.0)
     assert out.rdd.getNumPartitions() == 21
     assert out.where("near_v = seq AND near_delta = 10").count() == 1_000
+
+
+def test_turns_of_a_stream_are_written_by_several_tasks(spark):
+    """A turn has several files, and a micro-batch is still one turn."""
+    from fieldspark.plans import streams
+    from fieldspark.streaming import flows
+    t = streams.live_in_turns(spark, SMALL, "telemetry", rows_a_file=50)
+    out = streams.finish(t.select("seq", F.unix_micros("ts").alias("us"), F.input_file_name().alias("file")), "turns", "append")
+    got = out.groupBy("batch_id").agg(F.min("us").alias("a"), F.max("us").alias("b"), F.countDistinct("file").alias("files")).orderBy("batch_id").collect()
+    assert len(got) == 3 and all(r["files"] > 1 for r in got) and got[0]["b"] < got[1]["a"] and got[1]["b"] < got[2]["a"]
