@@ -119,11 +119,14 @@ def contact_lost(states: DataFrame, silence_ms: int = 60_000, watermark: str = W
             if phase in airborne and not clean:
                 yield pd.DataFrame({"aircraft_id": [k[0]], "last_seen": [pd.Timestamp(ms, unit="ms")], "phase": [phase], "latitude": [lat], "longitude": [lon], "battery_pct": [bat], "waypoint_index": [wp]})
             return
-        last = pd.concat(list(batches)).sort_values("ts").iloc[-1]
-        ms = int(pd.Timestamp(last["ts"]).as_unit("ns").value // 1_000_000)
+        times, *rest = _arrays(batches, ["ts", "phase", "clean_shutdown", "latitude", "longitude", "battery_pct", "waypoint_index"])
+        us = times.astype("datetime64[us]").astype("int64")
+        last = len(us) - 1 - int(us[::-1].argmax())  # the last to come of those with the newest time
+        ms = int(us[last] // 1000)
         if state.exists and state.get[0] > ms:
             return
-        state.update((ms, str(last["phase"]), bool(last["clean_shutdown"]), float(last["latitude"]), float(last["longitude"]), float(last["battery_pct"]), int(last["waypoint_index"])))
+        phase, clean, lat, lon, bat, wp = (c[last] for c in rest)
+        state.update((ms, str(phase), bool(clean), float(lat), float(lon), float(bat), int(wp)))
         state.setTimeoutTimestamp(max(ms + silence_ms, state.getCurrentWatermarkMs() + 1))
 
     return (states.withWatermark("ts", watermark).groupBy("aircraft_id")
