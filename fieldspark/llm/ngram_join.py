@@ -380,12 +380,15 @@ def components(rows: DataFrame, described: DataFrame, hot: DataFrame) -> DataFra
     # groups that share a shingle, by whole shingles again; of two texts alone the star has checked the one pair
     apart = cut(met.select(F.coalesce("token", "key").alias("key"), "doc").join(of_doc, "doc").join(group, "rep", "left")
                 .select("key", "rep", F.coalesce("group", "rep").alias("label")).distinct())
+    del posted, met, across, star  # what a name still holds is not deleted
     tidy(rows.sparkSession)
     open_keys = apart.groupBy("key").agg(F.count(F.lit(1)).alias("_c"), F.min("label").alias("_lo"), F.max("label").alias("_hi"),
                                          *[F.bit_xor(F.xxhash64(F.lit(k), "rep")).alias(f"_x{k}") for k in (1, 2)]).where("_c > 2 AND _lo < _hi")
     # of shingles with the same texts one is enough
     open_keys = open_keys.groupBy("_c", "_x1", "_x2").agg(F.min("key").alias("key")).select("key")
     apart = cut(apart.join(open_keys, "key"))
+    del open_keys
+    tidy(rows.sparkSession)
     shown = apart.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("key")), 1, KEYS_SHOWN).alias("first"))
     tiles = apart.join(of_rep.select("rep", "n"), "rep").withColumn("band", band_of(F.col("n")))
     tiles = tiles.withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1)))

@@ -239,3 +239,17 @@ def test_queries_are_registered():
     import __spark_entry__ as entry
     assert set(queries.RUN) | {"pipeline"} <= set(entry.queries()) and {"op5_url_filter", "op6_license_scan", "op11_line_dedup", "op12_merkle_manifest", "op13_source_divergence"} <= set(entry.oracle_sql())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram jaccard join", "benchmark decontamination", "source mix", "token files"]
+
+
+def test_finished_steps_of_the_similarity_join_can_be_deleted(spark, monkeypatch):
+    """When shuffles are released, no name holds a step that later ones do not read."""
+    import sys
+    from fieldspark.llm import ngram_join
+    held = []
+    monkeypatch.setattr(ngram_join, "tidy", lambda spark: held.append((sys._getframe(1).f_code.co_name, set(sys._getframe(1).f_locals))))
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-1])), (3, "other words that stand alone here")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard_join(docs).collect()}
+    seen = [names for name, names in held if name == "components"]
+    assert got == {1: 1, 2: 1, 3: 3} and len(seen) == 3
+    assert not seen[1] & {"posted", "met", "across", "star"} and not seen[2] & {"open_keys", "met"}
