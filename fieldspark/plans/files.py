@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fieldspark.plans.adapters import cte, table, view
 from fieldspark.plans.flights import FIX
 from fieldspark.plans.registry import query
-from fieldspark.session import scratch
+from fieldspark.session import listing, scratch
 from fieldspark.sources import readers, writers
 
 TEL = cte("telemetry")
@@ -21,7 +21,8 @@ def write_track_gpx(spark, sf):
     t = (view(spark, sf, "telemetry").withColumn("altitude_abs_m", F.col("altitude_rel_m") + 100).withColumn("satellites", F.col("seq") % 15)
          .withColumn("hdop", F.round((F.col("seq") % 40) / 8.0, 2)).withColumn("title", F.concat(F.lit("a <b> & "), F.col("flight_id").cast("string"))))
     writers.write_track(t, path, "gpx", name="title")
-    got = spark.read.schema("_lat double, _lon double, ele double, time string, sat long, hdop double, flight_id long").option("rowTag", "trkpt").option("basePath", path).xml(path)
+    with listing(spark):
+        got = spark.read.schema("_lat double, _lon double, ele double, time string, sat long, hdop double, flight_id long").option("rowTag", "trkpt").option("basePath", path).xml(path)
     return got.groupBy("flight_id").agg(F.count(F.lit(1)).alias("points"), F.round(F.sum("_lat"), 6).alias("lat_sum"), F.round(F.sum("ele"), 2).alias("ele_sum"), F.sum("sat").alias("sats"),
                                         F.round(F.sum("hdop"), 2).alias("hdop_sum"), F.min("time").alias("first_time"))
 

@@ -126,7 +126,9 @@ def write_track(telemetry: DataFrame, path: str, fmt: str, key: str = "flight_id
         return
     lines = track_json_lines(telemetry, key) if fmt == "json" else track_lines(telemetry, fmt, key, name)
     order = [key, "part", "no"] if fmt == "json" else [key, "part", "ts", "seq"]
-    lines.repartition(key).sortWithinPartitions(*order).select(key, F.col("line").alias("value")).write.mode(mode).partitionBy(key).text(path)
+    # what a task costs is its documents, not its bytes, so partitions are not merged by size
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartition(parts, key).sortWithinPartitions(*order).select(key, F.col("line").alias("value")).write.mode(mode).partitionBy(key).text(path)
 
 
 # --- features ------------------------------------------------------------------------------------

@@ -149,3 +149,19 @@ def test_turns_of_a_stream_are_written_by_several_tasks(spark):
     out = streams.finish(t.select("seq", F.unix_micros("ts").alias("us"), F.input_file_name().alias("file")), "turns", "append")
     got = out.groupBy("batch_id").agg(F.min("us").alias("a"), F.max("us").alias("b"), F.countDistinct("file").alias("files")).orderBy("batch_id").collect()
     assert len(got) == 3 and all(r["files"] > 1 for r in got) and got[0]["b"] < got[1]["a"] and got[1]["b"] < got[2]["a"]
+
+
+def test_tracks_are_dealt_and_listed_by_cores(spark, folder):
+    """Small documents are not merged into one task, and their folders are not listed in a task each."""
+    import glob
+    from fieldspark.plans.adapters import view
+    from fieldspark.session import listing
+    from fieldspark.sources import writers
+    writers.write_track(view(spark, SMALL, "telemetry").withColumn("altitude_abs_m", F.col("altitude_rel_m")), folder + "/gpx", "gpx")
+    tasks = {f.rsplit("part-", 1)[1][:5] for f in glob.glob(folder + "/gpx/*/part-*")}
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    with listing(spark):
+        assert int(spark.conf.get(name)) == 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get(name) == before
