@@ -38,6 +38,15 @@ def test_growing_sides_of_reports_stay_off_the_driver(spark):
     assert deviation(pairs).count() > 0  # what meets here has a row per mission
 
 
+def test_deviation_stays_off_the_driver(spark):
+    """Neither the pairs nor what each mission has is broadcast, and no report but the one of altitudes meets plan and images again."""
+    from fieldspark.plans.captures import matches
+    pairs = matches(spark, SMALL)
+    assert "Join" not in pairs._jdf.queryExecution().analyzed().toString()
+    with no_broadcast(spark):
+        assert entry.queries()["capture_deviation"](spark, SMALL).count() > 0
+
+
 def test_copies_of_tiles_and_areas_fold(spark):
     """A crowd of equal tiles and areas meets once; pairs of copies (4 * 10^8 here) would not end."""
     from fieldspark.operators import spatial
