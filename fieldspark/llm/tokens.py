@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -34,6 +37,8 @@ class Pieces(dict):
     A full generation becomes the old one, and a piece met again moves from there to the young one. So what a language uses
     often is encoded once, however many rare pieces pass.
 
+    ``each`` looks the distinct units of many texts up at once; ``encode`` takes one text.
+
     A byte-level pattern starts a token at a blank that stands alone between two other characters, at a newline that
     stands alone, at what follows it, and where ASCII punctuation follows a letter or digit. So lines, words and trailing
     punctuation are encoded once each. A word of Latin letters alone is one stretch of the pattern and goes to the
@@ -53,6 +58,11 @@ class Pieces(dict):
         self.letters = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(sorted({*range(256)} - {*plain}))}
         self.blank = chr(self.letters[32])
         self.ends = {sign: self.whole(sign) for sign in punctuation}
+        # ids that stand only where a unit begins: no unit holds a blank or a newline but its first character
+        leads = (self.blank, chr(self.letters[10]))
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.begins[[i for letters, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if letters.startswith(leads)]] = True
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core
 
     def whole(self, text: str) -> bytes:
         """Ids of any text by the library's encoder."""
@@ -128,7 +138,90 @@ class Pieces(dict):
             first = self.part(head) if head.isalpha() else self.whole(head)
             return np.frombuffer(first + b"".join(map(self.__getitem__, rest)), "<u4")
         except OddPiece:
-            return np.frombuffer(b"".join(map(self.whole, _SAFE.split(text))), "<u4") if text else np.zeros(0, "<u4")
+            return self.by_stretch(text)
+
+    def by_stretch(self, text: str) -> np.ndarray:
+        """Ids of a text with white space in odd places."""
+        return np.frombuffer(b"".join(map(self.whole, _SAFE.split(text))), "<u4") if text else np.zeros(0, "<u4")
+
+    def each(self, texts: Iterable[str], chars: int = 8_000_000) -> Iterator[np.ndarray]:
+        """Ids of every text, in order; ``chars`` characters or one text are held at a time."""
+        held, n = [], 0
+        for text in texts:
+            held.append(text)
+            n += len(text)
+            if n >= chars:
+                yield from self.several(held)
+                held, n = [], 0
+        if held:
+            yield from self.several(held)
+
+    def several(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts, each of their distinct units looked up once.
+
+        A unit is a newline or the blank before it, which is left out, and what follows up to the next of these. A text
+        starts as if after a newline, whose id is taken off again.
+        """
+        out = {k: np.frombuffer(self.whole(t), "<u4") for k, t in enumerate(texts) if any(a in t for a in self.added)}
+        at = [k for k in range(len(texts)) if k not in out]
+        if at:
+            lines = pa.compute.replace_substring(pa.array([texts[k] for k in at], pa.large_string()), "\n", " \n")
+            split = pa.compute.split_pattern(pa.compute.binary_join_element_wise(pa.scalar("\n", pa.large_string()), lines, pa.scalar("", pa.large_string())), " ")
+            coded, firsts = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+            found = self.units(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+            index = coded.indices.to_numpy()
+            odd = np.fromiter((not f for f in found), bool, len(found))
+            strange = np.logical_or.reduceat(odd[index], firsts[:-1] - firsts[0])
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            table, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+            count = sizes[index]
+            ends = np.cumsum(count)
+            place = np.repeat(starts[index] - ends + count, count)
+            place += np.arange(len(place))
+            ids, ends = table[place], np.append(0, ends)[firsts - firsts[0]].tolist()
+            for k, a, b, other in zip(at, ends, ends[1:], strange.tolist()):
+                out[k] = self.by_stretch(texts[k]) if other else ids[a + 1:b]
+        return [out[k] for k in range(len(texts))]
+
+    def units(self, names: list[str]) -> list[bytes]:
+        """Ids of distinct units; none where white space does not stand alone, for there is no safe place to cut."""
+        found = list(map(self.get, names))
+        missing = [k for k, f in enumerate(found) if f is None]
+        old, fresh = {}, []
+        for k in missing:
+            name = names[k]
+            known = self.old.get(name)
+            if known is not None:
+                found[k] = old[name] = known
+                continue
+            body = name[1:] if name[:1] == "\n" else name
+            if not body or body[0].isspace() or body[-1].isspace():
+                found[k] = b""
+            else:
+                fresh.append(k)
+        new = [names[k] for k in fresh]
+        coded = self.alone(new)
+        for k, ids in zip(fresh, coded):
+            found[k] = ids
+        if len(self) + len(old) + len(new) > self.limit:
+            self.old = dict(self) | old
+            self.clear()
+        else:
+            self.update(old)
+        self.update(islice(zip(new, coded), self.limit))
+        return found
+
+    def alone(self, units: list[str], together: int = 300) -> list[bytes]:
+        """Ids of units by the library's encoder, many in one text."""
+        spaced = [u if u[0] == "\n" else " " + u for u in units]
+        texts = ["".join(spaced[k:k + together]) for k in range(0, len(spaced), together)]
+        parts = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(parts) if parts else np.zeros(0, "<u4")
+        begins = np.flatnonzero(self.begins[ids])
+        if len(begins) != len(units):  # another vocabulary may join a blank with what is before it
+            return list(map(self.whole, spaced))
+        raw, ends = ids.tobytes(), np.append(begins * 4, len(ids) * 4).tolist()
+        return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -157,18 +250,23 @@ def re_pair(symbols: np.ndarray, rounds: int = 12, least: int = 4, top: int = 40
     symbols = symbols.astype(np.uint32)
     for _ in range(rounds):
         before = len(symbols)
-        pair = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        place = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
-        end = symbols == END
-        place[end[:-1] | end[1:]] = -1
-        count = np.bincount(place + 1, minlength=(1 << bits) + 1)[1:]
+        pair = symbols[:-1].astype(np.uint64)
+        pair <<= np.uint64(32)
+        pair |= symbols[1:]
+        place = pair * np.uint64(0x9E3779B97F4A7C15)
+        place >>= np.uint64(64 - bits)
+        place = place.view(np.int64)
+        end = np.flatnonzero(symbols == END)
+        place[end[end < len(place)]] = place[end[end > 0] - 1] = 1 << bits  # pairs with END
+        count = np.bincount(place, minlength=(1 << bits) + 1)[:-1]
         full = np.flatnonzero(count >= least)
         if len(full) > top:
             full = full[np.argsort(-count[full], kind="stable")[:top]]
-        number = np.full((1 << bits) + 1, -1, np.int32)  # the last entry is for pairs with END
+        number = np.full((1 << bits) + 1, -1, np.int32)
         number[full] = np.arange(len(full))
-        near = np.flatnonzero(number[place] >= 0)
-        slot, pair = number[place[near]], pair[near]
+        slot = number[place]
+        near = np.flatnonzero(slot >= 0)
+        slot, pair = slot[near], pair[near]
         key = np.zeros(len(full), np.uint64)
         key[slot[::-1]] = pair[::-1]  # the first pair seen at each place
         same = key[slot] == pair
@@ -253,13 +351,12 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
     closing = np.array([END], "<u4")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = pieces_of(vocabulary).encode, TaskContext.get().partitionId(), 0
+        pieces, part, seq = pieces_of(vocabulary), TaskContext.get().partitionId(), 0
         ids, names, held = [], [], 0
         for batch in batches:
-            for name, text in zip(batch.column("doc"), batch.column("text")):
-                got = encode(text.as_py())
+            for name, got in zip(batch.column("doc").to_pylist(), pieces.each(text.as_py() for text in batch.column("text"))):
                 ids += [got, closing]
-                names.append(name.as_py())
+                names.append(name)
                 held += len(got) + 1
                 if held >= block_tokens:
                     yield pa.RecordBatch.from_pylist([_packed(part, seq, ids, names)], schema)

@@ -369,6 +369,33 @@ def test_pieces_outlive_a_full_table():
     assert "the" in pieces and max(map(len, (pieces, pieces.old, pieces.parts, pieces.old_parts))) <= 4
 
 
+def test_units_of_many_texts():
+    """Whatever the white space, ids equal the tokenizer's own; words of many texts take a few calls of the library."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, rng = Tokenizer.from_file(path), random.Random(12)
+    signs = ["a", "B", "é", "'s", "'ll", "\n", " ", " ", "\t", "\r", "\x1c", "\x85", "\u00a0", "\u3000", "1", "22", "!", "...", "<|endoftext|>", "<|endof", "text|>", "\U0001f600", "\u180e", "\ufeff", "\x00", "word", "\n\n"]
+    odd = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(1500)] + ["", "\n", " ", "a\n", "\na", " a", "a "]
+    for limit, chars in ((500_000, 5_000), (20, 200)):
+        pieces = tokens.Pieces(path, limit=limit)
+        got = list(pieces.each(odd, chars))
+        assert [g.tolist() for g in got] == [plain.encode(t, add_special_tokens=False).ids for t in odd]
+        assert max(len(pieces), len(pieces.old)) <= 2 * limit
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.calls = inner, 0
+
+        def __getattr__(self, name):
+            self.calls += name in ("encode", "encode_batch_fast", "tokenize")
+            return getattr(self.inner, name)
+
+    pieces = tokens.Pieces(path)
+    pieces.tokenizer, pieces.model = Counted(pieces.tokenizer), Counted(pieces.model)
+    words = [" ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}x{chr(97 + j)}." for j in range(26)) + "\nThe end." for k in range(500)]
+    assert [g.tolist() for g in pieces.each(words)] == [plain.encode(t, add_special_tokens=False).ids for t in words]
+    assert pieces.tokenizer.calls + pieces.model.calls < 10
+
+
 def test_re_pair():
     rng = np.random.default_rng(10)
     for symbols in (np.zeros(0, np.uint32), np.array([0], np.uint32), np.array([7] * 1001, np.uint32), rng.integers(0, 5, 20_000).astype(np.uint32), rng.integers(0, 50_000, 5_000).astype(np.uint32)):
