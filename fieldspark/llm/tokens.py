@@ -144,7 +144,7 @@ class Pieces(dict):
         """Ids of a text with white space in odd places."""
         return np.frombuffer(b"".join(map(self.whole, _SAFE.split(text))), "<u4") if text else np.zeros(0, "<u4")
 
-    def each(self, texts: Iterable[str], chars: int = 8_000_000) -> Iterator[np.ndarray]:
+    def each(self, texts: Iterable[str], chars: int = 4_000_000) -> Iterator[np.ndarray]:
         """Ids of every text, in order; ``chars`` characters or one text are held at a time."""
         held, n = [], 0
         for text in texts:
@@ -214,8 +214,9 @@ class Pieces(dict):
     def alone(self, units: list[str], together: int = 300) -> list[bytes]:
         """Ids of units by the library's encoder, many in one text."""
         spaced = [u if u[0] == "\n" else " " + u for u in units]
-        texts = ["".join(spaced[k:k + together]) for k in range(0, len(spaced), together)]
-        parts = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        fast, parts = self.tokenizer.encode_batch_fast, []
+        for k in range(0, len(spaced), together):  # one text a call: the library's own objects take far more room than ids
+            parts += [np.array(e.ids, "<u4") for e in fast(["".join(spaced[k:k + together])], add_special_tokens=False)]
         ids = np.concatenate(parts) if parts else np.zeros(0, "<u4")
         begins = np.flatnonzero(self.begins[ids])
         if len(begins) != len(units):  # another vocabulary may join a blank with what is before it
