@@ -144,3 +144,18 @@ def test_pairs_next_to_a_pole(spark):
     b = spark.createDataFrame([("a", 1, 0.1, 89.99), ("a", 2, -10.0, 89.99999)], "g string, j long, mx double, my double")
     got = m.near_pairs(a, b, ["g"], 5.0, lpos=("lon", "lat"), rpos=("mx", "my")).collect()
     assert {(r["i"], r["j"]) for r in got} == {(1, 1), (2, 2)}
+
+
+@pytest.mark.parametrize("name", ["defect_epochs"])
+def test_pairs_of_one_length_equal_sql(spark, folder, name):
+    """Two pairs as long as each other, which the last bits of the distance must not tell apart, and a distance next to half a unit of the last place."""
+    import duckdb
+
+    import __spark_entry__ as entry
+    from check import rows_of
+    orders = [(577380, "3-MEDIUM", k) for k in (5763086, 5768438, 5846338)] + [(332665, "2-HIGH", k) for k in (3388274, 3404193, 3414485, 3429816)]
+    spark.createDataFrame(orders, "o_custkey long, o_orderpriority string, o_orderkey long").write.parquet(f"{folder}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{folder}/orders.parquet/*.parquet'")
+    got = entry.queries()[name](spark, folder).toPandas()
+    assert rows_of(got) == rows_of(con.execute(entry.oracle_sql()[name]).df())
