@@ -146,7 +146,7 @@ def test_pairs_next_to_a_pole(spark):
     assert {(r["i"], r["j"]) for r in got} == {(1, 1), (2, 2)}
 
 
-@pytest.mark.parametrize("name", ["defect_epochs"])
+@pytest.mark.parametrize("name", ["defect_epochs", "defect_epoch_counts"])
 def test_pairs_of_one_length_equal_sql(spark, folder, name):
     """Two pairs as long as each other, which the last bits of the distance must not tell apart, and a distance next to half a unit of the last place."""
     import duckdb
@@ -154,6 +154,7 @@ def test_pairs_of_one_length_equal_sql(spark, folder, name):
     import __spark_entry__ as entry
     from check import rows_of
     orders = [(577380, "3-MEDIUM", k) for k in (5763086, 5768438, 5846338)] + [(332665, "2-HIGH", k) for k in (3388274, 3404193, 3414485, 3429816)]
+    orders += [(1, "1-URGENT", k) for k in (3537797, 3547297, 5459459)]
     spark.createDataFrame(orders, "o_custkey long, o_orderpriority string, o_orderkey long").write.parquet(f"{folder}/orders.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{folder}/orders.parquet/*.parquet'")
