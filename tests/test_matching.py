@@ -160,3 +160,28 @@ def test_pairs_of_one_length_equal_sql(spark, folder, name):
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{folder}/orders.parquet/*.parquet'")
     got = entry.queries()[name](spark, folder).toPandas()
     assert rows_of(got) == rows_of(con.execute(entry.oracle_sql()[name]).df())
+
+
+@pytest.mark.parametrize("seed,grid", [(6, None), (7, 100)])
+def test_blocks_equal_the_scan(spark, monkeypatch, seed, grid):
+    """A group too large for one task is scanned block by block; no pair is stored, as rounds store them."""
+    monkeypatch.setattr(m, "_match_rounds", None)
+    left, right = (scattered(k, n, spread=8e-3, grid=grid, groups="a") for k, n in ((seed, 1400), (seed + 50, 1300)))
+    a, b = frames(spark, left, right)
+    got = pairs_of(m.match_one_to_one(a, b, ["g"], 15.0, left_id="idx", right_id="image_seq", group_pairs=4_000))
+    # on a grid the order of equal pairs rests on the formula's last bits
+    assert got == (pairs_of(m.match_one_to_one(a, b, ["g"], 15.0, left_id="idx", right_id="image_seq")) if grid else greedy(left, right, 15.0))
+
+
+def test_a_chain_across_blocks(spark, monkeypatch):
+    """Each pair hangs on the next, shorter one, from block to block; a group that needs no blocks is settled beside it."""
+    monkeypatch.setattr(m, "_match_rounds", None)
+    x, at = -81.0, []
+    for k in range(70):
+        at.append(x)
+        x += (14.9 - 0.1 * k) / (111_195.08 * math.cos(math.radians(41.0)))
+    left, right = [("a", i, x, 41.0) for i, x in enumerate(at[::2])], [("a", i, x, 41.0) for i, x in enumerate(at[1::2])]
+    left, right = left + scattered(8, 5, groups="b"), right + scattered(9, 5, groups="b")
+    a, b = frames(spark, left, right)
+    got = pairs_of(m.match_one_to_one(a, b, ["g"], 15.0, left_id="idx", right_id="image_seq", group_pairs=400))
+    assert got == greedy(left, right, 15.0) and len(got) > 34
