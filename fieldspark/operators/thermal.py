@@ -103,11 +103,17 @@ def robust_baseline(pixels: DataFrame, keys: list[str], band: str, value: str, s
 
 
 def anomaly_scores(pixels: DataFrame, baseline: DataFrame, cell: list[str], keys: list[str], band: str, value: str) -> DataFrame:
-    """Largest deviation of each cell over its bands, in robust sigmas. A cell missing a baseline band scores null."""
-    ok = baseline.where("status = 'ok'").select(*keys, band, "center", "scale")
-    bands = ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("_bands"))
-    s = (pixels.where(F.col(value).isNotNull()).join(ok, keys + [band]).withColumn("_z", F.abs(F.col(value) - F.col("center")) / F.col("scale"))
-         .groupBy(*keys, *cell).agg(F.max("_z").alias("_s"), F.count(F.lit(1)).alias("_n")))
+    """Largest deviation of each cell over its bands, in robust sigmas: ``score``. A cell missing a valid baseline band scores null.
+
+    ``ratio`` is the largest quotient of deviation and scale over all ``bands`` the cell has a value in, also where the baseline is
+    refused: without variation it is infinite, or not a number for a cell that does not deviate.
+    """
+    base = baseline.select(*keys, band, "center", "scale", F.col("status").eqNullSafe("ok").alias("_ok"))
+    bands = base.groupBy(*keys).agg(F.count_if("_ok").alias("_bands"))
+    gap = F.abs(F.col(value) - F.col("center"))
+    ratio = F.when(F.col("scale") != 0, gap / F.nullif("scale", F.lit(0.0))).when(gap > 0, float("inf")).otherwise(float("nan"))
+    s = (pixels.where(F.col(value).isNotNull()).join(base, keys + [band]).withColumn("_z", ratio)
+         .groupBy(*keys, *cell).agg(F.max(F.when(F.col("_ok"), F.col("_z"))).alias("_s"), F.count_if("_ok").alias("_n"), F.max("_z").alias("ratio"), F.count(F.lit(1)).alias("bands")))
     return s.join(bands, keys).withColumn("score", F.when(F.col("_n") == F.col("_bands"), F.col("_s"))).drop("_s", "_n", "_bands")
 
 

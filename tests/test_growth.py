@@ -101,6 +101,39 @@ def test_level_surface_equals_sql(spark, level, name):
     assert rows_of(got) == rows_of(con.execute(entry.oracle_sql()[name]).df()) and len(got) > 0
 
 
+@pytest.fixture(scope="session")
+def flat(spark):
+    """The given tables with one quantity in most line items: bands without variation, and some cells that deviate."""
+    import tempfile
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    spark.read.parquet(f"{SMALL}/lineitem.parquet").withColumn("l_quantity", F.when(F.col("l_orderkey") % 64 < 3, F.col("l_quantity")).otherwise(50.0)).write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["anomaly_scores", "anomaly_candidates"])
+def test_bands_without_variation_equal_sql(spark, flat, name):
+    """Scores are infinite or not a number, as the SQL's division by a scale of 0; null stays apart from not a number."""
+    import duckdb
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{flat}/lineitem.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    rows = lambda found: sorted(tuple(repr(v) for v in r) for r in found)
+    got = rows(entry.queries()[name](spark, flat).select(*names).collect())
+    assert got == rows(want.fetchall()) and any("nan" in r for r in got)
+    assert name != "anomaly_scores" or any("inf" in r for r in got)
+
+
+def test_refused_baseline_scores_null(spark):
+    """The operator keeps the reference's refusal."""
+    from fieldspark.operators import thermal
+    pixels = spark.range(40).selectExpr("1 AS site", "id AS cell", "'b' AS band", "CASE WHEN id = 7 THEN 9D ELSE 5D END AS v", "id % 2 AS src")
+    base = thermal.robust_baseline(pixels, ["site"], "band", "v", "src", validated_by="x", scope="y")
+    got = thermal.anomaly_scores(pixels, base, ["cell"], ["site"], "band", "v")
+    assert base.first()["status"] == "refused" and got.where("score IS NULL").count() == 40
+    assert got.where("ratio = double('infinity')").first()["cell"] == 7
+
+
 def test_range_around_one_temperature_stays(spark):
     from fieldspark.operators import thermal
     cells = spark.range(9).selectExpr("1 AS survey_id", "50D AS v")
