@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.operators import cloud, components, grid, hydrology, spatial, thermal, zonal
 from fieldspark.plans.adapters import cte, table, view
-from fieldspark.plans.rasters import AREA, BASE, CELLS, DIFF, KEY, baseline, band_pixels, centred, diff, r4, zone_rings
+from fieldspark.plans.rasters import AREA, BASE, CELLS, DIFF, KEY, centred, diff, r4, ratios, zone_rings
 from fieldspark.plans.registry import query
 
 
@@ -73,8 +73,7 @@ def encroachment_regions(spark, sf):
        + labels("SELECT survey_id, '' AS part, row_idx, col_idx, score FROM sc WHERE score >= 1.45", 8)
        + "SELECT survey_id, CAST(region AS BIGINT) AS region, CAST(count(*) AS BIGINT) AS cell_count, round(max(score), 6) AS max_score, round(avg(score), 6) AS mean_score FROM lab GROUP BY 1, 2 HAVING count(*) * 0.25 >= 1")
 def anomaly_candidates(spark, sf):
-    sc = thermal.anomaly_scores(band_pixels(spark, sf), baseline(spark, sf), ["row_idx", "col_idx"], KEY, "band", "v")
-    return thermal.anomaly_candidates(sc, KEY, AREA, threshold=1.45).select("survey_id", "region", "cell_count", *r4("max_score", "mean_score", n=6))
+    return thermal.anomaly_candidates(ratios(spark, sf), KEY, AREA, threshold=1.45).select("survey_id", "region", "cell_count", *r4("max_score", "mean_score", n=6))
 
 
 @query("hotspot_frames", CELLS + ", q AS (SELECT survey_id, greatest(40, quantile_cont(z_t1, 0.992)) AS t, max(z_t1) AS mx, avg(z_t1) AS av FROM cells WHERE z_t1 IS NOT NULL GROUP BY 1)"
