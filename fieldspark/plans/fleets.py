@@ -158,7 +158,7 @@ def request_metrics(spark, sf):
 SELECT e.event_id, w.webhook_id FROM events e JOIN w ON w.org_id = e.user_id % 5 AND list_contains(w.ev, e.event_type) WHERE w.active""")
 def route_subscriptions(spark, sf):
     from fieldspark.streaming.flows import route
-    return route(view(spark, sf, "org_events"), webhooks(spark, sf)).select("event_id", "webhook_id")
+    return route(view(spark, sf, "org_events").select("event_id", "org_id", "event"), webhooks(spark, sf), ["event_id"]).select("event_id", "webhook_id")
 
 
 def webhooks(spark, sf):

@@ -17,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from fieldspark.functions.bands import AIRBORNE_PHASES, has_fix, telemetry_warnings
 from fieldspark.functions.geo import EARTH_RADIUS_TRACK_M
 from fieldspark.functions.rules import Rule, check
-from fieldspark.session import scratch
+from fieldspark.session import join_salted, scratch, sorted_side
 
 WATERMARK = "10 minutes"
 SESSION_GAP = "60 seconds"
@@ -173,12 +173,15 @@ def read_after(buffer: DataFrame, cursor: int, limit: int, order: str = "event_i
     return buffer.where(F.col(order) > cursor).orderBy(order).limit(min(1000, max(1, limit)))
 
 
-def route(events: DataFrame, webhooks: DataFrame) -> DataFrame:
+def route(events: DataFrame, webhooks: DataFrame, row_key: list[str] | None = None) -> DataFrame:
     """Events paired with the active subscriptions of their organisation: rows of an outbox.
 
-    Subscriptions join by organisation and event name, one row per subscribed name.
+    Subscriptions join by organisation and event name, one row per subscribed name. With ``row_key``, the events of a name
+    are spread over tasks by it and come out side by side, so that files hold their subscribers as repetitions.
     """
     subs = webhooks.where("active").select("webhook_id", "org_id", F.explode(F.array_distinct("events")).alias("event"))
+    if row_key:
+        return join_salted(events, sorted_side(subs), ["org_id", "event"], row_key, how="inner")
     return events.join(subs, ["org_id", "event"])
 
 

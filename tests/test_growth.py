@@ -207,3 +207,20 @@ def test_tracks_are_dealt_and_listed_by_cores(spark, folder):
     with listing(spark):
         assert int(spark.conf.get(name)) == 4 * spark.sparkContext.defaultParallelism
     assert spark.conf.get(name) == before
+
+
+def test_deliveries_of_a_name_lie_together(spark):
+    """Events are spread by their id and sorted by name, so subscribers repeat in a file; no side passes through the driver."""
+    from pyspark.sql import Window as W
+
+    from fieldspark.plans import fleets
+    from fieldspark.plans.adapters import view
+    from fieldspark.streaming import flows
+    out = entry.queries()["route_subscriptions"](spark, SMALL)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    named = out.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}).join(view(spark, SMALL, "org_events").select("event_id", "org_id", "event"), "event_id")
+    turns = named.withColumn("new", F.struct("org_id", "event") != F.lag(F.struct("org_id", "event")).over(W.partitionBy("part").orderBy("at")))
+    assert turns.groupBy("part").agg(F.count_if("new").alias("n"), F.countDistinct("org_id", "event").alias("names")).where("n >= names").isEmpty()
+    plain = flows.route(view(spark, SMALL, "org_events"), fleets.webhooks(spark, SMALL)).select("event_id", "webhook_id")
+    assert out.exceptAll(plain).isEmpty() and plain.exceptAll(out).isEmpty() and out.count() > 0
